@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import mixing, packing, quality, token_store
+from veritrail.llm import html_text, mixing, packing, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": quality.op1_line_quality,
     "op6_token_store": token_store.op6_token_store,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_html_extraction": html_text.op8_html_extraction,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
 
