@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import html_text, language_id, mixing, packing, quality, token_store
+from veritrail.llm import html_text, language_id, mixing, near_dup, packing, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_language_id": language_id.op2_language_id,
+    "op4_minhash_near_dup": near_dup.op4_minhash_near_dup,
     "op6_token_store": token_store.op6_token_store,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_html_extraction": html_text.op8_html_extraction,
