@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import html_text, language_id, mixing, near_dup, packing, quality, token_store
+from veritrail.llm import fingerprints, html_text, language_id, mixing, near_dup, packing, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": quality.op1_line_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": token_store.op6_token_store,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_html_extraction": html_text.op8_html_extraction,
+    "op9_simhash": fingerprints.op9_simhash,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
 
