@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import fingerprints, html_text, language_id, mixing, near_dup, packing, quality, repeats, token_store
+from veritrail.llm import fingerprints, html_text, language_id, mixing, near_dup, packing, quality, repeats, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_language_id": language_id.op2_language_id,
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
     "op4_minhash_near_dup": near_dup.op4_minhash_near_dup,
+    "op5_warc_derivatives": warc.op5_warc_derivatives,
     "op6_token_store": token_store.op6_token_store,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_html_extraction": html_text.op8_html_extraction,

@@ -259,8 +259,11 @@ def repeated_spans(base: DataFrame) -> DataFrame:
 
 
 def cut(texts: DataFrame, with_text: bool) -> DataFrame:
-    """Contract columns from rows (doc_id, text, spans); ``with_text`` adds the kept bytes as text."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    """Contract columns from rows (doc_id, rest, text, spans); ``with_text`` adds ``rest`` and the kept bytes as text."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if with_text:
+        schema += f", kept_text string, rest {texts.schema['rest'].dataType.simpleString()}"
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,14 +285,14 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
                 left = b"".join(kept)
                 rows.append((len(raw), removed, count, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            arrays = [batch.column(0), *(pa.array(columns[k], pa.int64()) for k in range(3)), *(pa.array(columns[k], pa.string()) for k in range(3, 5 if with_text else 4))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
+            arrays = [batch.column(0), *(pa.array(columns[k], pa.int64()) for k in range(3)), *(pa.array(columns[k], pa.string()) for k in range(3, 5 if with_text else 4)), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return texts.select("doc_id", "text", "spans", *(["rest"] if with_text else [])).mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """The contract's columns for each row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """The contract's columns for each row of ``docs`` (doc_id, text); ``with_text`` adds kept_text and ``rest``, a struct of the row's other columns.
 
     Texts are needed where their items are, three times; so they are written
     once as a table bucketed by row id, which is dropped when the result stands.
@@ -297,7 +300,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, carry: list[str] |
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(1), "doc_id", text).alias("rid1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("rid2"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(F.lit(0).alias("__row"), *others).alias("rest")] if with_text else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *rest, F.xxhash64(F.lit(1), "doc_id", text).alias("rid1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("rid2"))
     name = f"veritrail_texts_{uuid.uuid4().hex}"
     rows.repartition(parts, *_ID).write.option("compression", "zstd").bucketBy(parts, *_ID).saveAsTable(name)
     base = spark.table(name)
