@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from veritrail.plans import domain_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | domain_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | domain_queries.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """The ten best segments of each benchmark question, copies collapsed and spread over documents."""
+    return text_queries.q_diversified_topk(spark, sf_dir)
