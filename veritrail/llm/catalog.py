@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import fingerprints, html_text, language_id, mixing, near_dup, packing, quality, repeats, token_store, warc
+from veritrail.llm import fingerprints, html_text, language_id, mixing, near_dup, oracles, packing, quality, repeats, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": quality.op1_line_quality,
@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_quality": oracles.LINE_QUALITY}
