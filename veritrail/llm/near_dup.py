@@ -41,7 +41,8 @@ CHUNKS = DISTANCE // 2 + 1
 BLOCK = 1_024
 _U = np.uint64
 _CUTS = [round(i * SYMBOLS / CHUNKS) for i in range(CHUNKS + 1)]
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, shingles binary"
+_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+_MEMBERS = "family long, blocks int, side int, doc_id long, sig binary, shingles binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,27 +99,39 @@ def _seeds() -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, the signature, and the set as sorted 48-bit numbers (little-endian)."""
+    """doc_id, n_shingles, a 128-bit hash of the set, and the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        memo, seeds = _WordHashes(), _seeds()
+        for batch in batches:
+            sizes, hashes, sigs = [], [], []
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(text, memo)
+                sizes.append(len(s))
+                hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sigs.append(signature(s, seeds).tobytes() if len(s) else b"")
+            h1, h2 = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNED)
+
+
+def member_sets(members: DataFrame) -> DataFrame:
+    """Rows (family, blocks, side, doc_id, text) with the signature and the set, as sorted 48-bit numbers (little-endian), for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seeds = _WordHashes(), _seeds()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, h1, h2, sigs, sets = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text, memo)
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
-                    sizes.append(len(s))
-                    h1.append(int(digest[0]))
-                    h2.append(int(digest[1]))
-                    sigs.append(signature(s, seeds).tobytes() if len(s) else b"")
-                    sets.append(np.ascontiguousarray((s >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig", "shingles"])
+                found = [shingle_set(text, memo) for text in part.column(4).to_pylist()]
+                sigs = [signature(s, seeds).tobytes() for s in found]
+                sets = [np.ascontiguousarray((s >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for s in found]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["family", "blocks", "side", "doc_id", "sig", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNED)
+    return members.select("family", "blocks", "side", "doc_id", "text").mapInArrow(run, _MEMBERS)
 
 
 def chunk_keys(signed: DataFrame) -> DataFrame:
@@ -235,9 +248,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     touching = keys.join(shared, "key").where(F.col("doc_id") != F.col("lo")).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
     family = materialize(components(touching), "families")
     sizes = family.groupBy("component").count().select("component", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = family.join(sizes, "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("component").alias("family"), F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", F.col("node").alias("doc_id"))
-    rows = heads.select("doc_id", "sig", "shingles").join(pairs, "doc_id").repartition(parts, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "doc_id")
+    placed = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
+    # Only members of families are looked at again, so the sets are made anew for them and never written for all.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    members = member_sets(texts.join(placed, "doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = members.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other").repartition(parts, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "doc_id")
     joined = components(confirm(rows, percent))
     by_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"], "left")
