@@ -30,10 +30,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         large = materialize(large, "cc")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
         now = materialize(small, "cc")
         after = _state(now)

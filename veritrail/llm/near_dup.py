@@ -245,13 +245,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     heads = signed.where(linkable).join(classes, ["h1", "h2"]).where(F.col("doc_id") == F.col("rep"))
     keys = chunk_keys(heads.select("doc_id", "sig"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("key", "lo")
+    shared = materialize(shared, "shared-keys")
     touching = keys.join(shared, "key").where(F.col("doc_id") != F.col("lo")).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
     family = materialize(components(touching), "families")
     sizes = family.groupBy("component").count().select("component", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
     # Only members of families are looked at again, so the sets are made anew for them and never written for all.
+    # Members grow with the corpus, so they are met by a merge join at every size, and never broadcast while they are still few.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    members = member_sets(texts.join(placed, "doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = member_sets(texts.join(placed.hint("merge"), "doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = members.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other").repartition(parts, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "doc_id")
     joined = components(confirm(rows, percent))
     by_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
