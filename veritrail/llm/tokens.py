@@ -16,7 +16,8 @@ import re
 
 import numpy as np
 
-SEPARATOR = "<|endoftext|>"
+#: Begins a vocabulary's special tokens, which a unit that holds one may contain anywhere.
+SPECIAL = "<|"
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space, by the reading of any regular-expression library, that is not space or line feed; and the memo's own mark.
 _ODD_ASCII = "\t\r\x0b\x0c\x00\x1c\x1d\x1e\x1f"
@@ -32,6 +33,8 @@ def _runs(text: str) -> bool:
     return text[0] in " \n" or text[-1] in " \n" or any(run in text for run in ("  ", " \n", "\n ", "\n\n"))
 
 
+#: Marks that no vocabulary here joins with letters before them.
+_MARKS = "!#$%&*+,./:;<=>?@[]^_`{|}~()-\""
 _MEMO_UNITS, _UNIT_CHARS, _JOINED = 600_000, 48, 2_000
 
 
@@ -47,7 +50,13 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator_id = self.tokenizer.token_to_id(SEPARATOR)
+        self.line_feed = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [None])[0]
+        ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " A", "\nA")]
+        #: Whether the vocabulary drops white space and case.
+        self.loose = ids[0] == ids[1] == ids[2]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        if self.loose:
+            self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -69,16 +78,32 @@ class UnitEncoder:
         return unit[1:] if unit[:1] == "\x00" else unit if unit[:1] == "\n" else " " + unit
 
     def _learn(self, units: list[str]) -> None:
+        """Give new units to the library, many in one string, and cut its ids apart again.
+
+        A strict vocabulary has an id for the line feed between two units.  A
+        loose one marks the ends of words, and a unit of letters alone or
+        marks alone is one word.  Other units go one by one.
+        """
         young = self.young
-        for at in range(0, len(units), _JOINED):
-            some = units[at : at + _JOINED]
-            joined = self.tokenizer.encode_batch_fast([SEPARATOR.join(map(self._plain, some))], add_special_tokens=False)[0]
+        alike = [u for u in units if "\n" not in u and (not self.loose or u.lstrip("\x00").lower().isalpha() or not u.strip(_MARKS))]
+        for at in range(0, len(alike), _JOINED):
+            some = alike[at : at + _JOINED]
+            joined = self.tokenizer.encode_batch_fast([(" " if self.loose else "\n").join(map(self._plain, some))], add_special_tokens=False)[0]
             ids = np.asarray(joined.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.separator_id).tolist() + [len(ids)]
+            if self.loose:
+                ends, gap = (np.flatnonzero(self.ends_word[ids]) + 1).tolist(), 0
+            else:
+                ends, gap = np.flatnonzero(ids == self.line_feed).tolist() + [len(ids)], 1
+            if len(ends) != len(some):
+                young.update(zip(some, self._direct([self._plain(u) for u in some]), strict=True))
+                continue
             raw, start = ids.tobytes(), 0
             for unit, end in zip(some, ends, strict=True):
                 young[unit] = raw[4 * start : 4 * end]
-                start = end + 1
+                start = end + gap
+        rest = list(set(units).difference(alike))
+        if rest:
+            young.update(zip(rest, self._direct([self._plain(u) for u in rest]), strict=True))
 
     def encode(self, texts: list[str | None], group_chars: int = 4_000_000) -> list[bytes]:
         """One bytes object per text; a null text is an empty one."""
@@ -99,21 +124,44 @@ class UnitEncoder:
         self._flush(group, out)
         return out
 
+    def _parts(self, unit: str) -> list[str]:
+        """Units that give a new unit's ids, laid end to end: letters and the marks after them are always cut apart, a line feed stands alone, and a loose vocabulary needs no case or lead."""
+        lead: list[str] = []
+        if self.loose:
+            unit = unit.lstrip("\x00\n") or unit
+            if unit.isascii():
+                unit = unit.lower()
+        elif unit[0] == "\n":
+            lead, unit = ["\x00\n"], "\x00" + unit[1:]
+        core = unit.rstrip(_MARKS)
+        if len(core) < len(unit) and core.lstrip("\x00").lower().isalpha():
+            return [*lead, core, ("" if self.loose else "\x00") + unit[len(core) :]]
+        return [*lead, unit]
+
     def _flush(self, group: list[tuple[int, list[str]]], out: list[bytes]) -> None:
         distinct: set[str] = set()
         for _, units in group:
             distinct.update(units)
-        fresh: list[str] = []
         large: list[str] = []
+        made: list[tuple[str, list[str]]] = []
+        fresh: set[str] = set()
         young, old = self.young, self.old
         for unit in distinct.difference(young):
             if unit in old:
                 young[unit] = old[unit]
-            elif len(unit) <= _UNIT_CHARS and SEPARATOR not in unit:
-                fresh.append(unit)
-            else:
+            elif len(unit) > _UNIT_CHARS or len(unit) < 2 or SPECIAL in unit:
                 large.append(unit)
-        self._learn(fresh)
+            else:
+                parts = self._parts(unit)
+                made.append((unit, parts))
+                fresh.update(parts)
+        fresh.difference_update(young)
+        for unit in [u for u in fresh if u in old]:
+            young[unit] = old[unit]
+            fresh.discard(unit)
+        self._learn(list(fresh))
+        for unit, parts in made:
+            young[unit] = young[parts[0]] if len(parts) == 1 else b"".join([young[x] for x in parts])
         if large:
             young.update(zip(large, self._direct([self._plain(u) for u in large]), strict=True))
         for i, units in group:
