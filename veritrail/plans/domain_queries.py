@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import text
-from veritrail.operators import identity, merge, queue, relational, research, resolution, temporal
+from veritrail.operators import evidence, identity, merge, queue, relational, research, resolution, segments, temporal
+
+from veritrail.plans.text_queries import _TYPE, SEG
 
 NOW = "2024-02-01 00:00:00"
 
@@ -235,6 +237,44 @@ def q_thresholds(spark, d):
     return li.select("l_orderkey", "l_linenumber", (F.col("amount") < 25000).alias("passes"), text.decimal_text(margin).alias("margin"))
 
 
+def q_contained_spans(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("text_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), (F.col("l_partkey") % 997).alias("start"), (F.col("l_partkey") % 997 + F.col("l_quantity").cast("int")).alias("end"))
+    out = evidence.contained_spans(li.where("end - start < 5"), li.where("end - start > 45"), "text_id")
+    return out.groupBy("text_id").agg(F.count(F.lit(1)).alias("contained"), F.countDistinct("inner_id").alias("mentions"))
+
+
+def q_anchor_context(spark, d):
+    """Context of each document's second segment among its neighbours of one type."""
+    typed = segments.classify(segments.segments(table(spark, d, "documents")))
+    anchors = typed.where("seq = 1").select("doc_id", F.col("seq").alias("anchor"))
+    return evidence.expand_anchor(typed, anchors, "segment_type", 4)
+
+
+def q_document_lifecycle(spark, d):
+    c = table(spark, d, "customer")
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum((F.col("o_orderpriority") == "1-URGENT").cast("long")).alias("manifestations"), F.sum((F.col("o_orderstatus") == "P").cast("long")).alias("bindings"), F.sum((F.col("o_totalprice") > 300_000).cast("long")).alias("evidence"), F.sum((F.col("o_totalprice") > 450_000).cast("long")).alias("invalid_evidence"), F.sum((F.col("o_totalprice") > 350_000).cast("long")).alias("primary_evidence"))
+    joined = c.select("c_custkey", (F.col("c_nationkey") % 3).alias("primary_keys")).join(orders, "c_custkey", "left").fillna(0)
+    return evidence.lifecycle(joined).groupBy("lifecycle").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_authority_states(spark, d):
+    li = table(spark, d, "lineitem")
+    signals = li.select(F.col("l_orderkey").alias("authority"), F.when(F.col("l_tax") > 0.03, F.when(F.col("l_returnflag") == "R", "guidance").otherwise("norm")).alias("function"), F.when(F.col("l_discount") > 0.02, F.col("l_linestatus")).alias("family"), F.when(F.col("l_quantity") > 10, F.lit("ISSUER")).alias("issuer"), (F.col("l_quantity") > 49).alias("review"))
+    return evidence.authority_state(signals, "authority")
+
+
+def q_doctor_report(spark, d):
+    docs, labels, pages = table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "pages")
+    checks = [
+        ("FK-LABEL", "ERROR", labels.join(docs, "doc_id", "left_anti"), "doc_id"),
+        ("LEN-001", "ERROR", docs.where(F.length("text") != F.col("n_chars")), "doc_id"),
+        ("DUP-TEXT", "WARN", docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id"),
+        ("PAGE-END", "WARN", pages.where(~F.col("html").endswith("</html>")), "page_id"),
+        ("PAGE-URL", "ERROR", pages.where(~F.col("url").rlike("^https?://")), "page_id"),
+    ]
+    return evidence.doctor_report(checks)
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _QUEUE = "que AS (SELECT 'https://h/' || event_id AS url, CASE WHEN event_id % 10 = 0 THEN 'index' ELSE 'document' END AS item_type, user_id % 4 AS depth, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' WHEN 'view' THEN 'done' ELSE 'pending' END AS status, CASE WHEN event_type <> 'signup' THEN ts + INTERVAL 7 DAY END AS due, ts AS first_seen, ts AS started, event_id % 12 AS attempts FROM events)"
@@ -282,4 +322,9 @@ ORACLES = {
     "answer_sessions": "WITH q AS (SELECT conv_id, text, CAST(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS question FROM conversations) SELECT conv_id, question, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM q GROUP BY 1, 2",
     "rolling_window": "WITH f AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type, props ORDER BY ts, event_id) = 1) SELECT event_type, count(*) AS frames, min(event_id) AS first_event FROM f WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1",
     "thresholds": r"WITH m AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount FROM lineitem) SELECT l_orderkey, l_linenumber, amount < 25000 AS passes, regexp_replace(regexp_replace(CAST(CAST(25000 - amount AS DECIMAL(18, 2)) AS VARCHAR), '([.][0-9]*?)0+$', '\1'), '[.]$', '') AS margin FROM m",
+    "contained_spans": "WITH s AS (SELECT l_suppkey AS text_id, l_orderkey * 10 + l_linenumber AS span_id, l_partkey % 997 AS a, l_partkey % 997 + CAST(l_quantity AS INT) AS b FROM lineitem) SELECT i.text_id, count(*) AS contained, count(DISTINCT i.span_id) AS mentions FROM s i JOIN s o ON i.text_id = o.text_id AND i.a >= o.a AND i.b <= o.b AND i.span_id <> o.span_id WHERE i.b - i.a < 5 AND o.b - o.a > 45 GROUP BY 1",
+    "anchor_context": f"WITH {SEG}, t AS (SELECT doc_id, seq, {_TYPE} AS k FROM seg), m AS (SELECT *, CASE WHEN k IS NOT DISTINCT FROM lag(k) OVER w THEN 0 ELSE 1 END AS b FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)), r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM m), n AS (SELECT r.doc_id, a.seq AS anchor, r.seq, r.seq > a.seq AS f, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.seq < a.seq, abs(r.seq - a.seq)) AS k, count(*) OVER (PARTITION BY r.doc_id) > 4 AS omitted FROM r JOIN r a ON r.doc_id = a.doc_id AND r.run = a.run WHERE a.seq = 1 AND r.seq <> 1) SELECT doc_id, CAST(anchor AS INT) AS anchor, CAST(seq AS INT) AS seq, CASE WHEN f THEN 'forward' ELSE 'back' END AS side, omitted FROM n WHERE k <= 4",
+    "document_lifecycle": "WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS m, count(*) FILTER (o_orderstatus = 'P') AS b, count(*) FILTER (o_totalprice > 300000) AS e, count(*) FILTER (o_totalprice > 450000) AS i, count(*) FILTER (o_totalprice > 350000) AS p FROM orders GROUP BY 1) SELECT CASE WHEN coalesce(m, 0) > 0 THEN 'retain_manifestation' WHEN coalesce(b, 0) > 0 THEN 'retain_active' WHEN c_nationkey % 3 <> 1 THEN 'retain_conflict' WHEN e > 0 AND (i > 0 OR p = 0) THEN 'retain_conflict' WHEN e > 0 THEN 'retain_provenance' ELSE 'stale' END AS lifecycle, count(*) AS n FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY 1",
+    "authority_states": "WITH s AS (SELECT l_orderkey AS authority, CASE WHEN l_tax > 0.03 THEN CASE WHEN l_returnflag = 'R' THEN 'guidance' ELSE 'norm' END END AS f, CASE WHEN l_discount > 0.02 THEN l_linestatus END AS fam, CASE WHEN l_quantity > 10 THEN 'ISSUER' END AS iss, l_quantity > 49 AS rev FROM lineitem) SELECT authority, CASE WHEN count(DISTINCT f) = 1 THEN min(f) ELSE 'unknown' END AS function, CASE WHEN count(DISTINCT iss) > 1 OR count(DISTINCT fam) > 1 OR count(DISTINCT f) > 1 OR bool_or(rev) THEN 'ambiguous' WHEN count(f) = 0 THEN 'unknown' WHEN count(iss) = 0 OR count(fam) = 0 THEN 'partial' ELSE 'resolved' END AS state FROM s GROUP BY 1",
+    "doctor_report": " UNION ALL ".join(f"SELECT '{c}' AS check_id, CASE WHEN count(*) > 0 THEN '{v}' ELSE 'OK' END AS severity, count(*) AS failures, CAST(min(CAST(k AS VARCHAR)) AS VARCHAR) AS first_failure FROM ({q})" for c, v, q in [("FK-LABEL", "ERROR", "SELECT doc_id AS k FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"), ("LEN-001", "ERROR", "SELECT doc_id AS k FROM documents WHERE length(text) <> n_chars"), ("DUP-TEXT", "WARN", "SELECT min(doc_id) AS k FROM documents GROUP BY text HAVING count(*) > 1"), ("PAGE-END", "WARN", "SELECT page_id AS k FROM pages WHERE NOT ends_with(html, '</html>')"), ("PAGE-URL", "ERROR", "SELECT page_id AS k FROM pages WHERE NOT regexp_matches(url, '^https?://')")]),
 }
