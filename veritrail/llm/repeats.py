@@ -167,10 +167,12 @@ def settle(items: DataFrame, name: str) -> DataFrame:
     is one item of each whole that does.  ``whole1`` is null for an item that
     can't be compared whole.
     """
+    # Counts are written before they are joined, so that the join's sides are plain exchanges, whose hot keys adaptive execution splits.
     parts = items.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count("whole1").alias("n_whole"), F.min("whole1").alias("low"), F.max("whole1").alias("high")).where("n > 1").select("part", ((F.col("n_whole") < F.col("n")) | (F.col("low") != F.col("high"))).alias("mixed"))
-    shared = materialize(items.join(parts, "part"), name)
+    shared = materialize(items.join(materialize(parts, f"{name}-parts"), "part"), name)
     place = F.struct(*_ID, "trigger", "first")
     wholes = shared.where(F.col("whole1").isNotNull()).groupBy("whole1", "whole2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1")
+    wholes = materialize(wholes, f"{name}-wholes")
     out = shared.join(wholes, ["whole1", "whole2"], "left").withColumn("repeats", F.col("n").isNotNull())
     return out.withColumn("open", F.col("mixed") & (~F.col("repeats") | (F.col("head") == place))).select(*_ID, "trigger", "first", "last", "repeats", "open")
 
