@@ -53,12 +53,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words; emptied when it holds a million."""
+    """64-bit hashes of words; emptied when it holds 200,000."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -83,8 +83,8 @@ def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     low = np.full(len(seeds), 0xFFFFFFFF, dtype=np.uint32)
     x = (shingles >> _U(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(x), 8_192):
-            y = x[None, at : at + 8_192] ^ seeds[:, None]
+        for at in range(0, len(x), 4_096):
+            y = x[None, at : at + 4_096] ^ seeds[:, None]
             y *= np.uint32(0x85EBCA6B)
             y ^= y >> np.uint32(13)
             y *= np.uint32(0xC2B2AE35)
@@ -105,15 +105,17 @@ def sign(docs: DataFrame) -> DataFrame:
         import xxhash
 
         memo, seeds = _WordHashes(), _seeds()
-        for batch in batches:
-            sizes, hashes, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, memo)
-                sizes.append(len(s))
-                hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sigs.append(signature(s, seeds).tobytes() if len(s) else b"")
-            h1, h2 = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sizes, hashes, sigs = [], [], []
+                for text in batch.column(1).to_pylist():
+                    s = shingle_set(text, memo)
+                    sizes.append(len(s))
+                    hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sigs.append(signature(s, seeds).tobytes() if len(s) else b"")
+                h1, h2 = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNED)
 
@@ -124,8 +126,8 @@ def member_sets(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seeds = _WordHashes(), _seeds()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 found = [shingle_set(text, memo) for text in part.column(4).to_pylist()]
                 sigs = [signature(s, seeds).tobytes() for s in found]
                 sets = [np.ascontiguousarray((s >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for s in found]
