@@ -33,31 +33,34 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import fresh_path
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW = 8
 _TOKENIZED = "doc_id long, n_tokens long, chunks array<struct<digest: binary, n_ids: int, ids: binary>>"
 
 
-def chunk_ends(ids: np.ndarray, mean: int, longest: int) -> list[int]:
-    """Where to cut an id stream: after each position whose rolling hash over ``_WINDOW`` ids is 0 modulo ``mean``, and at ``longest`` ids at most."""
-    n = len(ids)
-    if not n:
-        return []
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MULT
-    rolled = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for back in range(min(_WINDOW, n)):
-            rolled[back:] += mixed[: n - back] * np.uint64(2 * back + 1) ** np.uint64(3)
-    cuts = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(mean) == 0) + 1
-    ends, last = [], 0
-    for cut in [*cuts.tolist(), n]:
+def chunk_ends(ids: np.ndarray, ends: np.ndarray, mean: int, longest: int) -> list[int]:
+    """Where to cut documents laid end to end in ``ids``, each ending at one of ``ends``.
+
+    After each id at which the rolling hash over the last ``_WINDOW`` ids of
+    its document is among the lowest of ``mean``, at ``longest`` ids at most, and at the
+    documents' ends.
+    """
+    rolled = (ids + np.uint32(1)) * np.uint32(0x9E3779B1)
+    for width, factor in ((1, 0x85EBCA6B), (2, 0xC2B2AE35), (4, 0x27D4EB2F)):  # up to ``_WINDOW`` ids
+        older = rolled[:-width] * np.uint32(factor)
+        rolled[width:] = rolled[width:] * np.uint32(0x2C1B3C6D) + older
+    trigger = np.flatnonzero(rolled < np.uint32((1 << 32) // mean)) + 1
+    # A document's first ids have no whole window of their own.
+    starts = np.concatenate([[0], ends])
+    trigger = trigger[trigger - starts[np.searchsorted(starts, trigger - 1, side="right") - 1] >= _WINDOW]
+    out, last = [], 0
+    for cut in np.union1d(trigger, ends).tolist():
         while cut - last > longest:
             last += longest
-            ends.append(last)
+            out.append(last)
         if cut > last:
-            ends.append(cut)
+            out.append(cut)
             last = cut
-    return ends
+    return out
 
 
 def tokenize_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, mean_chunk: int, longest_chunk: int) -> DataFrame:
@@ -68,23 +71,20 @@ def tokenize_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, width: in
 
         enc = encoder(tokenizer_path)
         kind, tail = f"<u{width}", np.array([end_id], dtype="<u4").tobytes()
-        chunk_type = pa.list_(pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())]))
-        for batch in batches:
-            raw = enc.encode(batch.column(1).to_pylist())
-            digests, sizes, data, offsets, totals = [], [], [], [0], []
-            for one in raw:
-                ids = np.frombuffer(one + tail, dtype="<u4")
-                small, last = ids.astype(kind).tobytes(), 0
-                for end in chunk_ends(ids, mean_chunk, longest_chunk):
-                    piece = small[width * last : width * end]
-                    digests.append(hashlib.sha256(piece).digest())
-                    sizes.append(end - last)
-                    data.append(piece)
-                    last = end
-                totals.append(len(ids))
-                offsets.append(len(digests))
-            inner = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], fields=list(chunk_type.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner, type=chunk_type)], names=["doc_id", "n_tokens", "chunks"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                raw = enc.encode(batch.column(1).to_pylist())
+                ends = np.cumsum([len(one) // 4 + 1 for one in raw])
+                ids = np.frombuffer(b"".join([x for one in raw for x in (one, tail)]), dtype="<u4")
+                cuts = np.array([0, *chunk_ends(ids, ends, mean_chunk, longest_chunk)])
+                small = ids.astype(kind).tobytes()
+                bounds = (cuts * width).tolist()
+                data = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype("<i4").tobytes()), pa.py_buffer(small)])
+                digests = pa.array([hashlib.sha256(small[a:b]).digest() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                inner = pa.StructArray.from_arrays([digests, pa.array(np.diff(cuts).astype("<i4")), data], names=["digest", "n_ids", "ids"])
+                offsets = np.concatenate([[0], np.searchsorted(cuts, ends)]).astype("<i4")
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(ends, prepend=0).astype("<i8")), pa.ListArray.from_arrays(pa.array(offsets), inner)], names=["doc_id", "n_tokens", "chunks"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _TOKENIZED)
 
@@ -140,44 +140,48 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     roots.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).write.parquet(f"{path}/manifest")
 
 
-def _crc_powers() -> list[list[int]]:
-    """For each k, what appending 2**k zero bytes does to each bit of a CRC-32 (linear over bits)."""
-    one_bit = [0xEDB88320, *[1 << i for i in range(31)]]
+class CrcJoiner:
+    """CRC-32 of byte strings laid end to end, from their CRCs and lengths.
 
-    def apply(columns: list[int], x: int) -> int:
-        out, i = 0, 0
-        while x:
-            if x & 1:
-                out ^= columns[i]
-            x >>= 1
-            i += 1
-        return out
+    Appending zero bytes is linear over a CRC's bits, so it is four look-ups,
+    a byte each, for every power of two of ids (four bytes) appended.
+    """
 
-    columns = one_bit
-    for _ in range(3):  # 1 bit, 2, 4, 8 bits
-        columns = [apply(columns, c) for c in columns]
-    powers = [columns]
-    for _ in range(40):
-        columns = [apply(columns, c) for c in columns]
-        powers.append(columns)
-    return powers
-
-
-def crc_join(crc: int, next_crc: int, next_bytes: int, powers: list[list[int]]) -> int:
-    """CRC-32 of two byte strings laid end to end, from their CRCs and the second's length."""
-    k = 0
-    while next_bytes:
-        if next_bytes & 1:
-            out, i, columns = 0, 0, powers[k]
-            while crc:
-                if crc & 1:
-                    out ^= columns[i]
-                crc >>= 1
-                i += 1
-            crc = out
-        next_bytes >>= 1
-        k += 1
-    return crc ^ next_crc
+    def __init__(self) -> None:
+        bits = np.array([0xEDB88320, *[1 << i for i in range(31)]], dtype=np.uint32)
+        for _ in range(5):  # 1 bit, then twice as many: up to 32 bits, one id
+            bits = self._apply(self._table(bits), bits)
+        self.tables = []
+        for _ in range(40):
+            self.tables.append(self._table(bits))
+            bits = self._apply(self.tables[-1], bits)
+
+    @staticmethod
+    def _table(bits: np.ndarray) -> np.ndarray:
+        table = np.zeros((4, 256), dtype=np.uint32)
+        for byte in range(4):
+            for i in range(8):
+                table[byte, 1 << i : 2 << i] = table[byte, : 1 << i] ^ bits[8 * byte + i]
+        return table
+
+    @staticmethod
+    def _apply(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+        return table[0][crc & 255] ^ table[1][(crc >> 8) & 255] ^ table[2][(crc >> 16) & 255] ^ table[3][crc >> 24]
+
+    def join(self, crcs: np.ndarray, n_ids: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """CRC of each owner's parts in order; parts of one owner stand together."""
+        crcs = crcs.astype(np.uint32)
+        total = np.concatenate([[0], np.cumsum(n_ids)])
+        first = np.searchsorted(owner, np.arange(owners))
+        last = np.searchsorted(owner, np.arange(owners), side="right")
+        after = np.repeat(total[last], last - first) - total[1:]  # ids behind each part
+        for k, table in enumerate(self.tables):
+            if not (after >> k).any():
+                break
+            crcs = np.where((after >> k) & 1 == 1, self._apply(table, crcs), crcs)
+        out = np.zeros(owners, dtype=np.uint32)
+        np.bitwise_xor.at(out, owner, crcs)
+        return out
 
 
 def _chunk_sums(chunks: DataFrame, width: int) -> DataFrame:
@@ -240,19 +244,17 @@ def read_digests(spark: SparkSession, path: str, vocab_size: int = 50_257) -> Da
     width = 2 if vocab_size <= 65_536 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _crc_powers()
+        joiner = CrcJoiner()
         for batch in batches:
-            crcs, totals = [], []
-            for parts in batch.column(3).to_pylist():
-                crc = total = 0
-                for p in parts:
-                    if p["crc"] is None:
-                        raise ValueError("token store: a recipe names a chunk that is not stored")
-                    crc = crc_join(crc, p["crc"], 4 * p["n_ids"], powers)
-                    total += p["n_ids"]
-                crcs.append(crc)
-                totals.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64()), pa.array([len(p) for p in batch.column(3)], pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
+            lists = batch.column(3)
+            flat, sizes = lists.flatten(), np.array([len(p) for p in lists])
+            if flat.field("crc").null_count:
+                raise ValueError("token store: a recipe names a chunk that is not stored")
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            n_ids = flat.field("n_ids").to_numpy(zero_copy_only=False)
+            crcs = joiner.join(flat.field("crc").to_numpy(zero_copy_only=False), n_ids, owner, len(sizes)).astype(np.int64)
+            totals = np.bincount(owner, weights=n_ids, minlength=len(sizes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals), pa.array(crcs), pa.array(sizes.astype(np.int32))], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
 
     recipes = read_recipes(spark, path).select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("pos", "digest"))
     joined = recipes.join(_chunk_sums(spark.read.parquet(f"{path}/chunks"), width), "digest", "left")
