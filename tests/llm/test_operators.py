@@ -317,7 +317,11 @@ def test_mixing(docs, rows, nothing):
     assert all(abs(taken[s] - want[s]) < 1.001 for s in sizes)
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
     assert mixing.mix(nothing).count() == 0
-    copies = mixing.training_order(mixing.mix(docs)).collect()
+    copies = mixing.training_order(docs).collect()
+    expected = Counter({r.doc_id: 0 for r in got})
+    for r in got:
+        expected[r.doc_id] += sum(r.mix_size > 0 and e * r.mix_source_size + r.mix_before + r.mix_size / 2 <= r.mix_target for e in (0, 1))
+    assert Counter(r.doc_id for r in copies) == +expected
     assert [r.mix_position for r in copies] == sorted(r.mix_position for r in copies) and all(0 <= r.mix_position <= 1 for r in copies)
 
 
