@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, and one row of each doc_id; rows without doc_id link nothing and stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
+    """One document of each near-duplicate group (similarity 0.8 or more), and one row of each doc_id; rows without doc_id link nothing and stay."""
+    kept = near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept").select("doc_id").distinct()
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 

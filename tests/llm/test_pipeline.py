@@ -39,3 +39,27 @@ def test_quality_query_matches_sql(spark):
     theirs = con.sql(catalog.ORACLES["op1_line_quality"]).df().sort_values("doc_id").reset_index(drop=True)
     ours = catalog.QUERIES["op1_line_quality"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)[list(theirs.columns)]
     assert (ours == theirs).all().all()
+
+
+def test_near_dup_stage_takes_pairs_from_080(spark):
+    docs, likeness = [], []
+    for i in range(12):
+        words = [f"w{i}x{k}" for k in range(304)]
+        changed = [f"c{i}" if k % 40 == 20 and k < 40 * (6 + i % 2) else w for k, w in enumerate(words)]
+        a, b = ({tuple(x[k : k + 5]) for k in range(300)} for x in (words, changed))
+        likeness.append(len(a & b) / len(a | b))
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    assert all(0.79 < x < 0.85 for x in likeness) and min(likeness) < 0.8 < max(likeness)
+    out = corpus_pipeline.near_dup(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in out.collect()} == {2 * i for i in range(12)} | {2 * i + 1 for i, x in enumerate(likeness) if x < 0.8}
+
+
+def test_signature_distance_follows_the_similarity():
+    from math import comb
+
+    from veritrail.llm import near_dup
+
+    for percent in (80, 85, 90):
+        d = near_dup.distance_for(percent)
+        missed = sum(comb(near_dup.SYMBOLS, k) * (1 - percent / 100) ** k * (percent / 100) ** (near_dup.SYMBOLS - k) for k in range(d + 1, near_dup.SYMBOLS + 1))
+        assert missed <= 1e-4 and 2 * (len(near_dup.cuts_for(d)) - 1) > d

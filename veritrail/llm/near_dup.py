@@ -3,8 +3,8 @@
 A document's set is that of its distinct 5-word shingles.  Its signature has
 ``SYMBOLS`` symbols of 16 bits, each the hash of a minimum; two signatures'
 distance is the number of differing symbols.  Signatures are cut into chunks;
-by the pigeonhole principle, two within distance ``DISTANCE`` agree on some
-chunk up to one symbol, so each chunk is indexed once with each symbol left
+by the pigeonhole principle, two within the distance allowed (see
+``distance_for``; ``DISTANCE`` at 85 percent) agree on some chunk up to one symbol, so each chunk is indexed once with each symbol left
 out, and all pairs within the distance share a key.  Documents that share keys
 form families; inside a family, pairs within the distance are confirmed on the
 full sets.
@@ -34,13 +34,33 @@ from veritrail.llm.components import components
 
 SHINGLE = 5
 SYMBOLS = 64
-#: At similarity 0.85, 9.6 of 64 symbols differ on average, with deviation 2.9: 21 leaves out fewer than 1 pair in 10,000 at the threshold, and fewer above.
-DISTANCE = 21
-#: Chunks that may each hide one error: more than half the distance.
-CHUNKS = DISTANCE // 2 + 1
+#: The share of pairs exactly at the threshold that may be farther apart than the distance allows.
+MISSED = 1e-4
 BLOCK = 1_024
 _U = np.uint64
-_CUTS = [round(i * SYMBOLS / CHUNKS) for i in range(CHUNKS + 1)]
+
+
+def distance_for(percent: int) -> int:
+    """The least distance that leaves out at most ``MISSED`` of the pairs at ``percent`` similarity, and fewer above."""
+    from math import comb
+
+    alike = percent / 100
+    beyond = 1.0
+    for d in range(SYMBOLS):
+        beyond -= comb(SYMBOLS, d) * (1 - alike) ** d * alike ** (SYMBOLS - d)
+        if beyond <= MISSED:
+            return d
+    return SYMBOLS
+
+
+def cuts_for(distance: int) -> list[int]:
+    """Edges of the chunks that may each hide one error: more than half the distance."""
+    chunks = distance // 2 + 1
+    return [round(i * SYMBOLS / chunks) for i in range(chunks + 1)]
+
+
+DISTANCE = distance_for(85)
+_CUTS = cuts_for(DISTANCE)
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 _MEMBERS = "family long, blocks int, side int, doc_id long, sig binary, shingles binary"
 
@@ -136,8 +156,9 @@ def member_sets(members: DataFrame) -> DataFrame:
     return members.select("family", "blocks", "side", "doc_id", "text").mapInArrow(run, _MEMBERS)
 
 
-def chunk_keys(signed: DataFrame) -> DataFrame:
+def chunk_keys(signed: DataFrame, distance: int) -> DataFrame:
     """(key, doc_id): each chunk of the signature with each of its symbols left out in turn."""
+    cuts = cuts_for(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = _mix(np.arange(SYMBOLS, dtype=np.uint64) + _U(7))
@@ -148,7 +169,7 @@ def chunk_keys(signed: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     each = _mix(sig.astype(np.uint64) * _U(0x100000001B3) + place)
                     keys = np.empty_like(each)
-                    for a, b in zip(_CUTS, _CUTS[1:], strict=False):
+                    for a, b in zip(cuts, cuts[1:], strict=False):
                         keys[:, a:b] = each[:, a:b].sum(axis=1, dtype=np.uint64)[:, None] - each[:, a:b]
                     keys = _mix(keys + place)
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
@@ -162,7 +183,7 @@ def _decode(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.pad(six, ((0, 0), (0, 2)))).view("<u8").ravel()
 
 
-def _family_links(ids: list[int], sides: list[int], sigs: np.ndarray, sets: list[bytes], percent: int, cross: bool) -> list[tuple[int, int]]:
+def _family_links(ids: list[int], sides: list[int], sigs: np.ndarray, sets: list[bytes], percent: int, distance: int, cross: bool) -> list[tuple[int, int]]:
     """Confirmed links that join the documents; ``cross``: only pairs of both sides.  Nearest signatures first; pairs already joined are skipped."""
     parent = list(range(len(ids)))
 
@@ -176,7 +197,7 @@ def _family_links(ids: list[int], sides: list[int], sigs: np.ndarray, sets: list
     side = np.array(sides)
     for u in range(len(ids) - 1):
         away = (sigs[u + 1 :] != sigs[u]).sum(axis=1)
-        good = away <= DISTANCE
+        good = away <= distance
         if cross:
             good &= side[u + 1 :] != side[u]
         v = np.flatnonzero(good)
@@ -207,6 +228,7 @@ def _family_links(ids: list[int], sides: list[int], sigs: np.ndarray, sets: list
 
 def confirm(families: DataFrame, percent: int) -> DataFrame:
     """(a, b) links from rows (family, lo, hi, side, doc_id, sig, shingles) sorted and dealt by (family, lo, hi)."""
+    distance = distance_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,7 +236,7 @@ def confirm(families: DataFrame, percent: int) -> DataFrame:
         def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
             sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype="<u2").reshape(-1, SYMBOLS)
-            found = _family_links(rows.column("doc_id").to_pylist(), rows.column("side").to_pylist(), sigs, rows.column("shingles").to_pylist(), percent, lo != hi)
+            found = _family_links(rows.column("doc_id").to_pylist(), rows.column("side").to_pylist(), sigs, rows.column("shingles").to_pylist(), percent, distance, lo != hi)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -245,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = materialize(signed.where(linkable).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     heads = signed.where(linkable).join(classes, ["h1", "h2"]).where(F.col("doc_id") == F.col("rep"))
-    keys = chunk_keys(heads.select("doc_id", "sig"))
+    keys = chunk_keys(heads.select("doc_id", "sig"), distance_for(percent))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("key", "lo")
     shared = materialize(shared, "shared-keys")
     touching = keys.join(shared, "key").where(F.col("doc_id") != F.col("lo")).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
