@@ -246,6 +246,32 @@ def test_packing_plans_use_every_piece_and_few_sequences():
         assert sum(n for _, n in plan) <= best + 1
 
 
+def test_packing_reduction_saves_sequences():
+    pieces = Counter([4, 4, 5, 6, 9, 12])  # longest pieces with the longest that fit: (12, 6), (9, 5, 4), (4)
+    fixed, rest = packing._reduce(dict(pieces), 20)
+    assert fixed == [((9, 6, 5), 1), ((4, 12, 4), 1)] and not rest
+    assert sum(n for _, n in packing.plan_patterns(dict(pieces), 20)) == 2
+    assert sum(n for _, n in packing._best_fit(dict(pieces), 20)) == 3
+    assert packing._reduce({1: 30, 5: 1}, 20) == ([], {1: 30, 5: 1})
+
+
+def test_packing_best_fit_takes_the_tightest_sequence():
+    assert sorted(packing._best_fit({8: 1, 7: 1, 6: 1, 3: 1, 2: 1}, 10)) == [((6,), 1), ((7, 3), 1), ((8, 2), 1)]
+    rng = random.Random(8)
+    for _ in range(200):
+        pieces = [rng.randrange(1, 31) for _ in range(rng.randrange(1, 40))]
+        want: list[tuple[int, ...]] = []
+        for x in sorted(pieces, reverse=True):
+            fits = [k for k, b in enumerate(want) if sum(b) + x <= 30]
+            if fits:
+                k = max(fits, key=lambda k: sum(want[k]))
+                want[k] += (x,)
+            else:
+                want.append((x,))
+        got = packing._best_fit(dict(Counter(pieces)), 30)
+        assert Counter(x for p, n in got for x in p * n) == Counter(pieces) and sum(n for _, n in got) == len(want)
+
+
 def test_html_extraction():
     tree = html_text.trained_tree()
     assert all(html_text.is_article(x, tree) == bool(y) for x, y in html_text.labelled_table())

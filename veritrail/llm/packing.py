@@ -4,8 +4,8 @@ A sequence holds at most ``capacity`` tokens.  Pieces of one length are alike,
 so the whole packing is a plan over at most ``capacity`` lengths and their
 counts: the driver works on that bounded histogram, never on pieces, and plans
 *patterns* (a multiset of lengths that share a sequence, and how many such
-sequences).  Reduction fixes sets that dominate every other use of their
-longest piece; best fit places the rest.  Spark then numbers the pieces of
+sequences).  Reduction fixes sets that dominate every other use of one of
+their pieces; best-fit decreasing places the rest.  Spark then numbers the pieces of
 each length and each takes its place in the plan.
 
 Defined results: a null or empty text is one piece with just the end id.  A
@@ -16,6 +16,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,75 +53,130 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)
 
 
-class Lengths:
-    """Counts by length, with the nearest length at or below a bound that still has pieces, in near-constant time."""
+def _reduce(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Martello and Toth's reduction: the sets that it fixes, and the counts that it leaves undecided.
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.count = [0] * (capacity + 1)
-        for length, n in counts.items():
-            self.count[length] = n
-        self.below = list(range(capacity + 1))  # union-find towards shorter lengths
-
-    def at_most(self, bound: int) -> int:
-        """The longest length <= bound with a piece left, or 0."""
-        i = bound
-        path = []
-        while i > 0 and not self.count[i]:
-            path.append(i)
-            i = self.below[i] if self.below[i] != i else i - 1
-        for p in path:
-            self.below[p] = i
-        return i
-
-    def take(self, length: int, n: int) -> None:
-        self.count[length] -= n
-
-
-def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences) that use every piece once.
-
-    Longest first.  Dominance fixes, for the longest remaining piece: alone,
-    when nothing fits beside it; with the piece that fills the sequence
-    exactly, when there is one; with the longest piece that fits, when no two
-    remaining pieces fit together beside it.  Any other packing can exchange
-    into these without using more sequences.  Where none holds, best fit adds
-    the longest piece that fits until the sequence is full.  Each step is
-    repeated as often as its lengths' counts allow, at once.
+    A set that holds a piece and dominates all feasible sets with that piece
+    stands in some best packing.  Sets of up to three pieces are looked at, for
+    every length, the longest first, until a pass fixes nothing.  What holds
+    for one piece holds for the next of its length while the set's other
+    pieces last, so each set is taken as often as counts allow.
     """
-    left = Lengths(counts, capacity)
-    present = sorted(counts)
-    low = 0
+    left = dict(counts)
     plan: list[tuple[tuple[int, ...], int]] = []
-    length = left.at_most(capacity)
-    while length:
-        while low < len(present) and not left.count[present[low]]:
+    fixed = True
+    while fixed:
+        fixed = False
+        lengths = sorted(x for x, n in left.items() if n)
+        for length in reversed(lengths):
+            while left[length]:
+                left[length] -= 1
+                others = _dominant(left, lengths, capacity - length)
+                left[length] += 1
+                if others is None:
+                    break
+                need = Counter((length, *others))
+                times = min(left[x] // n for x, n in need.items())
+                for x, n in need.items():
+                    left[x] -= n * times
+                plan.append(((length, *others), times))
+                fixed = True
+    return plan, {x: n for x, n in left.items() if n}
+
+
+def _longest(left: dict[int, int], lengths: list[int], bound: int) -> int:
+    """The longest length <= bound with a piece left, or 0."""
+    i = bisect_right(lengths, bound) - 1
+    while i >= 0 and not left[lengths[i]]:
+        i -= 1
+    return lengths[i] if i >= 0 else 0
+
+
+def _smallest(left: dict[int, int], lengths: list[int], above: int, n: int) -> list[int]:
+    """The ``n`` smallest pieces longer than ``above``, or as many as there are."""
+    out: list[int] = []
+    for i in range(bisect_right(lengths, above), len(lengths)):
+        out += [lengths[i]] * min(n - len(out), left[lengths[i]])
+        if len(out) == n:
+            break
+    return out
+
+
+def _dominant(left: dict[int, int], lengths: list[int], room: int) -> tuple[int, ...] | None:
+    """What to put beside a piece that leaves ``room``, where that dominates all else; None where undecided."""
+    small = _smallest(left, lengths, 0, 3)
+    if not small or small[0] > room:
+        return ()
+    partner = _longest(left, lengths, room)
+    if partner == room or len(small) < 2 or small[0] + small[1] > room:
+        return (partner,)
+    if len(small) == 3 and sum(small) <= room:
+        return None
+    # Two more fit, and never three: the pair of the largest sum.
+    best, low, high = 0, 0, bisect_right(lengths, room) - 1
+    while low <= high:
+        a, b = lengths[low], lengths[high]
+        if a + b > room or not left[b]:
+            high -= 1
+        elif not left[a] or (a == b and left[a] < 2):
             low += 1
-        smallest = present[low]
-        second = smallest if left.count[smallest] > 1 else next((x for x in present[low + 1 :] if left.count[x]), capacity + 1)
-        room = capacity - length
-        pattern = [length]
-        left.take(length, 1)
-        partner = left.at_most(room) if room else 0
-        if partner == room or (partner and smallest + second > room):
-            if partner:
-                pattern.append(partner)
-                left.take(partner, 1)
         else:
-            while partner:
-                pattern.append(partner)
-                left.take(partner, 1)
-                room -= partner
-                partner = left.at_most(room) if room else 0
-        need: dict[int, int] = {}
-        for x in pattern:
-            need[x] = need.get(x, 0) + 1
-        times = 1 + min(left.count[x] // n for x, n in need.items())
-        if times > 1:
-            for x, n in need.items():
-                left.take(x, n * (times - 1))
-        plan.append((tuple(pattern), times))
-        length = left.at_most(length)
-    return plan
+            best = max(best, a + b)
+            low += 1
+    if best <= partner:
+        return (partner,)
+    left[partner] -= 1
+    second = _longest(left, lengths, room - partner)
+    left[partner] += 1
+    if not second or partner + second < best:
+        return None
+    # No pair may have both pieces longer than the second: else neither set dominates the other.
+    longer = _smallest(left, lengths, second, 2)
+    return (partner, second) if len(longer) < 2 or sum(longer) > room else None
+
+
+def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing: each piece goes to the open sequence with the least room that holds it, or opens one.
+
+    Sequences of like room are filled in groups.  A sequence that took a piece
+    is the tightest for the next of its length, so it takes as many as fit.
+    """
+    opened: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room: (pattern, how many)
+    rooms: list[int] = []
+
+    def put(pattern: tuple[int, ...], times: int, room: int) -> None:
+        if times:
+            if room not in opened:
+                opened[room] = []
+                insort(rooms, room)
+            opened[room].append((pattern, times))
+
+    for length in sorted(counts, reverse=True):
+        n = counts[length]
+        while n:
+            at = bisect_left(rooms, length)
+            room = rooms[at] if at < len(rooms) else capacity
+            each = room // length
+            if at < len(rooms):
+                pattern, times = opened[room].pop()
+                if not opened[room]:
+                    del opened[room], rooms[at]
+            else:
+                pattern, times = (), -(-n // each)
+            full = min(times, n // each)
+            put(pattern + (length,) * each, full, room - each * length)
+            n -= full * each
+            if full < times:
+                put(pattern + (length,) * n, 1, room - n * length) if n else None
+                put(pattern, times - full - (n > 0), room)
+                n = 0
+    return [group for room in rooms for group in opened[room]]
+
+
+def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, how many sequences) that use every piece once: the sets that reduction fixes, and best-fit decreasing for the rest."""
+    plan, rest = _reduce({x: n for x, n in counts.items() if n}, capacity)
+    return plan + _best_fit(rest, capacity)
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
