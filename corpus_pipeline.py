@@ -33,8 +33,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that repeat anywhere, and n_chars to match; documents left without a word go."""
-    cut = remove_repeats(docs, with_text=True).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    """Texts without passages of 400 bytes or of over 50 words that repeat anywhere, and n_chars to match; documents left without a word go."""
+    cut = remove_repeats(docs, with_text=True, words=51).where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
     out = cut.select(*[columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -120,6 +120,35 @@ def test_repeats_across_segments(spark, monkeypatch):
             assert ((found[0] >= found[2]) & (found[0] <= found[1] + 400 - repeats.GRAM)).all()
 
 
+def test_repeated_words_against_brute_force(spark, docs, rows):
+    rng = random.Random(11)
+    short = [" ".join(rng.choices(["a", "of", "it", "we", "é", "on"], k=n)) for n in (51, 50, 70)]
+    more = [(100 + 3 * k + j, f"{prose(rng, 40)}\t{x}\n\n{prose(rng, 25)}") for k, x in enumerate(short) for j in range(3)]
+    texts = [(i, t or "") for i, t, *_ in rows] + more + [(200, f"x{short[0]}"), (201, "b " * 120)]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for _, t in texts]
+    words = [t.encode().split() for _, t in texts]
+    seen_words = Counter(tuple(w[k : k + 51]) for w in words for k in range(len(w) - 50))
+    seen = Counter(t.encode()[k : k + 400] for _, t in texts for k in range(len(t.encode()) - 399))
+    want, added = Counter(), set()
+    for (i, t), at, w in zip(texts, places, words, strict=True):
+        b = t.encode()
+        mask = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                mask[k : k + 400] = True
+        before = mask.sum()
+        for k in range(len(w) - 50):
+            if seen_words[tuple(w[k : k + 51])] > 1:
+                mask[at[k][0] : at[k + 50][1]] = True
+        if mask.sum() > before:
+            added.add(i)
+        want[(i, int(mask.sum()), bytes(np.frombuffer(b, np.uint8)[~mask]).decode("utf-8", "ignore"))] += 1
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(more + texts[-2:], "doc_id long, text string"))
+    got = repeats.remove_repeats(frame, with_text=True, words=51).collect()
+    assert Counter((r.doc_id, r.n_removed, r.kept_text) for r in got) == want
+    assert {100, 101, 102, 106, 107, 108, 201} <= added and not added & {103, 104, 105, 200}
+
+
 def test_near_duplicates_against_brute_force(docs, rows, nothing):
     sets = {}
     for i, text, *_ in rows:

@@ -27,6 +27,10 @@ hashes of 128 bits with map-side counts:
 Groups are only ever counted, never gathered.  Texts longer than ``SEGMENT``
 are parsed in segments, which may split a phrase but changes no result.
 
+``remove_repeats`` with ``words`` also takes every passage of that many words,
+however few bytes they are: the same search over the texts' words, each as a
+code of ``CODE`` bytes, adds its spans to those over the bytes.
+
 Defined results: a null or empty text has 0 bytes and the hash of nothing.
 Texts under ``WIDTH`` bytes keep everything.  Repeated rows (also of one
 doc_id) repeat each other.  A null doc_id is kept.  An empty table gives no
@@ -38,8 +42,10 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,8 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import materialize
 
 WIDTH, GRAM, CELL, SEGMENT = 400, 64, 16, 1 << 19
+#: Bytes of a word's code.  Windows that start inside a code are equal only if the words about its ends are, or by a clash of 64 bits, so spans are narrowed to whole words.
+CODE = 8
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -61,11 +69,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class _WordCodes(dict):
+    """64-bit codes of words; emptied when it holds 200,000."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 200_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Windows of ``width`` bytes of texts or, with ``words``, of the codes of their words."""
+
+    width: int = WIDTH
+    words: bool = False
+
+    def data(self, raw: pa.Buffer, memo: dict) -> np.ndarray:
+        if not self.words:
+            return np.frombuffer(raw, dtype=np.uint8)
+        found = raw.to_pybytes().split()
+        return np.fromiter(map(memo.__getitem__, found), dtype="<u8", count=len(found)).view(np.uint8)
+
+
 class _Hasher:
     """Hashes of any stretch of a byte string, from prefix sums; all arithmetic is modulo 2**64."""
 
-    def __init__(self) -> None:
-        size = SEGMENT + 2 * WIDTH + 1
+    def __init__(self, width: int = WIDTH) -> None:
+        self.width = width
+        size = SEGMENT + 2 * width + 1
         self.byte = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA24BAED4963EE407))
         self.power, self.inverse = [], []
         for base in _BASES:
@@ -93,9 +128,9 @@ class _Hasher:
         return h
 
 
-def _triggers(grams: np.ndarray, windows: int) -> np.ndarray:
+def _triggers(grams: np.ndarray, windows: int, width_of_window: int) -> np.ndarray:
     """For each window start, the place of the least gram of the window, the first on ties."""
-    span = WIDTH - GRAM + 1
+    span = width_of_window - GRAM + 1
     low = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     width = 1
     while 2 * width <= span:
@@ -107,16 +142,17 @@ def _triggers(grams: np.ndarray, windows: int) -> np.ndarray:
 
 def _phrases(data: np.ndarray, hasher: _Hasher) -> Iterator[tuple[np.ndarray, ...]]:
     """(trigger, first, last, gram hash, phrase hashes) of the phrases, by segment."""
-    for base in range(0, max(0, len(data) - WIDTH + 1), SEGMENT):
-        part = data[base : base + SEGMENT + WIDTH - 1]
-        windows = len(part) - WIDTH + 1
+    width = hasher.width
+    for base in range(0, max(0, len(data) - width + 1), SEGMENT):
+        part = data[base : base + SEGMENT + width - 1]
+        windows = len(part) - width + 1
         grams = hasher.grams(part)
-        at = _triggers(grams, windows)
+        at = _triggers(grams, windows, width)
         cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
         first = np.concatenate([[0], cuts])
         last = np.concatenate([cuts - 1, [windows - 1]])
         trigger = at[first]
-        h1, h2 = hasher.stretch(hasher.prefix(part), first, last + WIDTH, trigger - first)
+        h1, h2 = hasher.stretch(hasher.prefix(part), first, last + width, trigger - first)
         yield trigger + base, first + base, last + base, grams[trigger], h1, h2
 
 
@@ -131,11 +167,11 @@ def _batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
-def parse(base: DataFrame) -> DataFrame:
+def parse(base: DataFrame, kind: Windows) -> DataFrame:
     """Every phrase occurrence of ``base`` (rid1, rid2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
+        hasher, memo = _Hasher(kind.width), _WordCodes()
         with np.errstate(over="ignore"):
             for batch in batches:
                 rows: list[tuple[np.ndarray, ...]] = []
@@ -143,9 +179,10 @@ def parse(base: DataFrame) -> DataFrame:
                 texts = batch.column(2).cast(pa.binary())
                 for i in range(batch.num_rows):
                     raw = texts[i].as_buffer()
-                    if raw is None or len(raw) < WIDTH:
+                    data = None if raw is None else kind.data(raw, memo)
+                    if data is None or len(data) < kind.width:
                         continue
-                    for found in _phrases(np.frombuffer(raw, dtype=np.uint8), hasher):
+                    for found in _phrases(data, hasher):
                         n = len(found[0])
                         ids = [np.full(n, batch.column(k)[i].as_py(), dtype=np.int64) for k in (0, 1)]
                         rows.append((*ids, *found))
@@ -183,30 +220,30 @@ def _per_text(found: DataFrame, base: DataFrame, columns: list[str]) -> DataFram
     return base.select(*_ID, "text").join(lists, _ID).select(*_ID, "text", "items")
 
 
-def _within(items: list[dict], data: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+def _within(items: list[dict], data: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """Items (trigger, first, last) in groups that lie within one segment, with its start and bytes."""
     rows = np.array(sorted((x["first"], x["last"], x["trigger"]) for x in items), dtype=np.int64)
     at = 0
     while at < len(rows):
         start = rows[at, 0]
-        end = at + int(np.searchsorted(rows[at:, 0], start + SEGMENT - WIDTH))
+        end = at + int(np.searchsorted(rows[at:, 0], start + SEGMENT - width))
         group = rows[at:end]
-        yield group, int(start), data[start : int(group[:, 1].max()) + WIDTH]
+        yield group, int(start), data[start : int(group[:, 1].max()) + width]
         at = end
 
 
-def cells(open_items: DataFrame, base: DataFrame) -> DataFrame:
+def cells(open_items: DataFrame, base: DataFrame, kind: Windows) -> DataFrame:
     """Cells of open phrases, as items: ``part`` hashes the bytes common to the cell's windows, ``whole`` their union (null unless the phrase has all of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
+        hasher, memo = _Hasher(kind.width), _WordCodes()
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = batch.column(2).cast(pa.binary())
                 for i in range(batch.num_rows):
-                    data = np.frombuffer(texts[i].as_buffer(), dtype=np.uint8)
+                    data = kind.data(texts[i].as_buffer(), memo)
                     rows = []
-                    for group, start, part in _within(batch.column(3)[i].as_py(), data):
+                    for group, start, part in _within(batch.column(3)[i].as_py(), data, kind.width):
                         first, last, trigger = (group - start).T
                         low, high = (trigger - last) // CELL, (trigger - first) // CELL
                         n = high - low + 1
@@ -216,8 +253,8 @@ def cells(open_items: DataFrame, base: DataFrame) -> DataFrame:
                         full_first, full_last = t - CELL * cell - CELL + 1, t - CELL * cell
                         own_first, own_last = np.maximum(full_first, first[which]), np.minimum(full_last, last[which])
                         prefix = hasher.prefix(part)
-                        shared = hasher.stretch(prefix, full_last, full_first + WIDTH, cell + 1)[0]
-                        w1, w2 = hasher.stretch(prefix, own_first, own_last + WIDTH, cell + 1)
+                        shared = hasher.stretch(prefix, full_last, full_first + kind.width, cell + 1)[0]
+                        w1, w2 = hasher.stretch(prefix, own_first, own_last + kind.width, cell + 1)
                         whole = (own_first == full_first) & (own_last == full_last)
                         rows.append((t + start, own_first + start, own_last + start, shared, w1, w2, whole))
                     total = [np.concatenate([r[k] for r in rows]) for k in range(7)]
@@ -229,37 +266,50 @@ def cells(open_items: DataFrame, base: DataFrame) -> DataFrame:
     return _per_text(open_items, base, ["trigger", "first", "last"]).mapInArrow(run, _ITEM)
 
 
-def windows(open_cells: DataFrame, base: DataFrame) -> DataFrame:
+def windows(open_cells: DataFrame, base: DataFrame, kind: Windows) -> DataFrame:
     """(rid1, rid2, first, h1, h2) of every window of open cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
+        hasher, memo = _Hasher(kind.width), _WordCodes()
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = batch.column(2).cast(pa.binary())
                 for i in range(batch.num_rows):
-                    data = np.frombuffer(texts[i].as_buffer(), dtype=np.uint8)
-                    for group, start, part in _within(batch.column(3)[i].as_py(), data):
+                    data = kind.data(texts[i].as_buffer(), memo)
+                    for group, start, part in _within(batch.column(3)[i].as_py(), data, kind.width):
                         n = group[:, 1] - group[:, 0] + 1
                         first = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(group[:, 0] - start, n))
-                        h1, h2 = hasher.stretch(hasher.prefix(part), first, first + WIDTH, np.zeros(len(first), np.int64))
+                        h1, h2 = hasher.stretch(hasher.prefix(part), first, first + kind.width, np.zeros(len(first), np.int64))
                         ids = [pa.array(np.full(len(first), batch.column(k)[i].as_py(), dtype=np.int64)) for k in (0, 1)]
                         yield pa.RecordBatch.from_arrays([*ids, pa.array((first + start).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=[*_ID, "first", "h1", "h2"])
 
     return _per_text(open_cells, base, ["trigger", "first", "last"]).mapInArrow(run, "rid1 long, rid2 long, first int, h1 long, h2 long")
 
 
-def repeated_spans(base: DataFrame) -> DataFrame:
+def repeated_spans(base: DataFrame, kind: Windows) -> DataFrame:
     """(rid1, rid2, start, end) of stretches of ``base`` (rid1, rid2, text) whose windows all occur elsewhere; stretches may overlap."""
-    phrases = materialize(settle(materialize(parse(base), "phrases"), "phrases-shared"), "phrases-settled")
-    found = materialize(settle(materialize(cells(phrases.where("open"), base), "cells"), "cells-shared"), "cells-settled")
-    single = materialize(windows(found.where("open AND NOT repeats").union(found.where("open AND repeats")), base), "windows")
+    phrases = materialize(settle(materialize(parse(base, kind), "phrases"), "phrases-shared"), "phrases-settled")
+    found = materialize(settle(materialize(cells(phrases.where("open"), base, kind), "cells"), "cells-shared"), "cells-settled")
+    single = materialize(windows(found.where("open AND NOT repeats").union(found.where("open AND repeats")), base, kind), "windows")
     again = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    lone = single.join(again, ["h1", "h2"], "left_semi").select(*_ID, F.col("first").alias("start"), (F.col("first") + WIDTH).alias("end"))
-    whole = phrases.union(found).where("repeats").select(*_ID, F.col("first").alias("start"), (F.col("last") + WIDTH).alias("end"))
+    lone = single.join(again, ["h1", "h2"], "left_semi").select(*_ID, F.col("first").alias("start"), (F.col("first") + kind.width).alias("end"))
+    whole = phrases.union(found).where("repeats").select(*_ID, F.col("first").alias("start"), (F.col("last") + kind.width).alias("end"))
     return whole.union(lone)
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _in_bytes(spans: list[dict], raw: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of a text; those over codes of words, from the first whole word's start to the last one's end."""
+    places = [m.span() for m in _WORD.finditer(raw)] if any(x.get("words") for x in spans) else []
+    for x in spans:
+        if not x.get("words"):
+            yield x["start"], x["end"]
+        elif (first := -(-x["start"] // CODE)) < (after := x["end"] // CODE):
+            yield places[first][0], places[after - 1][1]
+
+
 def cut(texts: DataFrame, with_text: bool) -> DataFrame:
     """Contract columns from rows (doc_id, rest, text, spans); ``with_text`` adds ``rest`` and the kept bytes as text."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -274,7 +324,7 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
                 raw = raw or b""
                 at, removed, count, kept = 0, 0, 0, []
                 end = -1
-                for a, b in sorted((s["start"], s["end"]) for s in spans or []):
+                for a, b in sorted(_in_bytes(spans or [], raw)):
                     if a > end:
                         count += 1
                         kept.append(raw[at:a])
@@ -293,12 +343,16 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
     return texts.select("doc_id", "text", "spans", *(["rest"] if with_text else [])).mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, words: int | None = None) -> DataFrame:
     """The contract's columns for each row of ``docs`` (doc_id, text); ``with_text`` adds kept_text and ``rest``, a struct of the row's other columns.
 
+    With ``words``, passages of that many words that occur elsewhere go too, from the first word to the last.
+
     Texts are needed where their items are, three times; so they are written
     once as a table bucketed by row id, which is dropped when the result stands.
     """
+    if words is not None and words * CODE < GRAM:
+        raise ValueError(f"windows are of {GRAM // CODE} words or more")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
@@ -308,7 +362,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     name = f"veritrail_texts_{uuid.uuid4().hex}"
     rows.repartition(parts, *_ID).write.option("compression", "zstd").bucketBy(parts, *_ID).saveAsTable(name)
     base = spark.table(name)
-    spans = repeated_spans(base).groupBy(*_ID).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found, place = repeated_spans(base, Windows()), ["start", "end"]
+    if words is not None:
+        place.append("words")
+        found = found.withColumn("words", F.lit(False)).union(repeated_spans(base, Windows(words * CODE, words=True)).withColumn("words", F.lit(True)))
+    spans = found.groupBy(*_ID).agg(F.collect_set(F.struct(*place)).alias("spans"))
     out = materialize(cut(base.join(spans, _ID, "left"), with_text), "cut")
     spark.sql(f"DROP TABLE {name}")
     return out
