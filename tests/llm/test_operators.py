@@ -349,6 +349,26 @@ def test_permuted_tables_find_all_pairs(spark):
     assert {tuple(r) for r in fingerprints.near_pairs(frame).collect()} == want and want
 
 
+def test_permuted_tables_over_fingerprints_of_documents(spark):
+    rng = random.Random(12)
+    base = prose(rng, 900).split()
+    texts = [prose(rng, 60) for _ in range(5)]
+    for k in range(30):  # from none to many changed words
+        copy = list(base)
+        for _ in range(k % 6):
+            copy[rng.randrange(len(copy))] = f"changed{k}"
+        texts.append(" ".join(copy))
+    made = fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).select("doc_id", "fingerprint").localCheckpoint()
+    prints = sorted({int(r.fingerprint, 16) for r in made.collect()})
+    high, low = fingerprints.halves(F.col("fingerprint"))
+    for radius, blocks in ((3, 6), (6, 9)):
+        want = {frozenset((a, b)): (a ^ b).bit_count() for k, a in enumerate(prints) for b in prints[k + 1 :] if (a ^ b).bit_count() <= radius}
+        got = fingerprints.near_pairs(made.select(high.alias("high"), low.alias("low")), radius, blocks).collect()
+        whole = lambda h, x: (h % (1 << 64)) << 64 | x % (1 << 64)
+        assert len(got) == len(want) and {frozenset((whole(r.a_high, r.a_low), whole(r.b_high, r.b_low))): r.distance for r in got} == want
+    assert any(a >> 64 != b >> 64 and (a ^ b) % (1 << 64) for a, b in want)
+
+
 def test_mixing(docs, rows, nothing):
     got = mixing.mix(docs).collect()
     sizes = Counter()

@@ -106,31 +106,55 @@ def edit(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(next_text, F.lit(1), cut))
 
 
+def halves(text: Column) -> tuple[Column, Column]:
+    """(high, low) of a fingerprint as ``as_text`` writes it."""
+    return tuple(F.conv(F.substring(text, at, 16), 16, -10).cast("long") for at in (1, 17))
+
+
 def near_pairs(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All pairs of distinct 64-bit fingerprints within Hamming ``radius``: (a, b, distance), a < b.
+    """All pairs of distinct fingerprints within Hamming ``radius``, a < b.
 
     Permuted block tables: the bits fall into ``blocks`` blocks, and two
     fingerprints within the radius agree on at least ``blocks - radius`` of
     them; there is a table for each choice of that many blocks, keyed by their
     bits, and a pair is taken from the first table that has it.  ``prints``
-    has one column ``fingerprint`` (long); equal ones count once, so copies
+    has the columns ``high`` and ``low`` of 128-bit fingerprints, for
+    (a_high, a_low, b_high, b_low, distance), or one column ``fingerprint``
+    (long) of 64 bits, for (a, b, distance); equal ones count once, so copies
     make no pairs.
     """
     from itertools import combinations
 
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    if not 0 <= radius < blocks:
+        raise ValueError("more blocks than the radius are needed")
+    wide = "fingerprint" not in prints.columns
+    names = ["high", "low"] if wide else ["fingerprint"]
+    size = 64 * len(names)
+    cuts = [round(size * i / blocks) for i in range(blocks + 1)]
     masks = [sum(1 << bit for bit in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    tables = [sum(chosen) for chosen in combinations(masks, blocks - radius)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in tables]
-    distinct = prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-    keyed = distinct.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "k"))
-    left, right = keyed.select(F.col("fingerprint").alias("a"), "t", "k"), keyed.select(F.col("fingerprint").alias("b"), "t", "k")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
+
+    def words(mask: int) -> list[int]:
+        parts = [(mask >> at) & ((1 << 64) - 1) for at in range(size - 64, -1, -64)]
+        return [m - (1 << 64) if m >= 1 << 63 else m for m in parts]
+
+    def masked(values: list[Column], mask: list[int]) -> list[Column]:
+        return [v.bitwiseAND(F.lit(m)) for v, m in zip(values, mask, strict=True)]
+
+    tables = [words(sum(chosen)) for chosen in combinations(masks, blocks - radius)]
+    own = [F.col(n) for n in names]
+    distinct = prints.select(*names).dropna().distinct()
+    keyed = distinct.select(*names, F.posexplode(F.array(*[F.struct(*[k.alias(f"k{i}") for i, k in enumerate(masked(own, m))]) for m in tables])).alias("t", "k"))
+    sides = {side: [side + (f"_{n}" if wide else "") for n in names] for side in ("a", "b")}
+    left, right = (keyed.select(*[F.col(n).alias(x) for n, x in zip(names, sides[side], strict=True)], "t", "k") for side in ("a", "b"))
+    diff = [F.col(x).bitwiseXOR(F.col(y)) for x, y in zip(sides["a"], sides["b"], strict=True)]
+    distance = sum((F.bit_count(d) for d in diff[1:]), F.bit_count(diff[0]))
     first = F.lit(None).cast("int")
-    for i, m in reversed(list(enumerate(signed))):
-        first = F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(i)).otherwise(first)
-    joined = left.join(right, ["t", "k"]).where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= radius) & (first == F.col("t")))
-    return joined.select("a", "b", F.bit_count(diff).alias("distance"))
+    for i, m in reversed(list(enumerate(tables))):
+        same = [x == 0 for x in masked(diff, m)]
+        first = F.when(same[0] & same[-1], F.lit(i)).otherwise(first)
+    before = F.struct(*sides["a"]) < F.struct(*[F.col(y).alias(x) for x, y in zip(sides["a"], sides["b"], strict=True)])
+    joined = left.join(right, ["t", "k"]).where(before & (distance <= radius) & (first == F.col("t")))
+    return joined.select(*sides["a"], *sides["b"], distance.alias("distance"))
 
 
 def fingerprint_documents(docs: DataFrame, parts: int) -> DataFrame:
