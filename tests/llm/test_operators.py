@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritrail.llm import components, fingerprints, html_text, language_id, mixing, near_dup, packing, quality, repeats, token_store, tokens, warc
+from veritrail.llm import common, components, fingerprints, html_text, language_id, mixing, near_dup, packing, quality, repeats, token_store, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, n string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,11 +187,28 @@ def test_near_duplicate_families_in_blocks(docs, monkeypatch):
     assert {tuple(r) for r in near_dup.near_duplicates(docs).collect()} == whole
 
 
+def test_one_family_of_thousands_of_near_copies(spark):
+    """Copies of one text with one word changed (similarity 0.91 to it, 0.84 to one another), some with a second change (linked to their own source only) and some with four (linked to none)."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+
+    def changed(words, i, places):
+        return [f"c{i}x{k}" if k in places else w for k, w in enumerate(words)]
+
+    once = [changed(base, i, {rng.randrange(10, 60)}) for i in range(1, 4_401)]
+    twice = [changed(once[i], 10_000 + i, {rng.randrange(70, 110)}) for i in range(500)]
+    often = [changed(base, 20_000 + i, {12, 40, 70, 100}) for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([base, *once, *twice, *often])], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {**dict.fromkeys(range(4_901), 0), **{i: i for i in range(4_901, 5_001)}}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60) if i % 20] + [(5, 5), (100, 3), (None, 4)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    scratch = common.Scratch(spark)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {**{i: 1 for i in range(1, 21)}, 100: 1, **{i: 21 for i in range(21, 41)}, **{i: 41 for i in range(41, 61)}}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])

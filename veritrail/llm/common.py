@@ -1,10 +1,10 @@
-"""What the operators share: shared folders, written tables, words, ordered sums."""
+"""What the operators share: the shared folder, written tables, words."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +16,12 @@ _FALLBACK_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one in the warehouse, or on a single machine a new local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/veritrail-scratch"
     if not _FALLBACK_DIR:
         _FALLBACK_DIR.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _FALLBACK_DIR[0]
@@ -30,12 +32,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables that an operator writes for itself in the shared folder.
+
+    Later jobs reuse them, and a lost executor costs nothing.  All are deleted
+    at the end of the ``with`` block, also after a failure, so a result that
+    outlives it is materialized first.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+        self.tables: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, columns: list[str]) -> DataFrame:
+        """``df`` as a table in the warehouse, bucketed by ``columns``: joins on them deal only their other side."""
+        self.tables.append(f"veritrail_{name}_{uuid.uuid4().hex}")
+        df.repartition(buckets, *columns).write.option("compression", "zstd").bucketBy(buckets, *columns).saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
+    def path(self, name: str) -> str:
+        self.paths.append(fresh_path(self.spark, name))
+        return self.paths[-1]
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, self.path(name))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: later jobs reuse it, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    """Write ``df`` as a table in the shared folder and read it back; the caller's result, which stays."""
+    return _written(df, fresh_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:
@@ -46,33 +92,3 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
-
-
-def ordered_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, name: str, parts: int) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows before each row, in each group's order.
-
-    Two levels, so that one group may hold any share of the rows: rows are
-    range-partitioned by (group, order), each partition sums its own runs, and
-    the partitions' totals (one row for each group and partition) give the
-    start of every run.  Ties in ``order`` are settled by where rows lie, so
-    ``order`` should be total for reruns to agree.
-    """
-    from pyspark.sql import Window
-
-    keys = [f"__o{i}" for i in range(len(order))]
-    ranged = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(parts, *[F.col(g) for g in group], *keys)
-    ranged = materialize(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__v", value.cast("long")), "ordered")
-    totals = ranged.groupBy(*group, "__part").agg(F.sum("__v").alias("__total"))
-    runs = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__part").alias("__p"), F.coalesce(F.sum("__total").over(runs), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__part", *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
-    on = F.col("__part") == F.col("__p")
-    for s in same:
-        on = on & s
-    out = ranged.withColumn("__run", F.coalesce(F.sum("__v").over(within), F.lit(0))).join(F.broadcast(base), on)
-    return out.withColumn(name, F.col("__base") + F.col("__run")).drop("__base", "__run", "__v", "__part", "__p", *keys, *[f"__g{i}" for i in range(len(group))])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import materialize
+from veritrail.llm.common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -18,24 +18,26 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(a, b) edges to (node, component), component being the smallest node reachable.
 
     Null ends and loops are ignored; a node in no other edge is not returned.
+    The result reads a table of ``scratch``.  Sides grow with the corpus, so
+    they meet in merge joins and are never broadcast.
     """
     one = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = materialize(edges.where(F.col("a") != F.col("b")).select(*one).distinct(), "cc")
+    now = scratch.keep(edges.where(F.col("a") != F.col("b")).select(*one).distinct(), "cc")
     before = _state(now)
     if not before[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        large = materialize(large, "cc")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
-        now = materialize(small, "cc")
+        low = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
+        large = both.join(low.hint("merge"), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        large = scratch.keep(large, "cc")
+        low = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
+        now = scratch.keep(small, "cc")
         after = _state(now)
         if after == before:
             break

@@ -12,8 +12,9 @@ Defined results: a null text, or one without a letter, is ``und`` with score
 frequent in the sample, with score 0.  Ties go to the language first in
 code-point order.  A language that is null is not learned from.  Without any
 labelled row all texts are ``und``.  Texts of any length are read whole.
-Repeated rows are judged alike.  Other columns are carried by ``identify``,
-whose own start with ``lid_``.
+Repeated rows are judged alike.  An empty table gives no rows.  Other columns
+are carried by ``identify``, whose own start with ``lid_`` and replace columns
+of these names; ``judge_rows`` keeps both.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.llm.common import Scratch
+
 N = 4
 HASHES = 3
 _P = np.uint64(0x100000001B3)
-_CHARS_AT_ONCE = 1_000_000
+_CHARS_AT_ONCE = 250_000
+#: Slots of the filter, as powers of two: at least, and at most, whatever is learned.
+_SLOT_BITS = (10, 21)
 
 
 @cache
@@ -99,24 +103,13 @@ class LanguageFilter:
         fills = [np.count_nonzero((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)) / slots for i in range(len(languages))]
         self.false_rate = np.array([f**HASHES for f in fills])
 
-    @staticmethod
-    def build(languages: list[str], hashes: np.ndarray, owner: np.ndarray, slot_bits: int, fallback: str) -> LanguageFilter:
-        table = np.zeros((max(1, -(-len(languages) // 64)), 1 << slot_bits), dtype=np.uint64)
-        for i in range(len(languages)):
-            own = hashes[owner == i]
-            for k in range(HASHES):
-                np.bitwise_or.at(table[i // 64], LanguageFilter._slot(own, k, slot_bits), np.uint64(1 << (i % 64)))
-        return LanguageFilter(languages, table, fallback)
-
     @staticmethod
     def _slot(h: np.ndarray, k: int, slot_bits: int) -> np.ndarray:
         return ((h >> np.uint64(21 * k)) & np.uint64((1 << slot_bits) - 1)).astype(np.int64)
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and coverage (corrected share of the best language's n-grams) of each text."""
-        names: list[str] = []
-        scores: list[float] = []
-        cover: list[float] = []
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """(language, score, corrected number of the language's n-grams, number of n-grams) of each text."""
+        out: list[tuple[str, float, float, int]] = []
         slot_bits = int(self.table.shape[1]).bit_length() - 1
         for _, some in _groups(texts):
             h, starts = grams(some)
@@ -131,38 +124,25 @@ class LanguageFilter:
                     hit = np.concatenate([[0], np.cumsum((mask >> np.uint64(i % 64)) & np.uint64(1), dtype=np.int64)])
                     counts[:, i] = hit[starts[1:]] - hit[starts[:-1]]
             right = np.maximum(0.0, (counts - total[:, None] * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate)) if len(self.languages) else counts
-            for row, n, text in zip(right, total, some, strict=True):
+            for row, n, text in zip(right, total.tolist(), some, strict=True):
                 if not self.languages or not any(map(str.isalpha, text)):
-                    best, score, share = "und", 0.0, 0.0
+                    out.append(("und", 0.0, 0.0, n))
                 elif row.sum() <= 0:
-                    best, score, share = self.fallback, 0.0, 0.0
+                    out.append((self.fallback, 0.0, 0.0, n))
                 else:
                     i = int(np.argmax(row))
-                    best, score, share = self.languages[i], float(row[i] / row.sum()), float(min(1.0, row[i] / max(1, n)))
-                names.append(best)
-                scores.append(score)
-                cover.append(share)
-        return names, scores, cover
-
+                    out.append((self.languages[i], float(row[i] / row.sum()), min(float(n), float(row[i])), n))
+        return out
 
-def fit(labelled: DataFrame, sample_per_language: int = 3_000, grams_per_language: int = 150_000, usual: float = 0.25, slot_bits: int = 20) -> LanguageFilter:
-    """A filter from rows of (doc_id, text, lang).
 
-    ``sample_per_language`` bounds, in expectation, the rows read for each
-    language; they are chosen by a hash of doc_id, so reruns agree.  An n-gram
-    belongs to a language if it occurs there twice or more, at ``usual`` times
-    its highest rate over languages or more, and among the language's
-    ``grams_per_language`` most frequent; so what reaches the driver is bounded.
-    """
+def learn_grams(labelled: DataFrame, sample_per_language: int, usual: float) -> tuple[dict[str, int], DataFrame | None]:
+    """Labelled rows by language, and (lang, gram): the n-grams that are usual in each language; see ``fit``."""
     from pyspark.sql import Window
 
-    spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageFilter([], np.zeros((1, 1 << slot_bits), np.uint64), "und")
-    languages = sorted(sizes)
-    fallback = max(languages, key=lambda x: (sizes[x], x))
+        return sizes, None
     chosen = F.lit(False)
     for language, n in sizes.items():
         keep = F.pmod(F.xxhash64(F.lit("lid"), "doc_id"), F.lit(1_000_000)) < int(min(1.0, sample_per_language / n) * 1_000_000 + 0.5)
@@ -180,27 +160,71 @@ def fit(labelled: DataFrame, sample_per_language: int = 3_000, grams_per_languag
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     usual_in = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("rate") >= usual * F.col("top")) & (F.col("n") >= 2))
-    kept = usual_in.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= grams_per_language)
-    table = kept.select("lang", "gram").toArrow()
-    index = {x: i for i, x in enumerate(languages)}
-    owner = np.array([index[x] for x in table.column("lang").to_pylist()], dtype=np.int64)
-    hashes = table.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-    return LanguageFilter.build(languages, hashes, owner, slot_bits, fallback)
+    return sizes, usual_in.select("lang", "gram")
 
 
-def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """``docs`` with lid_lang, lid_score and lid_cover.  The filter, of fixed size, is broadcast."""
+def fit(labelled: DataFrame, sample_per_language: int = 3_000, usual: float = 0.25) -> LanguageFilter:
+    """A filter from rows of (doc_id, text, lang).
+
+    ``sample_per_language`` bounds, in expectation, the rows read for each
+    language; they are chosen by a hash of doc_id, so reruns agree.  An n-gram
+    belongs to a language if it occurs there twice or more, at ``usual`` times
+    its highest rate over languages or more.  All such n-grams go into the
+    filter.  Its slots are filled by an aggregation, so what reaches the driver
+    is the filter itself, at most 2**21 slots for each 64 languages: 16 MB.
+    A filter of as many slots as it may have gets fuller with more n-grams,
+    which the correction for its false-positive rate takes into account.
+    """
+    sizes, kept = learn_grams(labelled, sample_per_language, usual)
+    if kept is None:
+        return LanguageFilter([], np.zeros((1, 1 << _SLOT_BITS[0]), np.uint64), "und")
+    languages = sorted(sizes)
+    with Scratch(labelled.sparkSession) as scratch:
+        kept = scratch.keep(kept, "usual-grams")
+        most = max((r["count"] for r in kept.groupBy("lang").count().collect()), default=0)
+        slot_bits = min(_SLOT_BITS[1], max(_SLOT_BITS[0], (8 * most).bit_length()))
+        place = F.element_at(F.create_map(*[F.lit(x) for i, language in enumerate(languages) for x in (language, i)]), F.col("lang"))
+        slots = [F.shiftrightunsigned("gram", 21 * k).bitwiseAND(F.lit((1 << slot_bits) - 1)) for k in range(HASHES)]
+        filled = kept.select(F.floor(place / 64).alias("word"), _bit(place).alias("bit"), F.explode(F.array(*slots)).alias("slot"))
+        found = filled.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toArrow()
+    table = np.zeros((-(-len(languages) // 64), 1 << slot_bits), dtype=np.uint64)
+    word, slot, mask = (found.column(name).to_numpy() for name in ("word", "slot", "mask"))
+    table[word, slot] = mask.astype(np.int64).view(np.uint64)
+    return LanguageFilter(languages, table, max(languages, key=lambda x: (sizes[x], x)))
+
+
+def _bit(place: Column) -> Column:
+    """The bit of a language's place in its word of 64."""
+    return F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]), (F.pmod(place, F.lit(64)) + 1).cast("int"))
+
+
+_FOUND = "struct<lang: string, score: double, cover: double, cover_high: double>"
+
+
+def judge_rows(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+    """(row, lid): each row of ``docs`` as a struct, and lang, score, cover (the language's share of the n-grams) and cover_high (upper end of the share's Wilson interval at three standard deviations, which allows for short texts).
+
+    The filter, of bounded size, is broadcast.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.fallback))
 
-    @F.pandas_udf("struct<lang: string, score: double, cover: double>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_FOUND)
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         mine = LanguageFilter(*shared.value)
-        for series in batches:
-            names, scores, cover = mine.judge([t if isinstance(t, str) else None for t in series])
-            yield pd.DataFrame({"lang": names, "score": scores, "cover": cover})
+        for texts in batches:
+            names, scores, hits, n = zip(*mine.judge(texts.to_pylist()), strict=True) if len(texts) else ((), (), (), ())
+            n = np.maximum(1, np.array(n, dtype=float))
+            share, z2 = np.array(hits, dtype=float) / n, 9.0
+            high = (share + z2 / (2 * n) + np.sqrt(z2 * share * (1 - share) / n + (z2 / (2 * n)) ** 2)) / (1 + z2 / n)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(share), pa.array(high)], names=["lang", "score", "cover", "cover_high"])
 
-    found = docs.withColumn("__lid", judge(F.col("text").cast("string")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__lid.lang").alias("lid_lang"), F.col("__lid.score").alias("lid_score"), F.col("__lid.cover").alias("lid_cover"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), judge(F.col("text").cast("string")).alias("lid"))
+
+
+def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+    """``docs`` with lid_lang, lid_score and lid_cover."""
+    own = {f"lid_{n}": F.col(f"lid.{n}").alias(f"lid_{n}") for n in ("lang", "score", "cover")}
+    return judge_rows(docs, model).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in own], *own.values())
 
 
 def held_out(doc_id: str) -> Column:

@@ -9,14 +9,17 @@ out, and all pairs within the distance share a key.  Documents that share keys
 form families; inside a family, pairs within the distance are confirmed on the
 full sets.
 
-Equal sets are one class from the start.  A family larger than ``BLOCK`` is
-compared block against block in separate tasks, so memory stays bounded and no
-list of pairs is ever written: a task returns links that join its documents,
-at most one fewer than they are.
+Equal sets are one class from the start.  No list of pairs is ever held: a task
+keeps at most ``BLOCK`` sets, meets the other rows one by one, and returns
+links that join documents.  In a family larger than ``BLOCK`` all members first
+meet ``LEADERS`` of their own, those that share the most keys, so a family of
+alike texts costs its size and not its square; then the members that this
+did not join to the family's largest group meet all members, block by block.
 
 Defined results: documents with no word have an empty set, n_shingles 0 and no
 link.  A null doc_id has null component_id, is not kept and links nothing.
-Rows that share a doc_id are one vertex.  Repeated rows are all returned.  An
+Rows that share a doc_id are one
+vertex, so they are kept together or not.  Repeated rows are all returned.  An
 empty table gives no rows.  Other columns are ignored.
 """
 
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import materialize
+from veritrail.llm.common import Scratch, materialize
 from veritrail.llm.components import components
 
 SHINGLE = 5
 SYMBOLS = 64
 #: The share of pairs exactly at the threshold that may be farther apart than the distance allows.
 MISSED = 1e-4
-BLOCK = 1_024
+BLOCK, LEADERS = 256, 16
 _U = np.uint64
 
 
@@ -61,8 +64,8 @@ def cuts_for(distance: int) -> list[int]:
 
 DISTANCE = distance_for(85)
 _CUTS = cuts_for(DISTANCE)
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
-_MEMBERS = "family long, blocks int, side int, doc_id long, sig binary, shingles binary"
+_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, text_key long"
+_MEMBERS = "family long, size long, doc_id long, degree long, sig binary, shingles binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,15 +122,15 @@ def _seeds() -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, and the signature."""
+    """doc_id, n_shingles, a 128-bit hash of the set, the signature, and text_key, a hash of the text as it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         memo, seeds = _WordHashes(), _seeds()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 sizes, hashes, sigs = [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingle_set(text, memo)
@@ -135,13 +138,14 @@ def sign(docs: DataFrame) -> DataFrame:
                     hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sigs.append(signature(s, seeds).tobytes() if len(s) else b"")
                 h1, h2 = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2).T
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sigs, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "h1", "h2", "sig", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNED)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, _SIGNED)
 
 
 def member_sets(members: DataFrame) -> DataFrame:
-    """Rows (family, blocks, side, doc_id, text) with the signature and the set, as sorted 48-bit numbers (little-endian), for the text."""
+    """Rows (family, size, doc_id, degree, text) with the signature and the set, as sorted 48-bit numbers (little-endian), for the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seeds = _WordHashes(), _seeds()
@@ -151,9 +155,9 @@ def member_sets(members: DataFrame) -> DataFrame:
                 found = [shingle_set(text, memo) for text in part.column(4).to_pylist()]
                 sigs = [signature(s, seeds).tobytes() for s in found]
                 sets = [np.ascontiguousarray((s >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for s in found]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["family", "blocks", "side", "doc_id", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["family", "size", "doc_id", "degree", "sig", "shingles"])
 
-    return members.select("family", "blocks", "side", "doc_id", "text").mapInArrow(run, _MEMBERS)
+    return members.select("family", "size", "doc_id", "degree", "text").mapInArrow(run, _MEMBERS)
 
 
 def chunk_keys(signed: DataFrame, distance: int) -> DataFrame:
@@ -183,107 +187,163 @@ def _decode(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.pad(six, ((0, 0), (0, 2)))).view("<u8").ravel()
 
 
-def _family_links(ids: list[int], sides: list[int], sigs: np.ndarray, sets: list[bytes], percent: int, distance: int, cross: bool) -> list[tuple[int, int]]:
-    """Confirmed links that join the documents; ``cross``: only pairs of both sides.  Nearest signatures first; pairs already joined are skipped."""
-    parent = list(range(len(ids)))
+class _Group:
+    """The held rows of one group, and which of them are joined so far."""
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self, percent: int, distance: int):
+        self.percent, self.distance = percent, distance
+        self.ids: list[int] = []
+        self.sigs = np.zeros((BLOCK, SYMBOLS), dtype="<u2")
+        self.sets: list[bytes | np.ndarray] = []
+        self.parent: list[int] = []
+        self.alone = True
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    near: list[np.ndarray] = []
-    side = np.array(sides)
-    for u in range(len(ids) - 1):
-        away = (sigs[u + 1 :] != sigs[u]).sum(axis=1)
-        good = away <= distance
-        if cross:
-            good &= side[u + 1 :] != side[u]
-        v = np.flatnonzero(good)
-        if len(v):
-            near.append(np.stack([away[v], np.full(len(v), u), v + u + 1]))
-    if not near:
-        return []
-    pairs = np.concatenate(near, axis=1)
-    full: dict[int, np.ndarray] = {}
-    links = []
-    for u, v in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():
-        a, b = root(u), root(v)
-        if a == b:
-            continue
-        for x in (u, v):
-            if x not in full:
-                full[x] = _decode(sets[x])
-        p, q = full[u], full[v]
-        if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-            continue
-        shared = len(np.intersect1d(p, q, assume_unique=True))
-        if 100 * shared >= percent * (len(p) + len(q) - shared):
-            parent[max(a, b)] = min(a, b)
-            if ids[u] != ids[v]:
-                links.append((ids[u], ids[v]))
-    return links
-
-
-def confirm(families: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links from rows (family, lo, hi, side, doc_id, sig, shingles) sorted and dealt by (family, lo, hi)."""
+    def hold(self, doc_id: int, sig: bytes, shingles: bytes) -> None:
+        if len(self.ids) == len(self.sigs):
+            self.sigs = np.concatenate([self.sigs, np.zeros_like(self.sigs)])
+        self.sigs[len(self.ids)] = np.frombuffer(sig, dtype="<u2")
+        self.parent.append(len(self.ids))
+        self.ids.append(doc_id)
+        self.sets.append(shingles)
+
+    def _set(self, x: int) -> np.ndarray:
+        if isinstance(self.sets[x], bytes):
+            self.sets[x] = _decode(self.sets[x])
+        return self.sets[x]
+
+    def meet(self, doc_id: int, sig: bytes, shingles: bytes | np.ndarray, among: int) -> tuple[list[tuple[int, int]], int]:
+        """Confirmed links of a row with the first ``among`` held rows, one for each group of them; those become one group, whose root is returned (-1: none)."""
+        away = (self.sigs[:among] != np.frombuffer(sig, dtype="<u2")).sum(axis=1)
+        near = np.flatnonzero(away <= self.distance)
+        links: list[tuple[int, int]] = []
+        own, joined = None, -1
+        for x in near[np.argsort(away[near], kind="stable")].tolist():
+            top = self.root(x)
+            if top == joined:
+                continue
+            if self.ids[x] != doc_id:
+                if own is None:
+                    own = _decode(shingles) if isinstance(shingles, bytes) else shingles
+                other = self._set(x)
+                if 100 * min(len(own), len(other)) < self.percent * max(len(own), len(other)):
+                    continue
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * shared < self.percent * (len(own) + len(other) - shared):
+                    continue
+                links.append((self.ids[x], doc_id))
+            if joined >= 0:
+                self.parent[top] = joined
+            else:
+                joined = top
+        return links, joined
+
+    def among_held(self) -> list[tuple[int, int]]:
+        """Links among the held rows, of a group that nothing else meets."""
+        links = []
+        for y in range(1, len(self.ids)):
+            found, joined = self.meet(self.ids[y], self.sigs[y].tobytes(), self._set(y), y)
+            links += found
+            if joined >= 0:
+                self.parent[y] = joined
+        return links
+
+
+def compare(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links from rows (family, lo, hi, meets, doc_id, sig, shingles): in each (family, lo, hi), rows that meet the others, or the others one another where none does."""
     distance = distance_for(percent)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["family", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-            sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype="<u2").reshape(-1, SYMBOLS)
-            found = _family_links(rows.column("doc_id").to_pylist(), rows.column("side").to_pylist(), sigs, rows.column("shingles").to_pylist(), percent, distance, lo != hi)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        last = None
+        last, group, links = None, _Group(percent, distance), []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                key = tuple(names[:, a].tolist())
-                if last is not None and key != last:
-                    yield from links(pa.Table.from_batches(held))
-                    held.clear()
-                held.append(batch.slice(a, b - a))
-                last = key
-        if held:
-            yield from links(pa.Table.from_batches(held))
-
-    return families.select("family", "lo", "hi", "side", "doc_id", "sig", "shingles").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = materialize(sign(docs), "signed")
-    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = materialize(signed.where(linkable).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = signed.where(linkable).join(classes, ["h1", "h2"]).where(F.col("doc_id") == F.col("rep"))
-    keys = chunk_keys(heads.select("doc_id", "sig"), distance_for(percent))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("key", "lo")
-    shared = materialize(shared, "shared-keys")
-    touching = keys.join(shared, "key").where(F.col("doc_id") != F.col("lo")).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
-    family = materialize(components(touching), "families")
-    sizes = family.groupBy("component").count().select("component", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
-    # Only members of families are looked at again, so the sets are made anew for them and never written for all.
-    # Members grow with the corpus, so they are met by a merge join at every size, and never broadcast while they are still few.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    members = member_sets(texts.join(placed.hint("merge"), "doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = members.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other").repartition(parts, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "doc_id")
-    joined = components(confirm(rows, percent))
-    by_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("found"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+            for at in range(0, batch.num_rows, 256):
+                for *key, meets, doc_id, sig, shingles in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
+                    if key != last:
+                        if group.alone:
+                            links += group.among_held()
+                        last, group = key, _Group(percent, distance)
+                    if meets:
+                        group.alone = False
+                        links += group.meet(doc_id, sig, shingles, len(group.ids))[0]
+                    else:
+                        group.hold(doc_id, sig, shingles)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    links = []
+        if group.alone:
+            links += group.among_held()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    dealt = rows.select(*keys, "meets", "doc_id", "sig", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys, "meets", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """Rows for ``compare`` that let all members of large families meet their leaders, ``BLOCK`` members to a group."""
+    large = members.where(F.col("size") > BLOCK).withColumn("groups", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    # The member of most shared keys in each of LEADERS shares of the family: spread over it, the best connected among them.
+    share = F.pmod(F.xxhash64(F.lit("leader"), "doc_id"), F.lit(LEADERS)).alias("share")
+    chosen = large.groupBy("family", share).agg(F.max(F.struct("degree", "doc_id")).alias("top")).select("family", F.col("top.doc_id").alias("doc_id")).distinct()
+    leaders = large.join(chosen.hint("merge"), ["family", "doc_id"], "left_semi").withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("meets", F.lit(False))
+    others = large.withColumn("lo", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int")).withColumn("meets", F.lit(True))
+    return leaders.unionByName(others).withColumn("hi", F.lit(-1))
+
+
+def _by_blocks(members: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows for ``compare``: members outside their family's largest group so far meet all members of the family.
+
+    Small families have no group yet, so all their members meet.
+    """
+    label = members.select("family", "size", "doc_id").join(joined.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("family", "doc_id", F.when(F.col("size") > BLOCK, F.coalesce("component", "doc_id")).alias("label"))
+    label = scratch.keep(label, "labels")
+    sizes = label.groupBy("family", "label").count()
+    whole = sizes.groupBy("family").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("count", "label"))).alias("top"), F.sum("count").alias("all"))
+    in_core = F.coalesce(F.col("top.count"), F.lit(0))
+    whole = whole.select("family", F.col("top.label").alias("core"), F.ceil((F.col("all") - in_core) / BLOCK).cast("int").alias("open_blocks"), F.ceil(in_core / BLOCK).cast("int").alias("core_blocks")).where("open_blocks > 0")
+    whole = scratch.keep(whole, "family-sizes")
+    state = label.join(whole.hint("merge"), "family").withColumn("open", ~F.coalesce(F.col("label") == F.col("core"), F.lit(False)))
+    spread = F.xxhash64("doc_id")
+    block = F.when(F.col("open"), F.pmod(spread, "open_blocks")).otherwise(F.col("open_blocks") + F.pmod(spread, F.greatest("core_blocks", F.lit(1)))).cast("int")
+    others = F.when(F.col("open"), F.col("open_blocks") + F.col("core_blocks")).otherwise(F.col("open_blocks"))
+    placed = state.select("family", "doc_id", block.alias("block"), others.alias("others")).distinct()
+    rows = members.join(placed.hint("merge"), ["family", "doc_id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("meets", F.col("block") > F.col("other"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, text_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text); with ``text_key`` also the text's 64-bit hash."""
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.keep(sign(docs), "signed")
+        linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+        # What grows with the corpus meets in merge joins at every size, and is never broadcast while it is still small.
+        classes = scratch.keep(signed.where(linkable).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+        heads = signed.where(linkable).join(classes.hint("merge"), ["h1", "h2"]).where(F.col("doc_id") == F.col("rep"))
+        keys = chunk_keys(heads.select("doc_id", "sig"), distance_for(percent))
+        shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") < F.col("hi")).select("key", "lo", "n")
+        shared = scratch.keep(shared, "shared-keys")
+        touching = scratch.keep(keys.join(shared.hint("merge"), "key").select(F.col("doc_id").alias("a"), F.col("lo").alias("b"), "n"), "touching")
+        family = scratch.keep(components(touching.select("a", "b"), scratch), "families")
+        sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        degrees = touching.groupBy("a").agg(F.sum("n").alias("degree"))
+        placed = family.join(sizes.hint("merge"), "component").join(degrees.hint("merge"), F.col("node") == F.col("a")).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size", "degree")
+        # Only members of families are looked at again, so the sets are made anew for them and never written for all.
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        members = scratch.keep(member_sets(texts.join(placed.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"])), "members")
+        first = scratch.keep(compare(_with_leaders(members), percent), "links")
+        rest = scratch.keep(compare(_by_blocks(members, components(first, scratch), scratch), percent), "links")
+        joined = components(first.union(rest), scratch)
+        by_class = classes.join(joined.hint("merge"), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
+        out = signed.select("doc_id", "n_shingles", "h1", "h2", "text_key").join(by_class.hint("merge"), ["h1", "h2"], "left")
+        component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("found"))).otherwise(F.col("doc_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"), *(["text_key"] if text_key else []))
+        return materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "near-dup")
 
 
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

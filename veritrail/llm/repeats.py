@@ -24,7 +24,8 @@ hashes of 128 bits with map-side counts:
    common to them don't;
 3. in the remaining cells each window is hashed by itself.
 
-Groups are only ever counted, never gathered.  Texts longer than ``SEGMENT``
+Groups are only ever counted, never gathered; repeated windows of a text are
+gathered as one bit each.  Texts longer than ``SEGMENT``
 are parsed in segments, which may split a phrase but changes no result.
 
 ``remove_repeats`` with ``words`` also takes every passage of that many words,
@@ -43,7 +44,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import materialize
+from veritrail.llm.common import Scratch, materialize
 
 WIDTH, GRAM, CELL, SEGMENT = 400, 64, 16, 1 << 19
 #: Bytes of a word's code.  Windows that start inside a code are equal only if the words about its ends are, or by a clash of 64 bits, so spans are narrowed to whole words.
@@ -195,7 +195,7 @@ def parse(base: DataFrame, kind: Windows) -> DataFrame:
     return base.select(*_ID, "text").mapInArrow(run, _ITEM)
 
 
-def settle(items: DataFrame, name: str) -> DataFrame:
+def settle(items: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """``items`` (as of ``parse``) that may repeat, with ``repeats`` (the whole occurs again) and ``open`` (to be looked into).
 
     ``part`` is a hash of bytes that all of the item's windows share: where it
@@ -206,10 +206,10 @@ def settle(items: DataFrame, name: str) -> DataFrame:
     """
     # Counts are written before they are joined, so that the join's sides are plain exchanges, whose hot keys adaptive execution splits.
     parts = items.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count("whole1").alias("n_whole"), F.min("whole1").alias("low"), F.max("whole1").alias("high")).where("n > 1").select("part", ((F.col("n_whole") < F.col("n")) | (F.col("low") != F.col("high"))).alias("mixed"))
-    shared = materialize(items.join(materialize(parts, f"{name}-parts"), "part"), name)
+    shared = scratch.keep(items.join(scratch.keep(parts, f"{name}-parts"), "part"), name)
     place = F.struct(*_ID, "trigger", "first")
     wholes = shared.where(F.col("whole1").isNotNull()).groupBy("whole1", "whole2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1")
-    wholes = materialize(wholes, f"{name}-wholes")
+    wholes = scratch.keep(wholes, f"{name}-wholes")
     out = shared.join(wholes, ["whole1", "whole2"], "left").withColumn("repeats", F.col("n").isNotNull())
     return out.withColumn("open", F.col("mixed") & (~F.col("repeats") | (F.col("head") == place))).select(*_ID, "trigger", "first", "last", "repeats", "open")
 
@@ -286,32 +286,47 @@ def windows(open_cells: DataFrame, base: DataFrame, kind: Windows) -> DataFrame:
     return _per_text(open_cells, base, ["trigger", "first", "last"]).mapInArrow(run, "rid1 long, rid2 long, first int, h1 long, h2 long")
 
 
-def repeated_spans(base: DataFrame, kind: Windows) -> DataFrame:
-    """(rid1, rid2, start, end) of stretches of ``base`` (rid1, rid2, text) whose windows all occur elsewhere; stretches may overlap."""
-    phrases = materialize(settle(materialize(parse(base, kind), "phrases"), "phrases-shared"), "phrases-settled")
-    found = materialize(settle(materialize(cells(phrases.where("open"), base, kind), "cells"), "cells-shared"), "cells-settled")
-    single = materialize(windows(found.where("open AND NOT repeats").union(found.where("open AND repeats")), base, kind), "windows")
-    again = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    lone = single.join(again, ["h1", "h2"], "left_semi").select(*_ID, F.col("first").alias("start"), (F.col("first") + kind.width).alias("end"))
-    whole = phrases.union(found).where("repeats").select(*_ID, F.col("first").alias("start"), (F.col("last") + kind.width).alias("end"))
+def repeated_spans(base: DataFrame, kind: Windows, scratch: Scratch) -> DataFrame:
+    """(rid1, rid2, start, end, mask) of stretches of ``base`` (rid1, rid2, text) whose windows all occur elsewhere; stretches may overlap.
+
+    With a ``mask``, ``end`` is null and bit k stands for the window that starts ``k`` after ``start``.
+    """
+    phrases = scratch.keep(settle(scratch.keep(parse(base, kind), "phrases"), "phrases-shared", scratch), "phrases-settled")
+    found = scratch.keep(settle(scratch.keep(cells(phrases.where("open"), base, kind), "cells"), "cells-shared", scratch), "cells-settled")
+    single = scratch.keep(windows(found.where("open"), base, kind), "windows")
+    again = scratch.keep(single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "windows-again")
+    bit = F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]), F.col("first") % 64 + 1)
+    lone = single.join(again.hint("merge"), ["h1", "h2"], "left_semi").groupBy(*_ID, F.floor(F.col("first") / 64).alias("block")).agg(F.bit_or(bit).alias("mask"))
+    lone = lone.select(*_ID, (F.col("block") * 64).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "mask")
+    whole = phrases.union(found).where("repeats").select(*_ID, F.col("first").alias("start"), (F.col("last") + kind.width).alias("end"), F.lit(None).cast("long").alias("mask"))
     return whole.union(lone)
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _in_bytes(spans: list[dict], raw: bytes) -> Iterator[tuple[int, int]]:
-    """Spans of a text; those over codes of words, from the first whole word's start to the last one's end."""
-    places = [m.span() for m in _WORD.finditer(raw)] if any(x.get("words") for x in spans) else []
+def _stretches(spans: list[dict], width: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of spans, runs of windows in a mask as one."""
     for x in spans:
-        if not x.get("words"):
+        if x["mask"] is None:
             yield x["start"], x["end"]
-        elif (first := -(-x["start"] // CODE)) < (after := x["end"] // CODE):
-            yield places[first][0], places[after - 1][1]
+        else:
+            for run in re.finditer("1+", f"{x['mask'] & (1 << 64) - 1:064b}"[::-1]):
+                yield x["start"] + run.start(), x["start"] + run.end() - 1 + width
+
+
+def _in_bytes(spans: list[dict], raw: bytes, words: int | None) -> Iterator[tuple[int, int]]:
+    """Spans of a text; those over codes of words, from the first whole word's start to the last one's end."""
+    yield from _stretches([x for x in spans if not x.get("words")], WIDTH)
+    if coded := [x for x in spans if x.get("words")]:
+        places = [m.span() for m in _WORD.finditer(raw)]
+        for start, end in _stretches(coded, words * CODE):
+            if (first := -(-start // CODE)) < (after := end // CODE):
+                yield places[first][0], places[after - 1][1]
 
 
-def cut(texts: DataFrame, with_text: bool) -> DataFrame:
-    """Contract columns from rows (doc_id, rest, text, spans); ``with_text`` adds ``rest`` and the kept bytes as text."""
+def cut(texts: DataFrame, with_text: bool, words: int | None) -> DataFrame:
+    """Contract columns from rows (doc_id, rest, text, spans); ``words`` is the length of the spans over words; ``with_text`` adds ``rest`` and the kept bytes as text."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         schema += f", kept_text string, rest {texts.schema['rest'].dataType.simpleString()}"
@@ -324,7 +339,7 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
                 raw = raw or b""
                 at, removed, count, kept = 0, 0, 0, []
                 end = -1
-                for a, b in sorted(_in_bytes(spans or [], raw)):
+                for a, b in sorted(_in_bytes(spans or [], raw, words)):
                     if a > end:
                         count += 1
                         kept.append(raw[at:a])
@@ -349,7 +364,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, words: int | None =
     With ``words``, passages of that many words that occur elsewhere go too, from the first word to the last.
 
     Texts are needed where their items are, three times; so they are written
-    once as a table bucketed by row id, which is dropped when the result stands.
+    once as a table bucketed by row id.
     """
     if words is not None and words * CODE < GRAM:
         raise ValueError(f"windows are of {GRAM // CODE} words or more")
@@ -359,19 +374,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, words: int | None =
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = [F.struct(F.lit(0).alias("__row"), *others).alias("rest")] if with_text else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *rest, F.xxhash64(F.lit(1), "doc_id", text).alias("rid1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("rid2"))
-    name = f"veritrail_texts_{uuid.uuid4().hex}"
-    rows.repartition(parts, *_ID).write.option("compression", "zstd").bucketBy(parts, *_ID).saveAsTable(name)
-    base = spark.table(name)
-    found, place = repeated_spans(base, Windows()), ["start", "end"]
-    if words is not None:
-        place.append("words")
-        found = found.withColumn("words", F.lit(False)).union(repeated_spans(base, Windows(words * CODE, words=True)).withColumn("words", F.lit(True)))
-    spans = found.groupBy(*_ID).agg(F.collect_set(F.struct(*place)).alias("spans"))
-    out = materialize(cut(base.join(spans, _ID, "left"), with_text), "cut")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    with Scratch(spark) as scratch:
+        base = scratch.bucketed(rows, "texts", parts, _ID)
+        found, place = repeated_spans(base, Windows(), scratch), ["start", "end", "mask"]
+        if words is not None:
+            place.append("words")
+            found = found.withColumn("words", F.lit(False)).union(repeated_spans(base, Windows(words * CODE, words=True), scratch).withColumn("words", F.lit(True)))
+        spans = found.groupBy(*_ID).agg(F.collect_set(F.struct(*place)).alias("spans"))
+        return materialize(cut(base.join(spans.hint("merge"), _ID, "left"), with_text, words), "cut")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document keeps when passages repeated anywhere are removed."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """What every document keeps when passages repeated anywhere are removed: the contract's columns and ``text``, the kept bytes."""
+    kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_text=True)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
