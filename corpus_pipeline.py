@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import materialize
-from veritrail.llm.language_id import fit, identify
+from veritrail.llm.language_id import fit, judge_rows
 from veritrail.llm.mixing import training_order
 from veritrail.llm.near_dup import near_duplicates
 from veritrail.llm.packing import pack_documents
@@ -20,16 +20,17 @@ from veritrail.llm.repeats import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: those without letters go, and those of 50 characters or more of which under a fifth of the n-grams is known."""
-    judged = identify(docs, fit(docs.select("doc_id", "text", "lang")))
-    foreign = (F.col("lid_cover") < 0.2) & (F.length("text") >= 50)
-    return judged.where((F.col("lid_lang") != "und") & ~foreign).select(*docs.columns)
+    """Documents in a learned language: those without letters go, and those of which surely under a fifth of the n-grams is known (the share's upper bound, so short texts need more proof)."""
+    judged = judge_rows(docs, fit(docs.select("doc_id", "text", "lang")))
+    return judged.where((F.col("lid.lang") != "und") & (F.col("lid.cover_high") >= 0.2)).select("row.*")
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity 0.8 or more), and one row of each doc_id; rows without doc_id link nothing and stay."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each near-duplicate group (similarity 0.8 or more), and one of rows that share doc_id and text; rows without doc_id link nothing and stay."""
+    kept = near_duplicates(docs.select("doc_id", "text"), percent=80, text_key=True).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_text"))
+    stay = rows.join(kept.hint("merge"), (F.col("own_id") == F.col("kept_id")) & (F.col("own_text") == F.col("kept_text")), "left_semi").dropDuplicates(["own_id", "own_text"])
+    return stay.unionByName(rows.where(F.col("own_id").isNull())).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
