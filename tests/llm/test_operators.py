@@ -320,12 +320,55 @@ def test_packing_best_fit_takes_the_tightest_sequence():
 
 def test_html_extraction():
     tree = html_text.trained_tree()
-    assert all(html_text.is_article(x, tree) == bool(y) for x, y in html_text.labelled_table())
+    assert sum(html_text.is_article(x, tree) != bool(y) for x, y in html_text.labelled_table()) <= 5
     page = '<html><head><title>no</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy.</div><article><h1>T &amp; U</h1><p>One<br>two  three<p><b>Bold.</p><div class="comments"><p>Me too.</p></div></article><aside>Also</aside><footer>&copy; x</footer><script>var a="</p>";</script>'
     assert html_text.extract(page, tree) == "T & U\n\nOne two three\n\nBold."
     assert [html_text.extract(x, tree) for x in (None, "", "<nav>x</nav>", "<!-- open", "<script>x")] == [""] * 5
 
 
+def test_html_tree_uses_words_and_neighbours():
+    def used(tree):
+        return {html_text.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    found = used(html_text.trained_tree())
+    assert {"words", "link density"} <= found and found & {"link density before", "link density after"} and found & {"words before", "words after"}
+
+
+def held_out_pages():
+    """Layouts that aren't among the training pages; ``data-label`` marks the article."""
+    line, mark = html_text._line, 'data-label="1"'
+    for n in range(2, 12):
+        story = f"<h1 {mark}>{line(6, n)}</h1>" + "".join(f"<p {mark}>{line(x, n + x)}</p>" for x in (18, 33, 5, 51, n + 2)) + f"<blockquote><p {mark}>{line(12, n)}</p></blockquote>"
+        menu = html_text._links(6, n)
+        yield f'<body><div class="site-header"><div class="logo"><a href="/">{line(2, n)}</a></div><div class="main-nav">{menu}</div></div><div class="layout"><div class="entry-content">{story}</div><div class="ad-slot">{line(10, n)}</div></div><div class="site-footer"><p>{line(9, n)}</p>{menu}</div></body>'
+        yield f'<body><div role="navigation">{menu}</div><main id="main"><h2 {mark}>{line(3, n)}</h2>{story}</main><div role="complementary"><p>{line(60, n)}</p></div><div id="comments"><article><p>{line(30, n)}</p></article><article><p>{line(45, n)}</p></article></div></body>'
+        yield f'<body><p>{line(7, n)}</p><center>{html_text._links(4, n, "p")}</center><div><div>{story}</div></div><div>{line(14, n)}</div></body>'
+        yield f'<body><section class="hero"><p>{line(8, n)}</p></section><section>{story}</section><section class="cta newsletter-signup"><p>{line(11, n)}</p></section><footer>{line(5, n)}</footer></body>'
+        yield f'<body><article><div class="title"><h1 {mark}>{line(5, n)}</h1></div><header><p {mark}>{line(4, n)}</p></header><div class="body">{story}</div><footer><p>{line(6, n)}</p></footer></article><nav>{menu}</nav></body>'
+        yield f'<body><table><tr><td>{html_text._links(3, n, "p")}</td></tr><tr><td>{story}</td></tr><tr><td><a href="/">{line(3, n)}</a></td><td>{line(4, n)}</td><td><a href="/">{line(2, n)}</a></td></tr></table></body>'
+        for name in ("legal-analysis", "tags", "popular-science", "search-story"):
+            yield f'<body><div class="{name}">{story}</div><div>{line(9, n)}</div></body>'
+
+
+def test_html_extraction_of_held_out_layouts():
+    tree = html_text.trained_tree()
+    right = kept = wanted = 0
+    for page in held_out_pages():
+        found, parents = html_text.blocks(page)
+        for b, x in zip(found, html_text.features(found, parents), strict=True):
+            chosen = html_text.is_article(x, tree)
+            right += chosen and b.marked
+            kept += chosen
+            wanted += b.marked
+    assert right / kept > 0.97 and right / wanted > 0.95
+
+
+def test_html_extraction_of_long_pages():
+    body = "".join(f"<p>{html_text._line(20, k)}</p>" for k in range(5_000))
+    text = html_text.extract(f"<nav><a>x</a></nav><article>{body}</article>" + "<div>" * 3_000, html_text.trained_tree())
+    assert len(text.split("\n\n")) == 5_000
+
+
 def test_html_extraction_of_tables(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>", 1), (1, "u", "<article><p>a b</p></article>", 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     assert sorted(map(str, html_text.extract_text(pages).collect())) == sorted(map(str, [*html_text.extract_text(pages.limit(1)).collect() * 2, *html_text.extract_text(pages.where("html IS NULL")).collect()]))

@@ -103,7 +103,7 @@ def derive(records: DataFrame) -> DataFrame:
                     title = re.search(r"<title[^>]*>(.*?)</title", page, re.I | re.S)
                     about = {"Envelope": {"WARC-Header-Metadata": source, "Payload-Metadata": {"HTTP-Response-Metadata": {"Status-Line": block.split(_END, 1)[0].decode("latin-1"), "Headers": dict(http), "Entity-Length": len(body), "Entity-Digest": digest(body), "HTML-Metadata": {"Title": title and html_text.html_lib.unescape(title[1]).strip(), "Links": len(re.findall(r"<a\s[^>]*href", page, re.I))}}}}}
                     rows.append(build("metadata", target, date, "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass"), link))
-                    rows.append(build("conversion", target, date, "text/plain", "\n".join(b.text for b in html_text.blocks(page)).encode("utf-8", "surrogatepass"), link))
+                    rows.append(build("conversion", target, date, "text/plain", "\n".join(b.text for b in html_text.blocks(page)[0]).encode("utf-8", "surrogatepass"), link))
                 yield _rows(rows)
 
     return records.select("record").mapInArrow(run, _RECORD)
