@@ -13,6 +13,7 @@ whole, since such characters could join two units in one token.
 from __future__ import annotations
 
 import re
+from itertools import filterfalse
 
 import numpy as np
 
@@ -139,14 +140,14 @@ class UnitEncoder:
         return [*lead, unit]
 
     def _flush(self, group: list[tuple[int, list[str]]], out: list[bytes]) -> None:
-        distinct: set[str] = set()
+        young, old = self.young, self.old
+        unknown: set[str] = set()
         for _, units in group:
-            distinct.update(units)
+            unknown.update(filterfalse(young.__contains__, units))
         large: list[str] = []
         made: list[tuple[str, list[str]]] = []
         fresh: set[str] = set()
-        young, old = self.young, self.old
-        for unit in distinct.difference(young):
+        for unit in unknown:
             if unit in old:
                 young[unit] = old[unit]
             elif len(unit) > _UNIT_CHARS or len(unit) < 2 or SPECIAL in unit:
@@ -155,9 +156,9 @@ class UnitEncoder:
                 parts = self._parts(unit)
                 made.append((unit, parts))
                 fresh.update(parts)
-        fresh.difference_update(young)
-        for unit in [u for u in fresh if u in old]:
-            young[unit] = old[unit]
+        # Only the few new units are looked up: ``difference_update`` would go through the whole memo.
+        for unit in [u for u in fresh if u in young or u in old]:
+            young.setdefault(unit, old.get(unit))
             fresh.discard(unit)
         self._learn(list(fresh))
         for unit, parts in made:
@@ -165,7 +166,7 @@ class UnitEncoder:
         if large:
             young.update(zip(large, self._direct([self._plain(u) for u in large]), strict=True))
         for i, units in group:
-            out[i] = b"".join([young[u] for u in units])
+            out[i] = b"".join(map(young.__getitem__, units))
         for unit in large:
             del young[unit]
         if len(young) >= _MEMO_UNITS:
