@@ -418,7 +418,8 @@ def test_permuted_tables_over_fingerprints_of_documents(spark):
         for _ in range(k % 6):
             copy[rng.randrange(len(copy))] = f"changed{k}"
         texts.append(" ".join(copy))
-    made = fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).select("doc_id", "fingerprint").localCheckpoint()
+    made = fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).select("doc_id", "fingerprint")
+    made = common.materialize(made, "t")
     prints = sorted({int(r.fingerprint, 16) for r in made.collect()})
     high, low = fingerprints.halves(F.col("fingerprint"))
     for radius, blocks in ((3, 6), (6, 9)):
@@ -460,16 +461,100 @@ def test_mixing(docs, rows, nothing):
     assert [r.mix_position for r in copies] == sorted(r.mix_position for r in copies) and all(0 <= r.mix_position <= 1 for r in copies)
 
 
+def test_near_counts_against_brute_force(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    prints = [x ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(6))) for x in base for _ in range(8)]
+    prints += prints[:10]
+    half = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(half(x >> 64), half(x & (1 << 64) - 1)) for x in prints] + [(None, 1)], "high long, low long")
+    got = {(r.high, r.low): r.n_near for r in fingerprints.near_counts(frame.limit(40), frame).collect()}
+    want = {(half(x >> 64), half(x & (1 << 64) - 1)): sum((x ^ y).bit_count() <= 3 for y in prints) for x in prints[:40]}
+    assert got == want and max(want.values()) > 3
+    assert fingerprints.near_counts(frame.limit(0), frame).count() == 0
+
+
+def test_fingerprints_against_plain_votes(spark, docs, rows):
+    """Fingerprints and likenesses by counting votes bit by bit, with term hashes from Spark."""
+    import math
+
+    made = spark.createDataFrame([(i, t) for i, t, *_ in rows if len(t or "") < 4_000], "doc_id long, text string").dropDuplicates(["doc_id"])
+    terms = {r.doc_id: (r.t, r.u) for r in made.select("doc_id", fingerprints.term_hashes(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", "t", F.transform("t", lambda x: F.xxhash64(x, F.lit(1))).alias("u")).collect()}
+
+    def plain(t, u):
+        out = 0
+        for half, at in ((t, 64), (u, 0)):
+            for bit in range(64):
+                out |= (2 * sum(h >> bit & 1 for h in half) > len(half)) << (at + bit)
+        return out
+
+    want = {i: plain(*x) for i, x in terms.items()}
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(made, 4).collect()}
+    assert {i: f"{x:032x}" for i, x in want.items()} == {i: r.fingerprint for i, r in got.items()}
+    order = sorted(want, reverse=True)
+    for k, i in enumerate(order):
+        differ = (want[i] ^ want[order[(k + 1) % len(order)]]).bit_count()
+        assert got[i].near_next == pytest.approx(max(0.0, math.cos(math.pi * differ / 128)))
+        differ = (want[i] ^ int(got[i].edited_fingerprint, 16)).bit_count()
+        assert got[i].near_edited == pytest.approx(max(0.0, math.cos(math.pi * differ / 128)))
+
+
+def test_mixing_positions_against_brute_force(docs):
+    """Each position is where the integral of its source's schedule, summed in small steps, reaches the demand."""
+    for r in mixing.mix(docs).where("mix_taken > 0").collect():
+        s = mixing.SCHEDULES[r.mix_place % 3]
+        steps = [s[0] + (s[1] - s[0]) * 2 * x if x < 0.5 else s[1] + (s[2] - s[1]) * (2 * x - 1) for x in ((k + 0.5) / 20_000 for k in range(20_000))]
+        reached = np.searchsorted(np.cumsum(steps) / sum(steps), r.mix_before / max(r.mix_target, 1.0)) / 20_000
+        assert r.mix_position == pytest.approx(min(1.0, reached), abs=1e-3)
+
+
+def test_clashing_columns(spark):
+    """Columns named like an operator's own are replaced by it, or kept in the row."""
+    data = spark.createDataFrame([(1, "one two three four five six.", "aa", "s", 1, 2, 3, 4)], "doc_id long, text string, lang string, source string, q_l long, lid_lang long, mix_position long, q_text long")
+    assert quality.clean_lines(data).columns.count("q_text") == 1 and quality.clean_lines(data).first().q_l == 1
+    model = language_id.fit(data)
+    assert language_id.identify(data, model).columns.count("lid_lang") == 1
+    assert language_id.judge_rows(data, model).select("row.*").first() == data.first()
+    assert mixing.training_order(data).columns.count("mix_position") == 1
+    assert all(r.row == data.first() for r in mixing.training_rows(data).collect())
+    assert mixing.mix(data).columns.count("mix_position") == 1
+
+
+def test_language_filter_against_exact_sets(spark):
+    """Counts from the filter, corrected, against those of the plain sets of n-grams."""
+    rng = random.Random(6)
+    parts = {"aa": ["ka", "lo", "mi", "ta", "re"], "bb": ["sch", "un", "ber", "ge", "lo"], "cc": ["eau", "ion", "ré", "ka"]}
+    data = [(i, " ".join("".join(rng.choices(parts[x], k=3)) for _ in range(60)), x) for i, x in enumerate(rng.choices(sorted(parts), k=120))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    sets = {x: set() for x in parts}
+    for r in language_id.learn_grams(docs, 3_000, 0.25)[1].collect():
+        sets[r.lang].add(r.gram % (1 << 64))
+    for (_, text, _), (name, score, hits, n) in zip(data, model.judge([t for _, t, _ in data]), strict=True):
+        found = language_id.grams([text])[0].tolist()
+        plain = {x: sum(g in sets[x] for g in found) for x in parts}
+        assert n == len(found) and name == max(sorted(plain), key=plain.get)
+        assert abs(hits - plain[name]) <= 0.03 * n and abs(score - plain[name] / sum(plain.values())) < 0.05
+
+
 def test_warc_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([("http://a/x", "<title>T</title><p>Hi\r\n\r\nthere <a href='/'>l</a></p>", 1), (None, None, 2)], "url string, html string, record int")
-    made = warc.responses(pages, "2024-01-01T00:00:00Z")
-    warc.write_warc(made, f"{tmp_path}/w")
-    back = warc.read_warc(spark, f"{tmp_path}/w/*.txt")
-    assert {bytes(r.record) for r in back.collect()} == {bytes(r.record) for r in made.collect()}
+    inner = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\nWARC/1.0\r\n"
+    rows = [("http://a/x", "<title>T</title><p>Hi\r\n\r\nthere <a href='/'>l</a></p>", 1), (None, None, 2), (None, None, 2), ("http://b/", inner, 3), ("http://c/", "<p>" + "long " * 400_000, 4)]
+    pages = spark.createDataFrame(rows, "url string, html string, record int").coalesce(1)
+    made = common.materialize(warc.responses(pages, "2024-01-01T00:00:00Z"), "t")
+    for k, compression in enumerate(("gzip", "none")):
+        warc.write_warc(made, f"{tmp_path}/w{k}", compression)
+        back = warc.read_warc(spark, f"{tmp_path}/w{k}")
+        assert Counter(bytes(r.record) for r in back.collect()) == Counter(bytes(r.record) for r in made.collect())
     derived = warc.derive(back).collect()
     responses = {r.record_id: r for r in made.collect()}
-    assert Counter(r.record_type for r in derived) == {"metadata": 2, "conversion": 2}
+    assert len(responses) == 5 and len({r.record_id for r in derived}) == 10
+    assert Counter(r.record_type for r in derived) == {"metadata": 5, "conversion": 5}
     assert all(r.refers_to in responses and responses[r.refers_to].target_uri == r.target_uri for r in derived)
-    text = next(bytes(r.record) for r in derived if r.record_type == "conversion" and r.target_uri)
+    text = next(bytes(r.record) for r in derived if r.record_type == "conversion" and r.target_uri == "http://a/x")
     assert text.endswith(b"\r\n\r\nHi there l") and warc.digest(b"Hi there l").encode() in text
     assert warc.derive(made.limit(0)).count() == 0
+    warc.write_warc(made.limit(0), f"{tmp_path}/none")
+    assert warc.read_warc(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError, match="longer"):
+        warc._parsed(bytes(made.first().record) + b"more")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import WORD_GAP, let
+from veritrail.llm.common import WORD_GAP, Scratch, let, materialize
 
 TERM_WORDS = 2
 #: 32 counters of two bits for each 64-bit half.
@@ -111,6 +111,45 @@ def halves(text: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(text, at, 16), 16, -10).cast("long") for at in (1, 17))
 
 
+def _signed(mask: int, size: int) -> list[int]:
+    """A mask of ``size`` bits as signed longs, high to low."""
+    parts = [(mask >> at) & ((1 << 64) - 1) for at in range(size - 64, -1, -64)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in parts]
+
+
+def _tables(size: int, radius: int, blocks: int) -> list[list[int]]:
+    """The masks of the permuted tables: each choice of ``blocks - radius`` blocks of the bits."""
+    from itertools import combinations
+
+    if not 0 <= radius < blocks:
+        raise ValueError("more blocks than the radius are needed")
+    cuts = [round(size * i / blocks) for i in range(blocks + 1)]
+    masks = [sum(1 << bit for bit in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [_signed(sum(chosen), size) for chosen in combinations(masks, blocks - radius)]
+
+
+def _masked(values: list[Column], mask: list[int]) -> list[Column]:
+    return [v.bitwiseAND(F.lit(m)) for v, m in zip(values, mask, strict=True)]
+
+
+def _keyed(prints: DataFrame, names: list[str], tables: list[list[int]], side: list[str], *others: str) -> DataFrame:
+    """``prints`` once for each table, with its number ``t`` and its key ``k``."""
+    own = [F.col(n) for n in names]
+    keys = F.array(*[F.struct(*[k.alias(f"k{i}") for i, k in enumerate(_masked(own, m))]) for m in tables])
+    return prints.select(*[F.col(n).alias(x) for n, x in zip(names, side, strict=True)], *others, F.posexplode(keys).alias("t", "k"))
+
+
+def _met(left: DataFrame, right: DataFrame, a: list[str], b: list[str], tables: list[list[int]], radius: int) -> DataFrame:
+    """Rows of both sides within the radius, each pair from the first table that has it."""
+    diff = [F.col(x).bitwiseXOR(F.col(y)) for x, y in zip(a, b, strict=True)]
+    distance = sum((F.bit_count(d) for d in diff[1:]), F.bit_count(diff[0]))
+    first = F.lit(None).cast("int")
+    for i, m in reversed(list(enumerate(tables))):
+        same = [x == 0 for x in _masked(diff, m)]
+        first = F.when(same[0] & same[-1], F.lit(i)).otherwise(first)
+    return left.join(right.hint("merge"), ["t", "k"]).withColumn("distance", distance).where((F.col("distance") <= radius) & (first == F.col("t")))
+
+
 def near_pairs(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """All pairs of distinct fingerprints within Hamming ``radius``, a < b.
 
@@ -123,42 +162,31 @@ def near_pairs(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame
     (long) of 64 bits, for (a, b, distance); equal ones count once, so copies
     make no pairs.
     """
-    from itertools import combinations
-
-    if not 0 <= radius < blocks:
-        raise ValueError("more blocks than the radius are needed")
     wide = "fingerprint" not in prints.columns
     names = ["high", "low"] if wide else ["fingerprint"]
-    size = 64 * len(names)
-    cuts = [round(size * i / blocks) for i in range(blocks + 1)]
-    masks = [sum(1 << bit for bit in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    tables = _tables(64 * len(names), radius, blocks)
+    a, b = ([side + (f"_{n}" if wide else "") for n in names] for side in ("a", "b"))
+    distinct = prints.select(*names).dropna().distinct()
+    before = F.struct(*a) < F.struct(*[F.col(y).alias(x) for x, y in zip(a, b, strict=True)])
+    met = _met(_keyed(distinct, names, tables, a), _keyed(distinct, names, tables, b), a, b, tables, radius)
+    return met.where(before).select(*a, *b, "distance")
 
-    def words(mask: int) -> list[int]:
-        parts = [(mask >> at) & ((1 << 64) - 1) for at in range(size - 64, -1, -64)]
-        return [m - (1 << 64) if m >= 1 << 63 else m for m in parts]
 
-    def masked(values: list[Column], mask: list[int]) -> list[Column]:
-        return [v.bitwiseAND(F.lit(m)) for v, m in zip(values, mask, strict=True)]
+def near_counts(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(high, low, n_near) for each distinct fingerprint of ``queries`` (high, low): how many rows of ``prints`` (high, low) lie within Hamming ``radius``.
 
-    tables = [words(sum(chosen)) for chosen in combinations(masks, blocks - radius)]
-    own = [F.col(n) for n in names]
-    distinct = prints.select(*names).dropna().distinct()
-    keyed = distinct.select(*names, F.posexplode(F.array(*[F.struct(*[k.alias(f"k{i}") for i, k in enumerate(masked(own, m))]) for m in tables])).alias("t", "k"))
-    sides = {side: [side + (f"_{n}" if wide else "") for n in names] for side in ("a", "b")}
-    left, right = (keyed.select(*[F.col(n).alias(x) for n, x in zip(names, sides[side], strict=True)], "t", "k") for side in ("a", "b"))
-    diff = [F.col(x).bitwiseXOR(F.col(y)) for x, y in zip(sides["a"], sides["b"], strict=True)]
-    distance = sum((F.bit_count(d) for d in diff[1:]), F.bit_count(diff[0]))
-    first = F.lit(None).cast("int")
-    for i, m in reversed(list(enumerate(tables))):
-        same = [x == 0 for x in masked(diff, m)]
-        first = F.when(same[0] & same[-1], F.lit(i)).otherwise(first)
-    before = F.struct(*sides["a"]) < F.struct(*[F.col(y).alias(x) for x, y in zip(sides["a"], sides["b"], strict=True)])
-    joined = left.join(right, ["t", "k"]).where(before & (distance <= radius) & (first == F.col("t")))
-    return joined.select(*sides["a"], *sides["b"], distance.alias("distance"))
+    By the tables of ``near_pairs``; rows of one fingerprint are counted
+    first, so copies meet a query once.
+    """
+    names, a, b = ["high", "low"], ["a_high", "a_low"], ["b_high", "b_low"]
+    tables = _tables(128, radius, blocks)
+    counted = prints.select(*names).dropna().groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    met = _met(_keyed(counted, names, tables, b, "n"), _keyed(queries.select(*names).dropna().distinct(), names, tables, a), a, b, tables, radius)
+    return met.groupBy(*a).agg(F.sum("n").alias("n_near")).select(F.col("a_high").alias("high"), F.col("a_low").alias("low"), "n_near")
 
 
 def fingerprint_documents(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, high, low for each row of ``docs`` (doc_id, text)."""
     rows = with_successor(docs, parts, min(8 * parts, 2_048))
     rows = rows.withColumn("edited", edit(F.col("text"), F.coalesce("next_text", F.lit(""))))
     versions = F.array(
@@ -176,11 +204,16 @@ def fingerprint_documents(docs: DataFrame, parts: int) -> DataFrame:
     return last.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(*own).alias("fingerprint"), as_text(F.col("e_high"), F.col("e_low")).alias("edited_fingerprint"),
-        likeness(*own, F.col("e_high"), F.col("e_low")).alias("near_edited"), likeness(*own, F.col("n_high"), F.col("n_low")).alias("near_next"),
+        likeness(*own, F.col("e_high"), F.col("e_low")).alias("near_edited"), likeness(*own, F.col("n_high"), F.col("n_low")).alias("near_next"), "high", "low",
     )
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness."""
+    """Fingerprints of every document and of its edited text, and their likeness; and, for doc_ids divisible by 50, n_near: how many other documents have a fingerprint within 3 bits."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), parts)
+    with Scratch(spark) as scratch:
+        made = scratch.keep(fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), parts), "fingerprints")
+        asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+        found = near_counts(made.where(asked), made).withColumn("n_near", F.col("n_near") - 1)
+        with_near = made.where(asked).join(found.hint("merge"), ["high", "low"]).unionByName(made.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+        return materialize(with_near.drop("high", "low"), "op9")

@@ -14,8 +14,10 @@ be taken in part.
 
 Defined results: a null text has size 0 and takes 0.  A null source is a
 source of its own.  A source of size 0 has target 0.  Repeated rows and ids
-each count.  An empty table gives no rows.  Other columns are carried by
-``mix`` and ignored by the query; the operator's own start with ``mix_``.
+each count; rows that are equal in doc_id and text take their places side by
+side.  An empty table gives no rows.  Other columns are carried by ``mix`` and
+ignored by the query; the operator's own start with ``mix_`` and replace
+columns of such names, which only ``training_rows`` keeps.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5
     for each source, so a source with any share of the rows is summed by many
     tasks.  The rows are dealt once, by source and run.
     """
-    sized = docs.select(*(carry or docs.columns), F.size(words(F.col("text"))).cast("long").alias("mix_size"), F.xxhash64(F.lit("mix"), "doc_id").alias("mix_key"), F.xxhash64("text").alias("mix_tie"))
+    sized = docs.select(*(carry or [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]), F.size(words(F.col("text"))).cast("long").alias("mix_size"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("mix_key"), F.xxhash64("text").alias("mix_tie"))
     sized = sized.withColumn("mix_bucket", F.shiftrightunsigned(F.col("mix_key"), 64 - (buckets - 1).bit_length()).cast("int"))
     sized = materialize(sized, "mix-sized")
     runs = materialize(sized.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("run_size")), "mix-runs")
@@ -117,24 +119,31 @@ def training_copies(mixed: DataFrame, max_epochs: int = 2, schedules: tuple[tupl
     return copies.withColumn("mix_position", demand_time(F.col("__at") / F.greatest(F.col("mix_target"), F.lit(1.0)), schedule, len(schedules[0]) - 1)).drop("__at")
 
 
-def training_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``docs`` as often as the mix takes them, with mix_position, range-sorted by it.
+def training_rows(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(row, mix_position): the rows of ``docs``, as structs, as often as the mix takes them, range-sorted by position.
 
     Places are worked out on narrow rows; texts are dealt twice only, to meet
     their places and to be sorted.  Rows that are equal in all columns share
     their places: one of them stands for all.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select("*", F.xxhash64(F.lit(1), *columns).alias("mix_r1"), F.xxhash64(*columns, F.lit(2)).alias("mix_r2"))
+    keyed = docs.select(F.struct(*columns).alias("row"), "doc_id", "source", "text", F.xxhash64(F.lit(1), *columns).alias("mix_r1"), F.xxhash64(*columns, F.lit(2)).alias("mix_r2"))
     places = training_copies(mix(keyed, carry=["mix_r1", "mix_r2", "doc_id", "source"])).groupBy("mix_r1", "mix_r2").agg(F.collect_list("mix_position").alias("mix_positions"))
-    met = keyed.join(places.hint("merge"), ["mix_r1", "mix_r2"])
+    met = keyed.select("row", "doc_id", "mix_r1", "mix_r2").join(places.hint("merge"), ["mix_r1", "mix_r2"])
     one = met.withColumn("mix_n", F.row_number().over(Window.partitionBy("mix_r1", "mix_r2").orderBy("mix_r1"))).where("mix_n = 1")
-    timed = one.select(*columns, F.explode("mix_positions").alias("mix_position"))
+    timed = one.select("row", "doc_id", F.explode("mix_positions").alias("mix_position"))
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return timed.repartitionByRange(parts, "mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
+    return timed.repartitionByRange(parts, "mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id").select("row", "mix_position")
+
+
+def training_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """``docs`` as often as the mix takes them, with mix_position, range-sorted by it."""
+    return training_rows(docs, parts).select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "mix_position"], "mix_position")
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place in the mix: doc_id, size, source_size, target, taken, source, position."""
+    """Every document's place in the mix, range-sorted by position: doc_id, size, source_size, target, taken, source, position."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), carry=["doc_id", "source"])
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), "source", F.col("mix_position").alias("position"))
+    out = mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), "source", F.col("mix_position").alias("position"))
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return out.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)

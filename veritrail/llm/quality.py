@@ -8,7 +8,8 @@ are computed beside this.  All work stays in the row: nothing is shuffled.
 Defined results: a null or empty text has no words and no lines, fails the
 base and isn't kept.  A text whose lines are all blank is like it.  Repeated
 rows are judged alike.  An empty table gives no rows.  ``clean_lines`` keeps
-all other columns and adds its own, starting with ``q_``.
+all other columns and adds its own, starting with ``q_``, which replace columns
+of these names.
 """
 
 from __future__ import annotations
@@ -97,20 +98,20 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     judged = let(lines, lambda ls: F.struct((F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("dup"), F.filter(ls, lambda x: ~line_fails(x)).alias("kept"), F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x)).alias("chars")))
     counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated")))
-    out = docs.withColumn("q_l", judged).withColumn("q_w", counted)
-    kept_chars = F.aggregate(F.col("q_l.kept"), F.lit(0), lambda a, x: a + F.length(x))
-    out = out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("q_w.n").alias("q_n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("q_word_chars"),
-        _count_of(text, SYMBOLS).alias("q_n_symbols"),
-        F.col("q_l.dup").alias("q_n_dup_lines"),
-        F.col("q_w.repeated").alias("q_n_repeat_words"),
-        F.array_join("q_l.kept", "\n").alias("q_text"),
-        F.when(F.col("q_l.chars") > 0, 1 - kept_chars / F.col("q_l.chars")).otherwise(F.lit(1.0)).alias("q_lost"),
-    )
-    base_failed = (F.col("q_n_words") < 20) | (100 * F.col("q_n_repeat_words") > 30 * F.col("q_n_words"))
-    return out.withColumn("q_base_failed", base_failed).withColumn("q_kept", ~base_failed & (F.col("q_lost") <= max_lost))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"), judged.alias("l"), counted.alias("w"))
+    text, kept_chars = F.col("t"), F.aggregate(F.col("l.kept"), F.lit(0), lambda a, x: a + F.length(x))
+    own = {
+        "q_n_words": F.col("w.n"),
+        "q_word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
+        "q_n_symbols": _count_of(text, SYMBOLS),
+        "q_n_dup_lines": F.col("l.dup"),
+        "q_n_repeat_words": F.col("w.repeated"),
+        "q_text": F.array_join("l.kept", "\n"),
+        "q_lost": F.when(F.col("l.chars") > 0, 1 - kept_chars / F.col("l.chars")).otherwise(F.lit(1.0)),
+        "q_base_failed": (F.col("w.n") < 20) | (100 * F.col("w.repeated") > 30 * F.col("w.n")),
+    }
+    out = inner.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in own and c != "q_kept"], *[v.alias(k) for k, v in own.items()])
+    return out.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_lost") <= max_lost))
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,17 @@ folder of Parquet tables:
               vocabulary allows it, else four); one row for each distinct
               chunk, dealt over files by digest.
 ``recipes``   doc_id, n_tokens and the digests of the document's chunks in
-              order, with start, the number of ids of all documents before it.
-              Files are range-partitioned, and rows sorted, by doc_id.
-``manifest``  one row for each recipe file part: its first id position, counts
-              and the Merkle root over the part's documents; a document's leaf
-              is the hash of its chunk digests.
+              order; files are range-partitioned, and rows sorted, by doc_id.
+              Rows are numbered (``seq``) in their ``part``, ``GROUP`` of them
+              to a ``bunch``.
+``manifest``  one row for each bunch: its first id position, counts, bytes an
+              id, and the Merkle root over its documents; a document's leaf is
+              the hash of its chunk digests.  Bunches do not depend on how
+              files are split when they are read.
 
 Defined results: a null or empty text has just the end id.  A null doc_id
-sorts first.  Repeated doc_ids keep a recipe each, in order of their digests;
-their ids still stand side by side.  An empty table gives empty tables.  Other
+sorts first.  Repeated doc_ids keep a recipe each, in order of their lengths
+and a hash of their digests; their ids still stand side by side.  An empty table gives empty tables.  Other
 columns are ignored.
 """
 
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import fresh_path
+from veritrail.llm.common import Scratch, materialize, remove
 
-_WINDOW = 8
+_WINDOW, GROUP = 8, 4_096
 _TOKENIZED = "doc_id long, n_tokens long, chunks array<struct<digest: binary, n_ids: int, ids: binary>>"
 
 
@@ -72,8 +74,8 @@ def tokenize_chunks(docs: DataFrame, tokenizer_path: str, end_id: int, width: in
         enc = encoder(tokenizer_path)
         kind, tail = f"<u{width}", np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(at, 1_000)
+            for at in range(0, whole.num_rows, 2_500):
+                batch = whole.slice(at, 2_500)
                 raw = enc.encode(batch.column(1).to_pylist())
                 ends = np.cumsum([len(one) // 4 + 1 for one in raw])
                 ids = np.frombuffer(b"".join([x for one in raw for x in (one, tail)]), dtype="<u4")
@@ -101,43 +103,62 @@ def _leaf(n_tokens: int, digests: list[bytes]) -> bytes:
     return hashlib.sha256(b"\x00" + n_tokens.to_bytes(8, "little") + b"".join(digests)).digest()
 
 
-def _part_roots(recipes: DataFrame, schema_part: str = "part") -> DataFrame:
-    """One row for each part: counts and Merkle root, over the part's documents as they are sorted.  A part is one file's rows; it is read in batches and keeps one hash a document."""
+def _bunch_roots(recipes: DataFrame) -> DataFrame:
+    """part, bunch, n_docs, n_tokens, root: the Merkle root over each bunch's documents, ``GROUP`` hashes at most."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, tuple[list[bytes], int]] = {}
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_leaf(n, digests) for n, digests in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["part", "bunch", "seq", "n_tokens", "leaf"])
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, n, digests in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                leaves, total = parts.get(part, ([], 0))
-                leaves.append(_leaf(n, digests))
-                parts[part] = (leaves, total + n)
-        rows = [(p, len(leaves), total, merkle_root(leaves)) for p, (leaves, total) in parts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "n_docs", "n_tokens", "root"])
+            found = [merkle_root(x) for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["part", "bunch", "n_docs", "n_tokens", "root"])
 
-    return recipes.select(F.col(schema_part).alias("part"), "n_tokens", "digests").mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+    own = recipes.select("part", "bunch", "seq", "n_tokens", "digests").mapInArrow(leaves, "part long, bunch long, seq long, n_tokens long, leaf binary")
+    lists = own.groupBy("part", "bunch").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "leaf"))).alias("l"))
+    return lists.select("part", "bunch", "n_docs", "n_tokens", F.col("l.leaf").alias("leaves")).mapInArrow(roots, "part long, bunch long, n_docs long, n_tokens long, root binary")
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, vocab_size: int = 50_257, mean_chunk: int = 256, longest_chunk: int = 2_048, parts: int | None = None) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, mean_chunk: int = 256, longest_chunk: int = 2_048, parts: int | None = None) -> None:
     """Tokenize ``docs`` (doc_id, text) and write a store at ``path``, which every executor must reach.
 
     The token stream is dealt once, by chunk digest; recipes carry digests only.
     """
+    from veritrail.llm.tokens import vocabulary_size
+
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = 2 if vocab_size <= 65_536 else 4
+    width = 2 if max(vocabulary_size(tokenizer_path), end_id + 1) <= 65_536 else 4
     tokenized = tokenize_chunks(docs, tokenizer_path, end_id, width, mean_chunk, longest_chunk)
-    # The tokenizer runs once: its output is written as it comes, chunks beside recipes.
+    # The tokenizer runs once: its output is written as it comes, chunks beside recipes, until both are dealt.
     tokenized.write.option("compression", "zstd").parquet(f"{path}/stream")
     stream = spark.read.schema(_TOKENIZED).parquet(f"{path}/stream")
     chunk = stream.select(F.explode("chunks").alias("c")).select("c.*")
     chunk.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipe = stream.select("doc_id", "n_tokens", F.col("chunks.digest").alias("digests"))
-    by_doc = recipe.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "digests")
-    by_doc.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = _part_roots(spark.read.parquet(f"{path}/recipes"))
-    # One row a part, so this window is as small as the number of files.
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    roots.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).write.parquet(f"{path}/manifest")
+    recipe = stream.select("doc_id", "n_tokens", F.col("chunks.digest").alias("digests")).withColumn("tie", F.xxhash64("digests"))
+    order = ["doc_id", "n_tokens", "tie"]
+    by_doc = recipe.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    # The id counts a partition's rows in its lower 33 bits.
+    seq = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    by_doc.select("doc_id", "n_tokens", "digests", F.shiftrightunsigned("row", 33).alias("part"), seq.alias("seq"), F.floor(seq / GROUP).alias("bunch")).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    remove(spark, f"{path}/stream")
+    roots = _bunch_roots(spark.read.parquet(f"{path}/recipes"))
+    before = Window.partitionBy("part").orderBy("bunch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    roots = roots.withColumn("run", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    with Scratch(spark) as scratch:
+        roots = scratch.keep(roots, "bunches")
+        bases = roots.groupBy(F.col("part").alias("p")).agg(F.sum("n_tokens").alias("n")).select("p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+        manifest = roots.join(bases, F.col("part") == F.col("p")).select("part", "bunch", "n_docs", "n_tokens", "root", (F.col("base") + F.col("run")).alias("start"), F.lit(width).alias("width"))
+        manifest.write.parquet(f"{path}/manifest")
+
+
+def _width(spark: SparkSession, path: str) -> int:
+    """Bytes an id, from the manifest; that of an empty store doesn't matter."""
+    row = spark.read.parquet(f"{path}/manifest").select("width").first()
+    return row["width"] if row else 4
 
 
 class CrcJoiner:
@@ -204,23 +225,24 @@ def _chunk_sums(chunks: DataFrame, width: int) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row a part: whether its recipes still hash to the manifest's Merkle root, with both counts."""
-    now = _part_roots(spark.read.parquet(f"{path}/recipes")).select("part", F.col("root").alias("now_root"), F.col("n_docs").alias("now_docs"), F.col("n_tokens").alias("now_tokens"))
+    """One row a bunch: whether its recipes still hash to the manifest's Merkle root, with both counts."""
+    keys = ["part", "bunch"]
+    now = _bunch_roots(spark.read.parquet(f"{path}/recipes")).select(*keys, F.col("root").alias("now_root"), F.col("n_docs").alias("now_docs"), F.col("n_tokens").alias("now_tokens"))
     kept = spark.read.parquet(f"{path}/manifest")
-    return kept.join(now, "part", "full_outer").select("part", "n_docs", "n_tokens", "start", (F.col("root").eqNullSafe(F.col("now_root")) & F.col("n_docs").eqNullSafe(F.col("now_docs")) & F.col("n_tokens").eqNullSafe(F.col("now_tokens"))).alias("intact"))
+    return kept.join(now, keys, "full_outer").select(*keys, "n_docs", "n_tokens", "start", (F.col("root").eqNullSafe(F.col("now_root")) & F.col("n_docs").eqNullSafe(F.col("now_docs")) & F.col("n_tokens").eqNullSafe(F.col("now_tokens"))).alias("intact"))
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, digests of every document, from the files; a part that fails its Merkle root raises."""
+    """doc_id, start, n_tokens, digests of every document, from the files; a bunch that fails its Merkle root raises."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    parts = verify_manifest(spark, path).select("part", F.when(F.col("intact"), F.col("start")).otherwise(F.raise_error(F.lit("token store: a recipe part fails its Merkle root"))).alias("base"))
-    before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "digests").rowsBetween(Window.unboundedPreceding, -1)
-    return recipes.withColumn("run", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("run")).alias("start"), "n_tokens", "digests")
+    bunches = verify_manifest(spark, path).select("part", "bunch", F.when(F.col("intact"), F.col("start")).otherwise(F.raise_error(F.lit("token store: a bunch of recipes fails its Merkle root"))).alias("base"))
+    before = Window.partitionBy("part", "bunch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return recipes.withColumn("run", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(bunches.hint("merge"), ["part", "bunch"]).select("doc_id", (F.col("base") + F.col("run")).alias("start"), "n_tokens", "digests")
 
 
-def read_ids(spark: SparkSession, path: str, vocab_size: int = 50_257) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids (array of int): every document rebuilt from its chunks."""
-    width = 2 if vocab_size <= 65_536 else 4
+    width = _width(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,14 +256,14 @@ def read_ids(spark: SparkSession, path: str, vocab_size: int = 50_257) -> DataFr
     return parts.select("doc_id", "start", F.col("p.ids").alias("parts")).mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
-def read_digests(spark: SparkSession, path: str, vocab_size: int = 50_257) -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks of every document, from the files.
 
     Each stored chunk is read, checked against its name and summed where it
     lies; only sums meet the recipes, and a document's CRC is joined from its
     chunks' CRCs in order.
     """
-    width = 2 if vocab_size <= 65_536 else 4
+    width = _width(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = CrcJoiner()
@@ -266,6 +288,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through a store and back: doc_id, start, n_tokens, ids_crc32, n_chunks."""
     import public_tokenizers
 
-    path = fresh_path(spark, "token-store")
-    write_store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_digests(spark, path)
+    with Scratch(spark) as scratch:
+        path = scratch.path("token-store")
+        write_store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+        return materialize(read_digests(spark, path), "token-digests")

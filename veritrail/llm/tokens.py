@@ -173,6 +173,12 @@ class UnitEncoder:
             self.old, self.young = young, {}
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 

@@ -7,21 +7,25 @@ source's WARC and HTTP headers, digests, title, link count) and ``conversion``
 WARC-Refers-To-Target-URI/-Date, the source's are kept; block digests are
 SHA-1 in base 32, as is usual for WARC.
 
-Files: records end with two line ends, which is the line separator Spark's
-text writer is given, so WARC files are written by Spark in any store that it
-can write; ``read_warc`` reads files (also gzip) with the binary-file source.
+Files: a record ends with two line ends, which is the line separator Spark's
+text writer is given, so WARC files (gzip by default) are written by Spark in
+any store that it can write.  ``read_warc`` has Spark's text reader cut files
+where one record ends and the next begins, so files are read in pieces and
+never held; a payload that itself holds such a place is put together again by
+its Content-Length.
 
 Defined results: a null or empty page is a response with an empty payload, and
 its conversion has an empty block.  A null url is an empty target.  Repeated
-pages give records with equal ids, as ids come from content.  An empty table
-gives no rows.  Broken records (no blank line, a wrong Content-Length) raise
-in ``read_warc``.  Other columns are ignored.
+pages give records of their own: ids come from the content and the row's place
+in the table.  An empty table gives no rows.  Broken records (no blank line, a
+wrong Content-Length) raise in ``read_warc``, and so does a record put together
+of pieces that fall into two splits of a file, which compressed files don't
+have.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import re
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm import html_text
+from veritrail.llm.common import Scratch, materialize
 
 _END = b"\r\n"
 _RECORD = "record_id string, record_type string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, record binary"
@@ -43,17 +48,14 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
-def record_id(kind: str, target: str, block: bytes) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {target} {digest(block)}')}>"
-
-
-def build(kind: str, target: str, date: str, content_type: str, block: bytes, extra: list[tuple[str, str]], payload: bytes | None = None) -> tuple:
-    """A record's row; ``record`` holds the bytes without the two line ends that close it."""
-    rid = record_id(kind, target, block)
-    payload_digest = digest(block if payload is None else payload)
-    head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Target-URI", re.sub(r"[\r\n]", "", target)), ("WARC-Date", date), *extra, ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", payload_digest), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
+def build(kind: str, name: str, target: str, date: str, content_type: str, block: bytes, extra: list[tuple[str, str]], payload: bytes | None = None) -> tuple:
+    """A record's row; ``name`` tells it from all others of its kind; ``record`` holds the bytes without the two line ends that close it."""
+    block_digest = digest(block)
+    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {name} {target} {block_digest}')}>"
+    payload_digest = block_digest if payload is None else digest(payload)
+    head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Target-URI", re.sub(r"[\r\n]", "", target)), ("WARC-Date", date), *extra, ("WARC-Block-Digest", block_digest), ("WARC-Payload-Digest", payload_digest), ("Content-Type", content_type), ("Content-Length", str(len(block)))]
     raw = b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + _END + block
-    return rid, kind, dict(extra).get("WARC-Refers-To"), target, date, content_type, len(block), digest(block), payload_digest, raw
+    return rid, kind, dict(extra).get("WARC-Refers-To"), target, date, content_type, len(block), block_digest, payload_digest, raw
 
 
 def headers_of(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
@@ -75,13 +77,13 @@ def responses(pages: DataFrame, date: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for place, url, page in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 body = (page or "").encode("utf-8", "surrogatepass")
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-                rows.append(build("response", url or "", date, "application/http; msgtype=response", block, [], body))
+                rows.append(build("response", str(place), url or "", date, "application/http; msgtype=response", block, [], body))
             yield _rows(rows)
 
-    return pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _RECORD)
+    return pages.select(F.monotonically_increasing_id().alias("place"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _RECORD)
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -102,46 +104,68 @@ def derive(records: DataFrame) -> DataFrame:
                     link = [("WARC-Refers-To", source["WARC-Record-ID"]), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)]
                     title = re.search(r"<title[^>]*>(.*?)</title", page, re.I | re.S)
                     about = {"Envelope": {"WARC-Header-Metadata": source, "Payload-Metadata": {"HTTP-Response-Metadata": {"Status-Line": block.split(_END, 1)[0].decode("latin-1"), "Headers": dict(http), "Entity-Length": len(body), "Entity-Digest": digest(body), "HTML-Metadata": {"Title": title and html_text.html_lib.unescape(title[1]).strip(), "Links": len(re.findall(r"<a\s[^>]*href", page, re.I))}}}}}
-                    rows.append(build("metadata", target, date, "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass"), link))
-                    rows.append(build("conversion", target, date, "text/plain", "\n".join(b.text for b in html_text.blocks(page)[0]).encode("utf-8", "surrogatepass"), link))
+                    rows.append(build("metadata", source["WARC-Record-ID"], target, date, "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass"), link))
+                    rows.append(build("conversion", source["WARC-Record-ID"], target, date, "text/plain", "\n".join(b.text for b in html_text.blocks(page)[0]).encode("utf-8", "surrogatepass"), link))
                 yield _rows(rows)
 
     return records.select("record").mapInArrow(run, _RECORD)
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+#: Where one record ends and the next begins, up to the version's last digit.
+_BETWEEN = b"\r\n\r\nWARC/1."
+
+
+def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write ``record`` of each row into WARC files, one for each partition."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    options = {"lineSep": "\r\n\r\n", "compression": compression, "zlib.compress.level": "BEST_SPEED"}
+    records.select(F.col("record").cast("string").alias("value")).write.options(**options).text(path)
+
+
+def _parsed(raw: bytes) -> tuple | None:
+    """The row of a whole record, less the two line ends behind a file's last; None if more of it is to come."""
+    blank = raw.find(_END + _END)
+    if blank < 0:
+        return None
+    source = dict(headers_of(raw[: blank + 4])[0])
+    missing = int(source["Content-Length"]) - (len(raw) - blank - 4)
+    if missing == -4 and raw.endswith(_END + _END):
+        raw = raw[:-4]
+    elif missing:
+        if missing < 0:
+            raise ValueError(f"record {source.get('WARC-Record-ID')} is longer than its Content-Length")
+        return None
+    return source["WARC-Record-ID"], source["WARC-Type"], source.get("WARC-Refers-To"), source.get("WARC-Target-URI"), source.get("WARC-Date"), source.get("Content-Type"), int(source["Content-Length"]), source.get("WARC-Block-Digest"), source.get("WARC-Payload-Digest"), raw
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under ``path``.  A file is read by one task, so files should stay within a task's memory, as crawlers' do."""
+    """Records of the WARC files under ``path``, plain or compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = b""
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                at, rows = 0, []
-                while at < len(data):
-                    blank = data.find(_END + _END, at)
-                    if blank < 0 or not data.startswith(b"WARC/", at):
-                        raise ValueError(f"no WARC header at byte {at}")
-                    head, _ = headers_of(data[at : blank + 4])
-                    source = dict(head)
-                    end = blank + 4 + int(source["Content-Length"])
-                    if data[end : end + 4] != _END + _END:
-                        raise ValueError(f"record at byte {at} does not end after its Content-Length")
-                    rows.append((source["WARC-Record-ID"], source["WARC-Type"], source.get("WARC-Refers-To"), source.get("WARC-Target-URI"), source.get("WARC-Date"), source.get("Content-Type"), int(source["Content-Length"]), source.get("WARC-Block-Digest"), source.get("WARC-Payload-Digest"), data[at:end]))
-                    at = end + 4
-                    if len(rows) >= 500:
-                        yield _rows(rows)
-                        rows = []
+            for at in range(0, batch.num_rows, 500):
+                rows = []
+                for piece in batch.column(0).slice(at, 500).to_pylist():
+                    first = piece.startswith(b"WARC/1.")
+                    if begun and first:
+                        raise ValueError("a file ends within a record")
+                    raw = piece if first else begun + _BETWEEN + piece if begun else _BETWEEN[4:] + piece
+                    row = _parsed(raw)
+                    begun = b"" if row else raw
+                    if row:
+                        rows.append(row)
                 yield _rows(rows)
+        if begun:
+            raise ValueError("a file or a split of one ends within a record")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _RECORD)
+    lines = spark.read.option("lineSep", _BETWEEN.decode()).text(path)
+    return lines.select(F.col("value").cast("binary")).where(F.length("value") > 0).mapInArrow(run, _RECORD)
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of every page: ids, links, headers and digests, with the block's SHA-256 of the record."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html")
-    return derive(responses(pages, "2024-01-01T00:00:00Z")).select(*_FIELDS[:-1], F.sha2("record", 256).alias("record_sha256"))
+    """Every page written into WARC files as a response, read back, and derived into WARC files: the derivatives' ids, links, headers and digests, and the SHA-256 of their bytes, from those files."""
+    with Scratch(spark) as scratch:
+        source, derived = scratch.path("warc"), scratch.path("warc-derived")
+        write_warc(responses(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html"), "2024-01-01T00:00:00Z"), source)
+        write_warc(derive(read_warc(spark, source)), derived)
+        return materialize(read_warc(spark, derived).select(*_FIELDS[:-1], F.sha2("record", 256).alias("record_sha256")), "warc-records")
