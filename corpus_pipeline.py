@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import materialize
 from veritrail.llm.language_id import fit, judge_rows
-from veritrail.llm.mixing import training_order
+from veritrail.llm.mixing import training_rows
 from veritrail.llm.near_dup import near_duplicates
 from veritrail.llm.packing import pack_documents
 from veritrail.llm.repeats import remove_repeats
@@ -43,7 +43,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
-    return training_order(docs).select(*docs.columns)
+    return training_rows(docs).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
