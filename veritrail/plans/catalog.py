@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.plans import domain_queries, text_queries
+from veritrail.plans import citation_queries, domain_queries, registry_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | domain_queries.QUERIES
-ORACLES: dict[str, str] = text_queries.ORACLES | domain_queries.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | domain_queries.QUERIES | registry_queries.QUERIES | citation_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | domain_queries.ORACLES | registry_queries.ORACLES | citation_queries.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ _DATE = f"{_s('1 + l_partkey % 28')} de {{0}} de {{1}}"
 
 #: Derived tables in order: a table reads given tables and those before it.
 TABLES = {
+    "line": """SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_discount) AS l_discount FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "doc": """SELECT c_custkey AS document_id, CASE c_custkey % 4 WHEN 0 THEN 'LEY' WHEN 1 THEN 'DECRETO' WHEN 2 THEN 'RESOLUCION' ELSE 'CIRCULAR' END AS document_type,
  c_custkey % 97 + 1 AS number, 1990 + c_nationkey AS year, CASE WHEN c_custkey % 4 >= 2 THEN CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'MINHACIENDA' ELSE 'DIAN' END END AS issuer, c_name AS title FROM customer""",
     "ident": f"""SELECT document_id * 10 AS identifier_id, document_id, 'primary' AS identifier_type, CASE WHEN document_id % 13 = 0 THEN 'CO:' || document_type ELSE 'CO:' || coalesce(issuer || ':', '') || document_type || ':' || {_s('number')} || ':' || {_s('year')} END AS identifier_value FROM doc
@@ -37,26 +38,26 @@ TABLES = {
     "ext": """SELECT o_orderkey AS extraction_id, o_orderkey - o_orderkey % 2 AS manifestation_id, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'success' END AS status, o_orderdate AS created_at, o_custkey % 7 AS segment_count FROM orders""",
     "seg": f"""SELECT *, CASE WHEN segment_id % 53 = 0 THEN md5('x') ELSE md5(text) END AS text_hash FROM (SELECT l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey AS extraction_id, l_linenumber AS sequence_no,
  CASE (l_suppkey + l_linenumber) % 7 WHEN 0 THEN 'article' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'editorial_note' WHEN 3 THEN 'article' WHEN 4 THEN 'document_heading' WHEN 5 THEN 'closing' ELSE 'section_heading' END AS segment_type,
- CASE (l_suppkey + l_linenumber) % 7 WHEN 0 THEN 'ARTÍCULO ' || {_s('l_partkey % 30 + 1')} || '. DISPOSICIONES VARIAS. Modifícase el artículo ' || {_s('l_partkey % 12 + 1')} || ' de la ' || {_ACT} || '. Derógase la ' || {_ACT2} || '.'
+ CASE (l_suppkey + l_linenumber) % 7 WHEN 0 THEN 'ARTÍCULO ' || {_s('l_partkey % 30 + 1')} || '. DISPOSICIONES VARIAS. Modifíquese el artículo ' || {_s('l_partkey % 12 + 1')} || ' de la ' || {_ACT} || '. Deróguese la ' || {_ACT2} || '.'
  WHEN 1 THEN 'Que según los artículos ' || {_s('l_partkey % 9 + 1')} || ', ' || {_s('l_partkey % 9 + 2')} || ' y ' || {_s('l_partkey % 9 + 4')} || ' de la ' || {_ACT} || ', y conforme al ' || {_ACT2} || ', procede.'
  WHEN 2 THEN '<Artículo modificado por el artículo ' || {_s('l_suppkey % 12 + 1')} || ' de la ' || {_ACT} || '> Texto vigente.'
  WHEN 3 THEN 'ARTÍCULO ' || {_s('l_partkey % 30 + 1')} || '. Vigencia. La presente ' || {_ACT2} || ' rige a partir de su publicación y no podrá exceder de ' || {_s('l_partkey % 9 + 1')} || '.' || {_s('l_suppkey % 900 + 100')} || ' UVT; ni ser inferior a ' || {_s('l_suppkey % 90')} || ',5 UVT.'
  WHEN 4 THEN 'Publicado en el Diario Oficial el ' || {_s('1 + l_partkey % 31')} || ' de ' || {_MONTH.format('l_suppkey')} || ' de ' || {_s('1990 + l_partkey % 25')}
  WHEN 5 THEN 'Dado en Bogotá, D. C., a ' || {_s('1 + l_suppkey % 31')} || ' de ' || {_MONTH.format('l_partkey')} || ' de ' || {_s('1990 + l_suppkey % 25')} || '.'
- ELSE 'CAPÍTULO ' || {_s('l_linenumber')} END AS text FROM lineitem) AS plain""",
+ ELSE 'CAPÍTULO ' || {_s('l_linenumber')} END AS text FROM line) AS plain""",
     "prov": f"""SELECT p_partkey AS provision_id, 1 + p_partkey % 1600 AS document_id, {_s('p_size % 12 + 1')} AS designation FROM part""",
-    "obs": """SELECT l_orderkey * 10 + l_linenumber AS observation_id, l_partkey AS provision_id, l_orderkey - CASE WHEN l_partkey % 19 = 0 THEN 1 ELSE 0 END AS extraction_id, l_orderkey * 10 + l_linenumber AS segment_id, md5(CAST(l_returnflag AS STRING)) AS text_hash FROM lineitem""",
+    "obs": """SELECT l_orderkey * 10 + l_linenumber AS observation_id, l_partkey AS provision_id, l_orderkey - CASE WHEN l_partkey % 19 = 0 THEN 1 ELSE 0 END AS extraction_id, l_orderkey * 10 + l_linenumber AS segment_id, md5(CAST(l_returnflag AS STRING)) AS text_hash FROM line""",
     "mention": f"""SELECT l_orderkey * 10 + l_linenumber AS mention_id, l_orderkey * 10 + l_linenumber - CASE WHEN l_partkey % 23 = 0 THEN 100000000 ELSE 0 END AS segment_id, CASE WHEN l_suppkey % 3 = 0 THEN 'document' ELSE 'article' END AS mention_type,
  CASE l_partkey % 4 WHEN 0 THEN 'LEY' WHEN 1 THEN 'DECRETO' WHEN 2 THEN 'RESOLUCION' ELSE 'CIRCULAR' END AS target_type, l_partkey % 97 + 1 AS target_number, 1990 + l_suppkey % 25 AS target_year, CASE WHEN l_suppkey % 7 = 0 THEN 'DIAN' END AS target_issuer,
- CASE WHEN l_suppkey % 29 = 0 THEN '' ELSE {_s('l_suppkey % 14 + 1')} END AS article, l_linestatus = 'O' AND l_partkey % 31 = 0 AS review FROM lineitem""",
+ CASE WHEN l_suppkey % 29 = 0 THEN '' ELSE {_s('l_suppkey % 14 + 1')} END AS article, l_linestatus = 'O' AND l_partkey % 31 = 0 AS review FROM line""",
     "rel": """SELECT l_orderkey * 10 + l_linenumber AS relation_id, CASE l_linenumber % 2 WHEN 0 THEN 'document' ELSE 'provision' END AS source_type, CASE l_linenumber % 2 WHEN 0 THEN l_suppkey ELSE l_partkey END AS source_id,
  CASE WHEN l_linenumber % 3 = 0 THEN 'provision' WHEN l_linenumber = 7 THEN 'topic' ELSE 'document' END AS target_type, l_partkey + CASE WHEN l_suppkey % 41 = 0 THEN 100000000 ELSE 0 END AS target_id,
- CASE l_partkey % 5 WHEN 0 THEN 'modifies' WHEN 1 THEN 'repeals' WHEN 2 THEN 'adds' WHEN 3 THEN 'conflicts_with' ELSE 'cites' END AS relation_type, CASE l_returnflag WHEN 'R' THEN 'candidate' ELSE 'validated' END AS status, CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS evidence_id, l_discount * 10 AS confidence FROM lineitem""",
-    "evid": """SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey - l_orderkey % 2 + CASE WHEN l_suppkey % 43 = 0 THEN 1 ELSE 0 END AS manifestation_id, md5(CAST(l_orderkey % 5000 AS STRING)) AS source_sha256, CASE WHEN l_linenumber % 3 = 0 THEN 'claim' ELSE 'relation' END AS owner_type, l_orderkey * 10 + l_linenumber AS owner_id FROM lineitem""",
+ CASE l_partkey % 5 WHEN 0 THEN 'modifies' WHEN 1 THEN 'repeals' WHEN 2 THEN 'adds' WHEN 3 THEN 'conflicts_with' ELSE 'cites' END AS relation_type, CASE l_returnflag WHEN 'R' THEN 'candidate' ELSE 'validated' END AS status, CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS evidence_id, l_discount * 10 AS confidence FROM line""",
+    "evid": """SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey - l_orderkey % 2 + CASE WHEN l_suppkey % 43 = 0 THEN 1 ELSE 0 END AS manifestation_id, md5(CAST(l_orderkey % 5000 AS STRING)) AS source_sha256, CASE WHEN l_linenumber % 3 = 0 THEN 'claim' ELSE 'relation' END AS owner_type, l_orderkey * 10 + l_linenumber AS owner_id FROM line""",
     "event": """SELECT e.event_id, 1 + e.user_id % 1500 AS document_id, CASE e.event_type WHEN 'click' THEN 'issued' WHEN 'view' THEN 'published' WHEN 'signup' THEN 'enters_into_force' WHEN 'purchase' THEN 'modified' ELSE 'repealed' END AS event_type, CAST(e.ts AS DATE) AS event_date, CASE WHEN e.event_id % 4 = 0 THEN NULL ELSE CAST(e.ts AS DATE) END AS effective_from, e.event_id % 9 = 0 AS review FROM events e""",
     "files": f"""SELECT DISTINCT 'raw/sha256/' || substr(md5({_s('n')}), 1, 2) || '/' || md5({_s('n')}) AS path, n + CASE WHEN n % 14 = 0 THEN 1 ELSE 0 END AS byte_size, CASE WHEN n % 22 = 0 THEN md5('x') ELSE md5({_s('n')}) END AS content_hash FROM (SELECT o_orderkey % 5000 AS n FROM orders) AS counted WHERE n % 12 <> 0""",
     "res": """SELECT l_orderkey * 10 + l_linenumber AS mention_id, CASE l_suppkey % 6 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN l_suppkey % 6 >= 2 AND l_partkey % 11 <> 0 THEN l_partkey % 1500 END AS target_document_id, CASE WHEN l_partkey % 3 = 0 THEN l_partkey END AS target_provision_id,
- CASE WHEN l_linenumber = 7 THEN NULL ELSE 'exact' END AS method, CASE WHEN l_suppkey % 6 < 2 AND l_partkey % 13 <> 0 THEN 'TARGET_DOCUMENT_NOT_FOUND' END AS reason FROM lineitem""",
+ CASE WHEN l_linenumber = 7 THEN NULL ELSE 'exact' END AS method, CASE WHEN l_suppkey % 6 < 2 AND l_partkey % 13 <> 0 THEN 'TARGET_DOCUMENT_NOT_FOUND' END AS reason FROM line""",
     "review": """SELECT o_orderkey AS review_id, CASE o_custkey % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'provision' WHEN 2 THEN 'mention' ELSE 'note' END AS entity_type, o_custkey + CASE WHEN o_orderkey % 47 = 0 THEN 100000000 ELSE 0 END AS entity_id, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS status FROM orders""",
     "recorded": """SELECT document_id, event_type, count(*) + CASE WHEN document_id % 37 = 0 THEN 1 ELSE 0 END AS n, coalesce(sum(CASE WHEN review THEN 1 ELSE 0 END), 0) AS n_review FROM event GROUP BY document_id, event_type""",
     "fts": """SELECT segment_id, extraction_id, text FROM seg WHERE segment_id % 97 <> 0 UNION ALL SELECT -o_orderkey, o_orderkey, 'stray' FROM orders WHERE o_orderkey % 101 = 0""",
