@@ -204,7 +204,7 @@ def topic_overlap(a: Column, b: Column) -> Column:
 def quote_candidates(text: Column) -> Column:
     """Paragraphs that name an amount; one that names several is cut at its semicolons."""
     named = F.filter(F.split(text, r"\n+"), lambda p: p.contains("UVT"))
-    clauses = lambda p: F.filter(F.transform(F.split(p, ";"), F.trim), lambda c: c.contains("UVT"))
+    clauses = lambda p: F.filter(F.transform(F.split(p, ";"), lambda c: F.trim(c)), lambda c: c.contains("UVT"))
     return F.flatten(F.transform(named, lambda p: F.when(F.size(F.regexp_extract_all(p, F.lit("UVT"), F.lit(0))) >= 2, clauses(p)).otherwise(F.array(F.trim(p)))))
 
 

@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Western letters with marks, and what they fold to.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
-#: Words that carry no topic.
-STOPWORDS = ("a", "al", "and", "con", "de", "del", "el", "en", "for", "in", "la", "las", "los", "of", "on", "or", "para", "por", "que", "se", "the", "to", "un", "una", "y")
-
+from veritrail.functions.forms import collapse as collapse
+from veritrail.functions.forms import fold as fold
 
-def fold(text: Column) -> Column:
-    """Lower case without accents, for letters of the Western set."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
 
-
-def collapse(text: Column) -> Column:
-    """Runs of white space (in Unicode's sense) as one space, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+#: Words that carry no topic.
+STOPWORDS = ("a", "al", "and", "con", "de", "del", "el", "en", "for", "in", "la", "las", "los", "of", "on", "or", "para", "por", "que", "se", "the", "to", "un", "una", "y")
 
 
 def tokens(text: Column, most: int | None = None) -> Column:

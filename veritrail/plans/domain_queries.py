@@ -299,7 +299,7 @@ ORACLES = {
     "as_of_value": "SELECT p.event_id, p.user_id, CAST(round((SELECT v.value FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts ORDER BY v.ts DESC, v.value DESC LIMIT 1) * 1e6) AS BIGINT) AS value_e6 FROM events p WHERE p.event_type = 'purchase'",
     "check_examples": "SELECT p_brand AS \"check\", count(*) AS failures, array_to_string(list_sort(list(p_partkey) FILTER (r <= 5)), ',') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 7 = 0) GROUP BY 1",
     "resolve_parts": "WITH c AS (SELECT l_orderkey AS ref, p_brand || '/' || CAST(p_size + l_orderkey % 3 AS VARCHAR) AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1), t AS (SELECT p_brand || '/' || p_size AS key, p_partkey AS target FROM part) SELECT ref, count(target) AS matches, CASE count(target) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(target) = 1 THEN min(target) END AS resolved_target FROM c LEFT JOIN t USING (key) GROUP BY ref",
-    "mentions": f"WITH x AS (SELECT o_orderkey AS text_id, translate(lower({_CITE_DUCK}), '{text.ACCENTED}', '{text.PLAIN}') AS s FROM orders), m AS (SELECT text_id, unnest(l) AS raw, unnest(range(len(l))) AS mention_no FROM (SELECT text_id, regexp_extract_all(s, '(?:articulo [0-9]+ (?:de la|del) )?(?:ley|decreto|resolucion|circular) [0-9]{{1,6}} de [0-9]{{4}}') AS l FROM x)) SELECT text_id, mention_no, raw, CASE WHEN starts_with(raw, 'articulo') THEN 'article' ELSE 'document' END AS mention_type, nullif(regexp_extract(raw, '^articulo ([0-9]+) ', 1), '') AS article, upper(regexp_extract(raw, '(ley|decreto|resolucion|circular) ', 1)) AS doc_type, CAST(regexp_extract(raw, '([0-9]+) de [0-9]+$', 1) AS BIGINT) AS number, CAST(right(raw, 4) AS BIGINT) AS year FROM m",
+    "mentions": f"WITH x AS (SELECT o_orderkey AS text_id, strip_accents(lower({_CITE_DUCK})) AS s FROM orders), m AS (SELECT text_id, unnest(l) AS raw, unnest(range(len(l))) AS mention_no FROM (SELECT text_id, regexp_extract_all(s, '(?:articulo [0-9]+ (?:de la|del) )?(?:ley|decreto|resolucion|circular) [0-9]{{1,6}} de [0-9]{{4}}') AS l FROM x)) SELECT text_id, mention_no, raw, CASE WHEN starts_with(raw, 'articulo') THEN 'article' ELSE 'document' END AS mention_type, nullif(regexp_extract(raw, '^articulo ([0-9]+) ', 1), '') AS article, upper(regexp_extract(raw, '(ley|decreto|resolucion|circular) ', 1)) AS doc_type, CAST(regexp_extract(raw, '([0-9]+) de [0-9]+$', 1) AS BIGINT) AS number, CAST(right(raw, 4) AS BIGINT) AS year FROM m",
     "relation_triggers": "SELECT o_orderkey AS text_id, CASE o_orderkey % 5 WHEN 0 THEN 'modifies' WHEN 1 THEN 'repeals' WHEN 2 THEN 'adds' WHEN 3 THEN NULL END AS relation FROM orders",
     "mention_states": "SELECT l_orderkey AS mention, CASE WHEN bool_or(l_discount > 0.095) THEN 'requires_review' WHEN bool_or(l_linenumber % 4 <> 3 AND l_quantity > 48) THEN 'ambiguous' WHEN bool_or(l_linenumber % 4 = 3) THEN 'unresolved' WHEN count(DISTINCT CASE WHEN l_tax < 0.07 THEN l_suppkey % 2 END) > 1 THEN 'ambiguous' WHEN count(CASE WHEN l_tax < 0.07 THEN 1 END) = 0 THEN 'inconsistent_target' ELSE 'resolved' END AS state FROM lineitem GROUP BY 1",
     "promotions": "SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'missing_resolution' WHEN o_orderstatus = 'F' THEN 'promoted' WHEN o_orderstatus = 'O' THEN 'skipped_unresolved' ELSE 'skipped_ambiguous' END AS outcome, count(*) AS n, CASE WHEN outcome = 'promoted' THEN count(*) * 8 END AS confidence_x10 FROM orders GROUP BY 1",

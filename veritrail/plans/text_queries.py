@@ -22,7 +22,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEG = "seg AS (SELECT doc_id, unnest(range(len(l))) AS seq, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
-_FOLD = f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')"
+_FOLD = "strip_accents(replace(replace(replace(lower(text), 'ß', 'ss'), 'º', 'o'), 'ª', 'a'))"
 _TOK = rf"regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}]+')"
 _BM25 = rf"""{SEG}, tok AS (SELECT doc_id, seq, {_TOK} AS t FROM seg), corpus AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
 q0 AS (SELECT item_id AS query_id, u.term AS term, u.pos AS pos FROM benchmark, LATERAL (SELECT unnest(x) AS term, unnest(range(len(x))) AS pos FROM (SELECT {_TOK}[:64] AS x)) u),
@@ -72,7 +72,7 @@ def q_bm25_topk(spark, d):
 
 def q_diversified_topk(spark, d):
     segs = _segs(spark, d)
-    collapsed = search.collapse_copies(search.bm25(segs, _questions(spark, d)), segs)
+    collapsed = search.collapse_copies(search.bm25(segs, _questions(spark, d), ("text_sha256",)))
     out = search.diversify(search.best(collapsed, 40), 10)
     return out.select("query_id", "doc_id", "seq", "copies", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
@@ -87,14 +87,8 @@ def q_exact_support(spark, d):
 
 
 def q_concept_windows(spark, d):
-    """Adjacent significant terms of a document's first segment with at most three fillers between them."""
-    t = _segs(spark, d).where("seq = 0").select("doc_id", F.posexplode(text.tokens(F.col("text"), 64)).alias("pos", "term")).where(text.significant(F.col("term")))
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    paired = t.select("doc_id", "pos", "term", F.lead("pos").over(by).alias("next_pos"), F.lead("term").over(by).alias("next_term")).where("next_pos - pos <= 4")
-    ranked = paired.withColumn("r", F.row_number().over(by)).where("r <= 12")
-    return ranked.select("doc_id", "pos", "term", "next_term")
+    """Adjacent significant terms of every segment with at most three fillers between them."""
+    return search.concept_windows(_segs(spark, d)).select("doc_id", "seq", "pos", "term", "next_term")
 
 
 def q_uppercase_ratio(spark, d):
@@ -163,9 +157,9 @@ SELECT query_id, doc_id, CAST(seq AS INT) AS seq, copies, rank, row_number() OVE
 sr AS (SELECT DISTINCT doc_id, seq, unnest(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(t[i:i+2], ' '))) AS run FROM tok), ph AS (SELECT DISTINCT query_id, doc_id, seq FROM sr JOIN qr USING (run))
 SELECT query_id, doc_id, CAST(seq AS INT) AS seq, CAST(CASE WHEN ph.doc_id IS NULL THEN 2 ELSE 0 END AS BIGINT) AS stage, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ph.doc_id IS NULL THEN 2 ELSE 0 END, score DESC, doc_id, seq) AS rank FROM scored LEFT JOIN ph USING (query_id, doc_id, seq) QUALIFY rank <= 10""",
     "exact_support": rf"WITH b AS (SELECT item_id, text, {_TOK} AS t FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string({_TOK}, ' ') || ' ' AS body FROM documents) SELECT item_id, doc_id FROM b, d WHERE length(text) >= 40 AND len(t) >= 6 AND contains(body, ' ' || array_to_string(t, ' ') || ' ')",
-    "concept_windows": rf"""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents), t AS (SELECT doc_id, unnest(x) AS term, unnest(range(len(x))) AS pos FROM (SELECT doc_id, {_TOK}[:64] AS x FROM f)),
-s AS (SELECT * FROM t WHERE regexp_full_match(term, '[0-9]+') OR (length(term) >= 3 AND term NOT IN {text.STOPWORDS})), n AS (SELECT doc_id, pos, term, lead(pos) OVER w AS next_pos, lead(term) OVER w AS next_term FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, CAST(pos AS INT) AS pos, term, next_term FROM n WHERE next_pos - pos <= 4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 12""",
+    "concept_windows": rf"""WITH {SEG}, t AS (SELECT doc_id, seq, unnest(x) AS term, unnest(range(len(x))) AS pos FROM (SELECT doc_id, seq, {_TOK} AS x FROM seg)),
+s AS (SELECT * FROM t WHERE regexp_full_match(term, '[0-9]+') OR (length(term) >= 3 AND term NOT IN {text.STOPWORDS})), n AS (SELECT doc_id, seq, pos, term, lead(pos) OVER w AS next_pos, lead(term) OVER w AS next_term FROM s WINDOW w AS (PARTITION BY doc_id, seq ORDER BY pos))
+SELECT doc_id, CAST(seq AS INT) AS seq, CAST(pos AS INT) AS pos, term, next_term FROM n WHERE next_pos - pos <= 4""",
     "uppercase_ratio": r"SELECT doc_id, CAST(round(CASE WHEN l > 0 THEN u / l ELSE 0 END * 1e6) AS BIGINT) AS ratio_e6 FROM (SELECT doc_id, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS u, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS l FROM documents)",
     "unique_offset": "SELECT doc_id, CAST(CASE WHEN trim(q) <> '' AND strpos(text, q) > 0 AND strpos(substr(text, strpos(text, q) + 1), q) = 0 THEN strpos(text, q) - 1 END AS BIGINT) AS at FROM (SELECT doc_id, text, substr(text, 11, 12) AS q FROM documents)",
     "page_links": r"""WITH p AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || CASE WHEN regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1) END AS url, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS href FROM pages),
