@@ -27,3 +27,45 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, updated: Sequence
 def differing(existing: DataFrame, incoming: DataFrame, key: str, payload: str) -> DataFrame:
     """Keys that both have with different payloads; a deterministic rerun leaves none."""
     return existing.select(key, F.col(payload).alias("__old")).join(incoming.select(key, F.col(payload).alias("__new")), key).where(~F.col("__old").eqNullSafe(F.col("__new"))).select(key)
+
+
+def refuse_differing(existing: DataFrame, incoming: DataFrame, key: str, payload: str) -> DataFrame:
+    """``incoming`` rows that are new; raises if a key comes back with another payload."""
+    if differing(existing, incoming, key, payload).limit(1).count():
+        raise ValueError(f"a {key} comes back with another {payload}")
+    return insert_new(existing, incoming, key)
+
+
+def cascade(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children that stay when those whose parent is gone are deleted; a null key has no parent to lose."""
+    return children.where(F.col(key).isNull()).unionByName(children.join(parents.select(key), key, "left_semi").select(children.columns))
+
+
+def set_null(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children with the key nulled where the parent is gone."""
+    known = parents.select(F.col(key).alias("__k")).distinct()
+    return children.join(known, F.col(key) == F.col("__k"), "left").withColumn(key, F.col("__k")).drop("__k").select(children.columns)
+
+
+def restricted(children: DataFrame, leaving: DataFrame, key: str) -> DataFrame:
+    """Keys that must not leave, as children name them, with how many."""
+    return children.join(leaving.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("children"))
+
+
+def violations(rows: DataFrame, key: str, rules: dict[str, object]) -> DataFrame:
+    """(key, rule) for each rule (name: condition that must not be false) that a row breaks."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()]))
+    return rows.select(key, F.explode(broken).alias("rule"))
+
+
+def drift(recorded: DataFrame, actual: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, action) that brings ``recorded`` to ``actual``: add, drop, rewrite; equal rows need none."""
+    both = recorded.select(key, F.col(payload).alias("__r"), F.lit(1).alias("__in_r")).join(actual.select(key, F.col(payload).alias("__a"), F.lit(1).alias("__in_a")), key, "full_outer")
+    action = F.when(F.col("__in_r").isNull(), "add").when(F.col("__in_a").isNull(), "drop").when(~F.col("__r").eqNullSafe(F.col("__a")), "rewrite")
+    return both.select(key, action.alias("action")).where("action IS NOT NULL")
+
+
+def delta(before: DataFrame, after: DataFrame, state: str) -> DataFrame:
+    """(state, before, after): how many rows have each state in two snapshots."""
+    both = before.select(state, F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(after.select(state, F.lit(0), F.lit(1)))
+    return both.groupBy(state).agg(F.sum("b").alias("before"), F.sum("a").alias("after"))

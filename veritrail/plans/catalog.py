@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.plans import citation_queries, domain_queries, registry_queries, text_queries
+from veritrail.plans import citation_queries, domain_queries, form_queries, registry_queries, state_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | domain_queries.QUERIES | registry_queries.QUERIES | citation_queries.QUERIES
-ORACLES: dict[str, str] = text_queries.ORACLES | domain_queries.ORACLES | registry_queries.ORACLES | citation_queries.ORACLES
+_MODULES = (text_queries, domain_queries, registry_queries, citation_queries, form_queries, state_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
