@@ -4,28 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def contained_spans(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
-    """(key, inner_id, outer_id): spans of one text that lie within another, half-open, by an equi-join on the text."""
-    o = outer.select(key, F.col("span_id").alias("outer_id"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    i = inner.select(key, F.col("span_id").alias("inner_id"), "start", "end")
-    return i.join(o, key).where((F.col("start") >= F.col("o_start")) & (F.col("end") <= F.col("o_end")) & (F.col("inner_id") != F.col("outer_id"))).select(key, "inner_id", "outer_id")
+def contained_spans(inner: DataFrame, outer: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """(key, inner_id, outer_id): spans of one text that lie within another, half-open.
 
+    Texts are cut into stretches of ``width`` characters: an outer span stands
+    in each that it touches, an inner one where it starts, so a long text with
+    many spans is many join keys.
+    """
+    o = outer.select(key, F.col("span_id").alias("outer_id"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / width))).alias("__part"))
+    i = inner.select(key, F.col("span_id").alias("inner_id"), "start", "end", F.floor(F.col("start") / width).alias("__part"))
+    return i.join(o, [key, "__part"]).where((F.col("start") >= F.col("o_start")) & (F.col("end") <= F.col("o_end")) & (F.col("inner_id") != F.col("outer_id"))).select(key, "inner_id", "outer_id")
 
-def expand_anchor(segs: DataFrame, anchors: DataFrame, same: str, most: int) -> DataFrame:
-    """(doc_id, anchor, seq, side) of the segments around each anchor (doc_id, anchor) in its unbroken run of equal ``same``, at most ``most``: forward first, then back; ``omitted`` tells that the run goes on."""
+
+def expand_anchor(segs: DataFrame, is_anchor: Column, same: str, most: int) -> DataFrame:
+    """(doc_id, anchor, seq, side, omitted) of the segments around each anchor in its unbroken run of equal ``same``, at most ``most``: forward first, then back; ``omitted`` tells that the run goes on.
+
+    A run's segments are numbered without gaps, so an anchor's neighbours
+    follow from its place and the run's length, without a join.
+    """
     by = Window.partitionBy("doc_id").orderBy("seq")
     breaks = F.when((F.col("seq") - F.lag("seq").over(by) == 1) & F.col(same).eqNullSafe(F.lag(same).over(by)), 0).otherwise(1)
-    runs = segs.select("doc_id", "seq", F.col(same)).withColumn("__b", breaks).withColumn("__run", F.sum("__b").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    held = runs.join(anchors.select("doc_id", F.col("anchor").alias("seq")), ["doc_id", "seq"], "left_semi").select("doc_id", F.col("seq").alias("anchor"), "__run")
-    near = runs.select("doc_id", "seq", "__run").join(held, ["doc_id", "__run"]).where(F.col("seq") != F.col("anchor"))
-    forward = F.col("seq") > F.col("anchor")
-    order = Window.partitionBy("doc_id", "anchor").orderBy(~forward, F.abs(F.col("seq") - F.col("anchor")))
-    numbered = near.withColumn("__r", F.row_number().over(order)).withColumn("omitted", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "anchor")) > most)
-    return numbered.where(F.col("__r") <= most).select("doc_id", "anchor", "seq", F.when(forward, "forward").otherwise("back").alias("side"), "omitted")
+    runs = segs.withColumn("__anchor", is_anchor).select("doc_id", "seq", "__anchor", F.col(same)).withColumn("__b", breaks).withColumn("__run", F.sum("__b").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("doc_id", "__run")
+    placed = runs.withColumn("first", F.min("seq").over(run)).withColumn("last", F.max("seq").over(run)).where("__anchor")
+    ahead = F.least(F.col("last") - F.col("seq"), F.lit(most))
+    behind = F.least(F.col("seq") - F.col("first"), F.lit(most) - ahead)
+    near = F.concat(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.when((i > 0) & (i <= ahead), i)), F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.when((i > 0) & (i <= behind), -i)))
+    out = placed.select("doc_id", F.col("seq").alias("anchor"), (F.col("last") - F.col("first") > most).alias("omitted"), F.explode(F.array_compact(near)).alias("step"))
+    return out.select("doc_id", "anchor", (F.col("anchor") + F.col("step")).alias("seq"), F.when(F.col("step") > 0, "forward").otherwise("back").alias("side"), "omitted")
 
 
 def lifecycle(documents: DataFrame) -> DataFrame:

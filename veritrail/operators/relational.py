@@ -56,6 +56,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, valu
 
 
 def first_examples(df: DataFrame, check: str, ref: str, most: int = 10) -> DataFrame:
-    """(check, failures, examples): the first ``most`` refs of each check, by a bounded rank rather than a list of all."""
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(check).orderBy(ref)))
-    return ranked.groupBy(check).agg(F.count(F.lit(1)).alias("failures"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("__r") <= most, F.col(ref)))), ",").alias("examples"))
+    """(check, failures, examples): the first ``most`` refs of each check; the rank's bound lets Spark keep ``most`` rows of each partition before the shuffle, and counts are aggregated apart."""
+    first = df.withColumn("__r", F.row_number().over(Window.partitionBy(check).orderBy(ref))).where(F.col("__r") <= most)
+    examples = first.groupBy(check).agg(F.array_join(F.sort_array(F.collect_list(ref)), ",").alias("examples"))
+    return df.groupBy(check).agg(F.count(F.lit(1)).alias("failures")).join(examples, check)

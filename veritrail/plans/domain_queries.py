@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import text
 from veritrail.operators import evidence, identity, merge, queue, relational, research, resolution, segments, temporal
+from veritrail.streaming import frames
 
 from veritrail.plans.text_queries import _TYPE, SEG
 
@@ -43,7 +44,7 @@ def q_returned_orders(spark, d):
 
 
 def q_label_sync(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id")
     return relational.symmetric_difference(docs, table(spark, d, "labels").select("doc_id"), "doc_id")
 
 
@@ -66,7 +67,7 @@ def q_as_of_value(spark, d):
 
 
 def q_check_examples(spark, d):
-    p = table(spark, d, "part").select(F.col("p_brand").alias("check"), F.col("p_partkey").alias("ref")).where("ref % 7 = 0")
+    p = table(spark, d, "part").select(F.col("p_brand").alias("check"), F.col("p_partkey").alias("ref"))
     return relational.first_examples(p, "check", "ref", 5)
 
 
@@ -74,7 +75,7 @@ def q_resolve_parts(spark, d):
     """Parts cited by brand and size: none, one or several."""
     key = F.concat_ws("/", F.col("p_brand"), F.col("p_size").cast("string"))
     parts = table(spark, d, "part").select(key.alias("key"), F.col("p_partkey").alias("target"))
-    cited = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_linenumber = 1").select(F.col("l_orderkey").alias("ref"), F.concat_ws("/", F.col("p_brand"), (F.col("p_size") + F.col("l_orderkey") % 3).cast("string")).alias("key"))
+    cited = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.concat_ws("/", F.col("p_brand"), (F.col("p_size") + F.col("l_orderkey") % 3).cast("string")).alias("key"))
     return resolution.resolve(cited, parts, "ref", "key", "target").select("ref", "matches", "status", "resolved_target")
 
 
@@ -221,13 +222,27 @@ def q_answer_sessions(spark, d):
     return c.groupBy("conv_id", "question").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text").cast("long")).alias("chars"))
 
 
+def _frames(spark, d):
+    """Events as polled frames: content, readable time (every 13th has none) and how sure it is."""
+    e = table(spark, d, "events")
+    return e.select("event_id", F.col("ts").alias("polled_at"), F.when(F.col("event_id") % 13 > 0, F.col("ts")).alias("frame_ts"), F.when(F.col("event_id") % 13 > 0, F.lit(1.0) - F.col("user_id") % 10 / 10).alias("confidence"), F.sha2(F.concat_ws("|", "event_type", "props", (F.col("event_id") / 50).cast("int").cast("string")), 256).alias("frame_sha"))
+
+
 def q_rolling_window(spark, d):
-    """Frames of the last six hours, first sight of each content, per type."""
-    e = table(spark, d, "events").withColumn("sha", F.sha2(F.concat_ws("|", "event_type", "props"), 256))
-    first = relational.latest(e, ["sha"], [F.asc("ts"), F.asc("event_id")])
-    newest = e.agg(F.max("ts").alias("newest"))
-    kept = first.crossJoin(F.broadcast(newest)).where(F.col("ts") > F.col("newest") - F.expr("INTERVAL 30 DAYS"))
-    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("frames"), F.min("event_id").alias("first_event"))
+    """Frames of the last six hours, each content once."""
+    good, _ = frames.split_untrusted(_frames(spark, d), 0.3)
+    return frames.retained(frames.first_sight(good), 6).select("event_id", "frame_sha")
+
+
+def q_rejected_frames(spark, d):
+    """Frames without a readable time or of too little confidence, by reason."""
+    _, bad = frames.split_untrusted(_frames(spark, d), 0.3)
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_frame_cycles(spark, d):
+    out = frames.cycle_counts(_frames(spark, d), 0.3)
+    return out.select(F.unix_timestamp("cycle.start").alias("cycle"), "frames", "contents", "repeats", "rejected")
 
 
 def q_thresholds(spark, d):
@@ -244,10 +259,9 @@ def q_contained_spans(spark, d):
 
 
 def q_anchor_context(spark, d):
-    """Context of each document's second segment among its neighbours of one type."""
+    """Context of every segment among its neighbours of one type."""
     typed = segments.classify(segments.segments(table(spark, d, "documents")))
-    anchors = typed.where("seq = 1").select("doc_id", F.col("seq").alias("anchor"))
-    return evidence.expand_anchor(typed, anchors, "segment_type", 4)
+    return evidence.expand_anchor(typed, F.lit(True), "segment_type", 4)
 
 
 def q_document_lifecycle(spark, d):
@@ -280,10 +294,12 @@ QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 _QUEUE = "que AS (SELECT 'https://h/' || event_id AS url, CASE WHEN event_id % 10 = 0 THEN 'index' ELSE 'document' END AS item_type, user_id % 4 AS depth, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' WHEN 'view' THEN 'done' ELSE 'pending' END AS status, CASE WHEN event_type <> 'signup' THEN ts + INTERVAL 7 DAY END AS due, ts AS first_seen, ts AS started, event_id % 12 AS attempts FROM events)"
 _GRAPH = "g AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem)"
 _NAMES = rf"""n0 AS (SELECT o_orderkey AS document, {_NAME_SPARK.replace("STRING", "VARCHAR")} AS name FROM orders), n AS (SELECT document, CASE WHEN regexp_matches(name, '^(ley|decreto|resolucion)_') THEN 'NORMATIVE_ACT' WHEN starts_with(name, 'oficio_dian_') THEN 'DIAN_OFICIO' WHEN starts_with(name, 'c-') THEN 'CORTE_CONSTITUCIONAL_SENTENCIA_C' WHEN starts_with(name, 'conpes_') THEN 'CONPES' ELSE 'UNKNOWN' END AS family,
-CASE WHEN regexp_matches(name, '^(ley|decreto|resolucion)_') THEN upper(regexp_extract(name, '^([a-z]+)_', 1)) WHEN starts_with(name, 'oficio') THEN 'OFICIO' WHEN starts_with(name, 'c-') THEN 'SENTENCIA_C' WHEN starts_with(name, 'conpes_') THEN 'CONPES' END AS doc_type,
+CASE WHEN regexp_matches(name, '^(ley|decreto|resolucion)_') THEN upper(regexp_extract(name, '^([a-z]+)_', 1)) WHEN regexp_matches(name, '^oficio_dian_[0-9]') THEN 'OFICIO' WHEN starts_with(name, 'c-') THEN 'SENTENCIA_C' WHEN starts_with(name, 'conpes_') THEN 'CONPES' END AS doc_type,
 CASE WHEN starts_with(name, 'index') THEN NULL ELSE nullif(regexp_replace(regexp_extract(name, '([0-9]+)_[0-9]+[.]htm$', 1), CASE WHEN regexp_matches(name, '^(ley|decreto|resolucion)_') THEN '^0+([0-9])' ELSE '^()$' END, '\1'), '') END AS number, CASE WHEN regexp_matches(name, '_[0-9]+[.]htm$') THEN regexp_extract(name, '_([0-9]+)[.]htm$', 1) END AS year FROM n0),
 k AS (SELECT *, CASE WHEN number IS NOT NULL THEN 'CO:' || CASE doc_type WHEN 'OFICIO' THEN 'DIAN:' WHEN 'RESOLUCION' THEN 'DIAN:' WHEN 'CONPES' THEN 'DNP:' WHEN 'SENTENCIA_C' THEN 'CORTE:' ELSE '' END || doc_type || ':' || number || ':' || year END AS key FROM n)"""
 
+_FRAMES = "WITH f AS (SELECT event_id, ts, CASE WHEN event_id % 13 > 0 THEN ts END AS frame_ts, CASE WHEN event_id % 13 > 0 THEN 1.0::DOUBLE - user_id % 10 / 10 END AS confidence, sha256(event_type || '|' || props || '|' || CAST(floor(event_id / 50) AS INT)) AS frame_sha FROM events)"
+
 ORACLES = {
     "latest_order": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey DESC) = 1",
     "ambiguous_latest": "SELECT l_partkey, count(DISTINCT l_suppkey) AS identities FROM (SELECT *, rank() OVER (PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC) AS r FROM lineitem) WHERE r = 1 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1",
@@ -293,12 +309,12 @@ ORACLES = {
     ),
     "orphan_customers": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "returned_orders": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1",
-    "label_sync": "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL",
+    "label_sync": "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL",
     "text_conflicts": "SELECT left(text, 12) AS opening, count(*) AS observations, count(DISTINCT text) AS variants FROM documents GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT text) > 1",
     "near_purchase": "SELECT event_type, count(*) AS n FROM (SELECT event_type, bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS b FROM events) WHERE b GROUP BY 1",
     "as_of_value": "SELECT p.event_id, p.user_id, CAST(round((SELECT v.value FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts ORDER BY v.ts DESC, v.value DESC LIMIT 1) * 1e6) AS BIGINT) AS value_e6 FROM events p WHERE p.event_type = 'purchase'",
-    "check_examples": "SELECT p_brand AS \"check\", count(*) AS failures, array_to_string(list_sort(list(p_partkey) FILTER (r <= 5)), ',') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 7 = 0) GROUP BY 1",
-    "resolve_parts": "WITH c AS (SELECT l_orderkey AS ref, p_brand || '/' || CAST(p_size + l_orderkey % 3 AS VARCHAR) AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1), t AS (SELECT p_brand || '/' || p_size AS key, p_partkey AS target FROM part) SELECT ref, count(target) AS matches, CASE count(target) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(target) = 1 THEN min(target) END AS resolved_target FROM c LEFT JOIN t USING (key) GROUP BY ref",
+    "check_examples": "SELECT p_brand AS \"check\", count(*) AS failures, array_to_string(list_sort(list(p_partkey) FILTER (r <= 5)), ',') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) GROUP BY 1",
+    "resolve_parts": "WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS ref, p_brand || '/' || CAST(p_size + l_orderkey % 3 AS VARCHAR) AS key FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT p_brand || '/' || p_size AS key, p_partkey AS target FROM part) SELECT ref, count(target) AS matches, CASE count(target) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(target) = 1 THEN min(target) END AS resolved_target FROM c LEFT JOIN t USING (key) GROUP BY ref",
     "mentions": f"WITH x AS (SELECT o_orderkey AS text_id, strip_accents(lower({_CITE_DUCK})) AS s FROM orders), m AS (SELECT text_id, unnest(l) AS raw, unnest(range(len(l))) AS mention_no FROM (SELECT text_id, regexp_extract_all(s, '(?:articulo [0-9]+ (?:de la|del) )?(?:ley|decreto|resolucion|circular) [0-9]{{1,6}} de [0-9]{{4}}') AS l FROM x)) SELECT text_id, mention_no, raw, CASE WHEN starts_with(raw, 'articulo') THEN 'article' ELSE 'document' END AS mention_type, nullif(regexp_extract(raw, '^articulo ([0-9]+) ', 1), '') AS article, upper(regexp_extract(raw, '(ley|decreto|resolucion|circular) ', 1)) AS doc_type, CAST(regexp_extract(raw, '([0-9]+) de [0-9]+$', 1) AS BIGINT) AS number, CAST(right(raw, 4) AS BIGINT) AS year FROM m",
     "relation_triggers": "SELECT o_orderkey AS text_id, CASE o_orderkey % 5 WHEN 0 THEN 'modifies' WHEN 1 THEN 'repeals' WHEN 2 THEN 'adds' WHEN 3 THEN NULL END AS relation FROM orders",
     "mention_states": "SELECT l_orderkey AS mention, CASE WHEN bool_or(l_discount > 0.095) THEN 'requires_review' WHEN bool_or(l_linenumber % 4 <> 3 AND l_quantity > 48) THEN 'ambiguous' WHEN bool_or(l_linenumber % 4 = 3) THEN 'unresolved' WHEN count(DISTINCT CASE WHEN l_tax < 0.07 THEN l_suppkey % 2 END) > 1 THEN 'ambiguous' WHEN count(CASE WHEN l_tax < 0.07 THEN 1 END) = 0 THEN 'inconsistent_target' ELSE 'resolved' END AS state FROM lineitem GROUP BY 1",
@@ -320,10 +336,12 @@ ORACLES = {
     "one_hop": f"WITH {_GRAPH} SELECT DISTINCT b AS node FROM g WHERE a IN (SELECT p_partkey FROM part WHERE p_size = 7)",
     "edge_relevance": f"WITH {_GRAPH}, s AS (SELECT p_partkey AS node FROM part WHERE p_size < 10 UNION SELECT s_suppkey + 1000000 FROM supplier WHERE s_nationkey < 8), e AS (SELECT (a IN (SELECT node FROM s))::INT + (b IN (SELECT node FROM s))::INT AS k FROM g) SELECT CASE k WHEN 2 THEN 'selected_authorities' WHEN 1 THEN 'document_scope_conservative' ELSE 'irrelevant' END AS relevance, count(*) AS n FROM e GROUP BY 1",
     "answer_sessions": "WITH q AS (SELECT conv_id, text, CAST(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS question FROM conversations) SELECT conv_id, question, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM q GROUP BY 1, 2",
-    "rolling_window": "WITH f AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type, props ORDER BY ts, event_id) = 1) SELECT event_type, count(*) AS frames, min(event_id) AS first_event FROM f WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1",
+    "rolling_window": f"{_FRAMES}, g AS (SELECT * FROM f WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY frame_sha ORDER BY frame_ts, event_id) = 1) SELECT event_id, frame_sha FROM g WHERE frame_ts > (SELECT max(frame_ts) FROM g) - INTERVAL 6 HOUR",
+    "rejected_frames": f"{_FRAMES} SELECT CASE WHEN frame_ts IS NULL THEN 'unreadable_time' ELSE 'low_confidence' END AS reason, count(*) AS n FROM f WHERE frame_ts IS NULL OR confidence < 0.3 GROUP BY 1",
+    "frame_cycles": f"{_FRAMES} SELECT CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS cycle, count(*) AS frames, count(DISTINCT frame_sha) FILTER (confidence >= 0.3) AS contents, count(*) FILTER (confidence >= 0.3) - count(DISTINCT frame_sha) FILTER (confidence >= 0.3) AS repeats, count(*) - count(*) FILTER (confidence >= 0.3) AS rejected FROM f GROUP BY 1",
     "thresholds": r"WITH m AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18, 2)) AS amount FROM lineitem) SELECT l_orderkey, l_linenumber, amount < 25000 AS passes, regexp_replace(regexp_replace(CAST(CAST(25000 - amount AS DECIMAL(18, 2)) AS VARCHAR), '([.][0-9]*?)0+$', '\1'), '[.]$', '') AS margin FROM m",
     "contained_spans": "WITH s AS (SELECT l_suppkey AS text_id, l_orderkey * 10 + l_linenumber AS span_id, l_partkey % 997 AS a, l_partkey % 997 + CAST(l_quantity AS INT) AS b FROM lineitem) SELECT i.text_id, count(*) AS contained, count(DISTINCT i.span_id) AS mentions FROM s i JOIN s o ON i.text_id = o.text_id AND i.a >= o.a AND i.b <= o.b AND i.span_id <> o.span_id WHERE i.b - i.a < 5 AND o.b - o.a > 45 GROUP BY 1",
-    "anchor_context": f"WITH {SEG}, t AS (SELECT doc_id, seq, {_TYPE} AS k FROM seg), m AS (SELECT *, CASE WHEN k IS NOT DISTINCT FROM lag(k) OVER w THEN 0 ELSE 1 END AS b FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)), r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM m), n AS (SELECT r.doc_id, a.seq AS anchor, r.seq, r.seq > a.seq AS f, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.seq < a.seq, abs(r.seq - a.seq)) AS k, count(*) OVER (PARTITION BY r.doc_id) > 4 AS omitted FROM r JOIN r a ON r.doc_id = a.doc_id AND r.run = a.run WHERE a.seq = 1 AND r.seq <> 1) SELECT doc_id, CAST(anchor AS INT) AS anchor, CAST(seq AS INT) AS seq, CASE WHEN f THEN 'forward' ELSE 'back' END AS side, omitted FROM n WHERE k <= 4",
+    "anchor_context": f"WITH {SEG}, t AS (SELECT doc_id, seq, {_TYPE} AS k FROM seg), m AS (SELECT *, CASE WHEN k IS NOT DISTINCT FROM lag(k) OVER w THEN 0 ELSE 1 END AS b FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)), r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM m), n AS (SELECT r.doc_id, a.seq AS anchor, r.seq, r.seq > a.seq AS f, row_number() OVER (PARTITION BY r.doc_id, a.seq ORDER BY r.seq < a.seq, abs(r.seq - a.seq)) AS k, count(*) OVER (PARTITION BY r.doc_id, a.seq) > 4 AS omitted FROM r JOIN r a ON r.doc_id = a.doc_id AND r.run = a.run WHERE r.seq <> a.seq) SELECT doc_id, CAST(anchor AS INT) AS anchor, CAST(seq AS INT) AS seq, CASE WHEN f THEN 'forward' ELSE 'back' END AS side, omitted FROM n WHERE k <= 4",
     "document_lifecycle": "WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS m, count(*) FILTER (o_orderstatus = 'P') AS b, count(*) FILTER (o_totalprice > 300000) AS e, count(*) FILTER (o_totalprice > 450000) AS i, count(*) FILTER (o_totalprice > 350000) AS p FROM orders GROUP BY 1) SELECT CASE WHEN coalesce(m, 0) > 0 THEN 'retain_manifestation' WHEN coalesce(b, 0) > 0 THEN 'retain_active' WHEN c_nationkey % 3 <> 1 THEN 'retain_conflict' WHEN e > 0 AND (i > 0 OR p = 0) THEN 'retain_conflict' WHEN e > 0 THEN 'retain_provenance' ELSE 'stale' END AS lifecycle, count(*) AS n FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY 1",
     "authority_states": "WITH s AS (SELECT l_orderkey AS authority, CASE WHEN l_tax > 0.03 THEN CASE WHEN l_returnflag = 'R' THEN 'guidance' ELSE 'norm' END END AS f, CASE WHEN l_discount > 0.02 THEN l_linestatus END AS fam, CASE WHEN l_quantity > 10 THEN 'ISSUER' END AS iss, l_quantity > 49 AS rev FROM lineitem) SELECT authority, CASE WHEN count(DISTINCT f) = 1 THEN min(f) ELSE 'unknown' END AS function, CASE WHEN count(DISTINCT iss) > 1 OR count(DISTINCT fam) > 1 OR count(DISTINCT f) > 1 OR bool_or(rev) THEN 'ambiguous' WHEN count(f) = 0 THEN 'unknown' WHEN count(iss) = 0 OR count(fam) = 0 THEN 'partial' ELSE 'resolved' END AS state FROM s GROUP BY 1",
     "doctor_report": " UNION ALL ".join(f"SELECT '{c}' AS check_id, CASE WHEN count(*) > 0 THEN '{v}' ELSE 'OK' END AS severity, count(*) AS failures, CAST(min(CAST(k AS VARCHAR)) AS VARCHAR) AS first_failure FROM ({q})" for c, v, q in [("FK-LABEL", "ERROR", "SELECT doc_id AS k FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"), ("LEN-001", "ERROR", "SELECT doc_id AS k FROM documents WHERE length(text) <> n_chars"), ("DUP-TEXT", "WARN", "SELECT min(doc_id) AS k FROM documents GROUP BY text HAVING count(*) > 1"), ("PAGE-END", "WARN", "SELECT page_id AS k FROM pages WHERE NOT ends_with(html, '</html>')"), ("PAGE-URL", "ERROR", "SELECT page_id AS k FROM pages WHERE NOT regexp_matches(url, '^https?://')")]),

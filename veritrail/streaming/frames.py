@@ -26,6 +26,9 @@ def retained(frames: DataFrame, hours: int = 6) -> DataFrame:
     return frames.crossJoin(F.broadcast(newest)).where(F.col("frame_ts") > F.col("__newest") - F.make_interval(hours=F.lit(hours))).drop("__newest")
 
 
-def cycle_counts(frames: DataFrame, window: str = "10 minutes") -> DataFrame:
-    """(cycle, frames, contents, oldest, newest) of each poll cycle."""
-    return frames.groupBy(F.window("frame_ts", window).alias("cycle")).agg(F.count(F.lit(1)).alias("frames"), F.approx_count_distinct("frame_sha").alias("contents"), F.min("frame_ts").alias("oldest"), F.max("frame_ts").alias("newest"))
+def cycle_counts(frames: DataFrame, least: float, window: str = "10 minutes") -> DataFrame:
+    """(cycle, frames, contents, repeats, rejected, oldest, newest) of each poll cycle of a batch of frames, with exact counts; on a stream, call it from ``foreachBatch``."""
+    good = F.coalesce(F.col("confidence") >= least, F.lit(False))
+    contents = F.countDistinct(F.when(good, F.col("frame_sha")))
+    sums = frames.groupBy(F.window("polled_at", window).alias("cycle")).agg(F.count(F.lit(1)).alias("frames"), contents.alias("contents"), (F.count(F.when(good, F.lit(1))) - contents).alias("repeats"), F.count(F.when(~good, F.lit(1))).alias("rejected"), F.min(F.when(good, F.col("frame_ts"))).alias("oldest"), F.max(F.when(good, F.col("frame_ts"))).alias("newest"))
+    return sums
