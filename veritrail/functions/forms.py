@@ -208,7 +208,20 @@ def quote_candidates(text: Column) -> Column:
     return F.flatten(F.transform(named, lambda p: F.when(F.size(F.regexp_extract_all(p, F.lit("UVT"), F.lit(0))) >= 2, clauses(p)).otherwise(F.array(F.trim(p)))))
 
 
-def plural_variants(term: Column) -> Column:
-    """A term with its regular plural or singular, in order of length."""
-    es = F.when(F.length(term) > 4, F.when(term.endswith("es"), F.array(term, F.substring(term, F.lit(1), F.length(term) - 2), F.substring(term, F.lit(1), F.length(term) - 1))).when(term.endswith("s"), F.array(term, F.substring(term, F.lit(1), F.length(term) - 1))))
-    return F.array_sort(F.array_distinct(F.coalesce(es, F.array(term, F.when(term.rlike("[aeiou]$"), F.concat(term, F.lit("s"))).otherwise(F.concat(term, F.lit("es")))))))
+#: Terms that stand for one another in a search.
+ALIASES = (("extemporanea", ("extemporaneidad", "tardia", "tardio")), ("extemporaneidad", ("extemporanea", "tardia", "tardio")), ("tardia", ("extemporanea", "extemporaneidad", "tardio")), ("tardio", ("extemporanea", "extemporaneidad", "tardia")), ("canon", ("canones", "regalia", "regalias")), ("canones", ("canon", "regalia", "regalias")), ("regalia", ("canon", "canones", "regalias")), ("regalias", ("canon", "canones", "regalia")))
+
+
+def term_variants(term: Column) -> Column:
+    """A term, those that stand for it, and the regular plural or singular of each from four letters on; digits have none.  The term comes first, the others in order."""
+    aliases = F.create_map(*[x for a, others in ALIASES for x in (F.lit(a), F.array(*[F.lit(o) for o in others]))])
+    family = F.concat(F.array(term), F.coalesce(F.try_element_at(aliases, term), F.array().cast("array<string>")))
+
+    def number(x: Column) -> Column:
+        cut = lambda n: F.substring(x, F.lit(1), F.length(x) - n)
+        other = F.when((F.length(x) > 4) & x.endswith("es"), cut(2)).when((F.length(x) > 4) & x.endswith("s"), cut(1)).when(x.rlike("[aeiou]$"), F.concat(x, F.lit("s"))).otherwise(F.concat(x, F.lit("es")))
+        return F.when(F.length(x) >= 4, other).otherwise(x)
+
+    every = F.concat(family, F.transform(family, number))
+    rest = F.array_sort(F.array_except(F.array_distinct(every), F.array(term)))
+    return F.when(term.rlike("^[0-9]+$"), F.array(term)).otherwise(F.concat(F.array(term), rest))

@@ -102,7 +102,7 @@ def q_questions(spark, d):
 def q_term_variants(spark, d):
     """Query terms of all benchmark texts with their plural and singular forms."""
     terms = _table(spark, d, "benchmark").select(F.explode(text.query_terms(F.col("text"))).alias("term")).distinct()
-    return terms.select("term", F.array_join(forms.plural_variants(F.col("term")), ",").alias("variants"))
+    return terms.select("term", F.array_join(forms.term_variants(F.col("term")), ",").alias("variants"))
 
 
 def q_phrase_union(spark, d):
@@ -139,7 +139,7 @@ SELECT document_id, state, CASE WHEN state IN ('passes', 'fails') THEN regexp_re
 SELECT conv_id, turn, CAST(round(CASE WHEN least(len(terms), len(before)) > 0 THEN len(list_intersect(terms, before)) / least(len(terms), len(before)) ELSE 0 END * 1e6) AS BIGINT) AS overlap_e6 FROM b""",
     "quote_candidates": f"{ctes('seg')}, q AS (SELECT segment_id, CASE WHEN len(regexp_extract_all(text, 'UVT')) >= 2 THEN list_filter(list_transform(string_split(text, ';'), lambda c: trim(c)), lambda c: contains(c, 'UVT')) ELSE [text] END AS l FROM seg WHERE contains(text, 'UVT')) SELECT segment_id, unnest(range(len(l))) AS pos, unnest(l) AS quote FROM q",
     "questions": f"{ctes('doc')} SELECT document_id, document_id % 3 > 0 AND document_id % 5 > 0 AS question FROM doc",
-    "term_variants": f"""WITH c AS (SELECT {_TERMS} AS x FROM benchmark), t AS (SELECT DISTINCT unnest({_FIRST.format(x='x')}) AS term FROM c), v AS (SELECT term, CASE WHEN length(term) > 4 AND ends_with(term, 'es') THEN [term, term[:-3], term[:-2]] WHEN length(term) > 4 AND ends_with(term, 's') THEN [term, term[:-2]] WHEN regexp_matches(term, '[aeiou]$') THEN [term, term || 's'] ELSE [term, term || 'es'] END AS l FROM t) SELECT term, array_to_string(list_sort(l), ',') AS variants FROM v""",
+    "term_variants": f"""WITH c AS (SELECT {_TERMS} AS x FROM benchmark), t AS (SELECT DISTINCT unnest({_FIRST.format(x='x')}) AS term FROM c), v AS (SELECT term, CASE WHEN regexp_full_match(term, '[0-9]+') OR length(term) < 4 THEN term WHEN length(term) > 4 AND ends_with(term, 'es') THEN term[:-3] WHEN length(term) > 4 AND ends_with(term, 's') THEN term[:-2] WHEN regexp_matches(term, '[aeiou]$') THEN term || 's' ELSE term || 'es' END AS o FROM t) SELECT term, CASE WHEN o = term THEN term ELSE term || ',' || o END AS variants FROM v""",
     "phrase_union": f"""WITH p AS (SELECT conv_id, turn, unnest(x) AS phrase, unnest(range(len(x))) AS pos FROM (SELECT conv_id, turn, string_split_regex(text, '[.?!]\\s*') AS x FROM conversations)), k AS (SELECT conv_id, {_FOLD.format(_COL('phrase'))} AS key, min((turn, pos)) AS place FROM p WHERE trim(phrase) <> '' GROUP BY ALL) SELECT conv_id, count(*) AS phrases, md5(string_agg(key, '|' ORDER BY place)) AS digest FROM k GROUP BY conv_id""",
 }
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

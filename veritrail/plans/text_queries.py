@@ -32,6 +32,23 @@ post AS (SELECT doc_id, seq, len(t) AS length, term, count(*) AS tf FROM (SELECT
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 scored AS (SELECT query_id, doc_id, seq, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS terms FROM post JOIN q USING (term) JOIN df USING (term), corpus GROUP BY query_id, doc_id, seq)"""
 
+_SIG = f"(regexp_full_match({{0}}, '[0-9]+') OR (length({{0}}) >= 3 AND {{0}} NOT IN {text.STOPWORDS}))"
+_OTHER = "CASE WHEN regexp_full_match({0}, '[0-9]+') OR length({0}) < 4 THEN {0} WHEN length({0}) > 4 AND ends_with({0}, 'es') THEN {0}[:-3] WHEN length({0}) > 4 AND ends_with({0}, 's') THEN {0}[:-2] WHEN regexp_matches({0}, '[aeiou]$') THEN {0} || 's' ELSE {0} || 'es' END"
+_VARIANTS = f"list_distinct([{{0}}, {_OTHER}])"
+_THEMATIC = rf"""WITH {SEG}, tok AS (SELECT doc_id, seq, text, {_TOK} AS t FROM seg), corpus AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok), qt AS (SELECT item_id AS query_id, {_TOK}[:64] AS t FROM benchmark),
+qs AS (SELECT query_id, term, pos FROM (SELECT query_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM qt) WHERE {_SIG.format('term')}),
+g AS (SELECT query_id, term, {_VARIANTS.format('term')} AS vars FROM (SELECT query_id, term, min(pos) AS first FROM qs GROUP BY query_id, term QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first) <= 18)),
+w0 AS (SELECT query_id, pos, lead(pos) OVER (PARTITION BY query_id ORDER BY pos) AS b FROM qs), w1 AS (SELECT query_id, list_slice(t, pos + 1, b + 1) AS raw, min(pos) AS first FROM w0 JOIN qt USING (query_id) WHERE b - pos <= 4 GROUP BY query_id, list_slice(t, pos + 1, b + 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first) <= 12),
+w AS (SELECT query_id, raw, {_VARIANTS.format('raw[1]')} AS lv, {_VARIANTS.format('raw[-1]')} AS rv FROM w1), wl AS (SELECT query_id, list({{'l': lv, 'r': rv, 'raw': raw}}) AS ws FROM w GROUP BY query_id), gl AS (SELECT query_id, list({{'term': term, 'vars': vars}}) AS gs FROM g GROUP BY query_id),
+q AS (SELECT DISTINCT query_id, unnest(vars) AS term FROM g), post AS (SELECT doc_id, seq, len(t) AS length, term, count(*) AS tf, bool_or(pos < 512) AS early FROM (SELECT doc_id, seq, t, unnest(t) AS term, unnest(range(len(t))) AS pos FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+scored AS (SELECT query_id, doc_id, seq, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, list(term) FILTER (early) AS matched FROM post JOIN q USING (term) JOIN df USING (term), corpus GROUP BY query_id, doc_id, seq),
+own AS (SELECT s.*, tok.text, tok.t, coalesce(ws, []) AS ws, gs FROM scored s JOIN tok USING (doc_id, seq) JOIN gl USING (query_id) LEFT JOIN wl USING (query_id)),
+st AS (SELECT *, CASE WHEN len(list_filter(ws, lambda x: contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(x.raw, ' ') || ' '))) > 0 AND len(list_filter(ws, lambda x: list_has_any(matched, list_filter(x.raw, lambda y: {_SIG.format('y')})))) > 0 THEN 0 WHEN len(list_filter(ws, lambda x: list_has_any(matched, x.l) AND list_has_any(matched, x.r))) > 0 THEN 1 WHEN len(matched) > 0 THEN 2 END AS stage FROM own),
+one AS (SELECT * FROM st WHERE stage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, text ORDER BY stage, score DESC, seq) = 1), p0 AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id, stage ORDER BY score DESC, doc_id, seq) <= 20), pool AS (SELECT * FROM (SELECT *, count(*) FILTER (stage < 2) OVER (PARTITION BY query_id) AS filled FROM p0) WHERE stage < 2 OR filled < 10),
+f AS (SELECT *, list_filter(t, lambda y: {_SIG.format('y')}) AS s FROM pool), r AS (SELECT query_id, doc_id, seq, stage, score, len(list_filter(ws, lambda x: len(list_filter(range(1, len(s)), lambda i: list_contains(x.l, s[i]) AND list_contains(x.r, s[i + 1]))) > 0)) AS concepts, len(list_filter(gs, lambda x: list_has_any(t, x.vars))) AS found, len(list_filter(gs, lambda x: regexp_full_match(x.term, '[0-9]+') AND list_contains(t, x.term))) AS numbers FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY concepts DESC, found DESC, numbers DESC, stage, score DESC, doc_id, seq) AS rank FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS c FROM k)
+SELECT query_id, doc_id, CAST(seq AS INT) AS seq, CAST(stage AS BIGINT) AS stage, CAST(concepts AS BIGINT) AS concepts, CAST(found AS BIGINT) AS found, row_number() OVER (PARTITION BY query_id ORDER BY c > 1, rank) AS place FROM n QUALIFY place <= 10"""
+
 
 def q_segments(spark, d):
     out = segments.offsets(_segs(spark, d))
@@ -91,6 +108,12 @@ def q_concept_windows(spark, d):
     return search.concept_windows(_segs(spark, d)).select("doc_id", "seq", "pos", "term", "next_term")
 
 
+def q_thematic_search(spark, d):
+    """Staged retrieval for the benchmark's questions: phrases, variants, then any term."""
+    out = search.thematic(_segs(spark, d), _questions(spark, d), 10)
+    return out.select("query_id", "doc_id", "seq", F.col("stage").cast("long").alias("stage"), F.col("concepts").cast("long").alias("concepts"), F.col("found").cast("long").alias("found"), F.col("place").cast("long").alias("place"))
+
+
 def q_uppercase_ratio(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(text.uppercase_ratio(F.col("text")) * 1e6).cast("long").alias("ratio_e6"))
 
@@ -173,5 +196,7 @@ CASE WHEN e = '' THEN '.bin' ELSE e END AS extension, (h = 'example.com' OR h LI
     "corpus_digest": "SELECT doc_id // 1000 AS run, sha256(string_agg(doc_id || ':' || sha256(text), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1",
     "raw_addresses": "SELECT sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS byte_size, count(*) AS pages, 'raw/sha256/' || left(sha256(html), 2) || '/' || sha256(html) AS path FROM pages GROUP BY html",
     "document_ids": """SELECT doc_id, sha1('veritrail:' || doc_id) AS material_sha1, 'doc:' || left(sha256('{"doc_id":' || doc_id || ',"source":"' || source || '"}'), 32) AS ref FROM documents""",
+    "thematic_search": _THEMATIC,
+    "page_uuid": "WITH h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('page:' || url)) AS h FROM pages) SELECT page_id, 'SRC-' || h[1:12] || '5' || h[14:16] || substr('89ab', 1 + (strpos('0123456789abcdef', h[17]) - 1) % 4, 1) || h[18:32] AS source_id FROM h",
     "same_language_runs": "WITH s AS (SELECT *, CASE WHEN doc_id - lag(doc_id) OVER w = 1 AND lang IS NOT DISTINCT FROM lag(lang) OVER w THEN 0 ELSE 1 END AS s FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)), r AS (SELECT *, CAST(sum(s) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS run FROM s) SELECT source, run, lang, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM r GROUP BY source, run, lang",
 }
