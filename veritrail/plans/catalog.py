@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.plans import citation_queries, domain_queries, form_queries, registry_queries, state_queries, text_queries
+from veritrail.plans import bundle_queries, citation_queries, domain_queries, form_queries, registry_queries, state_queries, text_queries
 
-_MODULES = (text_queries, domain_queries, registry_queries, citation_queries, form_queries, state_queries)
+_MODULES = (text_queries, domain_queries, registry_queries, citation_queries, form_queries, state_queries, bundle_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
