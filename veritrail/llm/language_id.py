@@ -154,7 +154,7 @@ def learn_grams(labelled: DataFrame, sample_per_language: int, usual: float) ->
             for lang in sorted(set(langs)):
                 for _, some in _groups([t for t, x in zip(texts, langs, strict=True) if x == lang]):
                     h, n = np.unique(grams(some)[0].view(np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h), pa.array(n)], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = rows.where(chosen).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
