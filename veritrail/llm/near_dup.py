@@ -330,7 +330,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text_key: bool = False)
         shared = scratch.keep(shared, "shared-keys")
         touching = scratch.keep(keys.join(shared.hint("merge"), "key").select(F.col("doc_id").alias("a"), F.col("lo").alias("b"), "n"), "touching")
         family = scratch.keep(components(touching.select("a", "b"), scratch), "families")
-        sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        # Written before it is joined, so that the join's sides are plain exchanges, whose hot families adaptive execution splits.
+        sizes = scratch.keep(family.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
         degrees = touching.groupBy("a").agg(F.sum("n").alias("degree"))
         placed = family.join(sizes.hint("merge"), "component").join(degrees.hint("merge"), F.col("node") == F.col("a")).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size", "degree")
         # Only members of families are looked at again, so the sets are made anew for them and never written for all.
