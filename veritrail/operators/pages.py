@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.functions.text import fold
+
 
 def canonical_url(url: Column) -> Column:
     """Absolute URL with https, host in lower case and path, without query and fragment; null for other schemes."""
@@ -38,11 +40,15 @@ def links(pages: DataFrame) -> DataFrame:
     return each.withColumn("link", link).where(F.col("link").isNotNull() & (F.col("link") != F.col("url"))).select("page_id", "url", "link").distinct()
 
 
+#: Words of a legal text, in lower case without marks, which no index page has.
+CUES = r"\b(articulo|paragrafo|considerando|resuelve|decreta)\b"
+
+
 def classify(pages: DataFrame, least_links: int = 4, least_share: float = 0.6, most_text: int = 2_000) -> DataFrame:
-    """(page_id, links, document_links, text_chars, state): index pages are many links, mostly to documents, and little text."""
+    """(page_id, links, document_links, text_chars, state): index pages are many links, mostly to documents, and little text without the words of a legal one."""
     found = links(pages).withColumn("is_document", F.col("link").rlike(r"/[a-z][^/]*$"))
     counted = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.sum(F.col("is_document").cast("long")).alias("document_links"))
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), r"(?s)<a [^>]*>.*?</a>", ""), "<[^>]*>", "")
-    joined = pages.select("page_id", F.length(body).cast("long").alias("text_chars")).join(counted, "page_id", "left").fillna(0, ["links", "document_links"])
-    index = (F.col("links") >= least_links) & (F.col("document_links") >= least_links) & (F.col("document_links") >= F.col("links") * F.lit(least_share)) & (F.col("text_chars") <= most_text)
-    return joined.withColumn("state", F.when(index, "confirmed_index").otherwise("ambiguous"))
+    joined = pages.select("page_id", F.length(body).cast("long").alias("text_chars"), fold(body).rlike(CUES).alias("cues")).join(counted, "page_id", "left").fillna(0, ["links", "document_links"])
+    index = (F.col("links") >= least_links) & (F.col("document_links") >= least_links) & (F.col("document_links") >= F.col("links") * F.lit(least_share)) & (F.col("text_chars") <= most_text) & ~F.coalesce("cues", F.lit(False))
+    return joined.withColumn("state", F.when(index, "confirmed_index").otherwise("ambiguous")).drop("cues")

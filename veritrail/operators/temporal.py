@@ -13,14 +13,15 @@ def resolve_roles(candidates: DataFrame) -> DataFrame:
     return grouped.select("document", "role", "candidates", "trusted", status.alias("status"), F.when(status == "resolved", F.col("only")).alias("value"))
 
 
-def effect_at(events: DataFrame, as_of: Column, terminating: list[str]) -> DataFrame:
+def effect_at(events: DataFrame, as_of: Column, terminating: list[str], starting: tuple[str, ...] = ("enters_into_force",)) -> DataFrame:
     """(document, state, in_effect) at ``as_of`` from (document, event_type, starts, ends, ambiguous_start).
 
     In order: an ambiguous start; a terminating event by then; several starts;
-    not begun; one end; several ends; an open interval stays unresolved.
+    not begun; one end; several ends; an open interval stays unresolved.  Only
+    ``starting`` events begin or end an interval.
     """
     ended = F.bool_or(F.col("event_type").isin(*terminating) & (F.col("starts") <= as_of))
-    is_start = ~F.col("event_type").isin(*terminating)
+    is_start = F.col("event_type").isin(*starting)
     grouped = events.groupBy("document").agg(
         F.bool_or("ambiguous_start").alias("amb"), ended.alias("ended"), F.countDistinct(F.when(is_start, F.col("starts"))).alias("n_start"), F.min(F.when(is_start, F.col("starts"))).alias("start"),
         F.countDistinct(F.when(is_start, F.col("ends"))).alias("n_end"), F.min(F.when(is_start, F.col("ends"))).alias("stop"),
