@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import materialize, words
+from veritrail.llm.common import Scratch, materialize, words
 
 #: Fixed value: the weights of the contract, repeating over the sources in order.
 WEIGHTS = (5, 2, 1)
@@ -146,4 +146,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), carry=["doc_id", "source"])
     out = mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), "source", F.col("mix_position").alias("position"))
     order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
-    return out.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # Written first, so that sampling for the ranges reads narrow rows and does not mix again.
+    with Scratch(spark) as scratch:
+        ranged = scratch.keep(out, "mixed").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        return materialize(ranged, "mixed")
