@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.llm import fingerprints, html_text, language_id, mixing, near_dup, oracles, packing, quality, repeats, token_store, warc
+from veritrail.llm import divergence, fingerprints, html_text, infill, language_id, mixing, near_dup, oracles, packing, quality, repeats, token_store, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": quality.op1_line_quality,
@@ -19,6 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_simhash": fingerprints.op9_simhash,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
+    "op11_embedding_range_join": vectors.op11_embedding_range_join,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op1_line_quality": oracles.LINE_QUALITY}
+ORACLES: dict[str, str] = {
+    "op1_line_quality": oracles.LINE_QUALITY,
+    "op11_embedding_range_join": oracles.RANGE_JOIN,
+    "op12_fill_in_middle": oracles.INFILL,
+    "op13_source_divergence": oracles.DIVERGENCE,
+}
