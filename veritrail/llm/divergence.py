@@ -41,24 +41,25 @@ TERM, MIN_DOCS, SCALE, TERM_RANKS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", 3, 1_000
 #: Rows and columns of a tile, on average; and of a leaf.
 TILE_ROWS, TILE_COLUMNS, LEAF_ROWS, LEAF_COLUMNS = 64, 4_096, 8, 32
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Bytes of UTF-8 as terms see them: A-Z in lower case, other ASCII that parts terms as a space; a term's other characters are bytes from 0x80.
+_AS_TERMS = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c < 0x80 and not re.fullmatch(TERM, chr(c)) else c for c in range(256))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (lang, source, text) to (lang, source, term, n, docs), summed for each batch; a group's row without term tells that it occurs."""
-    find = re.compile(TERM).findall
     for batch in batches:
         n: dict[tuple[str, str], Counter] = {}
         docs: dict[tuple[str, str], Counter] = {}
-        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            terms = find(text.translate(_LOWER) if not text.islower() else text)
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            terms = text.translate(_AS_TERMS).split()
             n.setdefault((lang, source), Counter()).update(terms)
             docs.setdefault((lang, source), Counter()).update(set(terms))
         for (lang, source), counts in n.items():
             terms = list(counts)
             seen = docs[lang, source]
-            columns = [[lang] * (len(terms) + 1), [source] * (len(terms) + 1), [*terms, None], [*(counts[t] for t in terms), 0], [*(seen[t] for t in terms), 0]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "n", "docs"])
+            own = [pa.repeat(pa.scalar(x, pa.string()), len(terms) + 1) for x in (lang, source)]
+            numbers = [pa.array([*(of[t] for t in terms), 0], pa.int64()) for of in (counts, seen)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([*terms, None], pa.binary()).cast(pa.string()), *numbers], names=["lang", "source", "term", "n", "docs"])
 
 
 class QuadTree:
