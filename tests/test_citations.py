@@ -29,12 +29,18 @@ def test_mentions(spark):
     found = {(r.text_id, r.normalized) for r in got}
     assert {(0, "CO:LEY:100:1993:ART:3"), (0, "CO:LEY:100:1993:ART:4.1"), (0, "CO:LEY:100:1993:ART:5-1"), (0, "CO:LEY:100:1993"), (0, "CO:DECRETO:1625:2016")} <= found
     assert {(1, "CO:DIAN:CONCEPTO:12345:2005"), (1, "CO:DIAN:OFICIO:123:2010"), (1, "CO:ESTATUTO_TRIBUTARIO")} <= found
-    assert {(2, "CO:DIAN:CONCEPTO:100:2019"), (2, "CO:DIAN:OFICIO:78:2020"), (3, "CO:ESTATUTO_TRIBUTARIO:ART:12"), (3, "CO:RESOLUCION:42:2020:ART:3.2")} <= found
+    assert {(2, "CO:DIAN:CONCEPTO:100:2019"), (2, "CO:DIAN:OFICIO:78:2020"), (3, "CO:ESTATUTO_TRIBUTARIO:ART:12"), (3, "CO:DIAN:RESOLUCION:42:2020:ART:3.2")} <= found
     assert {(4, "CO:DECRETO:390:2016:ART:1"), (4, "CO:DECRETO:390:2016:ART:2")} <= found
     assert all(TEXTS[r.text_id][r.char_start : r.char_end] for r in got) and not any(i >= 5 for i, _ in found)
     assert sum(r.normalized == "CO:LEY:5:1990" for r in got) == 2
 
 
+@pytest.mark.parametrize(("label", "key"), [("DIAN", "DIAN"), ("Banco de la República", "BANREP"), ("Banco de la República Junta Directiva", "BANREP_JD"), ("Presidencia", "PRESIDENCIA"), ("Presidencia de la República", "PRESIDENCIA"), ("MinCIT", "MINCIT"), ("MinComercio", "MINCIT"), ("MinTIC", "MINTIC"), ("SGCAN", "SGCAN"), ("DAPR", "DAPR")])
+def test_issuers_of_citations(spark, label, key):
+    texts = spark.createDataFrame([(1, f"La Resolución {label} No. 042 de 2020 rige.")], "text_id int, text string")
+    assert [(r.target_key, r.target_issuer, r.normalized) for r in citations.mentions(texts).collect()] == [("CO:RESOLUCION:42:2020", key, f"CO:{key}:RESOLUCION:42:2020")]
+
+
 def test_announced_and_noted(spark):
     texts = spark.createDataFrame([(1, "Modifíquese el artículo 2 de la Ley 1 de 1990. Deróguese y modifíquese la Ley 3 de 1991. Deroga la Ley 4 de 1992."), (2, "<Artículo derogado por la Ley 9 de 2000> La Ley 8 de 2001.")], "text_id int, text string")
     found = citations.mentions(texts)

@@ -32,14 +32,38 @@ def test_nulls_pass_through_forms(spark):
         assert one(spark, f(null)) in (None, "web_page"), f.__name__
 
 
+SEGMENTS = "segment_id int, extraction_id int, sequence_no int, segment_type string, text string, section_path string"
+
+
 def test_date_trust(spark):
-    rows = [(1, 1, 1, "document_heading", "Publicado en el Diario Oficial el 3 de mayo de 2001"), (2, 1, 2, "article", "ARTÍCULO 1. La ley rige a partir de su publicación"), (3, 1, 3, "closing", "Dado en Bogotá, a 2 de mayo de 2001"), (4, 1, 9, "editorial_note", "Dado en Cali, a 5 de mayo de 1990"), (5, 2, 1, "text", "Publicado en el Diario Oficial el 30 de febrero de 2001, Ley 5 de 1990")]
-    segs = spark.createDataFrame(rows, "segment_id int, extraction_id int, sequence_no int, segment_type string, text string")
-    got = {r.segment_id: (r.role, r.value, r.is_trusted, r.context) for r in registry.date_candidates(segs).collect()}
-    assert got == {
-        1: ("publication", date(2001, 5, 3), True, "publication_metadata"), 2: ("commencement", None, True, "commencement_clause"), 3: ("issued", date(2001, 5, 2), True, "primary_document_date"),
-        4: ("issued", date(1990, 5, 5), False, "editorial_history"), 5: ("publication", None, False, "quoted_cited_norm"),
-    }
+    rows = [
+        (1, 1, 1, "document_heading", "Diario Oficial No. 50.928 de 22 de abril de 2019", None), (2, 1, 2, "article", "ARTÍCULO 1. La presente disposición rige a partir de la fecha de su publicación en el Diario Oficial.", "ARTÍCULO 1"),
+        (3, 1, 3, "closing", "PUBLÍQUESE Y CÚMPLASE. Dado en Bogotá, 2 de mayo de 2001", None), (4, 1, 9, "text", "Dado en Cali, a 5 de mayo de 1990", "NOTAS DE VIGENCIA"), (5, 2, 1, "text", "Diario Oficial No. 47.000 de 30 de febrero de 2010. Ley 5 de 1990", None),
+        (6, 3, 1, "article", "Rige a partir del 1 de enero de 2030", None), (7, 3, 2, "paragraph", "rige a partir de la fecha de su publicación", "ARTÍCULO 9. VIGENCIA"), (8, 3, 3, "text", "DECRETO 99 DE 2010. Dada en Cali, 3 de marzo de 2011", None), (9, 3, 40, "text", "Diario Oficial No 1 de 3 de setiembre de 1999", None),
+        (10, 4, 1, "closing", "Dada en Tunja, 1 de enero de 2001. Dado en Cali, 2 de enero de 2002", None), (11, 4, 2, "text", None, None),
+    ]
+    got = sorted((r.segment_id, r.role, r.value, r.is_trusted, r.context) for r in registry.date_candidates(spark.createDataFrame(rows, SEGMENTS)).collect())
+    assert got == [
+        (1, "publication", date(2019, 4, 22), True, "publication_metadata"), (2, "commencement", None, True, "commencement_clause"), (3, "issued", date(2001, 5, 2), True, "primary_document_date"), (4, "issued", date(1990, 5, 5), False, "editorial_history"),
+        (5, "publication", None, False, "quoted_cited_norm"), (7, "commencement", None, True, "commencement_clause"), (8, "issued", date(2011, 3, 3), False, "quoted_cited_norm"), (9, "publication", date(1999, 9, 3), False, "unknown"),
+        (10, "issued", date(2001, 1, 1), True, "primary_document_date"), (10, "issued", date(2002, 1, 2), True, "primary_document_date"),
+    ]
+
+
+def test_relation_families(spark):
+    known = {"modified_by": "amendment", "Repealed By": "repeal", "supersedes": "supersession", "replaces": "amendment", "amends": "amendment", "contradicts": "conflict", "excepted-by": "exception", "definition for": "definition", "expires": "temporal"}
+    for name, family in known.items():
+        assert one(spark, forms.relation_family(F.lit(name))) == family
+    assert all(one(spark, forms.relation_family(F.lit(x).cast("string"))) is None for x in ("adds", "substitutes", "annuls", "cites", "", None))
+    assert sum(len(v) for v in forms.FAMILY_TYPES.values()) == 39
+
+
+def test_bodies_keep_what_is_no_portal_note(spark):
+    act = [(1, 0, "DECRETO 3 DE 2001"), (1, 1, "uno"), (1, 2, "<Consultar la vigencia de esta norma directamente en los artículos que modifica y/o adiciona>"), (1, 3, "Consultar la vigencia de esta norma en la página")]
+    court = [(2, 0, "DECRETO 3 DE 2001"), (2, 1, "SENTENCIA C-123/05"), (2, 2, "I. ANTECEDENTES " + "x" * 500), (2, 3, "R E S U E L V E"), (3, 0, "SENTENCIA C-9/05"), (3, 1, "I. ANTECEDENTES " + "x" * 500)]
+    frame = spark.createDataFrame([(*r, None if r[0] == 1 else blocks.COURT_FAMILY) for r in act + court], "doc int, seq int, text string, family string")
+    got = {r.doc: (r.state, r.first, r.blocks) for r in blocks.legal_body(frame, 3, "family").collect()}
+    assert got == {1: ("body", 0, 3), 2: ("body", 1, 3), 3: ("too_short", 0, 2)}
 
 
 def test_promotion_needs_publication_and_commencement(spark):

@@ -68,9 +68,18 @@ TYPES = (("LEY", "LEY"), ("DECRETO", "DECRETO"), ("DECRETO LEY", "DECRETO"), ("R
 #: Issuers by label in key form, and by the start of a file name.
 ISSUERS = (("DIRECCION DE IMPUESTOS Y ADUANAS NACIONALES", "DIAN"), ("DIAN", "DIAN"), ("MINISTERIO DE HACIENDA Y CREDITO PUBLICO", "MINHACIENDA"), ("MINHACIENDA", "MINHACIENDA"), ("CONGRESO DE LA REPUBLICA", "CONGRESO"), ("PRESIDENCIA DE LA REPUBLICA", "PRESIDENCIA"))
 FILE_ISSUERS = (("ley_", "CONGRESO"), ("decreto_", "PRESIDENCIA"), ("resolucion_dian_", "DIAN"), ("resolucion_minhacienda_", "MINHACIENDA"), ("circular_dian_", "DIAN"))
-#: What documents of a type do, and the families of dependencies that relations found.
+#: What documents of a type do.
 FUNCTIONS = (("LEY", "binding_norm"), ("DECRETO", "binding_norm"), ("RESOLUCION", "binding_norm"), ("CIRCULAR", "administrative_instruction"), ("CONCEPTO", "administrative_interpretation"), ("OFICIO", "administrative_interpretation"), ("SENTENCIA_C", "judicial_decision"))
-FAMILIES = (("modifies", "amendment"), ("adds", "amendment"), ("repeals", "repeal"), ("annuls", "repeal"), ("substitutes", "supersession"), ("excepts", "exception"), ("defines", "definition"), ("conflicts_with", "conflict"), ("suspends", "temporal"))
+#: Relation types, in normal form, by the family of dependencies that they found.
+FAMILY_TYPES = {
+    "amendment": ("modification", "modification_of", "modifies", "modified_by", "amends", "amended_by", "replaces", "replaced_by"),
+    "repeal": ("repeal", "repeal_of", "repeals", "repealed_by", "revokes", "revoked_by"),
+    "supersession": ("supersession", "supersession_of", "supersedes", "superseded_by"),
+    "exception": ("exception", "exception_to", "excepts", "excepted_by"),
+    "definition": ("definition", "defines", "defined_by", "definition_for"),
+    "conflict": ("conflict", "conflict_with", "conflicts", "conflicts_with", "contradicts", "inconsistent_with", "incompatible_with"),
+    "temporal": ("suspends", "suspended_by", "extends", "extended_by", "effective_from", "expires"),
+}
 
 
 def lookup(value: Column, table: tuple[tuple[str, str], ...]) -> Column:
@@ -81,6 +90,19 @@ def lookup(value: Column, table: tuple[tuple[str, str], ...]) -> Column:
     return out
 
 
+def relation_name(text: Column) -> Column:
+    """Normal form of a relation type: folded, runs of other characters as one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def relation_family(text: Column) -> Column:
+    """Family of dependencies that a relation type founds; null for none."""
+    name, out = relation_name(text), F.lit(None).cast("string")
+    for family, names in FAMILY_TYPES.items():
+        out = F.when(name.isin(*names), family).otherwise(out)
+    return out
+
+
 def document_type(label: Column) -> Column:
     return lookup(key_form(label), TYPES)
 

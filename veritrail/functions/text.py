@@ -53,14 +53,14 @@ def document_number(text: Column) -> Column:
     return F.when(tight.rlike("^[0-9]+[A-Z]?$"), F.regexp_replace(tight, "^0+([0-9])", "$1")).otherwise(tight)
 
 
-#: Spanish month names.
+#: Spanish month names; the ninth has a second spelling.
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
 
 def spanish_date(text: Column) -> Column:
     """The date written as ``3 de mayo de 1999``; null for an unknown month or an impossible day."""
     pattern = r"([0-9]{1,2})\s+de\s+(\p{L}+)\s+(?:de|del)\s+([0-9]{4})"
-    low = fold(text)
+    low = F.replace(fold(text), F.lit("setiembre"), F.lit("septiembre"))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(low, pattern, 2))
     iso = F.concat_ws("-", F.regexp_extract(low, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(low, pattern, 1), 2, "0"))
     return F.when(low.rlike(pattern) & (month > 0), F.try_to_date(iso, "yyyy-MM-dd"))

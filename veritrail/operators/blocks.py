@@ -12,14 +12,17 @@ from veritrail.functions.text import uppercase_ratio
 BLOCK_TAGS = "address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|tfoot|thead|title|tr|ul"
 HIDDEN_TAGS = ("script", "style", "noscript", "svg", "template")
 #: How legal documents begin, are structured and end, in key form.
-HEADING = r"^(DECRETO|RESOLUCION|CONCEPTO|OFICIO|LEY|SENTENCIA|CIRCULAR)\s+(NUMERO\s+)?[A-Z0-9._/-]+\s+DE\s+[0-9]{4}\b|^SENTENCIA\s+C-[0-9]{1,4}/[0-9]{2,4}\b"
 REGULATORY = r"^[“\"']?ARTICULO\s+[0-9]+(\.[0-9]+){2,}\b"
 ARTICLE = r"^[“\"']?ARTICULO\s+\S+"
 PARAGRAPH = r"^[“\"']?PARAGRAFO\b"
 NUMERAL = r"^[0-9]+(\.[0-9]+)*\.\s+"
 STRUCTURE = ("CONSIDERANDO:", "CONSIDERANDO", "DECRETA:", "DECRETA")
 FOOTERS = ("COMPILACION JURIDICA DIAN",)
-ANNOTATION = "CONSULTAR LA VIGENCIA DE ESTA NORMA"
+ANNOTATION = "CONSULTAR LA VIGENCIA DE ESTA NORMA DIRECTAMENTE EN LOS ARTICULOS QUE MODIFICA Y/O ADICIONA"
+#: The family of court decisions, how those begin, and what a whole one has.
+COURT_FAMILY, COURT_HEADING, COURT_CHARS, COURT_SIGNALS = "corte_constitucional_sentencia_c", r"^SENTENCIA\s+C-[0-9]{1,4}/[0-9]{2,4}\b", 500, 2
+ACT_HEADING = r"^(DECRETO|RESOLUCION|CONCEPTO|OFICIO|LEY|SENTENCIA|CIRCULAR)\s+(NUMERO\s+)?[A-Z0-9._/-]+\s+DE\s+[0-9]{4}\b"
+HEADING = f"{ACT_HEADING}|{COURT_HEADING}"
 
 
 def visible(pages: DataFrame) -> DataFrame:
@@ -56,15 +59,30 @@ def segment_type(text: Column, kind: Column) -> Column:
     )
 
 
-def legal_body(blocks: DataFrame, least: int = 5) -> DataFrame:
-    """(doc, state, first, last, blocks) of blocks (doc, seq, text): from the first heading in capitals, else the first one, to the first footer behind it, without portal notes."""
-    b = blocks.withColumn("key", key_form(F.col("text")))
-    start = b.where(F.col("key").rlike(HEADING)).groupBy("doc").agg(F.min(F.struct((uppercase_ratio(F.col("text")) < 0.8).alias("low"), "seq"))["seq"].alias("first"))
+def portal_note(key: Column) -> Column:
+    """Whether a block, in key form, is a note that the portal adds to a document."""
+    return F.btrim(key, F.lit("<> ")).startswith(ANNOTATION)
+
+
+def legal_body(blocks: DataFrame, least: int = 5, family: str | None = None) -> DataFrame:
+    """(doc, state, first, last, blocks) of blocks (doc, seq, text): from the first heading in capitals, else the first one, to the first footer behind it, without portal notes.
+
+    ``family`` names a column with the source's family.  A court decision has
+    headings of its own and is whole with enough characters and two of its
+    sections (background, reasons, decision); any other act needs ``least`` blocks.
+    """
+    court = F.coalesce(F.col(family) == COURT_FAMILY, F.lit(False)) if family else F.lit(False)
+    b = blocks.withColumn("key", key_form(F.col("text"))).withColumn("court", court)
+    heads = F.when(F.col("court"), F.col("key").rlike(COURT_HEADING)).otherwise(F.col("key").rlike(ACT_HEADING))
+    start = b.where(heads).groupBy("doc").agg(F.min(F.struct((uppercase_ratio(F.col("text")) < 0.8).alias("low"), "seq"))["seq"].alias("first"))
     from_start = b.join(start, "doc", "left")
     stop = F.min(F.when(F.col("key").isin(*FOOTERS) & (F.col("seq") > F.col("first")), F.col("seq"))).over(Window.partitionBy("doc"))
-    inside = (F.col("seq") >= F.col("first")) & (F.col("stop").isNull() | (F.col("seq") < F.col("stop"))) & ~F.col("key").startswith(ANNOTATION)
-    sums = from_start.withColumn("stop", stop).groupBy("doc").agg(F.min("first").alias("first"), F.max(F.when(inside, F.col("seq"))).alias("last"), F.count(F.when(inside, F.lit(1))).alias("blocks"))
-    state = F.when(F.col("first").isNull(), "no_heading").when(F.col("blocks") < least, "too_short").otherwise("body")
+    inside = (F.col("seq") >= F.col("first")) & (F.col("stop").isNull() | (F.col("seq") < F.col("stop"))) & ~portal_note(F.col("key"))
+    signals = (F.col("key").contains("ANTECEDENTES"), F.col("key").contains("CONSIDERACIONES"), F.col("key").contains("DECISION") | F.regexp_replace("key", "[^A-Z]", "").startswith("RESUELVE"))
+    seen = sum((F.max((inside & s).cast("int")) for s in signals), F.lit(0))
+    sums = from_start.withColumn("stop", stop).groupBy("doc").agg(F.bool_or("court").alias("court"), F.min("first").alias("first"), F.max(F.when(inside, F.col("seq"))).alias("last"), F.count(F.when(inside, F.lit(1))).alias("blocks"), F.coalesce(F.sum(F.when(inside, F.length("text"))), F.lit(0)).alias("chars"), seen.alias("signals"))
+    short = F.when(F.col("court"), (F.col("chars") < COURT_CHARS) | (F.col("signals") < COURT_SIGNALS)).otherwise(F.col("blocks") < least)
+    state = F.when(F.col("first").isNull(), "no_heading").when(short, "too_short").otherwise("body")
     return sums.select("doc", state.alias("state"), "first", F.col("last"), "blocks")
 
 

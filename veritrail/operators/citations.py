@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.functions.forms import MARKED, PLAIN
+from veritrail.functions.forms import MARKED, PLAIN, lookup
 
 #: How citations are written, in lower case without marks.
-ISSUERS = "dian|minhacienda"
-_QUALIFIED = rf"(?: unico(?: reglamentario)?)?(?: (?:{ISSUERS}))? +(?:(?:numero|no\.?|nro\.?) *)?[0-9]+[a-z]? +de +[0-9]{{4}}\b"
+ISSUERS = r"dian|banco +de +la +republica(?: +junta +directiva)?|presidencia(?: +de +la +republica)?|mincit|mincomercio|mintic|sgcan|dapr"
+_QUALIFIED = rf"(?: +unico(?: +reglamentario)?)?(?: +(?:{ISSUERS}))? +(?:(?:numero|no\.?|nro\.?) *)?[0-9]+[a-z]? +de +[0-9]{{4}}\b"
 NORM = r"(?:ley|decreto|resolucion)" + _QUALIFIED
 ACT = r"\b(?:ley|decreto|resolucion|circular|concepto|oficio)" + _QUALIFIED
 NUMBERS = r"[0-9]+(?: +[0-9]+)*"
@@ -28,6 +28,8 @@ ARTICLE_OF = rf"\barticulos? +{LIST}(?: *\[[0-9]+\])? +(?:del|de +la) +(?:estatu
 ARTICLE_IN = rf"\barticulos? +{LIST} +(?:del|de +la|al|a +la) +(?:seccion|capitulo|titulo|parte|libro) +[^.;:]{{1,260}}? +(?:del|de +la) +{NORM}"
 ACT_THEN_ARTICLE = rf"{NORM} +(?:en +)?(?:su +)?articulo +[0-9]+(?:\.[0-9]+)*(?:-[0-9]+)?\b"
 ARTICLE_NUMBER = r"[0-9]+(?:\.[0-9]+)*(?:-[0-9]+)?[oº°]?"
+#: Keys of the issuers that citations name.
+ISSUER_KEYS = (("dian", "DIAN"), ("banco de la republica", "BANREP"), ("banco de la republica junta directiva", "BANREP_JD"), ("presidencia", "PRESIDENCIA"), ("presidencia de la republica", "PRESIDENCIA"), ("mincit", "MINCIT"), ("mincomercio", "MINCIT"), ("mintic", "MINTIC"), ("sgcan", "SGCAN"), ("dapr", "DAPR"))
 #: Verbs that announce a relation, and its type; those of editorial notes.
 TRIGGERS = (("sustituyase", "substitutes"), ("sustituyanse", "substitutes"), ("sustituye", "substitutes"), ("modifiquese", "modifies"), ("modifiquense", "modifies"), ("modifica", "modifies"), ("adicionese", "adds"), ("adicionense", "adds"), ("adiciona", "adds"), ("deroguense", "repeals"), ("deroguese", "repeals"), ("deroga", "repeals"))
 NOTE = r"<(?:articulo|paragrafo|numeral|inciso)[^<>]{0,160}? +(?:modificado|adicionado|derogado|sustituido) +por +[^<>]{1,700}?>"
@@ -54,38 +56,50 @@ def _exploded(texts: DataFrame, pattern: str) -> DataFrame:
 
 
 def _target(raw: Column) -> tuple[Column, Column]:
-    """Key and issuer of the act at the end of a citation."""
-    pattern = rf"(ley|decreto|resolucion|circular|concepto|oficio)(?: unico(?: reglamentario)?)?(?: ({ISSUERS}))? +(?:(?:numero|no\.?|nro\.?) *)?([0-9]+[a-z]?) +de +([0-9]{{4}})"
+    """Key (type, number, year) and issuer of the act that a citation names; letters are the tax authority's unless they say otherwise."""
+    pattern = rf"(ley|decreto|resolucion|circular|concepto|oficio)(?: +unico(?: +reglamentario)?)?(?: +({ISSUERS}))? +(?:(?:numero|no\.?|nro\.?) *)?([0-9]+[a-z]?) +de +([0-9]{{4}})"
     part = lambda i: F.upper(F.regexp_extract(raw, pattern, i))
     number = F.regexp_replace(part(3), "^0+([0-9])", "$1")
     key = F.when(raw.rlike("estatuto +tributario"), "CO:ESTATUTO_TRIBUTARIO").otherwise(F.concat_ws(":", F.lit("CO"), part(1), number, part(4)))
-    return key, F.nullif(part(2), F.lit(""))
+    issuer = lookup(F.regexp_replace(F.lower(part(2)), " +", " "), ISSUER_KEYS)
+    return key, F.coalesce(issuer, F.when(part(1).isin("CONCEPTO", "OFICIO"), "DIAN"))
+
+
+#: Citation forms by what they give: a whole act, a letter with its number in groups, listed articles, an article behind its act.
+FORMS = (("act", ACT), ("act", STATUTE), *(("letter", p) for p in LETTERS), ("articles", ARTICLE_OF), ("articles", ARTICLE_IN), ("article", ACT_THEN_ARTICLE))
 
 
 def mentions(texts: DataFrame) -> DataFrame:
     """(text_id, char_start, char_end, mention_type, target_key, target_issuer, article, normalized) of (text_id, text).
 
     Articles of a list are mentions of their own; a span and target that
-    several patterns find is one.
+    several patterns find is one.  All forms are found in one pass over the
+    texts; ``normalized`` names the issuer where it is known.
     """
     low = texts.select("text_id", folded(F.col("text")).alias("low"))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(spans(F.col("low"), pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start")))
+
+    found = low.select("text_id", F.explode(F.flatten(F.array(*[of(k, p) for k, p in FORMS]))).alias("m")).select("text_id", "m.*")
     key, issuer = _target(F.col("raw"))
-    whole = _exploded(low, ACT).unionByName(_exploded(low, STATUTE)).select("text_id", "start", (F.col("start") + F.length("raw")).alias("end"), key.alias("target_key"), issuer.alias("target_issuer"), F.lit(None).cast("string").alias("article"))
-    for pattern in LETTERS:
-        kind, numbers = F.upper(F.regexp_extract("raw", "^(concepto|oficio)", 1)), F.regexp_replace(F.regexp_extract("raw", rf"^[a-z]+ +({NUMBERS})", 1), " +", "")
-        letter = F.concat_ws(":", F.lit("CO:DIAN"), kind, F.regexp_replace(numbers, "^0+([0-9])", "$1"), F.regexp_extract("raw", "([0-9]{4})$", 1))
-        whole = whole.unionByName(_exploded(low, pattern).select("text_id", "start", (F.col("start") + F.length("raw")).alias("end"), letter.alias("target_key"), F.lit("DIAN").alias("target_issuer"), F.lit(None).cast("string").alias("article")))
-    listed = _exploded(low, ARTICLE_OF).unionByName(_exploded(low, ARTICLE_IN))
-    group = F.regexp_extract("raw", rf"^articulos? +({LIST})(?: *\[[0-9]+\])? +(?:del|de +la|al|a +la) ", 1)
+    letter = F.col("kind") == "letter"
+    numbers = F.regexp_replace(F.regexp_extract("raw", rf"^[a-z]+ +({NUMBERS})", 1), " +", "")
+    letter_key = F.concat_ws(":", F.lit("CO"), F.upper(F.regexp_extract("raw", "^(concepto|oficio)", 1)), F.regexp_replace(numbers, "^0+([0-9])", "$1"), F.regexp_extract("raw", "([0-9]{4})$", 1))
+    listed = F.regexp_extract("raw", rf"^articulos? +({LIST})(?: *\[[0-9]+\])? +(?:del|de +la|al|a +la) ", 1)
     base = F.col("start") + F.length(F.regexp_extract("raw", "^articulos? +", 0))
-    each = listed.select("text_id", key.alias("target_key"), issuer.alias("target_issuer"), base.alias("base"), F.explode(spans(group, ARTICLE_NUMBER)).alias("a"))
-    each = each.select("text_id", (F.col("base") + F.col("a.start")).alias("start"), F.col("a.raw").alias("token"), "target_key", "target_issuer")
-    after = _exploded(low, ACT_THEN_ARTICLE).withColumn("token", F.regexp_extract("raw", r"articulo +([0-9.\-]+)$", 1))
-    after = after.select("text_id", (F.col("start") + F.length("raw") - F.length("token")).alias("start"), "token", key.alias("target_key"), issuer.alias("target_issuer"))
-    article = each.unionByName(after).select("text_id", "start", (F.col("start") + F.length("token")).alias("end"), "target_key", "target_issuer", F.regexp_replace("token", "[oº°]$", "").alias("article"))
-    both = whole.unionByName(article).withColumn("normalized", F.concat_ws(":ART:", "target_key", "article"))
+    last = F.regexp_extract("raw", r"articulo +([0-9.\-]+)$", 1)
+    end = F.col("start") + F.length("raw")
+    part = lambda at, to, token: F.struct(at.alias("char_start"), to.alias("char_end"), token.alias("token"))
+    whole = F.array(part(F.col("start"), end, F.lit(None).cast("string")))
+    each = F.transform(spans(listed, ARTICLE_NUMBER), lambda a: part(base + a["start"], base + a["start"] + F.length(a["raw"]), a["raw"]))
+    parts = F.when(F.col("kind") == "articles", each).when(F.col("kind") == "article", F.array(part(end - F.length(last), end, last))).otherwise(whole)
+    rows = found.select("text_id", F.when(letter, letter_key).otherwise(key).alias("target_key"), F.when(letter, "DIAN").otherwise(issuer).alias("target_issuer"), F.inline(parts))
+    article = F.regexp_replace("token", "[oº°]$", "")
+    named = F.when(F.col("target_issuer").isNull(), F.col("target_key")).otherwise(F.concat(F.lit("CO:"), "target_issuer", F.lit(":"), F.substring("target_key", F.lit(4), F.length("target_key"))))
+    rows = rows.withColumn("article", article).withColumn("normalized", F.concat_ws(":ART:", named, "article"))
     kind = F.when(F.col("article").isNull(), "document").otherwise("article")
-    return both.dropDuplicates(["text_id", "start", "end", "normalized"]).select("text_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), kind.alias("mention_type"), "target_key", "target_issuer", "article", "normalized")
+    return rows.dropDuplicates(["text_id", "char_start", "char_end", "normalized"]).select("text_id", "char_start", "char_end", kind.alias("mention_type"), "target_key", "target_issuer", "article", "normalized")
 
 
 def triggers(texts: DataFrame) -> DataFrame:
@@ -140,8 +154,12 @@ def resolve(asked: DataFrame, documents: DataFrame, provisions: DataFrame, confl
     document, several, a document asked for, no designation, an open
     conflict, no provision, several, one.
     """
-    met = asked.join(documents, F.col("target_key") == F.col("key"), "left").withColumn("fits", F.col("target_issuer").isNull() | F.col("issuer").eqNullSafe(F.col("target_issuer")))
-    one = met.groupBy("mention_id", "mention_type", "article").agg(F.countDistinct(F.when(F.col("fits"), F.col("document_id"))).alias("n_doc"), F.min(F.when(F.col("fits"), F.col("document_id"))).alias("document_id"))
+    # Documents are counted by key, and by key and issuer, before mentions meet them: each mention meets one row of either.
+    counted = lambda *by: documents.groupBy(*by).agg(F.countDistinct("document_id").alias("n"), F.min("document_id").alias("one"))
+    any_issuer = counted(F.col("key").alias("target_key")).select("target_key", F.struct("n", "one").alias("any"))
+    same_issuer = counted(F.col("key").alias("target_key"), F.col("issuer").alias("target_issuer")).select("target_key", "target_issuer", F.struct("n", "one").alias("same"))
+    met = asked.join(any_issuer, "target_key", "left").join(same_issuer, ["target_key", "target_issuer"], "left").withColumn("hit", F.when(F.col("target_issuer").isNull(), F.col("any")).otherwise(F.col("same")))
+    one = met.select("mention_id", "mention_type", "article", F.coalesce("hit.n", F.lit(0)).alias("n_doc"), F.col("hit.one").alias("document_id"))
     held = provisions.groupBy("document_id", F.col("designation").alias("article")).agg(F.countDistinct("provision_id").alias("n_prov"), F.min("provision_id").alias("provision_id"))
     open_conflict = conflicts.select("document_id", F.col("designation").alias("article"), F.lit(True).alias("conflict")).distinct()
     found = one.join(held, ["document_id", "article"], "left").join(open_conflict, ["document_id", "article"], "left")

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.functions.forms import key_form
 from veritrail.functions.text import spanish_date
-from veritrail.operators.citations import ACT, folded
-
-#: How texts give their dates, in lower case without marks.
-DATE = r"[0-9]{1,2} de [a-z]+ (?:de|del) [0-9]{4}"
-ROLES = (("publication", rf"publicad[oa] en el diario oficial(?: no\. ?[0-9.]+)? (?:el|del) ({DATE})"), ("issued", rf"dad[oa] en [a-z ,.]+?,? a (?:los )?({DATE})"), ("commencement", r"(rige a partir de|entrara en vigencia|entra en vigencia)"))
+from veritrail.operators.citations import folded, spans
+
+#: How texts give their dates and their beginning, and how they cite acts, in lower case without marks.
+DATE = r"[0-9]{1,2}\s+de\s+[a-z]+\s+de\s+[0-9]{4}"
+ROLES = (
+    ("publication", rf"diario\s+oficial\s+no\.?\s*[0-9.]+\s+de\s+{DATE}"),
+    ("issued", rf"dad[oa]\s+en\s+.+?,\s*(?:a\s+)?{DATE}"),
+    ("commencement", r"rige\s+a\s+partir\s+de\s+la\s+fecha\s+de\s+su\s+publicacion(?:\s+en\s+el\s+diario\s+oficial)?"),
+)
+CITATION = r"\b(?:ley|decreto|resolucion|circular|sentencia|concepto|oficio)\s+(?:numero\s+)?[a-z0-9._/-]+(?:\s+de\s+[0-9]{4})?\b"
+#: What marks editorial matter, in key form, and how far from the start and from a closing dates are trusted.
+EDITORIAL = ("NOTA DE VIGENCIA", "NOTAS DE VIGENCIA", "NOTA: VIGENCIA", "MODIFICADO POR", "MODIFICADA POR", "DEROGADO POR", "DEROGADA POR", "ADICIONADO POR", "ADICIONADA POR", "JURISPRUDENCIA", "CONCORDANCIA")
+FRONT_MATTER, NEAR_CLOSING = 30, 2
+ARTICLES = ("article", "regulatory_article")
 
 
 def first_identifier(identifiers: DataFrame) -> DataFrame:
@@ -93,7 +103,7 @@ def provision_for_segment(observations: DataFrame, segments: DataFrame) -> DataF
 
 def boundaries(segments: DataFrame) -> DataFrame:
     """(extraction_id, first_article, segments): where articles begin, one past the end if there are none."""
-    first = F.min(F.when(F.col("segment_type") == "article", F.col("sequence_no")))
+    first = F.min(F.when(F.col("segment_type").isin(*ARTICLES), F.col("sequence_no")))
     return segments.groupBy("extraction_id").agg(F.coalesce(first, F.count(F.lit(1)) + 1).alias("first_article"), F.count(F.lit(1)).alias("segments"))
 
 
@@ -111,32 +121,40 @@ def paired_rows(segments: DataFrame, is_label: Column) -> DataFrame:
 
 
 def date_candidates(segments: DataFrame) -> DataFrame:
-    """(segment_id, extraction_id, role, value, is_trusted, context) of the dates that segments give.
-
-    What an editorial note says is never trusted; otherwise a role is trusted
-    by where it stands: publication before the first article and without a
-    citation, issue in a closing or within two segments of one, commencement
-    in an article.
+    """(segment_id, extraction_id, role, at, quote, value, is_trusted, context) of every date, or rule of commencement, that segments state.
+
+    ``segments`` may have ``section_path``, the heading that a segment stands
+    under.  First rule that holds: editorial matter, in the text or its
+    heading, is never trusted; publication is, in the front matter before the
+    first article and without a citation; issue is, in a closing, or near one
+    without a citation; commencement is, in an article or under an article's
+    heading that speaks of it.  A date that is none has no value.
     """
-    by = Window.partitionBy("extraction_id").orderBy("sequence_no")
-    near = by.rangeBetween(-2, 2)
-    placed = segments.withColumn("low", folded(F.col("text"))).withColumn("closing", F.max((F.col("segment_type") == "closing").cast("int")).over(near) == 1).join(boundaries(segments).select("extraction_id", "first_article"), "extraction_id")
-    found = placed.withColumn("role", F.explode(F.array_compact(F.array(*[F.when(F.col("low").rlike(p), F.lit(r)) for r, p in ROLES]))))
-    value = F.lit(None).cast("date")
-    for role, pattern in ROLES[:2]:
-        value = F.when(F.col("role") == role, spanish_date(F.regexp_extract("low", pattern, 1))).otherwise(value)
-    cites = F.col("low").rlike(ACT)
-    editorial = F.col("segment_type") == "editorial_note"
+    path = F.coalesce("section_path", F.lit("")) if "section_path" in segments.columns else F.lit("")
+    near = Window.partitionBy("extraction_id").orderBy("sequence_no").rangeBetween(-NEAR_CLOSING, NEAR_CLOSING)
+    placed = segments.select("segment_id", "extraction_id", "sequence_no", "segment_type", folded(F.col("text")).alias("low"), key_form(path).alias("path"), key_form(F.col("text")).alias("key"))
+    placed = placed.withColumn("closing", F.max((F.col("segment_type") == "closing").cast("int")).over(near) == 1).join(boundaries(segments).select("extraction_id", "first_article"), "extraction_id")
+
+    def stated(role: str, pattern: str) -> Column:
+        return F.transform(spans(F.col("low"), pattern), lambda m: F.struct(F.lit(role).alias("role"), m["start"].alias("at"), m["raw"].alias("quote")))
+
+    found = placed.withColumn("c", F.explode(F.flatten(F.array(*[stated(r, p) for r, p in ROLES])))).select("*", "c.*")
+    cites, role = F.col("low").rlike(CITATION), F.col("role")
+    both = F.concat_ws(" ", "path", "key")
+    editorial = F.lit(False)
+    for mark in EDITORIAL:
+        editorial = editorial | both.contains(mark)
+    front = (F.col("sequence_no") < F.col("first_article")) & (F.col("sequence_no") <= FRONT_MATTER) & F.col("segment_type").isin("document_heading", "section_heading", "text", "table_row")
     context = (
         F.when(editorial, "editorial_history")
-        .when((F.col("role") == "publication") & (F.col("sequence_no") < F.col("first_article")) & (F.col("sequence_no") <= 30) & F.col("segment_type").isin("document_heading", "section_heading", "text", "table_row") & ~cites, "publication_metadata")
-        .when((F.col("role") == "issued") & ((F.col("segment_type") == "closing") | (F.col("closing") & ~cites)), "primary_document_date")
-        .when((F.col("role") == "commencement") & F.col("segment_type").isin("article", "regulatory_article"), "commencement_clause")
+        .when((role == "publication") & front & ~cites, "publication_metadata")
+        .when((role == "issued") & ((F.col("segment_type") == "closing") | (F.col("closing") & ~cites)), "primary_document_date")
+        .when((role == "commencement") & (F.col("segment_type").isin(*ARTICLES) | (F.col("path").startswith("ARTICULO") & (F.col("path").contains("VIGENCIA") | F.col("key").contains("RIGE")))), "commencement_clause")
         .when(cites, "quoted_cited_norm")
         .otherwise("unknown")
     )
-    out = found.withColumn("context", context).withColumn("value", value)
-    return out.select("segment_id", "extraction_id", "role", "value", F.col("context").isin("publication_metadata", "primary_document_date", "commencement_clause").alias("is_trusted"), "context")
+    out = found.withColumn("context", context).withColumn("value", F.when(role != "commencement", spanish_date(F.regexp_extract("quote", f"{DATE}$", 0))))
+    return out.select("segment_id", "extraction_id", "role", "at", "quote", "value", F.col("context").isin("publication_metadata", "primary_document_date", "commencement_clause").alias("is_trusted"), "context")
 
 
 def promoted_events(roles: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from veritrail.operators import blocks, bundle, citations
 from veritrail.plans.corpus import ctes, derived
 
 #: Segments as the blocks of a page: headings, footers and portal notes among them.
-_BLOCK = "CASE WHEN sequence_no = 1 AND extraction_id % 3 = 0 THEN 'Decreto 5 de 1990' WHEN sequence_no = 2 AND extraction_id % 5 > 0 THEN 'DECRETO NÚMERO 12 DE 1995' WHEN sequence_no = 6 THEN 'Compilación Jurídica DIAN' WHEN sequence_no = 4 AND extraction_id % 7 = 0 THEN 'Consultar la vigencia de esta norma' WHEN sequence_no = 5 AND extraction_id % 2 = 0 THEN 'Publíquese y cúmplase' WHEN sequence_no = 3 AND extraction_id % 4 = 0 THEN 'CONSIDERANDO:' WHEN sequence_no = 3 AND extraction_id % 4 = 1 THEN '1.2. Un numeral' ELSE text END"
+_BLOCK = "CASE WHEN sequence_no = 1 AND extraction_id % 3 = 0 THEN 'Decreto 5 de 1990' WHEN sequence_no = 2 AND extraction_id % 5 > 0 THEN 'DECRETO NÚMERO 12 DE 1995' WHEN sequence_no = 6 THEN 'Compilación Jurídica DIAN' WHEN sequence_no = 4 AND extraction_id % 7 = 0 THEN '<Consultar la vigencia de esta norma directamente en los artículos que modifica y/o adiciona>' WHEN sequence_no = 4 AND extraction_id % 7 = 1 THEN 'Consultar la vigencia de esta norma en la página' WHEN sequence_no = 1 AND extraction_id % 32 = 5 THEN 'SENTENCIA C-123/05' WHEN sequence_no = 3 AND extraction_id % 32 = 5 THEN 'I. ANTECEDENTES ' || rpad('', CAST(extraction_id % 320 + 200 AS INT), 'la demanda ') WHEN sequence_no = 4 AND extraction_id % 32 = 5 THEN 'R E S U E L V E : ' || rpad('', 150, 'declarar exequible ') WHEN sequence_no = 5 AND extraction_id % 2 = 0 THEN 'Publíquese y cúmplase' WHEN sequence_no = 3 AND extraction_id % 4 = 0 THEN 'CONSIDERANDO:' WHEN sequence_no = 3 AND extraction_id % 4 = 1 THEN '1.2. Un numeral' ELSE text END"
 
 
 def _blocks(spark, d):
@@ -26,7 +26,8 @@ def q_eleven_types(spark, d):
 
 
 def q_legal_bodies(spark, d):
-    return blocks.legal_body(_blocks(spark, d), 3)
+    family = F.when(F.col("doc") % 32 == 5, blocks.COURT_FAMILY)
+    return blocks.legal_body(_blocks(spark, d).withColumn("family", family), 3, "family")
 
 
 def q_sections(spark, d):
@@ -100,9 +101,9 @@ for _p, _r, _f in ((r"<(script|style|noscript|svg|template)\b[^>]*>.*?</(script|
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', '{_f}')"
 ORACLES = {
     "page_blocks": f"WITH l AS (SELECT page_id, list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(regexp_replace({_UN.format('x')}, '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages), k AS (SELECT page_id, list_filter(l, lambda x, i: i = 1 OR l[i - 1] <> x) AS l FROM l) SELECT page_id, unnest(range(len(l))) AS seq, md5(unnest(l)) AS digest FROM k",
-    "eleven_types": f"""{_B} SELECT segment_id, CASE WHEN tr THEN 'table_row' WHEN regexp_matches(key, '{_HEAD}') THEN 'document_heading' WHEN starts_with(key, 'ARTICULO ') THEN 'article' WHEN regexp_matches(text, '^[0-9]+(\\.[0-9]+)*\\.\\s') THEN 'numeral' WHEN key = 'CONSIDERANDO:' THEN 'structural_heading' WHEN starts_with(key, 'PUBLIQUESE') THEN 'closing' WHEN length(text) <= 240 AND up >= 0.9 * lt THEN 'section_heading' WHEN starts_with(key, 'QUE ') THEN 'consideration' ELSE 'text' END AS segment_type FROM k""",
-    "legal_bodies": f"""{_B}, s AS (SELECT doc, arg_min(seq, (up < 0.8 * lt, seq)) AS first FROM k WHERE regexp_matches(key, '{_HEAD}') GROUP BY doc), e AS (SELECT k.*, first, min(CASE WHEN key = 'COMPILACION JURIDICA DIAN' AND seq > first THEN seq END) OVER (PARTITION BY doc) AS stop FROM k LEFT JOIN s USING (doc)), i AS (SELECT *, seq >= first AND (stop IS NULL OR seq < stop) AND NOT starts_with(key, 'CONSULTAR LA VIGENCIA') AS ok FROM e)
-SELECT doc, CASE WHEN min(first) IS NULL THEN 'no_heading' WHEN count(*) FILTER (ok) < 3 THEN 'too_short' ELSE 'body' END AS state, min(first) AS first, max(seq) FILTER (ok) AS last, count(*) FILTER (ok) AS blocks FROM i GROUP BY doc""",
+    "eleven_types": f"""{_B} SELECT segment_id, CASE WHEN tr THEN 'table_row' WHEN regexp_matches(key, '{_HEAD}') OR regexp_matches(key, '^SENTENCIA C-[0-9]{{1,4}}/[0-9]{{2,4}}\\b') THEN 'document_heading' WHEN starts_with(key, 'ARTICULO ') THEN 'article' WHEN regexp_matches(text, '^[0-9]+(\\.[0-9]+)*\\.\\s') THEN 'numeral' WHEN key = 'CONSIDERANDO:' THEN 'structural_heading' WHEN starts_with(key, 'PUBLIQUESE') THEN 'closing' WHEN length(text) <= 240 AND up >= 0.9 * lt THEN 'section_heading' WHEN starts_with(key, 'QUE ') THEN 'consideration' ELSE 'text' END AS segment_type FROM k""",
+    "legal_bodies": f"""{_B}, s AS (SELECT doc, arg_min(seq, (up < 0.8 * lt, seq)) AS first FROM k WHERE CASE WHEN doc % 32 = 5 THEN regexp_matches(key, '^SENTENCIA C-[0-9]{{1,4}}/[0-9]{{2,4}}\\b') ELSE regexp_matches(key, '{_HEAD}') END GROUP BY doc), e AS (SELECT k.*, first, min(CASE WHEN key = 'COMPILACION JURIDICA DIAN' AND seq > first THEN seq END) OVER (PARTITION BY doc) AS stop FROM k LEFT JOIN s USING (doc)), i AS (SELECT *, seq >= first AND (stop IS NULL OR seq < stop) AND NOT starts_with(trim(key, '<> '), 'CONSULTAR LA VIGENCIA DE ESTA NORMA DIRECTAMENTE EN LOS ARTICULOS QUE MODIFICA Y/O ADICIONA') AS ok FROM e)
+SELECT doc, CASE WHEN min(first) IS NULL THEN 'no_heading' WHEN CASE WHEN doc % 32 = 5 THEN coalesce(sum(length(text)) FILTER (ok), 0) < 500 OR coalesce(bool_or(contains(key, 'ANTECEDENTES')) FILTER (ok), false)::INT + coalesce(bool_or(contains(key, 'CONSIDERACIONES')) FILTER (ok), false)::INT + coalesce(bool_or(contains(key, 'DECISION') OR starts_with(regexp_replace(key, '[^A-Z]', '', 'g'), 'RESUELVE')) FILTER (ok), false)::INT < 2 ELSE count(*) FILTER (ok) < 3 END THEN 'too_short' ELSE 'body' END AS state, min(first) AS first, max(seq) FILTER (ok) AS last, count(*) FILTER (ok) AS blocks FROM i GROUP BY doc""",
     "sections": f"""{_B}, s AS (SELECT doc, count(*) AS starts, min(seq) AS first FROM b WHERE starts_with(text, 'DECRETO N') GROUP BY doc), e AS (SELECT doc, count(*) AS ends, min(seq) AS last FROM b JOIN s USING (doc) WHERE starts_with(text, 'Compil') AND seq > first GROUP BY doc), n AS (SELECT doc, starts, ends, count(CASE WHEN seq > first AND seq < last THEN 1 END) AS n, count(CASE WHEN seq > first AND seq < last AND contains(text, 'artículo') THEN 1 END) AS questions FROM b LEFT JOIN s USING (doc) LEFT JOIN e USING (doc) GROUP BY ALL)
 SELECT doc, CASE WHEN coalesce(starts, 0) <> 1 THEN 'start_not_unique' WHEN coalesce(ends, 0) <> 1 THEN 'end_not_unique' WHEN n < 1 THEN 'too_few_blocks' WHEN questions < 1 THEN 'too_few_questions' ELSE 'section' END AS state, questions FROM n""",
     "rule_fragments": f"{ctes('res', 'doc')}, r AS (SELECT mention_id, CAST(floor(mention_id / 10) % 1500 AS BIGINT) AS source_document, target_document_id AS target_document FROM res WHERE status = 'resolved') SELECT * FROM r WHERE source_document IN (SELECT document_id FROM doc WHERE year < 2000) AND target_document IN (SELECT document_id FROM doc WHERE year < 2000)",

@@ -96,9 +96,12 @@ def q_reference_expansion(spark, d):
 
 
 _LOW = f"translate(lower(text), '{MARKED}', '{PLAIN}')"
-_ACTS = r"\b(?:ley|decreto|resolucion|circular|concepto|oficio)(?: unico(?: reglamentario)?)?(?: (?:dian|minhacienda))? +(?:(?:numero|no\.?|nro\.?) *)?[0-9]+[a-z]? +de +[0-9]{4}\b"
-_SCOPES = r"\barticulos? +[0-9][0-9.\- ,;yº°o]*? +(?:del|de +la) +(?:ley|decreto|resolucion)(?: unico(?: reglamentario)?)?(?: (?:dian|minhacienda))? +(?:(?:numero|no\.?|nro\.?) *)?[0-9]+[a-z]? +de +[0-9]{4}\b"
-_WHOLE = "upper(regexp_extract(raw, '(ley|decreto|resolucion|circular|concepto|oficio) ', 1)) || ':' || regexp_extract(raw, ' ([0-9]+) +de +[0-9]{4}$', 1) || ':' || right(raw, 4)"
+_BY = r"(?: +(?:dian|banco +de +la +republica(?: +junta +directiva)?|presidencia(?: +de +la +republica)?|mincit|mincomercio|mintic|sgcan|dapr))?"
+_NUMBER = r" +(?:(?:numero|no\.?|nro\.?) *)?[0-9]+[a-z]? +de +[0-9]{4}\b"
+_ACTS = rf"\b(?:ley|decreto|resolucion|circular|concepto|oficio)(?: +unico(?: +reglamentario)?)?{_BY}{_NUMBER}"
+_SCOPES = rf"\barticulos? +[0-9][0-9.\- ,;yº°o]*? +(?:del|de +la) +(?:ley|decreto|resolucion)(?: +unico(?: +reglamentario)?)?{_BY}{_NUMBER}"
+_ISSUER = "CASE WHEN contains(raw, 'junta directiva') THEN 'BANREP_JD:' WHEN contains(raw, ' banco de') THEN 'BANREP:' WHEN contains(raw, ' dian ') THEN 'DIAN:' WHEN contains(raw, ' presidencia') THEN 'PRESIDENCIA:' WHEN contains(raw, ' mincomercio') OR contains(raw, ' mincit') THEN 'MINCIT:' WHEN contains(raw, ' mintic') THEN 'MINTIC:' ELSE '' END"
+_WHOLE = f"{_ISSUER} || upper(regexp_extract(raw, '(ley|decreto|resolucion|circular|concepto|oficio) ', 1)) || ':' || regexp_extract(raw, ' ([0-9]+) +de +[0-9]{{4}}$', 1) || ':' || right(raw, 4)"
 
 
 def _at(pattern: str, source: str, text: str, keep: str) -> str:

@@ -21,8 +21,10 @@ def _s(x: str) -> str:
 
 
 _TYPE_NAME = "CASE {0} % 4 WHEN 0 THEN 'Ley' WHEN 1 THEN 'Decreto' WHEN 2 THEN 'Resolución' ELSE 'Circular' END"
-_ACT = f"{_TYPE_NAME.format('l_partkey')} || ' ' || {_s('l_partkey % 97 + 1')} || ' de ' || {_s('1990 + l_suppkey % 25')}"
-_ACT2 = f"{_TYPE_NAME.format('l_suppkey')} || ' ' || {_s('l_suppkey % 97 + 1')} || ' de ' || {_s('1990 + l_partkey % 25')}"
+#: Issuers as citations of resolutions name them.
+_BY = "CASE WHEN {0} % 4 <> 2 THEN '' ELSE CASE {1} % 7 WHEN 0 THEN ' DIAN' WHEN 1 THEN ' Banco de la República' WHEN 2 THEN ' Banco de la República Junta Directiva' WHEN 3 THEN ' Presidencia de la República' WHEN 4 THEN ' MinComercio' WHEN 5 THEN ' MinTIC No.' ELSE '' END END"
+_ACT = f"{_TYPE_NAME.format('l_partkey')} || {_BY.format('l_partkey', 'l_suppkey')} || ' ' || {_s('l_partkey % 97 + 1')} || ' de ' || {_s('1990 + l_suppkey % 25')}"
+_ACT2 = f"{_TYPE_NAME.format('l_suppkey')} || {_BY.format('l_suppkey', 'l_partkey')} || ' ' || {_s('l_suppkey % 97 + 1')} || ' de ' || {_s('1990 + l_partkey % 25')}"
 _DATE = f"{_s('1 + l_partkey % 28')} de {{0}} de {{1}}"
 
 #: Derived tables in order: a table reads given tables and those before it.
@@ -36,14 +38,15 @@ TABLES = {
     "man": f"""SELECT o_orderkey AS manifestation_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS document_id, 1 + o_custkey % 120 AS source_id, md5({_s('o_orderkey % 5000')}) AS sha256,
  CASE WHEN o_orderkey % 17 = 0 THEN 'raw/' ELSE 'raw/sha256/' || substr(md5({_s('o_orderkey % 5000')}), 1, 2) || '/' END || md5({_s('o_orderkey % 5000')}) AS local_path, o_orderkey % 5000 AS byte_size, o_orderdate AS retrieved_at FROM orders""",
     "ext": """SELECT o_orderkey AS extraction_id, o_orderkey - o_orderkey % 2 AS manifestation_id, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'success' END AS status, o_orderdate AS created_at, o_custkey % 7 AS segment_count FROM orders""",
-    "seg": f"""SELECT *, CASE WHEN segment_id % 53 = 0 THEN md5('x') ELSE md5(text) END AS text_hash FROM (SELECT l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey AS extraction_id, l_linenumber AS sequence_no,
+    "seg": f"""SELECT *, CASE WHEN segment_id % 53 = 0 THEN md5('x') ELSE md5(text) END AS text_hash,
+ substr(max(CASE WHEN segment_type IN ('document_heading', 'article', 'section_heading') THEN {_s('100 + sequence_no')} || substr(text, 1, 500) END) OVER (PARTITION BY extraction_id ORDER BY sequence_no), 4) AS section_path FROM (SELECT l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey AS extraction_id, l_linenumber AS sequence_no,
  CASE (l_suppkey + l_linenumber) % 7 WHEN 0 THEN 'article' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'editorial_note' WHEN 3 THEN 'article' WHEN 4 THEN 'document_heading' WHEN 5 THEN 'closing' ELSE 'section_heading' END AS segment_type,
  CASE (l_suppkey + l_linenumber) % 7 WHEN 0 THEN 'ARTÍCULO ' || {_s('l_partkey % 30 + 1')} || '. DISPOSICIONES VARIAS. Modifíquese el artículo ' || {_s('l_partkey % 12 + 1')} || ' de la ' || {_ACT} || '. Deróguese la ' || {_ACT2} || '.'
  WHEN 1 THEN 'Que según los artículos ' || {_s('l_partkey % 9 + 1')} || ', ' || {_s('l_partkey % 9 + 2')} || ' y ' || {_s('l_partkey % 9 + 4')} || ' de la ' || {_ACT} || ', y conforme al ' || {_ACT2} || ', procede.'
  WHEN 2 THEN '<Artículo modificado por el artículo ' || {_s('l_suppkey % 12 + 1')} || ' de la ' || {_ACT} || '> Texto vigente.'
- WHEN 3 THEN 'ARTÍCULO ' || {_s('l_partkey % 30 + 1')} || '. Vigencia. La presente ' || {_ACT2} || ' rige a partir de su publicación y no podrá exceder de ' || {_s('l_partkey % 9 + 1')} || '.' || {_s('l_suppkey % 900 + 100')} || ' UVT; ni ser inferior a ' || {_s('l_suppkey % 90')} || ',5 UVT.'
- WHEN 4 THEN 'Publicado en el Diario Oficial el ' || {_s('1 + l_partkey % 31')} || ' de ' || {_MONTH.format('l_suppkey')} || ' de ' || {_s('1990 + l_partkey % 25')}
- WHEN 5 THEN 'Dado en Bogotá, D. C., a ' || {_s('1 + l_suppkey % 31')} || ' de ' || {_MONTH.format('l_partkey')} || ' de ' || {_s('1990 + l_suppkey % 25')} || '.'
+ WHEN 3 THEN 'ARTÍCULO ' || {_s('l_partkey % 30 + 1')} || '. Vigencia. La presente ' || {_ACT2} || CASE WHEN l_partkey % 5 = 0 THEN ' rige a partir del 1 de enero de 2030' ELSE ' rige a partir de la fecha de su publicación en el Diario Oficial' END || ' y no podrá exceder de ' || {_s('l_partkey % 9 + 1')} || '.' || {_s('l_suppkey % 900 + 100')} || ' UVT; ni ser inferior a ' || {_s('l_suppkey % 90')} || ',5 UVT.'
+ WHEN 4 THEN CASE WHEN l_suppkey % 13 = 0 THEN 'Notas de Vigencia. ' WHEN l_suppkey % 11 = 0 THEN 'Ley 5 de 1990. ' ELSE '' END || 'Diario Oficial No. 50.' || {_s('l_suppkey % 900 + 100')} || ' de ' || {_s('1 + l_partkey % 31')} || ' de ' || CASE WHEN l_partkey % 2 = 0 THEN replace({_MONTH.format('l_suppkey')}, 'sept', 'set') ELSE {_MONTH.format('l_suppkey')} END || ' de ' || {_s('1990 + l_partkey % 25')}
+ WHEN 5 THEN 'PUBLÍQUESE Y CÚMPLASE. ' || CASE WHEN l_suppkey % 2 = 0 THEN 'Dado en Bogotá, D. C., a ' ELSE 'Dada en Medellín, ' END || {_s('1 + l_suppkey % 31')} || ' de ' || {_MONTH.format('l_partkey')} || ' de ' || {_s('1990 + l_suppkey % 25')} || '.'
  ELSE 'CAPÍTULO ' || {_s('l_linenumber')} END AS text FROM line) AS plain""",
     "prov": f"""SELECT p_partkey AS provision_id, 1 + p_partkey % 1600 AS document_id, {_s('p_size % 12 + 1')} AS designation FROM part""",
     "obs": """SELECT l_orderkey * 10 + l_linenumber AS observation_id, l_partkey AS provision_id, l_orderkey - CASE WHEN l_partkey % 19 = 0 THEN 1 ELSE 0 END AS extraction_id, l_orderkey * 10 + l_linenumber AS segment_id, md5(CAST(l_returnflag AS STRING)) AS text_hash FROM line""",
@@ -52,7 +55,7 @@ TABLES = {
  CASE WHEN l_suppkey % 29 = 0 THEN '' ELSE {_s('l_suppkey % 14 + 1')} END AS article, l_linestatus = 'O' AND l_partkey % 31 = 0 AS review FROM line""",
     "rel": """SELECT l_orderkey * 10 + l_linenumber AS relation_id, CASE l_linenumber % 2 WHEN 0 THEN 'document' ELSE 'provision' END AS source_type, CASE l_linenumber % 2 WHEN 0 THEN l_suppkey ELSE l_partkey END AS source_id,
  CASE WHEN l_linenumber % 3 = 0 THEN 'provision' WHEN l_linenumber = 7 THEN 'topic' ELSE 'document' END AS target_type, l_partkey + CASE WHEN l_suppkey % 41 = 0 THEN 100000000 ELSE 0 END AS target_id,
- CASE l_partkey % 5 WHEN 0 THEN 'modifies' WHEN 1 THEN 'repeals' WHEN 2 THEN 'adds' WHEN 3 THEN 'conflicts_with' ELSE 'cites' END AS relation_type, CASE l_returnflag WHEN 'R' THEN 'candidate' ELSE 'validated' END AS status, CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS evidence_id, l_discount * 10 AS confidence FROM line""",
+ CASE l_partkey % 15 WHEN 0 THEN 'modifies' WHEN 1 THEN 'repeals' WHEN 2 THEN 'adds' WHEN 3 THEN 'conflicts_with' WHEN 4 THEN 'cites' WHEN 5 THEN 'Modified-By' WHEN 6 THEN 'repealed_by' WHEN 7 THEN ' Supersedes ' WHEN 8 THEN 'excepted by' WHEN 9 THEN 'defines' WHEN 10 THEN 'inconsistent_with' WHEN 11 THEN 'suspends' WHEN 12 THEN 'annuls' WHEN 13 THEN 'replaces' ELSE 'amends' END AS relation_type, CASE l_returnflag WHEN 'R' THEN 'candidate' ELSE 'validated' END AS status, CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE l_orderkey * 10 + l_linenumber END AS evidence_id, l_discount * 10 AS confidence FROM line""",
     "evid": """SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey - l_orderkey % 2 + CASE WHEN l_suppkey % 43 = 0 THEN 1 ELSE 0 END AS manifestation_id, md5(CAST(l_orderkey % 5000 AS STRING)) AS source_sha256, CASE WHEN l_linenumber % 3 = 0 THEN 'claim' ELSE 'relation' END AS owner_type, l_orderkey * 10 + l_linenumber AS owner_id FROM line""",
     "event": """SELECT e.event_id, 1 + e.user_id % 1500 AS document_id, CASE e.event_type WHEN 'click' THEN 'issued' WHEN 'view' THEN 'published' WHEN 'signup' THEN 'enters_into_force' WHEN 'purchase' THEN 'modified' ELSE 'repealed' END AS event_type, CAST(e.ts AS DATE) AS event_date, CASE WHEN e.event_id % 4 = 0 THEN NULL ELSE CAST(e.ts AS DATE) END AS effective_from, e.event_id % 9 = 0 AS review FROM events e""",
     "files": f"""SELECT DISTINCT 'raw/sha256/' || substr(md5({_s('n')}), 1, 2) || '/' || md5({_s('n')}) AS path, n + CASE WHEN n % 14 = 0 THEN 1 ELSE 0 END AS byte_size, CASE WHEN n % 22 = 0 THEN md5('x') ELSE md5({_s('n')}) END AS content_hash FROM (SELECT o_orderkey % 5000 AS n FROM orders) AS counted WHERE n % 12 <> 0""",

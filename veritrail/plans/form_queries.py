@@ -72,7 +72,7 @@ def q_event_dates(spark, d):
 def q_relation_families(spark, d):
     """Dependency families of relations, which need a person, and which name a conflict."""
     (rel,) = derived(spark, d, "rel")
-    family = forms.lookup(F.col("relation_type"), forms.FAMILIES)
+    family = forms.relation_family(F.col("relation_type"))
     review = forms.needs_review(F.col("status"), F.col("confidence"), F.col("evidence_id").isNotNull().cast("int"))
     return rel.groupBy("relation_type", F.coalesce(family, F.lit("-")).alias("family"), review.alias("review")).agg(F.count(F.lit(1)).alias("n"), F.sum((family == "conflict").cast("long")).alias("conflicts"))
 
@@ -119,6 +119,12 @@ _TOK = rf"regexp_extract_all({_FOLD.format('text')}, '[\p{{L}}\p{{N}}]+')"
 _TERMS = f"list_filter({_TOK}[:64], lambda t: regexp_full_match(t, '[0-9]+') OR length(t) >= 3)"
 _FIRST = "list_filter({x}, lambda t, i: NOT list_contains({x}[:i - 1], t))[:18]"
 _AMOUNT = """CAST(CASE WHEN regexp_full_match(x, '[0-9]{1,3}(\\.[0-9]{3})+') THEN replace(x, '.', '') WHEN regexp_full_match(x, '[0-9]+') THEN x ELSE replace(x, ',', '.') END AS DECIMAL(18,4))"""
+#: Families by the normal form of the relation type; the lists are fixed values.
+FAMILY_SQL = (
+    "CASE WHEN {0} IN ('modification', 'modification_of', 'modifies', 'modified_by', 'amends', 'amended_by', 'replaces', 'replaced_by') THEN 'amendment' WHEN {0} IN ('repeal', 'repeal_of', 'repeals', 'repealed_by', 'revokes', 'revoked_by') THEN 'repeal'"
+    " WHEN {0} IN ('supersession', 'supersession_of', 'supersedes', 'superseded_by') THEN 'supersession' WHEN {0} IN ('exception', 'exception_to', 'excepts', 'excepted_by') THEN 'exception' WHEN {0} IN ('definition', 'defines', 'defined_by', 'definition_for') THEN 'definition'"
+    " WHEN {0} IN ('conflict', 'conflict_with', 'conflicts', 'conflicts_with', 'contradicts', 'inconsistent_with', 'incompatible_with') THEN 'conflict' WHEN {0} IN ('suspends', 'suspended_by', 'extends', 'extended_by', 'effective_from', 'expires') THEN 'temporal' END"
+).format("trim(regexp_replace(lower(relation_type), '[^a-z0-9]+', '_', 'g'), '_')")
 ORACLES = {
     "text_forms": f"SELECT doc_id, md5(strip_accents(text)) AS stripped, md5({_FOLD.format('text')}) AS folded, md5(upper(replace({_COL('strip_accents(text)')}, 'ß', 'SS'))) AS key, md5({_COL('lower(text)')}) AS plain, CAST(ceil(length(text) / 4) AS BIGINT) AS token_estimate FROM documents",
     "page_forms": f"""WITH p AS (SELECT *, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t FROM pages), u AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS x FROM p)
@@ -134,7 +140,7 @@ SELECT segment_id, pos, CAST({_AMOUNT} * 10 AS BIGINT) AS value_e1, CAST(replace
 s AS (SELECT c_custkey AS document_id, CAST(c_acctbal AS DECIMAL(18,2)) AS observed, rules, lim FROM customer LEFT JOIN r ON document_id = c_custkey), t AS (SELECT *, CASE WHEN rules IS NULL THEN 'no_rule' WHEN rules > 1 THEN 'conflicting_authority' WHEN observed < 0 THEN 'invalid_fact' WHEN observed <= lim THEN 'passes' ELSE 'fails' END AS state FROM s)
 SELECT document_id, state, CASE WHEN state IN ('passes', 'fails') THEN regexp_replace(regexp_replace(CAST(CAST(lim - observed AS DECIMAL(18,4)) AS STRING), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') END AS margin FROM t""",
     "event_dates": f"{ctes('event')} SELECT event_id, coalesce(effective_from, event_date) AS effective, CASE WHEN event_id % 6 <> 0 AND event_id % 5 <> 0 THEN event_date END AS day, CASE WHEN event_id % 6 = 0 THEN 'not a date: 2024-02-30' END AS error FROM event",
-    "relation_families": f"{ctes('rel')}, f AS (SELECT *, CASE relation_type WHEN 'modifies' THEN 'amendment' WHEN 'adds' THEN 'amendment' WHEN 'repeals' THEN 'repeal' WHEN 'conflicts_with' THEN 'conflict' END AS family FROM rel) SELECT relation_type, coalesce(family, '-') AS family, NOT (status = 'validated' AND confidence >= 0.8 AND evidence_id IS NOT NULL) AS review, count(*) AS n, CAST(sum(CASE WHEN family IS NULL THEN NULL WHEN family = 'conflict' THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM f GROUP BY ALL",
+    "relation_families": f"{ctes('rel')}, f AS (SELECT *, {FAMILY_SQL} AS family FROM rel) SELECT relation_type, coalesce(family, '-') AS family, NOT (status = 'validated' AND confidence >= 0.8 AND evidence_id IS NOT NULL) AS review, count(*) AS n, CAST(sum(CASE WHEN family IS NULL THEN NULL WHEN family = 'conflict' THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM f GROUP BY ALL",
     "topic_overlap": f"""WITH c AS (SELECT conv_id, turn, {_TERMS} AS x FROM conversations), t AS (SELECT conv_id, turn, {_FIRST.format(x='x')} AS terms FROM c), b AS (SELECT *, coalesce(lag(terms) OVER (PARTITION BY conv_id ORDER BY turn), []) AS before FROM t)
 SELECT conv_id, turn, CAST(round(CASE WHEN least(len(terms), len(before)) > 0 THEN len(list_intersect(terms, before)) / least(len(terms), len(before)) ELSE 0 END * 1e6) AS BIGINT) AS overlap_e6 FROM b""",
     "quote_candidates": f"{ctes('seg')}, q AS (SELECT segment_id, CASE WHEN len(regexp_extract_all(text, 'UVT')) >= 2 THEN list_filter(list_transform(string_split(text, ';'), lambda c: trim(c)), lambda c: contains(c, 'UVT')) ELSE [text] END AS l FROM seg WHERE contains(text, 'UVT')) SELECT segment_id, unnest(range(len(l))) AS pos, unnest(l) AS quote FROM q",

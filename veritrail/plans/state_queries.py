@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritrail.functions import text
+from veritrail.functions import forms, text
 from veritrail.operators import citations, coverage, merge, queue, registry, research, temporal
 from veritrail.plans.corpus import ctes, derived
+from veritrail.plans.form_queries import FAMILY_SQL
 
 NOW = "2024-02-01 00:00:00"
 
@@ -155,9 +156,7 @@ def q_omissions(spark, d):
 
 def q_relation_relevance(spark, d):
     rel, prov = derived(spark, d, "rel", "prov")
-    from veritrail.functions import forms
-
-    edges = citations.owning_document(citations.owning_document(rel, "source", prov), "target", prov).withColumn("family", forms.lookup(F.col("relation_type"), forms.FAMILIES))
+    edges = citations.owning_document(citations.owning_document(rel, "source", prov), "target", prov).withColumn("family", forms.relation_family(F.col("relation_type")))
     chosen = _table(spark, d, "part").select(F.when(F.col("p_size") < 5, F.col("p_partkey") % 1600 + 1).alias("document_id"), F.when(F.col("p_size") == 7, F.col("p_partkey")).alias("provision_id"))
     return coverage.relevance(edges, prov, chosen)
 
@@ -250,11 +249,18 @@ def q_enqueue(spark, d):
     return queue.enqueue(_queue(spark, d), found)
 
 
-_ROLE = """{head}, low AS (SELECT *, strip_accents(lower(text)) AS low FROM seg), b AS (SELECT extraction_id, coalesce(min(sequence_no) FILTER (segment_type = 'article'), count(*) + 1) AS first_article FROM seg GROUP BY extraction_id),
-p AS (SELECT low.*, first_article, bool_or(segment_type = 'closing') OVER (PARTITION BY low.extraction_id ORDER BY sequence_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS closing, regexp_matches(low, '\\b(ley|decreto|resolucion|circular|concepto|oficio) +[0-9]+ +de +[0-9]{4}\\b') AS cites FROM low JOIN b USING (extraction_id)),
-f AS (SELECT *, 'publication' AS role, regexp_extract(low, 'publicad[oa] en el diario oficial el ([0-9]{1,2} de [a-z]+ de [0-9]{4})', 1) AS d FROM p WHERE d <> '' UNION ALL SELECT *, 'issued', regexp_extract(low, 'dado en [a-z ,.]+, a ([0-9]{1,2} de [a-z]+ de [0-9]{4})', 1) AS d FROM p WHERE d <> '' UNION ALL SELECT *, 'commencement', NULL FROM p WHERE contains(low, 'rige a partir de')),
-c AS (SELECT segment_id, extraction_id, role, try_cast(split_part(d, ' ', 5) || '-' || lpad(CAST(list_position(['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'], split_part(d, ' ', 3)) AS STRING), 2, '0') || '-' || lpad(split_part(d, ' ', 1), 2, '0') AS DATE) AS value,
- CASE WHEN segment_type = 'editorial_note' THEN 'editorial_history' WHEN role = 'publication' AND sequence_no < first_article AND sequence_no <= 30 AND segment_type IN ('document_heading', 'section_heading', 'text', 'table_row') AND NOT cites THEN 'publication_metadata' WHEN role = 'issued' AND (segment_type = 'closing' OR (closing AND NOT cites)) THEN 'primary_document_date' WHEN role = 'commencement' AND segment_type IN ('article', 'regulatory_article') THEN 'commencement_clause' WHEN cites THEN 'quoted_cited_norm' ELSE 'unknown' END AS context FROM f),
+_MARKS = "NOTAS? DE VIGENCIA|NOTA: VIGENCIA|MODIFICAD[OA] POR|DEROGAD[OA] POR|ADICIONAD[OA] POR|JURISPRUDENCIA|CONCORDANCIA"
+_DAY = "[0-9]{1,2} de [a-z]+ de [0-9]{4}"
+_FOUND = "SELECT *, '{0}' AS role, unnest(regexp_extract_all(low, '{1}')) AS quote FROM p"
+_MONTH_NO = "list_position(['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'], replace(split_part(d, ' ', 3), 'setiembre', 'septiembre'))"
+_ROLE = f"""{{head}}, low AS (SELECT *, strip_accents(lower(text)) AS low, upper(strip_accents(coalesce(section_path, ''))) AS path, upper(strip_accents(text)) AS key FROM seg),
+b AS (SELECT extraction_id, coalesce(min(sequence_no) FILTER (segment_type = 'article'), count(*) + 1) AS first_article FROM seg GROUP BY extraction_id),
+p AS (SELECT low.*, first_article, bool_or(segment_type = 'closing') OVER (PARTITION BY low.extraction_id ORDER BY sequence_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS closing, regexp_matches(low, '\\b(ley|decreto|resolucion|circular|sentencia|concepto|oficio)\\s+(numero\\s+)?[a-z0-9._/-]+(\\s+de\\s+[0-9]{{4}})?\\b') AS cites FROM low JOIN b USING (extraction_id)),
+f AS ({_FOUND.format('publication', f'diario oficial no[.]? *[0-9.]+ de {_DAY}')} UNION ALL {_FOUND.format('issued', f'dad[oa] en .+?, *(?:a )?{_DAY}')} UNION ALL {_FOUND.format('commencement', 'rige a partir de la fecha de su publicacion(?: en el diario oficial)?')}),
+g AS (SELECT *, regexp_extract(quote, '{_DAY}$') AS d FROM f),
+c AS (SELECT segment_id, extraction_id, role, try_cast(split_part(d, ' ', 5) || '-' || lpad(CAST({_MONTH_NO} AS STRING), 2, '0') || '-' || lpad(split_part(d, ' ', 1), 2, '0') AS DATE) AS value,
+ CASE WHEN regexp_matches(path || ' ' || key, '{_MARKS}') THEN 'editorial_history' WHEN role = 'publication' AND sequence_no < first_article AND sequence_no <= 30 AND segment_type IN ('document_heading', 'section_heading', 'text', 'table_row') AND NOT cites THEN 'publication_metadata'
+ WHEN role = 'issued' AND (segment_type = 'closing' OR (closing AND NOT cites)) THEN 'primary_document_date' WHEN role = 'commencement' AND (segment_type = 'article' OR (starts_with(path, 'ARTICULO') AND (contains(path, 'VIGENCIA') OR contains(key, 'RIGE')))) THEN 'commencement_clause' WHEN cites THEN 'quoted_cited_norm' ELSE 'unknown' END AS context FROM g),
 cand AS (SELECT *, context IN ('publication_metadata', 'primary_document_date', 'commencement_clause') AS is_trusted FROM c)"""
 _ROLES = _ROLE.replace("{head}", ctes("seg", "ext", "man")) + """, roles AS (SELECT document_id AS document, role, count(*) AS candidates, CAST(count(*) FILTER (is_trusted) AS BIGINT) AS trusted, CASE WHEN count(*) FILTER (is_trusted) = 1 THEN 'resolved' WHEN count(*) FILTER (is_trusted) > 1 OR count(*) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN count(*) FILTER (is_trusted) = 1 THEN max(value) FILTER (is_trusted) END AS value FROM cand JOIN ext USING (extraction_id) JOIN man USING (manifestation_id) WHERE document_id IS NOT NULL GROUP BY ALL)"""
 _TRACE = """WITH trace AS (SELECT l_orderkey AS aspect, l_linenumber AS task, l_partkey AS round, CASE WHEN l_quantity < 2 THEN 'blocked' WHEN l_quantity < 6 THEN 'budget_exhausted' WHEN l_tax > 0.06 THEN 'no_hits' ELSE 'hits' END AS outcome, CASE WHEN l_discount > 0.09 THEN 'incomplete' WHEN l_discount > 0.02 THEN 'ready' END AS context,
@@ -266,7 +272,7 @@ s AS (SELECT aspect, CASE WHEN bool_or(context = 'incomplete') THEN 'context_inc
 y AS (SELECT *, CASE WHEN facts IN ('missing', 'ambiguous') THEN 'requires_facts' WHEN evidence = 'context_ready' THEN 'requires_interpretive_synthesis' ELSE 'unsupported' END AS synthesis FROM s JOIN ex USING (aspect)), ledger AS (SELECT *, CASE WHEN execution = 'complete' AND evidence = 'context_ready' AND authority = 'resolved' AND temporal = 'assessed' AND synthesis <> 'unsupported' THEN 'complete' ELSE 'incomplete' END AS closure FROM y)"""
 _Q = """WITH q AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'https://a.example/' ELSE 'https://b.example/' END || event_id AS url, CASE WHEN event_id % 10 = 0 THEN 'index' ELSE 'document' END AS item_type, user_id % 4 AS depth, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' WHEN 'view' THEN 'done' ELSE 'pending' END AS status, user_id % 3 AS attempts, ts FROM events)"""
 _OWN = "CASE {0}_type WHEN 'document' THEN {0}_id WHEN 'provision' THEN {1}.document_id END"
-_FAMILY = "CASE relation_type WHEN 'modifies' THEN 'amendment' WHEN 'adds' THEN 'amendment' WHEN 'repeals' THEN 'repeal' WHEN 'conflicts_with' THEN 'conflict' END"
+_FAMILY = FAMILY_SQL
 _TOK = r"regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}]+')"
 ORACLES = {
     "first_identifiers": f"{ctes('ident')} SELECT document_id, arg_min(identifier_value, identifier_id) AS identifier_value FROM ident WHERE identifier_type = 'primary' GROUP BY document_id",
@@ -287,7 +293,7 @@ ORACLES = {
     "temporal_roles": _ROLES + " SELECT * FROM roles",
     "promoted_events": _ROLES + ", w AS (SELECT document, max(value) FILTER (role = 'issued' AND status = 'resolved') AS i, max(value) FILTER (role = 'publication' AND status = 'resolved') AS p, bool_or(role = 'commencement' AND status = 'resolved') AS c FROM roles GROUP BY document) SELECT document, 'issued' AS event_type, i AS event_date FROM w WHERE i IS NOT NULL UNION ALL SELECT document, 'published', p FROM w WHERE p IS NOT NULL UNION ALL SELECT document, 'enters_into_force', p FROM w WHERE p IS NOT NULL AND c",
     "superseded_events": f"{ctes('event')}, n AS (SELECT document_id, event_type, list(event_date) AS days FROM event WHERE event_id % 5 = 0 GROUP BY ALL) SELECT CASE WHEN days IS NULL OR list_contains(days, event_date) THEN 'active' ELSE 'superseded' END AS status, count(*) AS n FROM event LEFT JOIN n USING (document_id, event_type) WHERE event_id % 5 <> 0 GROUP BY 1",
-    "relation_dates": f"{ctes('rel', 'prov', 'event')}, o AS (SELECT relation_id, {_OWN.format('source', 'p')} AS doc FROM rel LEFT JOIN prov p ON source_id = p.provision_id), t AS (SELECT document_id, min(event_date) FILTER (event_type = 'issued') AS i, min(event_date) FILTER (event_type = 'enters_into_force') AS f FROM event GROUP BY document_id) SELECT relation_id, CASE WHEN relation_id % 4 <> 0 THEN i END AS asserted, f AS effective FROM o LEFT JOIN t ON doc = document_id",
+    "relation_dates": f"{ctes('rel', 'prov', 'event')}, o AS (SELECT relation_id, relation_type, {_OWN.format('source', 'p')} AS doc FROM rel LEFT JOIN prov p ON source_id = p.provision_id), t AS (SELECT document_id, min(event_date) FILTER (event_type = 'issued') AS i, min(event_date) FILTER (event_type = 'enters_into_force') AS f FROM event GROUP BY document_id) SELECT relation_id, CASE WHEN relation_id % 4 <> 0 AND NOT ends_with(relation_type, '_by') THEN i END AS asserted, f AS effective FROM o LEFT JOIN t ON doc = document_id",
     "coverage_ledger": _LEDGER + " SELECT *, array_to_string(list_filter([CASE WHEN execution <> 'complete' THEN 'EXECUTION_INCOMPLETE' END, CASE WHEN evidence <> 'context_ready' THEN 'EVIDENCE_INCOMPLETE' END, CASE WHEN authority <> 'resolved' THEN 'AUTHORITY_UNRESOLVED' END, CASE WHEN temporal <> 'assessed' THEN 'TEMPORAL_UNASSESSED' END, CASE WHEN facts IN ('missing', 'ambiguous') THEN 'FACTS_OPEN' END], lambda x: x IS NOT NULL), ',') AS codes FROM ledger",
     "research_status": _LEDGER + " SELECT aspect % 977 AS question, CASE WHEN bool_or(execution = 'blocked') THEN 'blocked' WHEN bool_and(closure = 'complete') THEN 'complete' ELSE 'partial' END AS status, count(*) AS aspects FROM ledger GROUP BY 1",
     "omissions": _TRACE + ", l AS (SELECT aspect * 10 + task AS task, max(({'r': round, 'o': coalesce(CASE WHEN round % 7 > 0 THEN outcome END, '')})).o AS outcome FROM trace GROUP BY 1), p AS (SELECT o_orderkey * 10 + 1 AS task FROM orders) SELECT task, reason FROM (SELECT p.task, CASE WHEN l.task IS NULL THEN 'not_executed' WHEN outcome = '' THEN 'no_outcome' WHEN outcome NOT IN ('hits', 'no_hits') THEN outcome END AS reason FROM p LEFT JOIN l USING (task)) WHERE reason IS NOT NULL",
