@@ -72,6 +72,12 @@ def test_promotion_needs_publication_and_commencement(spark):
     assert got == {(1, "published"), (1, "enters_into_force"), (2, "published")}
 
 
+def test_equivalent_keys_are_classes(spark):
+    rows = [(5, "LEY", "07", 1990, None), (3, "LEY", "7", 1990, None), (8, "LEY", "7", 1990, "DIAN"), (9, "LEY", "7", 1990, "MINTIC"), (4, "LEY", "7", 1991, "DIAN"), (2, "LEY", None, 1990, None)]
+    got = {r.document_id: (r.representative, r.copies, list(r.compatible)) for r in registry.equivalent_keys(spark.createDataFrame(rows, "document_id int, document_type string, number string, year int, issuer string")).collect()}
+    assert got == {5: (3, 2, [8, 9]), 3: (3, 2, [8, 9]), 8: (8, 1, [3]), 9: (9, 1, [3]), 4: (4, 1, [])}  # a key without a number equals none
+
+
 def test_family_identity_counts_early_headings_only(spark):
     rows = [(1, 1, "A", True), (1, 13, "B", True), (2, 1, "A", True), (2, 2, "B", True), (3, 2, "A", False), (4, 1, None, None)]
     got = {r.document: r.state for r in registry.family_identity(spark.createDataFrame(rows, "document int, sequence_no int, heading string, compatible boolean")).collect()}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import forms
+from veritrail.sources.shared import written
 
 #: Document types whose key names the issuer.
 ISSUER_SCOPED = ("RESOLUCION", "CIRCULAR", "CONCEPTO", "OFICIO", "SENTENCIA_C", "CONPES", "CONSTITUCION_POLITICA")
@@ -77,11 +78,12 @@ def out_of_sync(base: DataFrame, index: DataFrame, key: str, value: str) -> Data
 def report(checks: dict[tuple[str, str], DataFrame], scopes: list[str] | None = None, most: int = 10) -> DataFrame:
     """(check_id, scope, status, n, examples) of each check, or of those in ``scopes``: worst severity, failures and the first ``most`` examples.
 
-    The rank's bound lets Spark keep ``most`` rows of each partition before the shuffle.
+    Failures are written once, then counted and ranked; the rank's bound lets
+    Spark keep ``most`` rows of each partition before the shuffle.
     """
     chosen = {k: v for k, v in checks.items() if scopes is None or k[1] in scopes}
     named = [(df if "severity" in df.columns else df.withColumn("severity", F.lit("ERROR"))).select(F.lit(i).alias("check_id"), "severity", "example") for (i, _), df in chosen.items()]
-    failures = reduce(DataFrame.unionByName, named)
+    failures = written(reduce(DataFrame.unionByName, named), "failures")
     counts = failures.groupBy("check_id").agg(F.count(F.lit(1)).alias("n"), F.min("severity").alias("worst"))
     first = failures.withColumn("__r", F.row_number().over(Window.partitionBy("check_id").orderBy("example"))).where(F.col("__r") <= most)
     examples = first.groupBy("check_id").agg(F.array_join(F.sort_array(F.collect_list("example")), "; ").alias("examples"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.forms import key_form
-from veritrail.functions.text import spanish_date
+from veritrail.functions.text import document_number, spanish_date
 from veritrail.operators.citations import folded, spans
 
 #: How texts give their dates and their beginning, and how they cite acts, in lower case without marks.
@@ -62,13 +62,20 @@ def family_identity(candidates: DataFrame, most: int = 12) -> DataFrame:
 
 
 def equivalent_keys(documents: DataFrame) -> DataFrame:
-    """(document_id, other_id): documents whose keys mean the same act: equal type, number and year, and issuers equal or one unknown.
+    """(document_id, representative, copies, compatible): which documents' keys mean the same act, by classes and not by pairs.
 
-    An equi-join on the parts; the issuer is compared in the filter.
+    A class has equal type, number (leading zeros aside), year and issuer, the
+    unknown issuer being one of them; its representative is its smallest id.
+    ``compatible`` lists the other classes of the act that may be the same: all
+    of them for an unknown issuer, the unknown one for a known issuer.
     """
-    other = documents.select("document_type", "number", "year", F.col("document_id").alias("other_id"), F.col("issuer").alias("other_issuer"))
-    alike = F.col("issuer").eqNullSafe(F.col("other_issuer")) | F.col("issuer").isNull() | F.col("other_issuer").isNull()
-    return documents.join(other, ["document_type", "number", "year"]).where((F.col("document_id") < F.col("other_id")) & alike).select("document_id", "other_id")
+    act = ["document_type", "number", "year"]
+    rows = documents.withColumn("number", document_number(F.col("number").cast("string")))
+    classes = rows.groupBy(*act, "issuer").agg(F.min("document_id").alias("representative"), F.count(F.lit(1)).alias("copies"))
+    acts = classes.groupBy(*act).agg(F.sort_array(F.collect_list(F.when(F.col("issuer").isNotNull(), F.col("representative")))).alias("known"), F.max(F.when(F.col("issuer").isNull(), F.col("representative"))).alias("unknown"))
+    met = classes.join(acts, act).withColumn("compatible", F.when(F.col("issuer").isNull(), F.col("known")).otherwise(F.array_compact(F.array("unknown"))))
+    named = met.select(*act, F.coalesce("issuer", F.lit("")).alias("__i"), "representative", "copies", "compatible")
+    return rows.withColumn("__i", F.coalesce("issuer", F.lit(""))).join(named, [*act, "__i"]).select("document_id", "representative", "copies", "compatible")
 
 
 def issuer_split(claims: DataFrame) -> DataFrame:

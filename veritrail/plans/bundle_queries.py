@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veritrail.functions.ids import canonical_json
 from veritrail.operators import blocks, bundle, citations
 from veritrail.plans.corpus import ctes, derived
+from veritrail.sources import bundle_store
+from veritrail.sources.shared import fresh_path
 
 #: Segments as the blocks of a page: headings, footers and portal notes among them.
 _BLOCK = "CASE WHEN sequence_no = 1 AND extraction_id % 3 = 0 THEN 'Decreto 5 de 1990' WHEN sequence_no = 2 AND extraction_id % 5 > 0 THEN 'DECRETO NÚMERO 12 DE 1995' WHEN sequence_no = 6 THEN 'Compilación Jurídica DIAN' WHEN sequence_no = 4 AND extraction_id % 7 = 0 THEN '<Consultar la vigencia de esta norma directamente en los artículos que modifica y/o adiciona>' WHEN sequence_no = 4 AND extraction_id % 7 = 1 THEN 'Consultar la vigencia de esta norma en la página' WHEN sequence_no = 1 AND extraction_id % 32 = 5 THEN 'SENTENCIA C-123/05' WHEN sequence_no = 3 AND extraction_id % 32 = 5 THEN 'I. ANTECEDENTES ' || rpad('', CAST(extraction_id % 320 + 200 AS INT), 'la demanda ') WHEN sequence_no = 4 AND extraction_id % 32 = 5 THEN 'R E S U E L V E : ' || rpad('', 150, 'declarar exequible ') WHEN sequence_no = 5 AND extraction_id % 2 = 0 THEN 'Publíquese y cúmplase' WHEN sequence_no = 3 AND extraction_id % 4 = 0 THEN 'CONSIDERANDO:' WHEN sequence_no = 3 AND extraction_id % 4 = 1 THEN '1.2. Un numeral' ELSE text END"
@@ -91,6 +95,25 @@ def q_context_fingerprint(spark, d):
     return bundle.context_fingerprint({"documents": doc.select("document_id", "document_type", "issuer"), "provisions": prov.select("provision_id", "designation")})
 
 
+def q_stored_bundles(spark, d):
+    """A bundle for each extraction, stored, read back with faults in some recipes, and verified."""
+    (seg,) = derived(spark, d, "seg")
+    ref = F.concat(F.lit("bundle:"), F.col("extraction_id").cast("string"))
+    name = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("extraction_id").cast("string"))
+    one = [("case_input", canonical_json(question=name("case"))), ("intake_draft", canonical_json(intake_ref=name("intake"))), ("research_plan", canonical_json(plan_ref=name("plan"))), ("research_result", canonical_json(result_ref=name("result")))]
+    singles = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(0).alias("ordinal"), p.alias("payload")) for k, p in one])
+    whole = seg.select("extraction_id").distinct().select(ref.alias("bundle_ref"), F.inline(singles))
+    place = F.row_number().over(Window.partitionBy("extraction_id").orderBy("sequence_no")) - 1
+    spans = seg.select(ref.alias("bundle_ref"), F.lit("evidence_span").alias("kind"), place.alias("ordinal"), canonical_json(evidence_ref=F.concat(F.lit("evidence:"), F.col("segment_id").cast("string")), quote=F.col("text")).alias("payload"))
+    store = bundle_store.BundleStore(spark, fresh_path(spark, "bundles"))
+    store.persist(whole.unionByName(spans))
+    case = F.substring_index("bundle_ref", ":", -1).cast("long")
+    read = store.recipes().withColumn("case", case).where("NOT (kind = 'research_plan' AND case % 11 = 0)")
+    read = read.withColumn("role", F.when((F.col("kind") == "intake_draft") & (F.col("case") % 13 == 1), "platform_research").otherwise(F.col("role"))).withColumn("ordinal", F.when((F.col("kind") == "evidence_span") & (F.col("case") % 17 == 2), F.col("ordinal") + 1).otherwise(F.col("ordinal")))
+    out = bundle_store.verify(store.bundles(), read.drop("case"), store.objects())
+    return out.join(store.bundles().select("bundle_ref", "bundle_sha256"), "bundle_ref")
+
+
 _HEAD = r"^(DECRETO|RESOLUCION|CONCEPTO|OFICIO|LEY|SENTENCIA|CIRCULAR)\s+(NUMERO\s+)?[A-Z0-9._/-]+\s+DE\s+[0-9]{4}\b"
 _B = f"{ctes('seg')}, b AS (SELECT extraction_id AS doc, sequence_no AS seq, segment_id, segment_id % 29 = 0 AS tr, {_BLOCK} AS text FROM seg), k AS (SELECT *, upper(strip_accents(trim(text))) AS key, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS lt FROM b)"
 _UN = "{}"
@@ -100,6 +123,9 @@ _HTML = "html"
 for _p, _r, _f in ((r"<(script|style|noscript|svg|template)\b[^>]*>.*?</(script|style|noscript|svg|template)\s*>", " ", "gis"), (r"<!--.*?-->", " ", "gs"), (r"[\r\n\t]+", " ", "g"), (r"</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ", "gi"), (rf"</?({blocks.BLOCK_TAGS})\b[^>]*>", "\n", "gi"), ("<[^>]*>", "", "g")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', '{_f}')"
 ORACLES = {
+    "stored_bundles": f"""{ctes('seg')}, p AS (SELECT DISTINCT extraction_id AS e, kind, 0 AS o, CASE kind WHEN 'case_input' THEN '{{"question":"case:' || extraction_id WHEN 'intake_draft' THEN '{{"intake_ref":"intake:' || extraction_id WHEN 'research_plan' THEN '{{"plan_ref":"plan:' || extraction_id ELSE '{{"result_ref":"result:' || extraction_id END || '"}}' AS payload FROM seg, (VALUES ('case_input'), ('intake_draft'), ('research_plan'), ('research_result')) v(kind)
+ UNION ALL SELECT extraction_id, 'evidence_span', row_number() OVER (PARTITION BY extraction_id ORDER BY sequence_no) - 1, '{{"evidence_ref":"evidence:' || segment_id || '","quote":"' || text || '"}}' FROM seg), l AS (SELECT e, kind || ':' || lpad(CAST(o AS VARCHAR), 9, '0') || ':' || sha256(payload) AS line FROM p)
+SELECT 'bundle:' || e AS bundle_ref, sha256(string_agg(line, chr(10) ORDER BY line)) AS bundle_sha256, count(*) - CASE WHEN e % 11 = 0 THEN 1 ELSE 0 END AS artifacts, CASE WHEN e % 13 = 1 THEN 'ownership_mismatch' WHEN e % 17 = 2 THEN 'ordinals_not_contiguous' WHEN e % 11 = 0 THEN 'single_part_count' ELSE 'verified' END AS state FROM l GROUP BY e""",
     "page_blocks": f"WITH l AS (SELECT page_id, list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(regexp_replace({_UN.format('x')}, '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages), k AS (SELECT page_id, list_filter(l, lambda x, i: i = 1 OR l[i - 1] <> x) AS l FROM l) SELECT page_id, unnest(range(len(l))) AS seq, md5(unnest(l)) AS digest FROM k",
     "eleven_types": f"""{_B} SELECT segment_id, CASE WHEN tr THEN 'table_row' WHEN regexp_matches(key, '{_HEAD}') OR regexp_matches(key, '^SENTENCIA C-[0-9]{{1,4}}/[0-9]{{2,4}}\\b') THEN 'document_heading' WHEN starts_with(key, 'ARTICULO ') THEN 'article' WHEN regexp_matches(text, '^[0-9]+(\\.[0-9]+)*\\.\\s') THEN 'numeral' WHEN key = 'CONSIDERANDO:' THEN 'structural_heading' WHEN starts_with(key, 'PUBLIQUESE') THEN 'closing' WHEN length(text) <= 240 AND up >= 0.9 * lt THEN 'section_heading' WHEN starts_with(key, 'QUE ') THEN 'consideration' ELSE 'text' END AS segment_type FROM k""",
     "legal_bodies": f"""{_B}, s AS (SELECT doc, arg_min(seq, (up < 0.8 * lt, seq)) AS first FROM k WHERE CASE WHEN doc % 32 = 5 THEN regexp_matches(key, '^SENTENCIA C-[0-9]{{1,4}}/[0-9]{{2,4}}\\b') ELSE regexp_matches(key, '{_HEAD}') END GROUP BY doc), e AS (SELECT k.*, first, min(CASE WHEN key = 'COMPILACION JURIDICA DIAN' AND seq > first THEN seq END) OVER (PARTITION BY doc) AS stop FROM k LEFT JOIN s USING (doc)), i AS (SELECT *, seq >= first AND (stop IS NULL OR seq < stop) AND NOT starts_with(trim(key, '<> '), 'CONSULTAR LA VIGENCIA DE ESTA NORMA DIRECTAMENTE EN LOS ARTICULOS QUE MODIFICA Y/O ADICIONA') AS ok FROM e)

@@ -47,7 +47,9 @@ def q_family_identity(spark, d):
 
 def q_equivalent_keys(spark, d):
     (doc,) = derived(spark, d, "doc")
-    return registry.equivalent_keys(doc.select("document_id", "document_type", "number", "year", "issuer"))
+    padded = F.concat(F.when(F.col("document_id") % 6 == 0, "00").otherwise(""), F.col("number").cast("string"))
+    out = registry.equivalent_keys(doc.select("document_id", "document_type", padded.alias("number"), "year", "issuer"))
+    return out.select("document_id", "representative", "copies", F.array_join(F.transform("compatible", lambda x: x.cast("string")), ",").alias("compatible"))
 
 
 def q_issuer_split(spark, d):
@@ -280,7 +282,7 @@ ORACLES = {
     "document_sources": f"{ctes('man', 'src')} SELECT document_id, count(*) AS manifestations, count(DISTINCT source_url) AS sources, md5(string_agg(DISTINCT source_url, '|' ORDER BY source_url)) AS digest FROM man JOIN src USING (source_id) WHERE document_id IS NOT NULL GROUP BY document_id",
     "generic_identity": f"{ctes('man', 'src', 'doc')}, m AS (SELECT nullif(upper(regexp_extract(source_url, '/(ley|decreto)_[0-9]+', 1)), '') AS f, document_type AS t, issuer FROM man JOIN src USING (source_id) LEFT JOIN doc USING (document_id)) SELECT CASE WHEN f IS NULL THEN CASE WHEN t IS NOT NULL THEN 'IDENTITY_CONFLICT' ELSE 'IDENTITY_UNRESOLVED' END WHEN t IS NULL THEN 'IDENTITY_UNRESOLVED' WHEN f <> t THEN 'IDENTITY_CONFLICT' WHEN t IN ('RESOLUCION', 'CIRCULAR') AND issuer IS NULL THEN 'ISSUER_IDENTITY_UNRESOLVED' ELSE 'accepted' END AS state, count(*) AS n FROM m GROUP BY ALL",
     "family_identity": f"{ctes('seg')}, h AS (SELECT extraction_id AS document, CASE WHEN segment_type = 'document_heading' THEN left(text, 45) END AS heading, CASE WHEN segment_type = 'document_heading' AND sequence_no * 3 <= 12 THEN segment_id % 3 > 0 END AS fits FROM seg) SELECT document, CASE WHEN count(DISTINCT heading) FILTER (fits) > 1 THEN 'FAMILY_IDENTITY_AMBIGUOUS' WHEN count(DISTINCT heading) FILTER (fits) = 1 THEN 'accepted' WHEN count(*) FILTER (NOT fits) > 0 THEN 'IDENTITY_CONFLICT' ELSE 'IDENTITY_UNRESOLVED' END AS state FROM h GROUP BY document",
-    "equivalent_keys": f"{ctes('doc')} SELECT a.document_id, b.document_id AS other_id FROM doc a JOIN doc b USING (document_type, number, year) WHERE a.document_id < b.document_id AND (a.issuer IS NOT DISTINCT FROM b.issuer OR a.issuer IS NULL OR b.issuer IS NULL)",
+    "equivalent_keys": f"{ctes('doc')}, c AS (SELECT document_id, document_type AS t, number AS n, year AS y, issuer, min(document_id) OVER w AS representative, count(*) OVER w AS copies FROM doc WINDOW w AS (PARTITION BY document_type, number, year, issuer)), k AS (SELECT DISTINCT t, n, y, issuer, representative FROM c) SELECT document_id, representative, copies, coalesce((SELECT string_agg(k.representative::VARCHAR, ',' ORDER BY k.representative) FROM k WHERE k.t = c.t AND k.n = c.n AND k.y = c.y AND (k.issuer IS NULL) <> (c.issuer IS NULL)), '') AS compatible FROM c",
     "issuer_split": f"{ctes('doc', 'man')}, c AS (SELECT doc.document_id, doc.issuer AS own, CASE WHEN source_id % 40 = 0 THEN 'MINHACIENDA' WHEN source_id % 3 > 0 THEN 'DIAN' END AS claimed FROM doc JOIN man ON man.document_id = doc.document_id) SELECT document_id, CASE WHEN count(DISTINCT claimed) > 1 THEN 'split' WHEN count(DISTINCT claimed) = 0 THEN 'keep' WHEN own IS NULL THEN 'backfill' WHEN own <> min(claimed) THEN 'conflict' ELSE 'keep' END AS plan, count(DISTINCT claimed) AS issuers FROM c GROUP BY document_id, own",
     "provision_index": f"{ctes('prov', 'obs')} SELECT p.provision_id, p.designation, count(o.provision_id) AS observations, count(DISTINCT text_hash) AS texts, count(DISTINCT extraction_id) AS extractions FROM prov p LEFT JOIN obs o USING (provision_id) GROUP BY ALL",
     "designation_counts": f"{ctes('prov')} SELECT document_id, designation, count(*) AS n FROM prov GROUP BY ALL",
