@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritrail.functions.forms import MARKED, PLAIN
-from veritrail.operators import citations
+from veritrail.operators import citations, ledger
 from veritrail.plans.corpus import ctes, derived
 
 
@@ -95,6 +95,16 @@ def q_reference_expansion(spark, d):
     return citations.expand(seeds, links).select("question", "document_id", F.col("depth").cast("long").alias("depth"))
 
 
+def q_detection_runs(spark, d):
+    """What one more job adds to a ledger that holds a third of the extractions, some of them by an older version."""
+    (seg,) = derived(spark, d, "seg")
+    held = seg.where("extraction_id % 3 = 0").select("extraction_id").distinct()
+    version = F.when(F.col("extraction_id") % 5 == 0, "2").otherwise(ledger.VERSION)
+    run = F.when(F.col("extraction_id") % 5 == 0, ledger.run_id(F.col("extraction_id"), version="2")).otherwise(ledger.run_id(F.col("extraction_id")))
+    runs = held.select(run.alias("run_id"), "extraction_id", version.alias("version"))
+    return ledger.detect(seg, runs)["runs"].select("extraction_id", "version", "mention_count", "relation_count")
+
+
 _LOW = f"translate(lower(text), '{MARKED}', '{PLAIN}')"
 _BY = r"(?: +(?:dian|banco +de +la +republica(?: +junta +directiva)?|presidencia(?: +de +la +republica)?|mincit|mincomercio|mintic|sgcan|dapr))?"
 _NUMBER = r" +(?:(?:numero|no\.?|nro\.?) *)?[0-9]+[a-z]? +de +[0-9]{4}\b"
@@ -142,4 +152,8 @@ SELECT DISTINCT text_id, char_start, normalized, CASE left(raw, 4) WHEN 'sust' T
     "document_edges": f"{ctes('rel', 'prov')}, e AS (SELECT relation_id, CASE source_type WHEN 'document' THEN source_id WHEN 'provision' THEN p.document_id END AS a, CASE target_type WHEN 'document' THEN target_id WHEN 'provision' THEN q.document_id END AS b FROM rel LEFT JOIN prov p ON source_id = p.provision_id LEFT JOIN prov q ON target_id = q.provision_id) SELECT document_id, count(DISTINCT relation_id) AS edges FROM (SELECT a AS document_id, relation_id FROM e UNION ALL SELECT b, relation_id FROM e) WHERE document_id IS NOT NULL GROUP BY document_id",
     "reference_expansion": f"{ctes('res').replace('WITH', 'WITH RECURSIVE')}, links AS (SELECT DISTINCT CAST(floor(mention_id / 10) % 1500 AS BIGINT) AS document_id, target_document_id AS target FROM res WHERE status = 'resolved' AND method IS NOT NULL AND target_document_id IS NOT NULL), walk AS (SELECT item_id AS question, CAST(item_id AS BIGINT) AS document_id, 0 AS depth FROM benchmark UNION SELECT question, target, depth + 1 FROM walk JOIN links USING (document_id) WHERE depth < 2) SELECT question, document_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL",
 }
+_RUNS = ORACLES["announced_relations"].replace("SELECT DISTINCT text_id, char_start, normalized, CASE left", ", said AS (SELECT DISTINCT text_id, char_start, normalized, CASE left") + ")"
+_NOTED = f", notes AS ({_at(_NOTES, 'low', 'low', 'text_id')}), noted AS (SELECT text_id, char_start, normalized, CASE regexp_extract(raw, '(modificado|adicionado|derogado|sustituido) +por', 1) WHEN 'modificado' THEN 'modified_by' WHEN 'adicionado' THEN 'added_by' WHEN 'derogado' THEN 'repealed_by' ELSE 'substituted_by' END AS relation_type FROM mentions JOIN notes USING (text_id) WHERE mention_type = 'article' AND char_start >= pos AND char_end <= pos + length(raw))"
+ORACLES["detection_runs"] = f"""{_RUNS}{_NOTED}, todo AS (SELECT DISTINCT extraction_id FROM seg WHERE NOT (extraction_id % 3 = 0 AND extraction_id % 5 <> 0)), mc AS (SELECT extraction_id, count(*) AS n FROM mentions JOIN seg ON text_id = segment_id GROUP BY 1), rc AS (SELECT extraction_id, count(*) AS n FROM (SELECT * FROM said UNION SELECT * FROM noted) JOIN seg ON text_id = segment_id GROUP BY 1)
+SELECT extraction_id, '3' AS version, coalesce(mc.n, 0) AS mention_count, coalesce(rc.n, 0) AS relation_count FROM todo LEFT JOIN mc USING (extraction_id) LEFT JOIN rc USING (extraction_id)"""
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
