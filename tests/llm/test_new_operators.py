@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritrail.llm import divergence, infill, vectors
+from tests.test_queries import rows as plain_rows
+from veritrail.llm import catalog, divergence, infill, vectors
 
 VECTORS = "vec_id long, embedding array<float>, label int, n_links long, node string"
 
@@ -190,3 +191,14 @@ def test_trees_meet(monkeypatch):
             trees.append(divergence.QuadTree(empty, width, cells[:, 0], cells[:, 1], shares))
             dense.append(full)
         assert (divergence.divergence(*trees) == divergence.price(dense[0][:, None], dense[1][None]).sum(2)).all()
+
+
+@pytest.mark.parametrize("name", ["op11_embedding_range_join", "op12_fill_in_middle", "op13_source_divergence"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    ours, theirs = catalog.QUERIES[name](spark, folder).toPandas(), con.sql(catalog.ORACLES[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns) and plain_rows(ours) == plain_rows(theirs) and len(ours)

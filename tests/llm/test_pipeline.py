@@ -30,7 +30,7 @@ def test_pipeline_stages(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in catalog.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_quality_query_matches_sql(spark):
