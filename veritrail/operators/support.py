@@ -79,7 +79,7 @@ def close(starting: DataFrame, relationships: DataFrame, relation_evidence: Data
     no_owner = related.select("case_id", reference("unresolved", F.lit("canonical_evidence_owner"), F.concat(F.lit("evidence:"), F.col("evidence_id").cast("string"))).alias("item_ref"), F.lit("unresolved_identity").alias("category"), "document_id", F.lit(None).cast(opened.schema["evidence_id"].dataType).alias("evidence_id"), F.lit(True).alias("new"))
     return {
         "authorities": inside.unionByName(owning), "authority_evidence": doc_ev.join(unowned, pair, "left_anti").select("case_id", "document_id", "basis", "evidence_id").unionByName(owner_ev),
-        "relationships": kept, "relationship_evidence": rel_ev.select("case_id", "relationship_id", "evidence_id").join(unowned, pair, "left_anti"), "evidence": evidence, "unresolved": open_all.unionByName(no_owner),
+        "relationships": kept, "relationship_evidence": rel_ev.join(unowned, pair, "left_anti").select("case_id", "relationship_id", "evidence_id"), "evidence": evidence, "unresolved": open_all.unionByName(no_owner),
     }
 
 
