@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.ids import canonical_json
-from veritrail.operators import blocks, bundle, citations
+from veritrail.operators import blocks, bundle, citations, markup
 from veritrail.plans.corpus import ctes, derived
 from veritrail.sources import bundle_store
 from veritrail.sources.shared import fresh_path
@@ -25,6 +25,12 @@ def q_page_blocks(spark, d):
     return out.select("page_id", F.col("seq").cast("long").alias("seq"), F.md5("text").alias("digest"))
 
 
+def q_parsed_blocks(spark, d):
+    """The blocks of ``page_blocks``, read element by element."""
+    out = markup.blocks(spark.read.parquet(f"{d}/pages.parquet"))
+    return out.select("page_id", F.col("seq").cast("long").alias("seq"), F.md5("text").alias("digest"))
+
+
 def q_eleven_types(spark, d):
     return _blocks(spark, d).select("segment_id", blocks.segment_type(F.col("text"), F.col("kind")).alias("segment_type"))
 
@@ -141,4 +147,5 @@ SELECT doc, CASE WHEN coalesce(starts, 0) <> 1 THEN 'start_not_unique' WHEN coal
     "case_errors": f"{ctes('rel')}, i AS (SELECT relation_id % 500 AS case_id, CASE relation_id % 10 WHEN 1 THEN 'claim' WHEN 2 THEN 'note' ELSE 'relation' END AS kind, evidence_id, status, source_id % 9 > 0 AS has, confidence + 0.15 AS c, relation_id % 3 = 0 AS review FROM rel), e AS (SELECT case_id, 'CLAIM_WITHOUT_EVIDENCE' AS code FROM i WHERE kind = 'claim' AND evidence_id IS NULL UNION ALL SELECT case_id, 'VALIDATED_WITHOUT_SOURCE' FROM i WHERE status = 'validated' AND NOT has UNION ALL SELECT case_id, 'CONFIDENCE_OUT_OF_RANGE' FROM i WHERE c < 0 OR c > 1 UNION ALL SELECT case_id, 'UNKNOWN_KIND' FROM i WHERE kind = 'note' UNION ALL SELECT case_id, 'REVIEW_NOT_MARKED' FROM i WHERE c < 0.8 AND NOT review) SELECT case_id, code, count(*) AS n FROM e GROUP BY ALL",
     "context_fingerprint": f"{ctes('doc', 'prov')}, h AS (SELECT 'documents' AS part, md5(document_id || '|' || document_type || '|' || coalesce(issuer, '')) AS m FROM doc UNION ALL SELECT 'provisions', md5(provision_id || '|' || designation) FROM prov) SELECT part, count(*) AS rows, CAST(sum(('0x' || m[1:12])::HUGEINT) AS STRING) AS fingerprint FROM h GROUP BY part",
 }
+ORACLES["parsed_blocks"] = ORACLES["page_blocks"]
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.plans import bundle_queries, citation_queries, context_queries, doctrine_queries, domain_queries, evidence_queries, form_queries, identity_queries, registry_queries, reprocess_queries, state_queries, text_queries
+from veritrail.plans import bundle_queries, citation_queries, context_queries, doctrine_queries, domain_queries, evidence_queries, form_queries, identity_queries, registry_queries, reprocess_queries, stage_queries, state_queries, text_queries
 
-_MODULES = (text_queries, domain_queries, registry_queries, citation_queries, form_queries, state_queries, bundle_queries, context_queries, identity_queries, reprocess_queries, doctrine_queries, evidence_queries)
+_MODULES = (text_queries, domain_queries, registry_queries, citation_queries, form_queries, state_queries, bundle_queries, context_queries, identity_queries, reprocess_queries, doctrine_queries, evidence_queries, stage_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
