@@ -90,13 +90,13 @@ def summary(graph: dict[str, DataFrame], cases: DataFrame) -> DataFrame:
     owners are there.  A blocked or partial research stays so; a complete one
     is partial if closing brought an open item other than a synthesis.
     """
-    one = lambda frame, column, value, name: frame.select("case_id", F.lit(name).alias("what"), (F.col(column) == value).cast("long").alias("n"))
-    new = graph["unresolved"].select("case_id", F.lit("opened").alias("what"), (F.col("new") & (F.col("category") != SYNTHESIS)).cast("long").alias("n"))
-    counted = [one(graph["authorities"], "role", r, r) for r in ("selected", "endpoint", "evidence_owner")] + [one(graph["relationships"], "state", s, s) for s in ("whole", "reduced", "lost")] + [one(graph["evidence"], "state", s, s) for s in ("required", "unowned", "evidence_missing", "owner_missing")]
+    by_state = lambda frame, column: frame.select("case_id", F.col(column).alias("what"), F.lit(1).cast("long").alias("n"))
+    rows = graph["unresolved"].select("case_id", F.lit("opened").alias("what"), (F.col("new") & (F.col("category") != SYNTHESIS)).cast("long").alias("n"))
+    # The states of the three tables differ by name, so that each is read once.
+    for name, column in (("authorities", "role"), ("relationships", "state"), ("evidence", "state")):
+        rows = rows.unionByName(by_state(graph[name], column))
     names = ["selected", "endpoint", "evidence_owner", "whole", "reduced", "lost", "required", "unowned", "evidence_missing", "owner_missing", "opened"]
-    for frame in counted:
-        new = new.unionByName(frame)
-    sums = new.groupBy("case_id").agg(*[F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names])
+    sums = rows.groupBy("case_id").agg(*[F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names])
     out = cases.select("case_id", "research_status").join(sums, "case_id", "left").fillna(0, names)
     status = F.when(F.col("research_status").isin("blocked", "partial"), F.col("research_status")).when(F.col("opened") > 0, "partial").otherwise("complete")
     return out.select("case_id", *names[:-1], (F.col("endpoint") + F.col("evidence_owner")).alias("support_only"), ((F.col("lost") + F.col("evidence_missing") + F.col("owner_missing")) == 0).alias("sound"), status.alias("status"))
