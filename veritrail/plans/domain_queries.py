@@ -203,7 +203,8 @@ def q_execution_coverage(spark, d):
 
 
 def _graph(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b")).distinct()
+    """Parts and the suppliers that deliver them; suppliers are the nodes below zero, so that no number of parts makes two nodes one."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct()
 
 
 def q_one_hop(spark, d):
@@ -211,7 +212,7 @@ def q_one_hop(spark, d):
 
 
 def q_edge_relevance(spark, d):
-    chosen = table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("node")).union(table(spark, d, "supplier").where("s_nationkey < 8").select((F.col("s_suppkey") + 1_000_000).alias("node")))
+    chosen = table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("node")).union(table(spark, d, "supplier").where("s_nationkey < 8").select((-1 - F.col("s_suppkey")).alias("node")))
     return research.edge_relevance(_graph(spark, d), chosen).groupBy("relevance").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -292,7 +293,7 @@ def q_doctor_report(spark, d):
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _QUEUE = "que AS (SELECT 'https://h/' || event_id AS url, CASE WHEN event_id % 10 = 0 THEN 'index' ELSE 'document' END AS item_type, user_id % 4 AS depth, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' WHEN 'view' THEN 'done' ELSE 'pending' END AS status, CASE WHEN event_type <> 'signup' THEN ts + INTERVAL 7 DAY END AS due, ts AS first_seen, ts AS started, event_id % 12 AS attempts FROM events)"
-_GRAPH = "g AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem)"
+_GRAPH = "g AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem)"
 _NAMES = rf"""n0 AS (SELECT o_orderkey AS document, {_NAME_SPARK.replace("STRING", "VARCHAR")} AS name FROM orders), n AS (SELECT document, CASE WHEN regexp_matches(name, '^(ley|decreto|resolucion)_') THEN 'NORMATIVE_ACT' WHEN starts_with(name, 'oficio_dian_') THEN 'DIAN_OFICIO' WHEN starts_with(name, 'c-') THEN 'CORTE_CONSTITUCIONAL_SENTENCIA_C' WHEN starts_with(name, 'conpes_') THEN 'CONPES' ELSE 'UNKNOWN' END AS family,
 CASE WHEN regexp_matches(name, '^(ley|decreto|resolucion)_') THEN upper(regexp_extract(name, '^([a-z]+)_', 1)) WHEN regexp_matches(name, '^oficio_dian_[0-9]') THEN 'OFICIO' WHEN starts_with(name, 'c-') THEN 'SENTENCIA_C' WHEN starts_with(name, 'conpes_') THEN 'CONPES' END AS doc_type,
 CASE WHEN starts_with(name, 'index') THEN NULL ELSE nullif(regexp_replace(regexp_extract(name, '([0-9]+)_[0-9]+[.]htm$', 1), CASE WHEN regexp_matches(name, '^(ley|decreto|resolucion)_') THEN '^0+([0-9])' ELSE '^()$' END, '\1'), '') END AS number, CASE WHEN regexp_matches(name, '_[0-9]+[.]htm$') THEN regexp_extract(name, '_([0-9]+)[.]htm$', 1) END AS year FROM n0),
@@ -333,8 +334,8 @@ ORACLES = {
     "round_robin": "SELECT conv_id, turn AS task, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS round FROM conversations",
     "budget_cut": "SELECT l_suppkey, least(count(*), 5) AS selected, greatest(count(*) - 5, 0) AS left_out FROM lineitem GROUP BY 1",
     "execution_coverage": "WITH s AS (SELECT l_orderkey AS aspect, l_linenumber % 3 AS task, l_linenumber AS round, CASE WHEN l_quantity < 3 THEN 'blocked' WHEN l_quantity < 6 THEN 'budget_exhausted' WHEN l_quantity > 46 THEN NULL WHEN l_tax > 0.04 THEN 'hits' ELSE 'no_hits' END AS outcome FROM lineitem), l AS (SELECT aspect, task, outcome FROM s QUALIFY row_number() OVER (PARTITION BY aspect, task ORDER BY round DESC, outcome DESC NULLS LAST) = 1) SELECT aspect, count(*) AS tasks, CASE WHEN count(outcome) = 0 THEN 'not_started' WHEN bool_or(outcome = 'blocked') THEN 'blocked' WHEN bool_or(outcome = 'budget_exhausted') THEN 'budget_exhausted' WHEN count(outcome) < count(*) THEN 'partial' ELSE 'complete' END AS execution FROM l GROUP BY aspect",
-    "one_hop": f"WITH {_GRAPH} SELECT DISTINCT b AS node FROM g WHERE a IN (SELECT p_partkey FROM part WHERE p_size = 7)",
-    "edge_relevance": f"WITH {_GRAPH}, s AS (SELECT p_partkey AS node FROM part WHERE p_size < 10 UNION SELECT s_suppkey + 1000000 FROM supplier WHERE s_nationkey < 8), e AS (SELECT (a IN (SELECT node FROM s))::INT + (b IN (SELECT node FROM s))::INT AS k FROM g) SELECT CASE k WHEN 2 THEN 'selected_authorities' WHEN 1 THEN 'document_scope_conservative' ELSE 'irrelevant' END AS relevance, count(*) AS n FROM e GROUP BY 1",
+    "one_hop": f"WITH {_GRAPH}, k AS (SELECT p_partkey AS node FROM part WHERE p_size = 7), t AS (SELECT b AS node FROM g WHERE a IN (SELECT node FROM k) UNION SELECT a FROM g WHERE b IN (SELECT node FROM k)) SELECT node FROM t WHERE node NOT IN (SELECT node FROM k)",
+    "edge_relevance": f"WITH {_GRAPH}, s AS (SELECT p_partkey AS node FROM part WHERE p_size < 10 UNION SELECT -1 - s_suppkey FROM supplier WHERE s_nationkey < 8), e AS (SELECT (a IN (SELECT node FROM s))::INT + (b IN (SELECT node FROM s))::INT AS k FROM g) SELECT CASE k WHEN 2 THEN 'selected_authorities' WHEN 1 THEN 'document_scope_conservative' ELSE 'irrelevant' END AS relevance, count(*) AS n FROM e GROUP BY 1",
     "answer_sessions": "WITH q AS (SELECT conv_id, text, CAST(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS question FROM conversations) SELECT conv_id, question, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM q GROUP BY 1, 2",
     "rolling_window": f"{_FRAMES}, g AS (SELECT * FROM f WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY frame_sha ORDER BY frame_ts, event_id) = 1) SELECT event_id, frame_sha FROM g WHERE frame_ts > (SELECT max(frame_ts) FROM g) - INTERVAL 6 HOUR",
     "rejected_frames": f"{_FRAMES} SELECT CASE WHEN frame_ts IS NULL THEN 'unreadable_time' ELSE 'low_confidence' END AS reason, count(*) AS n FROM f WHERE frame_ts IS NULL OR confidence < 0.3 GROUP BY 1",
