@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables made so that the two could differ."""
 
+import hashlib
+
 import duckdb
 
 from veritrail.plans import catalog
@@ -27,3 +29,10 @@ def test_relevance_of_parts_beyond_a_million(spark, tmp_path):
     supplier = "SELECT CAST(5 AS BIGINT) AS s_suppkey, CAST(1 AS INT) AS s_nationkey"
     ours, theirs = both(spark, tmp_path, "edge_relevance", lineitem=line, part=part, supplier=supplier)
     assert ours == theirs == [("irrelevant", 1)]
+
+
+def test_references_without_semicolon_and_escaped_twice(spark, tmp_path):
+    pages = "SELECT CAST(1 AS BIGINT) AS page_id, '<title>a&amp;&amp</title><p>b&amp;amp;lt;c &copy&ltd&quot&#39; &AMP;gt e</p>' AS html"
+    ours, theirs = both(spark, tmp_path, "parsed_blocks", pages=pages)
+    want = [hashlib.md5(text.encode()).hexdigest() for text in ("a&&", "b<c ©<d\"' > e")]
+    assert ours == theirs == [(1, i, digest) for i, digest in enumerate(want)]

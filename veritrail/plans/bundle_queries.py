@@ -147,5 +147,9 @@ SELECT doc, CASE WHEN coalesce(starts, 0) <> 1 THEN 'start_not_unique' WHEN coal
     "case_errors": f"{ctes('rel')}, i AS (SELECT relation_id % 500 AS case_id, CASE relation_id % 10 WHEN 1 THEN 'claim' WHEN 2 THEN 'note' ELSE 'relation' END AS kind, evidence_id, status, source_id % 9 > 0 AS has, confidence + 0.15 AS c, relation_id % 3 = 0 AS review FROM rel), e AS (SELECT case_id, 'CLAIM_WITHOUT_EVIDENCE' AS code FROM i WHERE kind = 'claim' AND evidence_id IS NULL UNION ALL SELECT case_id, 'VALIDATED_WITHOUT_SOURCE' FROM i WHERE status = 'validated' AND NOT has UNION ALL SELECT case_id, 'CONFIDENCE_OUT_OF_RANGE' FROM i WHERE c < 0 OR c > 1 UNION ALL SELECT case_id, 'UNKNOWN_KIND' FROM i WHERE kind = 'note' UNION ALL SELECT case_id, 'REVIEW_NOT_MARKED' FROM i WHERE c < 0.8 AND NOT review) SELECT case_id, code, count(*) AS n FROM e GROUP BY ALL",
     "context_fingerprint": f"{ctes('doc', 'prov')}, h AS (SELECT 'documents' AS part, md5(document_id || '|' || document_type || '|' || coalesce(issuer, '')) AS m FROM doc UNION ALL SELECT 'provisions', md5(provision_id || '|' || designation) FROM prov) SELECT part, count(*) AS rows, CAST(sum(('0x' || m[1:12])::HUGEINT) AS STRING) AS fingerprint FROM h GROUP BY part",
 }
-ORACLES["parsed_blocks"] = ORACLES["page_blocks"]
+# ``parsed_blocks`` reads references to the end, with or without their semicolon; those of ``page_blocks`` have one and are read once.
+_READ = "regexp_replace({}, '&((amp|AMP);?)+', '&', 'g')"
+for _a, _c in (("nbsp;?", " "), ("(lt|LT);?", "<"), ("(gt|GT);?", ">"), ("(quot|QUOT);?", '"'), ("#39(;|\\b)", "''"), ("(copy|COPY);?", "©"), ("middot;?", "·")):
+    _READ = f"regexp_replace({_READ}, '&{_a}', '{_c}', 'g')"
+ORACLES["parsed_blocks"] = ORACLES["page_blocks"].replace(_UN.format("x"), _READ.format("x"))
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
