@@ -67,3 +67,18 @@ def test_strict_promotion_refuses_a_part(spark):
     with pytest.raises(ValueError, match="refused"):
         citations.promote_strict(relations, one)
     assert [r.confidence for r in citations.promote_strict(relations.where("mention_id = 1"), one).collect()] == [0.8]
+
+
+def test_spans_of_texts_with_the_marking_character(spark):
+    """Matches at both ends, side by side, and beside the character that marks them otherwise."""
+    texts = ["12ab3", "\x0112\x013\x01", "", "ab", "1", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.m and [(m.raw, m.start) for m in r.m] for r in frame.select("i", citations.spans(citations.F.col("text"), "[0-9]").alias("m")).collect()}
+    assert {i: m or [] for i, m in got.items()} == {i: [(c, at) for at, c in enumerate(t or "") if c.isdigit()] for i, t in enumerate(texts)}
+
+
+def test_patterns_are_read_only_where_their_words_stand(spark):
+    """A text without any word of a form leaves its pattern unread, whatever the form; the plan names the words."""
+    frame = spark.createDataFrame([(1, "nada de eso")], "text_id int, text string")
+    plan = citations.mentions(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains") + plan.count("contains(") >= len(citations.FORMS) and citations.mentions(frame).count() == 0

@@ -6,6 +6,8 @@ offsets are those of the text itself.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from veritrail.functions.forms import MARKED, PLAIN, lookup
 ISSUERS = r"dian|banco +de +la +republica(?: +junta +directiva)?|presidencia(?: +de +la +republica)?|mincit|mincomercio|mintic|sgcan|dapr"
 _QUALIFIED = rf"(?: +unico(?: +reglamentario)?)?(?: +(?:{ISSUERS}))? +(?:(?:numero|no\.?|nro\.?) *)?[0-9]+[a-z]? +de +[0-9]{{4}}\b"
 NORM = r"(?:ley|decreto|resolucion)" + _QUALIFIED
-ACT = r"\b(?:ley|decreto|resolucion|circular|concepto|oficio)" + _QUALIFIED
+# Letters ahead spare most places the look at a word's border.
+ACT = r"(?=[cdlor])\b(?:ley|decreto|resolucion|circular|concepto|oficio)" + _QUALIFIED
 NUMBERS = r"[0-9]+(?: +[0-9]+)*"
 LETTERS = (
     rf"\b(?:concepto|oficio) +{NUMBERS} *(?:[-–—] *)?int(?:\.?|-)? *[0-9]+ +(?:de|del +[0-9]{{1,2}} +de +[a-z]+ +de) +[0-9]{{4}}\b",
@@ -24,8 +27,8 @@ LETTERS = (
 )
 STATUTE = r"\bestatuto +tributario\b"
 LIST = r"[0-9][0-9.\- ,;yº°o]*?"
-ARTICLE_OF = rf"\barticulos? +{LIST}(?: *\[[0-9]+\])? +(?:del|de +la) +(?:estatuto +tributario|{NORM})"
-ARTICLE_IN = rf"\barticulos? +{LIST} +(?:del|de +la|al|a +la) +(?:seccion|capitulo|titulo|parte|libro) +[^.;:]{{1,260}}? +(?:del|de +la) +{NORM}"
+ARTICLE_OF = rf"(?=a)\barticulos? +{LIST}(?: *\[[0-9]+\])? +(?:del|de +la) +(?:estatuto +tributario|{NORM})"
+ARTICLE_IN = rf"(?=a)\barticulos? +{LIST} +(?:del|de +la|al|a +la) +(?:seccion|capitulo|titulo|parte|libro) +[^.;:]{{1,260}}? +(?:del|de +la) +{NORM}"
 ACT_THEN_ARTICLE = rf"{NORM} +(?:en +)?(?:su +)?articulo +[0-9]+(?:\.[0-9]+)*(?:-[0-9]+)?\b"
 ARTICLE_NUMBER = r"[0-9]+(?:\.[0-9]+)*(?:-[0-9]+)?[oº°]?"
 #: Keys of the issuers that citations name.
@@ -41,14 +44,24 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 
+#: A character that texts hardly have; those that do are read more slowly.
+_MARK = "\x01"
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<raw, start>> of a pattern's matches: what stands between matches gives their places."""
+    """array<struct<raw, start>> of a pattern's matches, found in one pass that marks them in the text.
+
+    What stands between the marks is by turns no match and a match, which gives the places.
+    """
+    none = F.expr("CAST(array() AS array<struct<raw: string, start: int>>)")
+    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), (~a["match"]).alias("match"), F.when(a["match"], F.concat(a["out"], F.array(F.struct(p.alias("raw"), a["at"].alias("start"))))).otherwise(a["out"]).alias("out"))
+    placed = lambda pieces: F.when(F.size(pieces) > 1, F.aggregate(pieces, state, step, lambda a: a["out"])).otherwise(none)
     raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(raw)), F.length)
-    both = F.zip_with(raw, gaps, lambda r, g: F.struct(r.alias("raw"), g.alias("gap")))
-    state = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<raw: string, start: int>>)").alias("out"))
-    step = lambda a, m: F.struct((a["at"] + m["gap"] + F.length(m["raw"])).alias("at"), F.concat(a["out"], F.array(F.struct(m["raw"].alias("raw"), (a["at"] + m["gap"]).alias("start")))).alias("out"))
-    return F.aggregate(both, state, step, lambda a: a["out"])
+    apart = F.flatten(F.zip_with(F.split(text, pattern, -1), raw, lambda gap, r: F.when(r.isNull(), F.array(gap)).otherwise(F.array(gap, r))))
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    # The pieces are bound by a lambda, so that they are found once.
+    return F.flatten(F.transform(F.array(F.when(F.contains(text, F.lit(_MARK)), apart).otherwise(marked)), placed))
 
 
 def _exploded(texts: DataFrame, pattern: str) -> DataFrame:
@@ -65,8 +78,17 @@ def _target(raw: Column) -> tuple[Column, Column]:
     return key, F.coalesce(issuer, F.when(part(1).isin("CONCEPTO", "OFICIO"), "DIAN"))
 
 
+#: What each of a form's matches has in it, one word of each row: other texts need no look at its pattern.
+_NORMS, _ARTICLE, _LETTERS = ("ley", "decreto", "resolucion"), ("articulo",), ("concepto", "oficio")
 #: Citation forms by what they give: a whole act, a letter with its number in groups, listed articles, an article behind its act.
-FORMS = (("act", ACT), ("act", STATUTE), *(("letter", p) for p in LETTERS), ("articles", ARTICLE_OF), ("articles", ARTICLE_IN), ("article", ACT_THEN_ARTICLE))
+FORMS = (
+    ("act", ACT, ((*_NORMS, "circular", *_LETTERS),)), ("act", STATUTE, (("estatuto",),)), *(("letter", p, (_LETTERS,)) for p in LETTERS),
+    ("articles", ARTICLE_OF, (_ARTICLE, (*_NORMS, "estatuto"))), ("articles", ARTICLE_IN, (_ARTICLE, _NORMS, ("seccion", "capitulo", "titulo", "parte", "libro"))), ("article", ACT_THEN_ARTICLE, (_ARTICLE, _NORMS)),
+)
+
+
+def _has(text: Column, words: tuple[tuple[str, ...], ...]) -> Column:
+    return reduce(Column.__and__, (reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in row)) for row in words))
 
 
 def mentions(texts: DataFrame) -> DataFrame:
@@ -78,10 +100,11 @@ def mentions(texts: DataFrame) -> DataFrame:
     """
     low = texts.select("text_id", folded(F.col("text")).alias("low"))
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(spans(F.col("low"), pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start")))
+    def of(kind: str, pattern: str, words: tuple) -> Column:
+        found = F.transform(spans(F.col("low"), pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start")))
+        return F.when(_has(F.col("low"), words), found).otherwise(F.expr("CAST(array() AS array<struct<kind: string, raw: string, start: int>>)"))
 
-    found = low.select("text_id", F.explode(F.flatten(F.array(*[of(k, p) for k, p in FORMS]))).alias("m")).select("text_id", "m.*")
+    found = low.select("text_id", F.explode(F.flatten(F.array(*[of(*form) for form in FORMS]))).alias("m")).select("text_id", "m.*")
     key, issuer = _target(F.col("raw"))
     letter = F.col("kind") == "letter"
     numbers = F.regexp_replace(F.regexp_extract("raw", rf"^[a-z]+ +({NUMBERS})", 1), " +", "")
@@ -131,11 +154,8 @@ def noted(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     A text's notes are held as one array beside its mentions, so mentions and notes of a text are not multiplied.
     """
-    low = texts.select("text_id", F.filter(spans(folded(F.col("text")), NOTE), lambda n: n["raw"] != "").alias("notes")).where(F.size("notes") > 0)
+    low = texts.where(F.contains("text", F.lit("<"))).select("text_id", F.filter(spans(folded(F.col("text")), NOTE), lambda n: n["raw"] != "").alias("notes")).where(F.size("notes") > 0)
     around = F.filter("notes", lambda n: (F.col("char_start") >= n["start"]) & (F.col("char_end") <= n["start"] + F.length(n["raw"])))
-    kind = F.lit(None).cast("string")
-    for word, name in reversed(NOTE_TYPES):
-        kind = F.when(F.col("note").rlike(rf"^[^<>]*?\b{word} +por "), name).otherwise(kind)
     met = found.join(low, "text_id").withColumn("note", F.get(around, F.lit(0))["raw"]).where("note IS NOT NULL")
     # The verb nearest to the note's start decides.
     verb = F.regexp_extract(F.substring("note", F.lit(2), F.length("note")), r"(modificado|adicionado|derogado|sustituido) +por ", 1)
