@@ -5,6 +5,7 @@ import hashlib
 import duckdb
 
 from veritrail.plans import catalog
+from veritrail.plans.corpus import derived
 
 
 def both(spark, folder, name, **tables):
@@ -36,3 +37,9 @@ def test_references_without_semicolon_and_escaped_twice(spark, tmp_path):
     ours, theirs = both(spark, tmp_path, "parsed_blocks", pages=pages)
     want = [hashlib.md5(text.encode()).hexdigest() for text in ("a&&", "b<c ©<d\"' > e")]
     assert ours == theirs == [(1, i, digest) for i, digest in enumerate(want)]
+
+
+def test_texts_stay_with_their_extraction(spark):
+    """Segments are numbered by windows over their extraction, whose rows lie together before they have a text."""
+    (seg,) = derived(spark, "/root/testdata/sf0.001", "seg")
+    assert seg._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
