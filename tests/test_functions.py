@@ -47,6 +47,17 @@ def test_resolution_never_guesses(spark):
     assert got == {1: ("resolved", 10), 2: ("ambiguous", None), 3: ("unresolved", None), 4: ("unresolved", None)}
 
 
+def test_resolution_counts_targets_before_it_meets_them(spark):
+    """A key that many ask for and many have gives no pairs: the join yields a row for each question."""
+    asked = spark.range(300).selectExpr("id AS ref", "'x' AS key").union(spark.createDataFrame([(300, "y"), (300, "z")], "ref long, key string"))
+    targets = spark.range(400).selectExpr("'x' AS key", "id AS target").union(spark.createDataFrame([("y", 7), ("z", 7), ("z", None)], "key string, target long"))
+    out = resolution.resolve(asked, targets, "ref", "key", "target")
+    got = {r.ref: (r.matches, r.status, r.resolved_target) for r in out.collect()}
+    assert got == {i: (400, "ambiguous", None) for i in range(300)} | {300: (2, "ambiguous", None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("count(distinct target")
+
+
 def test_source_family(spark):
     names = ["Ley_0100_1993.htm", "oficio_dian_x.htm", "c-096_2001.htm", "weird.htm", None]
     got = spark.createDataFrame([(n,) for n in names], "name string").select(F.inline(F.array(identity.source_family(F.col("name"))))).collect()

@@ -30,7 +30,9 @@ def trigger_type(text: Column) -> Column:
 
 def resolve(asked: DataFrame, targets: DataFrame, ref: str, key: str, target: str) -> DataFrame:
     """(ref, matches, status, resolved_target): 0, 1 or more targets are unresolved, resolved or ambiguous; nothing is guessed."""
-    matched = asked.join(targets.select(key, target).distinct(), key, "left").groupBy(ref).agg(F.count(target).alias("matches"), F.min(target).alias("one"))
+    # Targets are counted by key before they are asked for, so a question costs one row whatever its key has.
+    counted = targets.groupBy(key).agg(F.countDistinct(target).alias("n"), F.min(target).alias("one"))
+    matched = asked.join(counted, key, "left").groupBy(ref).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), F.min("one").alias("one"))
     status = F.when(F.col("matches") == 0, "unresolved").when(F.col("matches") == 1, "resolved").otherwise("ambiguous")
     return matched.select(ref, "matches", status.alias("status"), F.when(F.col("matches") == 1, F.col("one")).alias("resolved_target"))
 
