@@ -43,3 +43,9 @@ def test_texts_stay_with_their_extraction(spark):
     """Segments are numbered by windows over their extraction, whose rows lie together before they have a text."""
     (seg,) = derived(spark, "/root/testdata/sf0.001", "seg")
     assert seg._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_families_are_found_once_a_type(spark):
+    """Relations are counted by type before their types are read."""
+    plan = catalog.QUERIES["relation_families"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9]+" in plan[: plan.index("Aggregate")] and "[^a-z0-9]+" not in plan[plan.index("Aggregate") :]

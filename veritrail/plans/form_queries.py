@@ -72,9 +72,11 @@ def q_event_dates(spark, d):
 def q_relation_families(spark, d):
     """Dependency families of relations, which need a person, and which name a conflict."""
     (rel,) = derived(spark, d, "rel")
-    family = forms.relation_family(F.col("relation_type"))
     review = forms.needs_review(F.col("status"), F.col("confidence"), F.col("evidence_id").isNotNull().cast("int"))
-    return rel.groupBy("relation_type", F.coalesce(family, F.lit("-")).alias("family"), review.alias("review")).agg(F.count(F.lit(1)).alias("n"), F.sum((family == "conflict").cast("long")).alias("conflicts"))
+    # A type's family is found once, not once a relation.
+    counted = rel.groupBy("relation_type", review.alias("review")).agg(F.count(F.lit(1)).alias("n"))
+    family = forms.relation_family(F.col("relation_type"))
+    return counted.select("relation_type", F.coalesce(family, F.lit("-")).alias("family"), "review", "n", ((family == "conflict").cast("long") * F.col("n")).alias("conflicts"))
 
 
 def q_topic_overlap(spark, d):
