@@ -5,7 +5,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from veritrail.functions import ids, text
+from veritrail.functions import forms, ids, text
 from veritrail.operators import identity, merge, queue, relational, resolution, segments
 from veritrail.sources import raw_store
 from veritrail.streaming import frames
@@ -115,3 +115,9 @@ def test_frames_on_a_stream(spark, tmp_path):
     query = frames.first_sight(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination(120)
     assert sorted(r.frame_sha for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y"]
+
+
+def test_key_form_of_ragged_texts(spark):
+    texts = ["  Artículo  5\t", "a ́ b", "ARTÍCULO 5", "é x", " ", "", None, " Ñ　ñ"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(forms.key_form(F.col("t"))).collect()]
+    assert got == ["ARTICULO 5", "A B", "ARTICULO 5", "E X", "", "", None, "N N"]

@@ -49,3 +49,9 @@ def test_families_are_found_once_a_type(spark):
     """Relations are counted by type before their types are read."""
     plan = catalog.QUERIES["relation_families"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "[^a-z0-9]+" in plan[: plan.index("Aggregate")] and "[^a-z0-9]+" not in plan[plan.index("Aggregate") :]
+
+
+def test_blocks_are_keyed_once(spark):
+    """The rules of a block's type read its key form as a column, not as an expression that each of them would find again."""
+    plan = catalog.QUERIES["eleven_types"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2

@@ -41,9 +41,12 @@ def visible(pages: DataFrame) -> DataFrame:
     return listed.select("page_id", F.posexplode(kept).alias("seq", "text"))
 
 
-def segment_type(text: Column, kind: Column) -> Column:
-    """Type of a block, by the first of eleven rules that holds."""
-    key = key_form(text)
+def segment_type(text: Column, kind: Column, key: Column | None = None) -> Column:
+    """Type of a block, by the first of eleven rules that holds.
+
+    ``key`` is the text's key form, if it is a column already: most rules read it, and an expression would be found by each of them.
+    """
+    key = key_form(text) if key is None else key
     return (
         F.when(kind == "table_row", "table_row")
         .when(key.rlike(HEADING), "document_heading")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veritrail.functions.forms import key_form
 from veritrail.functions.ids import canonical_json
 from veritrail.operators import blocks, bundle, citations, markup
 from veritrail.plans.corpus import ctes, derived
@@ -32,7 +33,8 @@ def q_parsed_blocks(spark, d):
 
 
 def q_eleven_types(spark, d):
-    return _blocks(spark, d).select("segment_id", blocks.segment_type(F.col("text"), F.col("kind")).alias("segment_type"))
+    keyed = _blocks(spark, d).withColumn("key", key_form(F.col("text")))
+    return keyed.select("segment_id", blocks.segment_type(F.col("text"), F.col("kind"), F.col("key")).alias("segment_type"))
 
 
 def q_legal_bodies(spark, d):
