@@ -55,3 +55,8 @@ def test_blocks_are_keyed_once(spark):
     """The rules of a block's type read its key form as a column, not as an expression that each of them would find again."""
     plan = catalog.QUERIES["eleven_types"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") <= 2
+
+
+def test_only_texts_that_may_have_notes_are_searched(spark):
+    plan = catalog.QUERIES["editorial_relations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") > 0 and plan.count(", <)") == plan.count("RepartitionByExpression") > 0

@@ -149,12 +149,17 @@ def announced(found: DataFrame, verbs: DataFrame) -> DataFrame:
     return met.groupBy("text_id", "char_start", "normalized", "relation_type").agg(F.min("at").alias("at"))
 
 
+def may_note(text: Column) -> Column:
+    """Whether a text can have an editorial note; mentions of others are none that ``noted`` gives."""
+    return F.contains(text, F.lit("<"))
+
+
 def noted(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(text_id, char_start, normalized, relation_type): mentions inside an editorial note, with the note's relation.
 
     A text's notes are held as one array beside its mentions, so mentions and notes of a text are not multiplied.
     """
-    low = texts.where(F.contains("text", F.lit("<"))).select("text_id", F.filter(spans(folded(F.col("text")), NOTE), lambda n: n["raw"] != "").alias("notes")).where(F.size("notes") > 0)
+    low = texts.where(may_note(F.col("text"))).select("text_id", F.filter(spans(folded(F.col("text")), NOTE), lambda n: n["raw"] != "").alias("notes")).where(F.size("notes") > 0)
     around = F.filter("notes", lambda n: (F.col("char_start") >= n["start"]) & (F.col("char_end") <= n["start"] + F.length(n["raw"])))
     met = found.join(low, "text_id").withColumn("note", F.get(around, F.lit(0))["raw"]).where("note IS NOT NULL")
     # The verb nearest to the note's start decides.

@@ -25,7 +25,7 @@ def q_announced_relations(spark, d):
 
 
 def q_editorial_relations(spark, d):
-    texts = _texts(spark, d)
+    texts = _texts(spark, d).where(citations.may_note(F.col("text")))
     return citations.noted(texts, citations.mentions(texts)).select("text_id", F.col("char_start").cast("long").alias("char_start"), "normalized", "relation_type")
 
 
