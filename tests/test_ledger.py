@@ -24,3 +24,10 @@ def test_ledger(spark):
     assert {r.extraction_id for r in newer["runs"].collect()} == {1, 2, 3} and newer["runs"].join(held, "run_id").count() == 0
     same = ledger.detect(segs, none)
     assert sorted(r.mention_id for r in same["mentions"].collect()) == sorted(r.mention_id for r in first["mentions"].collect())
+
+
+def test_mentions_are_found_once_for_all_that_reads_them(spark):
+    segs = spark.createDataFrame([(1, 10, "article", "Modifíquese el artículo 5 de la Ley 100 de 1993.")], SEGMENTS)
+    out = ledger.detect(segs, spark.createDataFrame([], RUNS))["runs"]
+    assert [r.mention_count for r in out.collect()] == [2]
+    assert "unico" not in out._jdf.queryExecution().optimizedPlan().toString()

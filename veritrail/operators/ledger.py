@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions.ids import prefixed_id
 from veritrail.operators import citations
+from veritrail.sources.shared import written
 
 #: What finds citations here, and the version whose results the ledger holds; a new version reads everything again.
 DETECTOR, VERSION = "citations", "3"
@@ -32,7 +33,8 @@ def detect(segments: DataFrame, runs: DataFrame, version: str = VERSION) -> dict
     todo = pending(segments, runs, version)
     texts = todo.select(F.col("segment_id").alias("text_id"), "text", "segment_type")
     own = todo.select(F.col("segment_id").alias("text_id"), "extraction_id", "run_id")
-    spans = citations.mentions(texts)
+    # What is found is written once: counts, announced and noted relations all read it.
+    spans = written(citations.mentions(texts), "mentions")
     acting = texts.where(citations.operational(F.col("segment_type"), F.col("text")))
     said = citations.announced(spans.join(acting.select("text_id"), "text_id", "left_semi"), citations.triggers(acting)).drop("at")
     noted = citations.noted(texts, spans.where("mention_type = 'article'"))
