@@ -127,3 +127,11 @@ def test_support_is_closed_once(spark, seed):
         count = lambda name, at, value: sum(x[at] == value for x in mine[name])
         assert (r.selected, r.endpoint, r.evidence_owner, r.lost, r.required, r.unowned) == (*(count("authorities", 1, x) for x in ("selected", "endpoint", "evidence_owner")), count("relationships", 1, "lost"), count("evidence", 1, "required"), count("evidence", 1, "unowned"))
         assert r.status == ("partial" if any(x[4] and x[1] != support.SYNTHESIS for x in mine["unresolved"]) else "complete")
+
+
+def test_support_reads_lines_once(spark):
+    """Lines are written for the graph: the tables that read relations and evidence do not group them again."""
+    from veritrail.plans import catalog
+
+    plan = catalog.QUERIES["support_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
