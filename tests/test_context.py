@@ -144,3 +144,12 @@ def test_citable_states(spark):
     seen = spark.createDataFrame([(1, "p", "dos", sha("dos")), (2, "p", "dos", sha("dos")), (3, "p", "tres", sha("tres")), (4, "p", "cuatro", sha("cuatro")), (4, "q", "cuatro", sha("cuatro"))], "segment_id long, provision_id string, normative_text string, normative_sha256 string")
     got = {r.segment_id: (r.citable_state, r.provision_id) for r in context.citable(segs, seen).collect()}
     assert got == {1: ("citable", "p"), 2: ("no_single_anchor", None), 3: ("fingerprint_mismatch", None), 4: ("several_observations", None), 5: ("no_observation", None)}
+
+
+def test_context_numbers_events_once(spark):
+    """Hits and gaps read one written stream: no window is left in the result's plan."""
+    segs = spark.createDataFrame([(1, 1, 1, 1, "a", "x"), (2, 1, 2, 1, "a", "y"), (3, 1, 3, 1, "b", "z")], "segment_id long, extraction_id long, sequence_no int, document_id long, provision_id string, text_sha256 string")
+    none = spark.createDataFrame([], "segment_id long, mention_id long, state string, target_document_id long, target_provision_id string")
+    out = context.context(spark.createDataFrame([(1, None), (3, None)], "anchor_id long, asked_provision string"), segs, none, 2)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.anchor_id: [h.segment_id for h in r.hits] for r in out.collect()} == {1: [2], 3: []}

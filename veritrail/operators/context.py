@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.text import only_offset
+from veritrail.sources.shared import written
 
 #: Ends of a walk that are no gap: no segment there, or another provision that is itself citable.
 _END = "CAST(NULL AS struct<reason: string, source: bigint>)"
@@ -23,9 +24,11 @@ def citable(segments: DataFrame, observations: DataFrame) -> DataFrame:
     texts have their recorded hashes, and the provision's text stands in the
     segment exactly once.  Otherwise the state names what is missing.
     """
-    seen = observations.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("provision_id", "normative_text", "normative_sha256")).alias("o"))
+    # An observation's hash stays behind; what travels is whether its text has it.
+    seen = observations.select("segment_id", F.struct("provision_id", "normative_text", (F.sha2("normative_text", 256) == F.col("normative_sha256")).alias("whole")).alias("o"))
+    seen = seen.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
     met = segments.join(seen, "segment_id", "left")
-    whole = (F.sha2(F.col("o.normative_text"), 256) == F.col("o.normative_sha256")) & (F.sha2("text", 256) == F.col("text_sha256"))
+    whole = F.col("o.whole") & (F.sha2("text", 256) == F.col("text_sha256"))
     state = (
         F.when(F.col("n").isNull(), "no_observation")
         .when(F.col("n") > 1, "several_observations")
@@ -97,6 +100,8 @@ def context(anchors: DataFrame, segments: DataFrame, references: DataFrame, most
     walked = walked.withColumn("ahead", F.when(alone, none).otherwise(F.col("ahead"))).withColumn("behind", F.when(alone, none).otherwise(F.col("behind")))
     ambiguous = F.struct(F.lit("ambiguous_contiguous_sequence").alias("reason"), F.col("anchor_id").alias("source"))
     walked = walked.withColumn("ahead_gap", F.when(alone, ambiguous).otherwise(F.col("ahead_gap"))).withColumn("behind_gap", F.when(alone, F.expr(_END)).otherwise(F.col("behind_gap")))
+    # Both sides of the stream and the references start from here.
+    walked = written(walked.select("anchor_id", "own_provision", "ahead", "behind", "ahead_gap", "behind_gap"), "walked")
 
     def stream(part: int, side: str) -> DataFrame:
         gap = F.col(f"{side}_gap")
@@ -114,11 +119,13 @@ def context(anchors: DataFrame, segments: DataFrame, references: DataFrame, most
     why = F.when(F.col("state") != "resolved", "reference_resolution_incomplete").when(F.col("target_document_id").isNull() | F.col("target_provision_id").isNull(), "reference_without_provision_target").when(F.col("found").isNull(), "reference_target_context_unavailable")
     cited = cited.withColumn("reason", why).withColumn("hit", F.when(F.col("reason").isNull(), F.col("hit")).otherwise(0)).where("reason IS NULL OR reason = 'reference_target_context_unavailable' OR coalesce(hit, 0) = 0")
     cited = cited.select("anchor_id", F.struct(F.lit(2).alias("part"), "place", F.col("mention_id").alias("mention"), F.coalesce("hit", F.lit(0)).alias("hit")).alias("at"), F.when(F.col("reason").isNull(), F.col("found")).alias("segment_id"), F.col("target_provision_id").alias("provision_id"), "reason", "source", "mention_id", F.lit("explicit_cross_reference").alias("basis"))
-    events = stream(0, "ahead").unionByName(stream(1, "behind")).unionByName(cited.dropDuplicates(["anchor_id", "at", "reason", "segment_id"]))
+    # Dealt by anchor once, for all that numbers and cuts an anchor's events.
+    events = stream(0, "ahead").unionByName(stream(1, "behind")).unionByName(cited.dropDuplicates(["anchor_id", "at", "reason", "segment_id"])).repartition("anchor_id")
     candidate = F.col("segment_id").isNotNull() & (F.col("segment_id") != F.col("anchor_id"))
     first = F.row_number().over(Window.partitionBy("anchor_id", "segment_id", "provision_id").orderBy("at")) == 1
     events = events.withColumn("new", (candidate & first).cast("int")).withColumn("found", F.sum("new").over(Window.partitionBy("anchor_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)))
-    kept = events.where(F.col("found") - F.col("new") <= most)
+    # Read for hits and for gaps.
+    kept = written(events.where(F.col("found") - F.col("new") <= most), "events")
     hits = kept.where(candidate).groupBy("anchor_id", "segment_id", "provision_id").agg(F.min("at").alias("at"), F.min("found").alias("number"), F.sort_array(F.collect_set("basis")).alias("bases"), F.sort_array(F.collect_set("source")).alias("sources"), F.sort_array(F.collect_set("mention_id")).alias("mentions"))
     hits = hits.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.when(F.col("number") <= most, F.struct("at", "segment_id", "provision_id", "bases", "sources", "mentions")))).alias("hits"), F.count(F.lit(1)).alias("candidates"))
     gaps = kept.where("reason IS NOT NULL").select("anchor_id", "reason", "source", "mention_id").distinct().groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("reason", "source", "mention_id"))).alias("gaps"))

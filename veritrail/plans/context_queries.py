@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import context, provisions
 from veritrail.plans.corpus import ctes, derived
+from veritrail.sources.shared import written
 
 _DIALECT = "CASE CAST(extraction_id AS BIGINT) % 3 WHEN 0 THEN 'compiled' WHEN 1 THEN 'statute' ELSE 'simple' END"
 #: Articles in the wording of their dialect, some with a note, some without a title.
@@ -49,13 +50,14 @@ def q_citable_segments(spark, d):
 
 def q_citable_context(spark, d):
     """Context of every segment and of as many that are not there, with a budget of three."""
-    segs, seen = _places(spark, d)
+    # Written without its texts, as places, runs, targets and references all read it.
+    state = written(context.citable(*_places(spark, d)).drop("text"), "citable")
     mention, res = derived(spark, d, "mention", "res")
     target = F.expr("CASE WHEN mention_id % 5 = 0 THEN NULL WHEN mention_id % 7 = 0 THEN -1 ELSE extraction_id * 10 + mention_id % 2 END")
-    met = mention.join(res.select("mention_id", "status"), "mention_id").join(segs.select("segment_id", "extraction_id", "document_id"), "segment_id")
+    met = mention.join(res.select("mention_id", "status"), "mention_id").join(state.select("segment_id", "extraction_id", "document_id"), "segment_id")
     references = met.select("segment_id", "mention_id", F.col("status").alias("state"), F.col("document_id").alias("target_document_id"), target.alias("target_provision_id"))
     anchors = derived(spark, d, "seg")[0].select(F.col("segment_id").alias("anchor_id"), F.expr("CASE WHEN segment_id % 19 = 0 THEN CAST(7 AS BIGINT) END").alias("asked_provision"))
-    out = context.context(anchors, context.citable(segs, seen), references, 3)
+    out = context.context(anchors, state, references, 3)
     reasons = F.array_join(F.array_sort(F.array_distinct(F.transform("gaps", lambda g: g["reason"]))), ",")
     hits = F.array_join(F.transform("hits", lambda h: h["segment_id"].cast("string")), ",")
     return out.select("anchor_id", "status", hits.alias("hits"), reasons.alias("reasons"), F.size("gaps").cast("long").alias("gaps"), "exhausted", "candidates")
