@@ -202,3 +202,14 @@ def test_queries_match_sql(spark, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     ours, theirs = catalog.QUERIES[name](spark, folder).toPandas(), con.sql(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns) and plain_rows(ours) == plain_rows(theirs) and len(ours)
+
+
+def test_scratch_sets_rows_of_a_batch_back(spark):
+    from veritrail.llm.common import Scratch
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), Scratch(spark, batch=7):
+        assert spark.conf.get(name) == "7"
+        raise ValueError
+    assert spark.conf.get(name) == before

@@ -319,7 +319,7 @@ def _by_blocks(members: DataFrame, joined: DataFrame, scratch: Scratch) -> DataF
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text); with ``text_key`` also the text's 64-bit hash."""
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession, batch=1_000) as scratch:
         signed = scratch.keep(sign(docs), "signed")
         linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
         # What grows with the corpus meets in merge joins at every size, and is never broadcast while it is still small.
