@@ -66,3 +66,16 @@ def test_digest_by_hand(spark):
     recipes, _ = bundle_store.shred(spark.createDataFrame(bundle("a"), PARTS))
     lines = sorted(f"{k}:{o:09d}:{hashlib.sha256(p.encode()).hexdigest()}" for _, k, o, p in bundle("a"))
     assert bundle_store.digests(recipes).first().bundle_sha256 == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def test_texts_stay_behind_when_bundles_are_verified(spark):
+    recipes, objects = bundle_store.shred(spark.createDataFrame(bundle("a"), PARTS))
+    lines = bundle_store.verify(bundle_store.digests(recipes), recipes, objects)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    met = next(i for i, x in enumerate(lines) if "Join LeftOuter, (payload_sha256" in x)
+    assert all(i > met for i, x in enumerate(lines) if "get_json_object" in x) and any("get_json_object" in x for x in lines[met:])
+
+
+def test_escaped_field_names_are_read(spark):
+    rows = bundle("a", 1)[:-1] + [("a", "evidence_span", 0, '{"evidence\\u005fref":"evidence:0"}')]
+    recipes, objects = bundle_store.shred(spark.createDataFrame(rows, PARTS))
+    assert [r.state for r in bundle_store.verify(bundle_store.digests(recipes), recipes, objects).collect()] == ["verified"]

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.sources.shared import written
+
 #: Kinds of parts, each with the field that names it, its owner, its trust role, and whether a bundle may have several.
 KINDS = (
     ("case_input", None, "caller", "caller_input", False),
@@ -46,10 +48,24 @@ def _named(payload: Column) -> Column:
     return out
 
 
-def _digest(kind: Column, ordinal: Column, sha: Column) -> Column:
+def _line() -> Column:
+    """What a recipe line says, hashes as bytes (half as long when lines are gathered); one that is no hash stays as it is."""
+    sha = F.col("payload_sha256")
+    is_hash = F.coalesce(sha.rlike("^([0-9a-f]{2})+$"), F.lit(False))
+    return F.struct("kind", "ordinal", F.when(is_hash, F.unhex(sha)).alias("bytes"), F.when(~is_hash, sha).alias("other"))
+
+
+def _digest(lines: Column) -> Column:
     """SHA-256 of a bundle's recipe lines in order; a bundle is read as a whole, so its lines are gathered."""
-    line = F.concat_ws(":", kind, F.lpad(ordinal.cast("string"), 9, "0"), sha)
-    return F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256)
+    text = F.transform(lines, lambda x: F.concat_ws(":", x["kind"], F.lpad(x["ordinal"].cast("string"), 9, "0"), F.coalesce(F.lower(F.hex(x["bytes"])), x["other"])))
+    return F.sha2(F.array_join(F.sort_array(text), "\n"), 256)
+
+
+def _references(payload: Column) -> Column:
+    """The fields of a payload that may name it, by field; one is looked for only where it may stand, escaped letters included."""
+    may = lambda f: F.contains(payload, F.lit(f)) | F.contains(payload, F.lit("\\"))
+    fields = [F.struct(F.lit(f).alias("field"), F.when(may(f), F.get_json_object(payload, f"$.{f}")).alias("value")) for _, f, *_ in KINDS if f]
+    return F.map_from_entries(F.filter(F.array(*fields), lambda x: x["value"].isNotNull()))
 
 
 def shred(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +77,7 @@ def shred(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def digests(recipes: DataFrame) -> DataFrame:
     """(bundle_ref, bundle_sha256, artifacts)."""
-    return recipes.groupBy("bundle_ref").agg(_digest(F.col("kind"), F.col("ordinal"), F.col("payload_sha256")).alias("bundle_sha256"), F.count(F.lit(1)).alias("artifacts"))
+    return recipes.groupBy("bundle_ref").agg(_digest(F.collect_list(_line())).alias("bundle_sha256"), F.count(F.lit(1)).alias("artifacts"))
 
 
 def plan(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -78,21 +94,20 @@ def verify(stored: DataFrame, recipes: DataFrame, objects: DataFrame) -> DataFra
     ordinals with gaps, a single part that is missing or doubled, and a recipe
     that doesn't give the stored digest.
     """
-    known = F.col("kind").isin(*[k for k, *_ in KINDS])
-    met = recipes.join(objects, "payload_sha256", "left")
-    fault = (
-        F.when(~known, "1_unknown_kind")
-        .when((F.col("owner") != _of_kind(2)) | (F.col("role") != _of_kind(3)), "2_ownership_mismatch")
-        .when(F.col("payload").isNull(), "3_payload_missing")
-        .when(F.sha2("payload", 256) != F.col("payload_sha256"), "4_payload_hash_mismatch")
-        .when(~_named(F.col("payload")).eqNullSafe(F.col("artifact_ref")), "5_artifact_ref_mismatch")
-    )
-    by_kind = met.withColumn("fault", fault).groupBy("bundle_ref", "kind").agg(F.min("fault").alias("fault"), F.count(F.lit(1)).alias("n"), F.countDistinct("ordinal").alias("ordinals"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
-    gap = (F.col("first") != 0) | (F.col("last") != F.col("n") - 1) | (F.col("ordinals") != F.col("n"))
+    # Payloads stay where they are: what travels is whether one is whole, and how it names itself.
+    seen = objects.where("payload IS NOT NULL").select("payload_sha256", (F.sha2("payload", 256) == F.col("payload_sha256")).alias("whole"), _references(F.col("payload")).alias("names"))
+    stated = F.when(~F.col("kind").isin(*[k for k, *_ in KINDS]), "1_unknown_kind").when((F.col("owner") != _of_kind(2)) | (F.col("role") != _of_kind(3)), "2_ownership_mismatch")
+    named = F.when(_of_kind(1).isNull(), F.col("kind")).otherwise(F.try_element_at("names", _of_kind(1)))
+    met = recipes.select("bundle_ref", "kind", "ordinal", "artifact_ref", "payload_sha256", stated.alias("stated")).join(seen, "payload_sha256", "left")
+    fault = F.coalesce("stated", F.when(F.col("whole").isNull(), "3_payload_missing").when(~F.col("whole"), "4_payload_hash_mismatch").when(~named.eqNullSafe(F.col("artifact_ref")), "5_artifact_ref_mismatch"))
+    # Lines meet by bundle once; kinds and whole bundles are judged there.
+    by_kind = met.select("bundle_ref", "kind", fault.alias("fault"), _line().alias("line")).repartition("bundle_ref").groupBy("bundle_ref", "kind").agg(F.min("fault").alias("fault"), F.collect_list("line").alias("lines"))
+    ordinals = F.array_compact(F.transform("lines", lambda x: x["ordinal"]))
+    gap = (F.array_min(ordinals) != 0) | (F.array_max(ordinals) != F.size("lines") - 1) | (F.size(F.array_distinct(ordinals)) != F.size("lines"))
     single = F.col("kind").isin(*SINGLES)
-    by_kind = by_kind.withColumn("fault", F.coalesce("fault", F.when(gap, "6_ordinals_not_contiguous").when(single & (F.col("n") != 1), "7_single_part_count")))
-    sums = by_kind.groupBy("bundle_ref").agg(F.min("fault").alias("fault"), F.sum(single.cast("int")).alias("singles"))
-    out = stored.join(sums, "bundle_ref", "left").join(digests(recipes).select("bundle_ref", F.col("bundle_sha256").alias("now"), F.col("artifacts").alias("found")), "bundle_ref", "left")
+    by_kind = by_kind.withColumn("fault", F.coalesce("fault", F.when(gap, "6_ordinals_not_contiguous").when(single & (F.size("lines") != 1), "7_single_part_count")))
+    sums = by_kind.groupBy("bundle_ref").agg(F.min("fault").alias("fault"), F.sum(single.cast("int")).alias("singles"), F.flatten(F.collect_list("lines")).alias("lines"))
+    out = stored.join(sums.select("bundle_ref", "fault", "singles", _digest(F.col("lines")).alias("now"), F.size("lines").cast("long").alias("found")), "bundle_ref", "left")
     state = F.coalesce("fault", F.when(F.coalesce("singles", F.lit(0)) != len(SINGLES), "7_single_part_count"), F.when(~F.col("bundle_sha256").eqNullSafe(F.col("now")), "8_bundle_hash_mismatch"))
     return out.select("bundle_ref", F.coalesce(F.substring(state, F.lit(3), F.length(state)), F.lit("verified")).alias("state"), F.coalesce("found", F.lit(0)).alias("artifacts"))
 
@@ -127,18 +142,22 @@ class BundleStore:
 
     def persist(self, parts: DataFrame, dry_run: bool = False) -> DataFrame:
         """The plan for bundles of ``parts``; unless ``dry_run``, new ones are written and verified.  Raises if a bundle comes back changed."""
-        recipes, objects = shred(parts)
-        incoming = digests(recipes)
-        actions = plan(incoming, self.bundles())
+        incoming = digests(shred(parts)[0])
         if dry_run:
-            return actions
+            return plan(incoming, self.bundles())
+        incoming = written(incoming, "incoming-bundles")
+        actions = plan(incoming, self.bundles())
         if changed := actions.where("action = 'refuse'").limit(1).count():
             raise ValueError(f"{changed} bundle or more comes back with another content")
-        new = self.spark.createDataFrame([], "bundle_ref string") if not actions.where("action = 'insert'").limit(1).count() else actions.where("action = 'insert'").select("bundle_ref")
+        # Where no bundle comes back all are new, and parts need not meet the list of new ones.
+        again = actions.where("action = 'reuse'").limit(1).count()
+        new = actions.where("action = 'insert'").select("bundle_ref")
+        fresh = (lambda df: df.join(new, "bundle_ref", "left_semi")) if again else (lambda df: df)
+        recipes, objects = shred(fresh(parts))
         at = f"write={self.writes}"
-        objects.join(recipes.join(new, "bundle_ref", "left_semi").select("payload_sha256").distinct(), "payload_sha256", "left_semi").join(self.objects().select("payload_sha256"), "payload_sha256", "left_anti").write.option("compression", "zstd").parquet(f"{self.path}/objects/{at}")
-        recipes.join(new, "bundle_ref", "left_semi").select("bundle_ref", "kind", F.col("ordinal").cast("int").alias("ordinal"), "artifact_ref", "owner", "role", "payload_sha256").write.parquet(f"{self.path}/recipes/{at}")
-        incoming.join(new, "bundle_ref", "left_semi").write.parquet(f"{self.path}/bundles/{at}")
+        objects.join(self.objects().select("payload_sha256"), "payload_sha256", "left_anti").write.option("compression", "zstd").parquet(f"{self.path}/objects/{at}")
+        recipes.select("bundle_ref", "kind", F.col("ordinal").cast("int").alias("ordinal"), "artifact_ref", "owner", "role", "payload_sha256").write.option("compression", "zstd").parquet(f"{self.path}/recipes/{at}")
+        fresh(incoming).write.option("compression", "zstd").parquet(f"{self.path}/bundles/{at}")
         self.writes += 1
         if self.verified().where("state <> 'verified'").limit(1).count():
             raise ValueError("a stored bundle does not verify")
