@@ -79,3 +79,20 @@ def test_escaped_field_names_are_read(spark):
     rows = bundle("a", 1)[:-1] + [("a", "evidence_span", 0, '{"evidence\\u005fref":"evidence:0"}')]
     recipes, objects = bundle_store.shred(spark.createDataFrame(rows, PARTS))
     assert [r.state for r in bundle_store.verify(bundle_store.digests(recipes), recipes, objects).collect()] == ["verified"]
+
+
+def test_lines_of_a_store_are_not_dealt_again_by_bundle(spark, tmp_path):
+    store = BundleStore(spark, f"{tmp_path}/store")
+    store.persist(spark.createDataFrame(bundle("a") + bundle("b", 2), PARTS))
+    plan = store.verified()._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [plan[i + 1] for i, x in enumerate(plan) if "Exchange hashpartitioning(bundle_ref" in x]
+    assert [("partial_min" in x, "collect_list" in x) for x in dealt] == [(True, False)]  # only faults travel by bundle
+
+
+def test_odd_names_meet_their_objects(spark):
+    """A payload may name itself by another kind's field, or not at all; that is no fault where its line says the same."""
+    rows = [("a", "case_input", 0, '{"plan_ref":"p"}'), *bundle("a", 0)[1:], ("a", "evidence_span", 0, '{"quote":"tal cual"}')]
+    recipes, objects = bundle_store.shred(spark.createDataFrame(rows, PARTS))
+    state = lambda r: [x.state for x in bundle_store.verify(bundle_store.digests(recipes), r, objects).collect()]
+    assert state(recipes) == ["verified"]
+    assert state(recipes.withColumn("artifact_ref", F.coalesce("artifact_ref", F.lit("evidence:0")))) == ["artifact_ref_mismatch"]
