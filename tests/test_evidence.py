@@ -135,3 +135,19 @@ def test_support_reads_lines_once(spark):
 
     plan = catalog.QUERIES["support_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan
+
+
+def test_what_becomes_of_evidence_is_told_before_it_is_spread(spark):
+    """No pair of case and evidence is dealt out to learn its state, and none for relationships and their evidence."""
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    # Item 1 names evidence that owner 7 brings and relationship 5 requires; document 7 rests on it too.
+    graph = support.close(
+        make([(1, 2)], "case_id long, document_id long"), make([(1, 5, 2, 3)], "case_id long, relationship_id long, source_document long, target_document long"), make([(5, 50), (5, 51)], "relationship_id long, evidence_id long"), make([(7, "identity", 50), (3, "identity", 52), (7, "identity", 53)], "document_id long, basis string, evidence_id long"),
+        make([(50, 7, True), (51, None, True), (53, 8, True)], "evidence_id long, document_id long, known boolean"), make([(1, 7, "a", 50), (2, 7, "a", 53), (3, 2, "a", 51)], "item_id long, document_id long, category string, evidence_id long"),
+    )
+    got = {name: sorted((tuple(r) for r in df.collect()), key=str) for name, df in graph.items()}
+    assert got["authority_evidence"] == [(1, 2, "relationship", 50), (1, 3, "identity", 52), (1, 3, "relationship", 50), (1, 7, "identity", 50)]
+    assert got["evidence"] == [(1, 50, "required", 7), (1, 51, "unowned", None), (1, 52, "evidence_missing", None)] and got["relationships"] == [(1, 5, "reduced")]
+    assert {r[1:5] for r in got["unresolved"] if r[2] == "a"} == {("unresolved:1", "a", 7, 50), ("unresolved:2", "a", 7, None), ("unresolved:3", "a", 2, None)}
+    plan = lambda name: graph[name]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan("relationship_evidence") and not any("evidence_id" in x for x in plan("authorities").splitlines() if "Join" in x)
