@@ -151,3 +151,14 @@ def test_what_becomes_of_evidence_is_told_before_it_is_spread(spark):
     assert {r[1:5] for r in got["unresolved"] if r[2] == "a"} == {("unresolved:1", "a", 7, 50), ("unresolved:2", "a", 7, None), ("unresolved:3", "a", 2, None)}
     plan = lambda name: graph[name]._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan("relationship_evidence") and not any("evidence_id" in x for x in plan("authorities").splitlines() if "Join" in x)
+
+
+def test_candidates_meet_segments_and_observations_once(spark):
+    """All rows meet by segment in one exchange; hashes that are none, or written in capitals, are compared and given back as they are."""
+    one, odd = segment(1, "el texto rige", manifestation_sha256="AB"), segment(2, "otro", manifestation_sha256="x")
+    rows = [candidate(1, one, 11), candidate(2, one, manifestation_sha256="ab"), candidate(3, odd), candidate(4, odd, text_sha256=sha("otro").upper()), candidate(5, one, text_sha256=None)]
+    out = spans.candidate_spans(frame(spark, rows, CAND), frame(spark, [one, odd], SEG), frame(spark, [observation(1, 11, one, "texto"), observation(2, None, one, "rige"), observation(3, 11, odd, "otro")], OBS))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = {r.candidate_id: (r.state, r.field, r.source_sha256, r.exact_sha256) for r in out.collect()}
+    assert got == {1: ("provision_span", None, "AB", sha("texto")), 2: ("claim_mismatch", "manifestation_sha256", None, None), 3: ("segment_span", None, "x", sha("otro")), 4: ("claim_mismatch", "text_sha256", None, None), 5: ("claim_mismatch", "text_sha256", None, None)}
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
