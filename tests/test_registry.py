@@ -148,3 +148,16 @@ def test_provision_for_segment_counts_without_a_distinct_aggregate(spark):
     out = registry.provision_for_segment(seen, segments)
     assert {r.segment_id: (r.state, r.provision_id) for r in out.collect()} == {1: ("citable", 7), 2: ("ambiguous", None), 3: ("unverified", None), 4: ("missing", None), 5: ("citable", 7)}
     assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_checks_read_lines_that_are_written_once(spark):
+    """No check of the doctor groups lines again, and a type without a registry is a warning however it is written."""
+    from veritrail.operators import doctor
+    from veritrail.plans import registry_queries
+
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in registry_queries.checks(registry_queries._tables(spark, "/root/testdata/sf0.001")).values()]
+    assert not any("RepartitionByExpression" in p for p in plans)
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "b", 5), (4, "c", 5), (5, None, 5), (6, "b", None)], "id int, kind string, ref int")
+    held = lambda *ids: (spark.createDataFrame([(i,) for i in ids], "key long"), "key")
+    out = doctor.registered(rows, "kind", "ref", {"a": held(5, 5), "b": held(6)}, "id", "kind")
+    assert sorted(tuple(r) for r in out.collect()) == [("2:a", "ERROR"), ("3:b", "ERROR"), ("4:c", "WARN"), ("5:-", "WARN"), ("6:b", "ERROR")]
